@@ -2,7 +2,7 @@
 
 A word is a run of word characters or a run of other visible characters. Features of a text are its word
 uni- and bigrams and the uni- to trigrams of its words' shapes (capitals, lower case, digits, or the
-marks themselves), hashed to 2**``bits`` slots with value log(1 + count), scaled to unit length. A score is
+marks themselves) and the bigrams of a word and itself, all as one, hashed to 2**``bits`` slots with value log(1 + count), scaled to unit length. A score is
 the sigmoid of a sparse dot product with the weights.
 
 Training reads at most ``sample`` labelled rows (those with the smallest id hash, so at every size the
@@ -30,6 +30,7 @@ SAMPLE = 6000
 BITS = 18
 WORD = re.compile(r"\w+|[^\w\s]+")
 CACHE_WORDS = 200_000
+ECHO = np.uint64(5)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -65,15 +66,16 @@ class Hasher:
         w, s = codes[:, 0], codes[:, 1]
         with np.errstate(over="ignore"):
             two, s2 = w[:-1] * np.uint64(31) + w[1:], s[:-1] * np.uint64(37) + s[1:]
-            grams = np.concatenate([w, two, s, s2, s2[:-1] * np.uint64(41) + s[2:]])
+            echoes = np.full(int((w[1:] == w[:-1]).sum()), ECHO)
+            grams = np.concatenate([w, two, s, s2, s2[:-1] * np.uint64(41) + s[2:], echoes])
             slots = ((grams ^ (grams >> np.uint64(29))) * MIX) >> self.shift
         slots, counts = np.unique(slots, return_counts=True)
         values = np.log1p(counts.astype("float32"))
         return slots.astype("int64"), values / np.sqrt(np.square(values).sum())
 
 
-def train_ftrl(rows: list[tuple[str, int]], bits: int = BITS, epochs: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 1e-4) -> np.ndarray:
-    """Weights with the bias last."""
+def train_ftrl(rows: list[tuple[str, int]], bits: int = BITS, epochs: int | None = None, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 1e-4) -> np.ndarray:
+    """Weights with the bias last. epochs: by default so many that about 20,000 updates are made, 3 to 12."""
     size = (1 << bits) + 1
     z, n = np.zeros(size), np.zeros(size)
     hasher, data = Hasher(bits), []
@@ -84,7 +86,7 @@ def train_ftrl(rows: list[tuple[str, int]], bits: int = BITS, epochs: int = 3, a
     def weights(zz: np.ndarray, nn: np.ndarray) -> np.ndarray:
         return np.where(np.abs(zz) <= l1, 0.0, -(zz - np.sign(zz) * l1) / ((beta + np.sqrt(nn)) / alpha + l2))
 
-    for epoch in range(epochs):
+    for epoch in range(epochs or max(3, min(12, 20_000 // max(1, len(data))))):
         for k in np.random.default_rng(epoch).permutation(len(data)):
             slots, values, label = data[k]
             zz, nn = z[slots], n[slots]
