@@ -1,8 +1,9 @@
 """Best-two-fit packing of tokenised documents into fixed-length sequences.
 
 Tokenisation: a word's ids do not depend on its neighbours (the tokenizer drops white space), so each
-distinct white-space-separated word is encoded once per task and texts are joined from cached id bytes.
-Texts holding white space on which Python and the tokenizer differ are encoded whole.
+distinct white-space-separated word is encoded once while its worker remembers it, and texts are joined
+from cached id bytes.
+Texts holding white space or controls beyond ASCII's six are encoded whole.
 
 Packing: pieces are dealt evenly by a hash to groups of about ``group_rows`` pieces, so memory is bounded
 and a group's one open end costs under 0.02 % of its sequences. In a group, a bin takes the longest
@@ -16,53 +17,128 @@ an empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyhound.llm.staging import stage
 
-ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
+ODD_SPACE = r"[\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000
 
 
 class WordEncoder:
-    """Little-endian uint32 id bytes of whole texts, word by word through a bounded cache."""
+    """Little-endian uint32 id bytes of whole texts.
+
+    The words of a batch are made distinct by Arrow. A word of letters and then ASCII marks is split there, as
+    the tokenizer does. Parts not seen yet are encoded together in one text; two generations of about
+    ``CACHE_WORDS`` parts are remembered, so frequent ones stay and memory is bounded.
+    """
+
+    MARK = "\x01"
+    PARTS = r"^(?P<core>\pL+)(?P<marks>[!-/:-@\[-`{-~]*)$"
 
     def __init__(self, tokenizer_file: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.cache: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def ids(self, text: str) -> bytes:
-        if ODD_SPACE.search(text):
-            return self._encode([text])[0]
-        words = text.split()
-        try:
-            return b"".join(map(self.cache.__getitem__, words))
-        except KeyError:
-            missing = [w for w in dict.fromkeys(words) if w not in self.cache]
-        if len(self.cache) + len(missing) > CACHE_WORDS:
-            self.cache.clear()
-            missing = list(dict.fromkeys(words))
-        fresh = dict(zip(missing, self._encode(missing), strict=True))
-        self.cache.update(fresh)
-        out = b"".join(map(self.cache.__getitem__, words))
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        return out
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.word_end, self.is_mark = np.zeros((2, max(vocabulary.values()) + 1), bool)
+        self.word_end[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
+        self.is_mark[np.frombuffer(self._whole(self.MARK), "<u4")[0]] = True
+
+    def _whole(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _learn(self, parts: list[str], apart: str, last: np.ndarray, gap: int) -> None:
+        """Encodes runs of parts with ``apart`` after each; ``last`` tells the ids that end a part, of which
+        the last ``gap`` are not its own."""
+        runs = [parts[k : k + 4000] for k in range(0, len(parts), 4000)]
+        for run, found in zip(runs, self.tokenizer.encode_batch_fast([apart.join([*r, ""]) for r in runs], add_special_tokens=False), strict=True):
+            ids = np.asarray(found.ids, dtype="<u4")
+            ends = (np.flatnonzero(last[ids]) * 4 + 4).tolist()
+            if len(ends) != len(run):
+                self.known |= {p: self._whole(p) for p in run}
+                continue
+            raw = ids.tobytes()
+            self.known.update(zip(run, (raw[i : j - 4 * gap] for i, j in zip([0, *ends], ends, strict=False)), strict=True))
+
+    def _ids_of(self, parts: list[str], letters: bool) -> list[bytes]:
+        found = list(map(self.known.get, parts))
+        holes = [i for i, v in enumerate(found) if v is None]
+        older = [(parts[i], self.older.get(parts[i])) for i in holes]
+        self.known.update(x for x in older if x[1] is not None)
+        fresh = [p for p, v in older if v is None]
+        self._learn(fresh, *((" ", self.word_end, 0) if letters else (f" {self.MARK} ", self.is_mark, 1)))
+        for i in holes:
+            found[i] = self.known[parts[i]]
+        return found
+
+    def _distinct(self, words: pa.StringArray) -> tuple[list[bytes], np.ndarray]:
+        """Ids of parts, the first empty, and each word's two parts."""
+        cut = pc.extract_regex(words, self.PARTS)
+        split = cut.is_valid()
+        core, marks = (pc.dictionary_encode(pc.filter(pc.struct_field(cut, k), split)) for k in (0, 1))
+        raw = [b"", *self._ids_of(core.dictionary.to_pylist(), True)]
+        parts, split = np.zeros((len(words), 2), "int64"), split.to_numpy(zero_copy_only=False)
+        parts[split, 0] = core.indices.to_numpy() + 1
+        parts[split, 1] = marks.indices.to_numpy() + len(raw)
+        raw += self._ids_of(marks.dictionary.to_pylist(), False)
+        parts[~split, 0] = np.arange(len(raw), len(raw) + int((~split).sum()))
+        raw += self._ids_of(pc.filter(words, pa.array(~split)).to_pylist(), False)
+        return raw, parts
+
+    def ids(self, texts: pa.StringArray) -> Iterator[bytes]:
+        if len(self.known) > CACHE_WORDS:
+            self.older, self.known = self.known, {}
+        odd = pc.or_(pc.match_substring_regex(texts, ODD_SPACE), pc.match_substring(texts, self.MARK))
+        lists = pc.ascii_split_whitespace(pc.if_else(odd, "", texts))
+        offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        words = pc.dictionary_encode(lists.flatten())
+        raw, parts = self._distinct(words.dictionary)
+        data = np.frombuffer(b"".join(raw), "<u4")
+        lengths = np.fromiter(map(len, raw), "int64", len(raw)) // 4
+        starts = np.cumsum(lengths) - lengths
+        index = words.indices.to_numpy()
+        for i, strange in enumerate(odd.to_pylist()):
+            if strange:
+                yield self._whole(texts[i].as_py())
+            else:
+                mine = parts[index[offsets[i] : offsets[i + 1]]].ravel()
+                n = lengths[mine]
+                ends = np.cumsum(n)
+                yield data[np.repeat(starts[mine] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+
+
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def encoder(tokenizer_file: str) -> WordEncoder:
+    """One a process: Python workers serve many tasks."""
+    if tokenizer_file not in _ENCODERS:
+        _ENCODERS[tokenizer_file] = WordEncoder(tokenizer_file)
+    return _ENCODERS[tokenizer_file]
+
+
+def runs_of(texts: pa.Array, size: int = 16 << 20) -> Iterator[pa.StringArray]:
+    """Slices of about ``size`` bytes of texts, nulls as empty."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    ends = np.cumsum(pc.binary_length(texts).to_numpy())
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
+        yield texts.slice(at, to - at).cast(pa.string())
+        at = to
 
 
 def tokenised_pieces(docs: DataFrame, tokenizer_file: str, length: int = 2048, separator: int = 0) -> DataFrame:
@@ -70,11 +146,12 @@ def tokenised_pieces(docs: DataFrame, tokenizer_file: str, length: int = 2048, s
     end = int(separator).to_bytes(4, "little")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer_file)
+        words = encoder(tokenizer_file)
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encoder.ids(text.as_py() or "") + end
+            encoded = (ids for some in runs_of(batch.column(1)) for ids in words.ids(some))
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoded, strict=True):
+                ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * length)):
                     part = ids[at : at + 4 * length]
                     for column, value in zip(out, (doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
