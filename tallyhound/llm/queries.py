@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhound.llm import best_fit, exact_dedup, language_id, quality_ftrl
+from tallyhound.llm import best_fit, exact_dedup, language_id, quality_ftrl, substring_dedup, suffix_dedup
 from tallyhound.llm.staging import table
 
 PACK_TOKENIZER = "word_bpe_49k.json"
@@ -44,8 +44,19 @@ def op8_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, *language_id.fit(docs))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"), 200)
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"), 20).drop("n_spans")
+
+
+OPERATORS = (op1_exact_dedup, op3_best_two_fit, op5_quality_ftrl, op7_suffix_dedup, op8_language_mixture, op9_substring_dedup)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_exact_dedup, op3_best_two_fit, op5_quality_ftrl, op8_language_mixture)}
+    return {f.__name__: f for f in OPERATORS}
 
 
 def oracle_sql() -> dict[str, str]:

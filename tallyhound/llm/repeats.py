@@ -101,7 +101,7 @@ def repeated_anchors(docs: DataFrame, matcher, buckets: int) -> DataFrame:
                 seen.add(key)
                 parts.append((key, text.as_py() or ""))
                 size += len(parts[-1][1])
-                if size >= CHUNK:
+                if size >= matcher.chunk:
                     found.append(matcher.anchors(parts))
                     parts, size = [], 0
             found.append(matcher.anchors(parts))
