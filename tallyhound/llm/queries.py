@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhound.llm import best_fit, exact_dedup, language_id, quality_ftrl, substring_dedup, suffix_dedup
+from tallyhound.llm import best_fit, exact_dedup, language_id, probminhash, quality_ftrl, substring_dedup, suffix_dedup
 from tallyhound.llm.staging import table
 
 PACK_TOKENIZER = "word_bpe_49k.json"
@@ -34,6 +34,10 @@ def op3_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(PACK_TOKENIZER), SEQUENCE)
 
 
+def op4_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return probminhash.near_classes(table(spark, sf_dir, "documents")).drop("key")
+
+
 def op5_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_ftrl.score(docs, quality_ftrl.fit(docs, table(spark, sf_dir, "labels")))
@@ -52,7 +56,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"), 20).drop("n_spans")
 
 
-OPERATORS = (op1_exact_dedup, op3_best_two_fit, op5_quality_ftrl, op7_suffix_dedup, op8_language_mixture, op9_substring_dedup)
+OPERATORS = (op1_exact_dedup, op3_best_two_fit, op4_probminhash, op5_quality_ftrl, op7_suffix_dedup, op8_language_mixture, op9_substring_dedup)
 
 
 def queries() -> dict:
