@@ -32,8 +32,8 @@ from tallyhound.llm.staging import stage
 BUCKET_BYTES = 16 << 20
 HOT_LEAST, HOT_MOST = 20_000, 1_000_000
 CHUNK = 1 << 20
-EXPANDED = "kind int, key long, doc_id long, n long, sha string, text string, g int, payload binary, lo array<int>, hi array<int>"
-ARROW = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("sha", pa.string()), ("text", pa.string()), ("g", pa.int32()), ("payload", pa.binary()), ("lo", pa.list_(pa.int32())), ("hi", pa.list_(pa.int32()))])
+EXPANDED = "kind int, key long, doc_id long, n long, sha string, text string, g int, payload binary"
+ARROW = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("sha", pa.string()), ("text", pa.string()), ("g", pa.int32()), ("payload", pa.binary())])
 FINISHED, CANDIDATE, PAYLOAD, RANGES = range(4)
 
 
@@ -42,18 +42,32 @@ def table_of(schema: pa.Schema, rows: int, **columns) -> pa.Table:
     return pa.table([columns[f.name] if f.name in columns else pa.nulls(rows, f.type) for f in schema], schema=schema)
 
 
-def listed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, list[pa.ListArray]]:
-    """Each key once, with lists of its values."""
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """pmod(xxhash64(key), buckets), as Spark has it."""
+    p1, p2, p3, p4, p5 = map(np.uint64, (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+    def turned(x: np.ndarray, by: int) -> np.ndarray:
+        return (x << np.uint64(by)) | (x >> np.uint64(64 - by))
+
+    h = turned(np.ascontiguousarray(keys, "int64").view("uint64") * p2, 31) * p1 ^ np.uint64((42 + int(p5) + 8) & (1 << 64) - 1)
+    h = turned(h, 27) * p1 + p4
+    h = (h ^ (h >> np.uint64(33))) * p2
+    h = (h ^ (h >> np.uint64(29))) * p3
+    return (h ^ (h >> np.uint64(32))).view("int64") % buckets
+
+
+def by_key(keys: np.ndarray, *values: np.ndarray) -> dict[int, tuple]:
+    """Each key's values."""
     order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, "int64")
-    offsets = pa.array(np.r_[starts, len(keys)].astype("int32"))
-    return keys[starts], [pa.ListArray.from_arrays(offsets, pa.array(v[order].astype("int32"))) for v in values]
+    keys, values = keys[order], [v[order] for v in values]
+    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
+    return {k: tuple(v[i:j] for v in values) for k, i, j in zip(keys[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(keys)], strict=True)}
 
 
-def packed(h: np.ndarray, buckets: int, *columns: np.ndarray) -> list[tuple[int, bytes]]:
-    """(bucket, bytes) for each bucket that gets entries: a count, then the columns one after the other."""
-    g = (h % np.uint64(buckets)).astype("int64")
+def packed(h: np.ndarray, buckets: int, *columns: np.ndarray, to: np.ndarray | None = None) -> list[tuple[int, bytes]]:
+    """(bucket, bytes) for each bucket that gets entries: a count, then the columns one after the other.
+    Entries go by their hash, or ``to`` the buckets given."""
+    g = (h % np.uint64(buckets)).astype("int64") if to is None else to
     order = np.argsort(g, kind="stable")
     ends = np.searchsorted(g[order], np.arange(buckets + 1)) if len(g) > buckets else None
     if ends is None:
@@ -87,7 +101,8 @@ def of_group(starts: np.ndarray, values: np.ndarray, rows: int) -> np.ndarray:
 
 
 def repeated_anchors(docs: DataFrame, matcher, buckets: int) -> DataFrame:
-    """key, pos (list) of the anchors that repeat; rows with a null key hold counts of hot candidates."""
+    """b, payload: packed (key, pos) of the anchors that repeat, by their documents' bucket; and h, n: hashes
+    and counts of candidates for hot ones."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = 0
@@ -116,7 +131,7 @@ def repeated_anchors(docs: DataFrame, matcher, buckets: int) -> DataFrame:
                 out.append(((hash((int(d[0]), turn)) % buckets), None, np.int64(len(again)).tobytes() + d[again].tobytes() + p[again].tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in ((0, pa.int32()), (1, pa.binary()), (2, pa.binary()))], names=["g", "payload", "known"])
 
-    result = pa.schema([("key", pa.int64()), ("pos", pa.list_(pa.int32())), ("h", pa.int64()), ("n", pa.int64())])
+    result = pa.schema([("b", pa.int32()), ("payload", pa.binary()), ("h", pa.int64()), ("n", pa.int64())])
 
     def meet(group: pa.Table) -> pa.Table:
         h, d, p, c = unpacked([x for x in group.column("payload").to_pylist() if x is not None], "<u8", "<i8", "<i4", "<i4")
@@ -130,12 +145,13 @@ def repeated_anchors(docs: DataFrame, matcher, buckets: int) -> DataFrame:
         else:
             d_, p_, here, total, hot = d, p, np.zeros(0, bool), np.zeros(0, "int64"), np.zeros(0, bool)
         kd, kp = unpacked([x for x in group.column("known").to_pylist() if x is not None], "<i8", "<i4")
-        keys, (pos,) = listed(np.concatenate([d_[here], kd]), np.concatenate([p_[here], kp]))
+        keys, pos = np.concatenate([d_[here], kd]), np.concatenate([p_[here], kp])
+        back = packed(keys, buckets, pos, to=bucket_of(keys, buckets))
         hots = h[order][starts][hot].view("int64") if len(h) else np.zeros(0, "int64")
-        return pa.concat_tables([table_of(result, len(keys), key=pa.array(keys), pos=pos), table_of(result, len(hots), h=pa.array(hots), n=pa.array(total[hot].astype("int64")))])
+        return pa.concat_tables([table_of(result, len(back), b=pa.array([x[0] for x in back], pa.int32()), payload=pa.array([x[1] for x in back], pa.binary())), table_of(result, len(hots), h=pa.array(hots), n=pa.array(total[hot].astype("int64")))])
 
     sent = docs.select("key", "text").mapInArrow(find, "g int, payload binary, known binary")
-    return sent.groupBy("g").applyInArrow(meet, "key long, pos array<int>, h long, n long")
+    return sent.groupBy("g").applyInArrow(meet, "b int, payload binary, h long, n long")
 
 
 def digest(b: bytes) -> str:
@@ -159,9 +175,7 @@ def removed(docs: DataFrame, matcher, id_col: str = "doc_id", text_col: str = "t
 
     def expand(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         """left: a bucket's documents, right: the positions of anchors that repeat."""
-        at: dict[int, list] = {}
-        for k, pos in zip(right.column("key").to_pylist(), right.column("pos"), strict=True):
-            at.setdefault(k, []).append(np.asarray(pos.values))
+        at = by_key(*unpacked(right.column("payload").to_pylist(), "<i8", "<i4"))
         done: list[list] = [[], [], []]
         some: list[list] = [[], [], []]
         for k, i, t in zip(left.column("key").to_pylist(), left.column("doc_id").to_pylist(), left.column("text"), strict=True):
@@ -177,43 +191,41 @@ def removed(docs: DataFrame, matcher, id_col: str = "doc_id", text_col: str = "t
         for k, t in zip(some[0], some[2], strict=True):
             if k not in seen:
                 seen.add(k)
-                work.append((k, t, np.unique(np.concatenate(at[k]))))
+                work.append((k, t, np.unique(at[k][0])))
         sent, (kk, lo, hi) = matcher.expand(work, buckets, hot.value)
-        keys, (lo, hi) = listed(kk, lo, hi)
+        known = packed(kk, buckets, lo.astype("int32"), hi.astype("int32"), to=bucket_of(kk, buckets))
         return pa.concat_tables([
             table_of(ARROW, len(done[0]), kind=pa.array([FINISHED] * len(done[0]), pa.int32()), doc_id=pa.array(done[0], pa.int64()), n=pa.array(done[1], pa.int64()), sha=pa.array(done[2], pa.string())),
             table_of(ARROW, len(some[0]), kind=pa.array([CANDIDATE] * len(some[0]), pa.int32()), key=pa.array(some[0], pa.int64()), doc_id=pa.array(some[1], pa.int64()), text=pa.array(some[2], pa.string())),
             table_of(ARROW, len(sent), kind=pa.array([PAYLOAD] * len(sent), pa.int32()), g=pa.array([x[0] for x in sent], pa.int32()), payload=pa.array([x[1] for x in sent], pa.binary())),
-            table_of(ARROW, len(keys), kind=pa.array([RANGES] * len(keys), pa.int32()), key=pa.array(keys), lo=lo, hi=hi),
+            table_of(ARROW, len(known), kind=pa.array([RANGES] * len(known), pa.int32()), g=pa.array([x[0] for x in known], pa.int32()), payload=pa.array([x[1] for x in known], pa.binary())),
         ])
 
-    where = anchors.filter(F.col("key").isNotNull()).select("key", "pos", bucket.alias("b"))
-    met = docs.withColumn("b", bucket).groupBy("b").cogroup(where.groupBy("b")).applyInArrow(expand, EXPANDED)
+    where = anchors.filter(F.col("b").isNotNull()).select("b", "payload")
+    met = docs.withColumn("b", bucket.cast("int")).groupBy("b").cogroup(where.groupBy("b")).applyInArrow(expand, EXPANDED)
     met = stage(met, "expanded")
 
     def resolve(group: pa.Table) -> pa.Table:
         kk, lo, hi = matcher.resolve(group.column("payload").to_pylist())
-        keys, (lo, hi) = listed(kk, lo, hi)
-        return pa.table({"key": pa.array(keys), "lo": lo, "hi": hi})
+        back = packed(kk, buckets, lo.astype("int32"), hi.astype("int32"), to=bucket_of(kk, buckets))
+        return pa.table({"b": pa.array([x[0] for x in back], pa.int32()), "payload": pa.array([x[1] for x in back], pa.binary())})
 
-    ranges = met.filter(F.col("kind") == PAYLOAD).select("g", "payload").groupBy("g").applyInArrow(resolve, "key long, lo array<int>, hi array<int>")
-    ranges = stage(ranges.unionByName(met.filter(F.col("kind") == RANGES).select("key", "lo", "hi")), "ranges")
+    ranges = met.filter(F.col("kind") == PAYLOAD).select("g", "payload").groupBy("g").applyInArrow(resolve, "b int, payload binary")
+    ranges = stage(ranges.unionByName(met.filter(F.col("kind") == RANGES).select(F.col("g").alias("b"), "payload")), "ranges")
     final = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())])
 
     def cut(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        at: dict[int, list] = {}
-        for k, lo, hi in zip(right.column("key").to_pylist(), right.column("lo"), right.column("hi"), strict=True):
-            at.setdefault(k, []).append((np.asarray(lo.values), np.asarray(hi.values)))
+        at = by_key(*unpacked(right.column("payload").to_pylist(), "<i8", "<i4", "<i4"))
         rows = []
         for k, i, t in zip(left.column("key").to_pylist(), left.column("doc_id").to_pylist(), left.column("text"), strict=True):
             t = t.as_py()
-            n, gone, spans, kept = matcher.cut(t, *(np.concatenate(c) for c in zip(*at[k], strict=True))) if k in at else (*matcher.whole(t)[:1], 0, 0, matcher.whole(t)[1])
+            n, gone, spans, kept = matcher.cut(t, *at[k]) if k in at else (*matcher.whole(t)[:1], 0, 0, matcher.whole(t)[1])
             if gone or not with_text:
                 rows.append((k, i, n, gone, spans, digest(kept), kept.decode("utf-8", "ignore") if with_text else None))
         return pa.table([pa.array([r[j] for r in rows], f.type) for j, f in enumerate(final)], schema=final)
 
-    texts = met.filter(F.col("kind") == CANDIDATE).select("key", "doc_id", "text", bucket.alias("b"))
-    changed = texts.groupBy("b").cogroup(ranges.withColumn("b", bucket).groupBy("b")).applyInArrow(cut, "key long, doc_id long, n long, n_removed long, n_spans long, kept_sha256 string, kept string")
+    texts = met.filter(F.col("kind") == CANDIDATE).select("key", "doc_id", "text", bucket.cast("int").alias("b"))
+    changed = texts.groupBy("b").cogroup(ranges.groupBy("b")).applyInArrow(cut, "key long, doc_id long, n long, n_removed long, n_spans long, kept_sha256 string, kept string")
     if with_text:
         return changed
     rest = met.filter(F.col("kind") == FINISHED).select("doc_id", "n", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("sha").alias("kept_sha256"))

@@ -36,6 +36,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     _STAGED.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
+    spark._jvm.System.gc()  # shuffle files that the written table no longer needs go with their plan
     return spark.read.schema(df.schema).parquet(path)
 
 
