@@ -5,8 +5,9 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyhound.llm import best_fit, exact_dedup, quality_ftrl
+from tallyhound.llm import best_fit, exact_dedup, probminhash, quality_ftrl, suffix_dedup
 from tallyhound.llm.queries import PACK_TOKENIZER, SEQUENCE, tokenizer_path
 from tallyhound.llm.staging import shared_dir, table
 
@@ -21,12 +22,23 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(docs)
 
 
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near duplicates the smallest doc_id stays."""
+    return probminhash.near_dedup(docs)
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bytes covered by a 200-byte string that also starts elsewhere go; n_chars follows the text."""
+    return suffix_dedup.cut_repeats(docs, 200).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The packed pieces of all that is left."""
     return best_fit.pack_documents(docs, tokenizer_path(PACK_TOKENIZER), SEQUENCE)
 
 
-STAGES = [("quality", quality), ("exact", exact), ("packing", packing)]
+#: In this order; each writes what it keeps, and the next reads that.
+STAGES = [("quality", quality), ("exact", exact), ("near", near), ("repeats", repeats), ("packing", packing)]
 
 #: SQL can't tokenise or train; tests/llm holds the pipeline against a brute-force version.
 ORACLE_SQL = None
