@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tallyhound.llm.staging import stage
 
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
 HOT_LEAST, HOT_MOST = 20_000, 1_000_000
 CHUNK = 1 << 20
 EXPANDED = "kind int, key long, doc_id long, n long, sha string, text string, g int, payload binary"
@@ -148,12 +148,18 @@ def repeated_anchors(docs: DataFrame, matcher, buckets: int) -> DataFrame:
         keys, pos = np.concatenate([d_[here], kd]), np.concatenate([p_[here], kp])
         back = packed(keys, buckets, pos, to=bucket_of(keys, buckets))
         hots = h[order][starts][hot].view("int64") if len(h) else np.zeros(0, "int64")
-        return pa.concat_tables([table_of(result, len(back), b=pa.array([x[0] for x in back], pa.int32()), payload=pa.array([x[1] for x in back], pa.binary())), table_of(result, len(hots), h=pa.array(hots), n=pa.array(total[hot].astype("int64")))])
+        return freed(pa.concat_tables([table_of(result, len(back), b=pa.array([x[0] for x in back], pa.int32()), payload=pa.array([x[1] for x in back], pa.binary())), table_of(result, len(hots), h=pa.array(hots), n=pa.array(total[hot].astype("int64")))]))
 
     sent = docs.select("key", "text").mapInArrow(find, "g int, payload binary, known binary")
     return sent.groupBy("g").applyInArrow(meet, "b int, payload binary, h long, n long")
 
 
+def freed(table: pa.Table) -> pa.Table:
+    """Gives unused memory back before a task's result is sent."""
+    pa.default_memory_pool().release_unused()
+    return table
+
+
 def digest(b: bytes) -> str:
     return hashlib.sha256(b).hexdigest()
 
@@ -194,12 +200,12 @@ def removed(docs: DataFrame, matcher, id_col: str = "doc_id", text_col: str = "t
                 work.append((k, t, np.unique(at[k][0])))
         sent, (kk, lo, hi) = matcher.expand(work, buckets, hot.value)
         known = packed(kk, buckets, lo.astype("int32"), hi.astype("int32"), to=bucket_of(kk, buckets))
-        return pa.concat_tables([
+        return freed(pa.concat_tables([
             table_of(ARROW, len(done[0]), kind=pa.array([FINISHED] * len(done[0]), pa.int32()), doc_id=pa.array(done[0], pa.int64()), n=pa.array(done[1], pa.int64()), sha=pa.array(done[2], pa.string())),
             table_of(ARROW, len(some[0]), kind=pa.array([CANDIDATE] * len(some[0]), pa.int32()), key=pa.array(some[0], pa.int64()), doc_id=pa.array(some[1], pa.int64()), text=pa.array(some[2], pa.string())),
             table_of(ARROW, len(sent), kind=pa.array([PAYLOAD] * len(sent), pa.int32()), g=pa.array([x[0] for x in sent], pa.int32()), payload=pa.array([x[1] for x in sent], pa.binary())),
             table_of(ARROW, len(known), kind=pa.array([RANGES] * len(known), pa.int32()), g=pa.array([x[0] for x in known], pa.int32()), payload=pa.array([x[1] for x in known], pa.binary())),
-        ])
+        ]))
 
     where = anchors.filter(F.col("b").isNotNull()).select("b", "payload")
     met = docs.withColumn("b", bucket.cast("int")).groupBy("b").cogroup(where.groupBy("b")).applyInArrow(expand, EXPANDED)
@@ -208,7 +214,7 @@ def removed(docs: DataFrame, matcher, id_col: str = "doc_id", text_col: str = "t
     def resolve(group: pa.Table) -> pa.Table:
         kk, lo, hi = matcher.resolve(group.column("payload").to_pylist())
         back = packed(kk, buckets, lo.astype("int32"), hi.astype("int32"), to=bucket_of(kk, buckets))
-        return pa.table({"b": pa.array([x[0] for x in back], pa.int32()), "payload": pa.array([x[1] for x in back], pa.binary())})
+        return freed(pa.table({"b": pa.array([x[0] for x in back], pa.int32()), "payload": pa.array([x[1] for x in back], pa.binary())}))
 
     ranges = met.filter(F.col("kind") == PAYLOAD).select("g", "payload").groupBy("g").applyInArrow(resolve, "b int, payload binary")
     ranges = stage(ranges.unionByName(met.filter(F.col("kind") == RANGES).select(F.col("g").alias("b"), "payload")), "ranges")
@@ -222,7 +228,7 @@ def removed(docs: DataFrame, matcher, id_col: str = "doc_id", text_col: str = "t
             n, gone, spans, kept = matcher.cut(t, *at[k]) if k in at else (*matcher.whole(t)[:1], 0, 0, matcher.whole(t)[1])
             if gone or not with_text:
                 rows.append((k, i, n, gone, spans, digest(kept), kept.decode("utf-8", "ignore") if with_text else None))
-        return pa.table([pa.array([r[j] for r in rows], f.type) for j, f in enumerate(final)], schema=final)
+        return freed(pa.table([pa.array([r[j] for r in rows], f.type) for j, f in enumerate(final)], schema=final))
 
     texts = met.filter(F.col("kind") == CANDIDATE).select("key", "doc_id", "text", bucket.cast("int").alias("b"))
     changed = texts.groupBy("b").cogroup(ranges.groupBy("b")).applyInArrow(cut, "key long, doc_id long, n long, n_removed long, n_spans long, kept_sha256 string, kept string")

@@ -46,7 +46,7 @@ def runs(d: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 
 class WordWindows:
-    chunk = 8 << 20
+    chunk = 2 << 20
 
     def __init__(self, window: int = 20):
         self.window, self.anchor = window, window - PERIOD + 1
