@@ -54,9 +54,9 @@ def resolve_revisits(captures: DataFrame, range_rows: int = 100_000) -> DataFram
     full = F.when(~F.col("is_revisit"), F.struct("ts", "id", "etag", "modified", "digest", "headers"))
     before = Window.orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, -1)
     here = own.withColumn("near", F.last(full, ignorenulls=True).over(before.partitionBy("canonical_url", "range")))
-    last = own.filter(~F.col("is_revisit") & F.col("canonical_url").isNotNull()).groupBy("canonical_url", "range").agg(F.max_by(F.struct("ts", "id", "etag", "modified", "digest", "headers"), F.struct("ts", "id")).alias("last"))
-    # one row a URL and range
-    spans = own.filter(F.col("canonical_url").isNotNull()).select("canonical_url", "range").distinct().join(last, ["canonical_url", "range"], "left")
+    # one row a URL and range, its last response or null
+    response = F.when(~F.col("is_revisit"), F.struct("ts", "id"))
+    spans = own.filter(F.col("canonical_url").isNotNull()).groupBy("canonical_url", "range").agg(F.max_by(F.struct("ts", "id", "etag", "modified", "digest", "headers"), response).alias("last"))
     carried = spans.withColumn("carried", F.last("last", ignorenulls=True).over(Window.partitionBy("canonical_url").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))).drop("last")
     r = F.when(F.col("canonical_url").isNotNull(), F.coalesce("near", "carried"))
     met = here.join(carried, ["canonical_url", "range"], "left").withColumn("r", F.when(F.col("is_revisit"), r).otherwise(full))
