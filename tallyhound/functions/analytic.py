@@ -18,6 +18,10 @@ def percentile_ranks(frame: DataFrame, columns: dict[str, str], single: bool = F
     Values are counted first, so the ordered pass sees one row a distinct value, not one a row; the
     result is joined back by value. ``single``: a frame of one row scores 100 if positive, else 0.
     """
+    from tallyhound.operators.graph import checkpointed
+
+    if len(columns) > 1:
+        frame = checkpointed(frame)  # read once for each column below
     value = {s: F.coalesce(F.col(s).cast("double"), F.lit(0.0)) for s in columns}
     out = frame
     for source, target in columns.items():
@@ -43,3 +47,16 @@ def anomaly_band(score: Column) -> Column:
 def gold_band(score: Column) -> Column:
     """Cut at 40, 70 and 90, without gaps between whole numbers."""
     return band(score, 40, 70, 90)
+
+
+def global_rank(frame: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """1..n in the given total order, without gathering the rows in one task: ranges of the order are numbered
+    on their own, and each range is shifted by the sizes of those before it (one row a range)."""
+    from tallyhound.operators.graph import checkpointed
+
+    ranged = checkpointed(frame.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shifts = F.broadcast(sizes.select("_range", before.alias("_before")))
+    local = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return ranged.withColumn("_local", local).join(shifts, "_range").withColumn(name, F.col("_before") + F.col("_local")).drop("_range", "_local", "_before")
