@@ -20,6 +20,7 @@ one document.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,11 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyhound.llm.staging import stage
+from tallyhound.llm.staging import stage, trim
 
 BUCKET_BYTES = 8 << 20
 HOT_LEAST, HOT_MOST = 20_000, 1_000_000
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 EXPANDED = "kind int, key long, doc_id long, n long, sha string, text string, g int, payload binary"
 ARROW = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("sha", pa.string()), ("text", pa.string()), ("g", pa.int32()), ("payload", pa.binary())])
 FINISHED, CANDIDATE, PAYLOAD, RANGES = range(4)
@@ -65,7 +66,7 @@ def by_key(keys: np.ndarray, *values: np.ndarray) -> dict[int, tuple]:
 
 
 def packed(h: np.ndarray, buckets: int, *columns: np.ndarray, to: np.ndarray | None = None) -> list[tuple[int, bytes]]:
-    """(bucket, bytes) for each bucket that gets entries: a count, then the columns one after the other.
+    """(bucket, bytes) for each bucket that gets entries: a count, the hashes, and the other columns compressed.
     Entries go by their hash, or ``to`` the buckets given."""
     g = (h % np.uint64(buckets)).astype("int64") if to is None else to
     order = np.argsort(g, kind="stable")
@@ -75,18 +76,29 @@ def packed(h: np.ndarray, buckets: int, *columns: np.ndarray, to: np.ndarray | N
         cuts = [(int(b), order[g[order] == b]) for b in present]
     else:
         cuts = [(b, order[ends[b] : ends[b + 1]]) for b in range(buckets) if ends[b] < ends[b + 1]]
-    return [(b, np.int64(len(i)).tobytes() + b"".join(np.ascontiguousarray(c[i]).tobytes() for c in (h, *columns))) for b, i in cuts]
+    return [(b, np.int64(len(i)).tobytes() + h[i].tobytes() + zlib.compress(b"".join(planes(c[i]) for c in columns), 1)) for b, i in cuts]
+
+
+def planes(column: np.ndarray) -> bytes:
+    """A column's first bytes, then its second bytes and so on, which compress well; rows of bytes as they are."""
+    if column.ndim > 1:
+        return column.tobytes()
+    return np.ascontiguousarray(column.view("uint8").reshape(-1, column.itemsize).T).tobytes()
 
 
 def unpacked(payloads: list[bytes], *dtypes: str) -> list[np.ndarray]:
     """The columns of all payloads, the hash first. A dtype may be an array of bytes as ``(u1, width)``."""
     columns: list[list[np.ndarray]] = [[] for _ in dtypes]
     for b in payloads:
-        n, at = int(np.frombuffer(b, "<i8", 1)[0]), 8
-        for column, dtype in zip(columns, map(np.dtype, dtypes), strict=True):
-            column.append(np.frombuffer(b, dtype, n, at))
+        n = int(np.frombuffer(b, "<i8", 1)[0])
+        first = np.dtype(dtypes[0])
+        columns[0].append(np.frombuffer(b, first, n, 8))
+        rest, at = zlib.decompress(b[8 + n * first.itemsize :]), 0
+        for column, dtype in zip(columns[1:], map(np.dtype, dtypes[1:]), strict=True):
+            raw = np.frombuffer(rest, "uint8", n * dtype.itemsize, at)
             at += n * dtype.itemsize
-    return [np.concatenate(c) if c else np.zeros(0, d) for c, d in zip(columns, dtypes, strict=True)]
+            column.append(raw.reshape(n, -1) if dtype.subdtype else np.ascontiguousarray(raw.reshape(dtype.itemsize, n).T).view(dtype).ravel())
+    return [np.concatenate(c) if c else np.zeros((0, *np.dtype(d).shape), np.dtype(d).base) for c, d in zip(columns, dtypes, strict=True)]
 
 
 def groups_of(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -128,7 +140,8 @@ def repeated_anchors(docs: DataFrame, matcher, buckets: int) -> DataFrame:
             out = [(g, b, None) for g, b in packed(h[first], buckets, d[first], p[first], counts.astype("int32"))]
             if len(again):
                 turn += 1
-                out.append(((hash((int(d[0]), turn)) % buckets), None, np.int64(len(again)).tobytes() + d[again].tobytes() + p[again].tobytes()))
+                trim()
+                out.append(((hash((int(d[0]), turn)) % buckets), None, packed(d[again], 1, p[again], to=np.zeros(len(again), "int64"))[0][1]))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in ((0, pa.int32()), (1, pa.binary()), (2, pa.binary()))], names=["g", "payload", "known"])
 
     result = pa.schema([("b", pa.int32()), ("payload", pa.binary()), ("h", pa.int64()), ("n", pa.int64())])
@@ -156,7 +169,7 @@ def repeated_anchors(docs: DataFrame, matcher, buckets: int) -> DataFrame:
 
 def freed(table: pa.Table) -> pa.Table:
     """Gives unused memory back before a task's result is sent."""
-    pa.default_memory_pool().release_unused()
+    trim()
     return table
 
 

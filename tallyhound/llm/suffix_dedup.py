@@ -23,7 +23,6 @@ document; texts below ``length`` bytes lose nothing; an empty table gives no row
 from __future__ import annotations
 
 import tempfile
-import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -194,7 +193,7 @@ class ByteWindows:
             rows = np.full((len(some), width), PAD, "uint8")
             for row, x, q, i, j in zip(rows, doc[some].tolist(), p[some].tolist(), lo[some].tolist(), hi[some].tolist(), strict=True):
                 row[i - q + self.reach : j - q + width] = texts[x][i : j + self.length]
-            sent += [(g, b"b" + zlib.compress(x, 1)) for g, x in packed(h[some], buckets, d[some], p[some], lo[some], hi[some], rows)]
+            sent += [(g, b"b" + x) for g, x in packed(h[some], buckets, d[some], p[some], lo[some], hi[some], rows)]
 
         wh, wc, wd, wp, _ = (np.concatenate(x) for x in windows)
         order = np.lexsort((wc, wh))
@@ -211,8 +210,7 @@ class ByteWindows:
         width = self.reach + self.length
         block = ("<u8", "<i8", "<i4", "<i4", "<i4", ("u1", width))
         out = []
-        h, d, p, lo, hi, rows = unpacked([zlib.decompress(x[1:]) for x in payloads if x[:1] == b"b"], *block)
-        rows = rows.reshape(-1, width)
+        h, d, p, lo, hi, rows = unpacked([x[1:] for x in payloads if x[:1] == b"b"], *block)
         order, starts = groups_of(h)
         order = order[of_group(starts, np.diff(np.r_[starts, len(h)]) > 1, len(h))]
         k = 0
