@@ -47,6 +47,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, base = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
+        stage(spark, docs, sf_dir).write.option("compression", "zstd").parquet(f"{base}/{name}")
         docs = spark.read.parquet(f"{base}/{name}")
     return docs

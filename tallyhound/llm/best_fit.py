@@ -27,12 +27,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyhound.llm.staging import stage
+from tallyhound.llm.staging import stage, trim
 
 ODD_SPACE = r"[\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
-CACHE_WORDS = 600_000
+CACHE_WORDS = 250_000
 
 
 class WordEncoder:
@@ -130,7 +130,7 @@ def encoder(tokenizer_file: str) -> WordEncoder:
     return _ENCODERS[tokenizer_file]
 
 
-def runs_of(texts: pa.Array, size: int = 16 << 20) -> Iterator[pa.StringArray]:
+def runs_of(texts: pa.Array, size: int = 8 << 20) -> Iterator[pa.StringArray]:
     """Slices of about ``size`` bytes of texts, nulls as empty."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     ends = np.cumsum(pc.binary_length(texts).to_numpy())
@@ -157,6 +157,7 @@ def tokenised_pieces(docs: DataFrame, tokenizer_file: str, length: int = 2048, s
                     for column, value in zip(out, (doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            trim()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, PIECES)
 

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from tallyhound.llm.components import components
 from tallyhound.llm.repeats import key_of
-from tallyhound.llm.staging import stage
+from tallyhound.llm.staging import stage, trim
 from tallyhound.llm.substring_dedup import BASES, WordWindows
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 24, 5
@@ -106,7 +106,7 @@ def signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
             at = 0
             while at < len(texts):
                 to, size = at, 0
-                while to < len(texts) and size < 4 << 20:
+                while to < len(texts) and size < 2 << 20:
                     size += len(texts[to])
                     to += 1
                 some, m = texts[at:to], to - at
@@ -123,6 +123,7 @@ def signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(m + 1, dtype="int32") * bands), pa.array(code.ravel().view("int64")))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, m), batch.column(1).slice(at, m), pa.array(prints[0].view("int64")), pa.array(prints[1].view("int64")), lists], names=["key", "doc_id", "f1", "f2", "bands"])
                 at = to
+            trim()
 
     return docs.select("key", "doc_id", "text").mapInArrow(sign, schema)
 

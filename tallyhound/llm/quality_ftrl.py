@@ -29,7 +29,7 @@ from tallyhound.llm.staging import held_out
 SAMPLE = 6000
 BITS = 18
 WORD = re.compile(r"\w+|[^\w\s]+")
-CACHE_WORDS = 200_000
+CACHE_WORDS = 150_000
 ECHO = np.uint64(5)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
