@@ -104,7 +104,7 @@ def account_features(accounts: DataFrame, transactions: DataFrame, countries: Da
     base = rows.groupBy("account_id", "feature_date").agg(
         F.count(F.when(day, 1)).alias("txn_count_1d"), F.count(F.when(week, 1)).alias("txn_count_7d"),
         value("sent", week).alias("total_sent_7d"), value("received", week).alias("total_received_7d"),
-        F.avg("amount").cast("double").alias("avg_txn_amount_30d"), F.max("amount").alias("max_txn_amount_30d"),
+        F.avg(F.col("amount").cast("double")).alias("avg_txn_amount_30d"), F.max("amount").alias("max_txn_amount_30d"),
         F.size(F.array_union(F.collect_set(F.when(week, F.col("out_key"))), F.collect_set(F.when(week, F.col("in_key"))))).alias("unique_counterparties_7d"),
         F.count(F.when(day & near, 1)).alias("below_threshold_count_24h"),
         F.avg(F.coalesce(F.col("is_cross_border"), F.lit(False)).cast("double")).alias("cross_border_ratio_30d"),

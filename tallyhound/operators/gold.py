@@ -74,8 +74,12 @@ def cases(alerts: DataFrame) -> DataFrame:
     return g.withColumns({"case_id": F.concat(F.lit("CASE_"), F.upper(F.substring(F.sha1(F.col("account_id").cast("binary")), 1, 10))), "status": F.lit("New"), "assigned_to": F.concat(F.lit("analyst_"), (bucket("account_id", 5) + 1).cast("string"))})
 
 
+#: Added before rounding, so that halves go up whatever the order of the sums.
+HALF_UP = 1e-9
+
+
 def case_risk(cases: DataFrame, risk: DataFrame) -> DataFrame:
     c = cases.join(risk.select("account_id", F.col("account_risk_score").alias("account_component")), "account_id", "left").fillna(0.0, ["account_component"])
     score = F.col("max_alert_score") * 0.5 + F.col("account_component") * 0.3 + F.col("typology_count") * 5.0 + F.col("alert_count") * 1.5
-    c = c.select("case_id", "max_alert_score", "account_component", "typology_count", F.round(score, 2).alias("case_risk_score"))
+    c = c.select("case_id", "max_alert_score", "account_component", "typology_count", F.round(score + HALF_UP, 2).alias("case_risk_score"))
     return global_rank(c.withColumn("risk_band", gold_band(F.col("case_risk_score"))), [F.desc("case_risk_score"), F.asc("case_id")], "risk_rank")

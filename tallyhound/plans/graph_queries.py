@@ -42,9 +42,9 @@ CTES["f_now"] = "SELECT account_id, feature_date, min(ts) AS f FROM {mvd} WHERE
 CTES["f_dorm"] = "SELECT n.account_id, n.feature_date, date_diff('day', CAST(max(m.ts) AS DATE), CAST(any_value(n.f) AS DATE)) AS dormant_days_before_activity FROM {f_now} n JOIN {mv} m ON m.account_id = n.account_id AND m.ts <= n.feature_date - INTERVAL 1 DAY GROUP BY n.account_id, n.feature_date"
 _FEATURES = """
 SELECT a.account_id, strftime(d.feature_date, '%Y-%m-%d') AS feature_date, coalesce(txn_count_1d, 0) AS txn_count_1d, coalesce(txn_count_7d, 0) AS txn_count_7d, coalesce(total_sent_7d, 0) AS total_sent_7d, coalesce(total_received_7d, 0) AS total_received_7d,
-  round(coalesce(avg_txn_amount_30d, 0), 4) AS avg_txn_amount_30d, coalesce(max_txn_amount_30d, 0) AS max_txn_amount_30d, coalesce(unique_counterparties_7d, 0) AS unique_counterparties_7d,
-  round(CASE WHEN total_received_7d > 0 THEN CAST(total_sent_7d AS DOUBLE) / CAST(total_received_7d AS DOUBLE) WHEN total_sent_7d > 0 THEN 999999.0 ELSE 0 END, 4) AS in_out_ratio_7d, coalesce(total_received_7d - total_sent_7d, 0) AS retained_balance_proxy,
-  coalesce(below_threshold_count_24h, 0) AS below_threshold_count_24h, dormant_days_before_activity, round(coalesce(cross_border_ratio_30d, 0), 4) AS cross_border_ratio_30d, round(coalesce(high_risk_country_exposure, 0), 4) AS high_risk_country_exposure, round(coalesce(counterparty_entropy, 0), 4) AS counterparty_entropy
+  round(coalesce(avg_txn_amount_30d, 0) + 1e-9, 4) AS avg_txn_amount_30d, coalesce(max_txn_amount_30d, 0) AS max_txn_amount_30d, coalesce(unique_counterparties_7d, 0) AS unique_counterparties_7d,
+  round(CASE WHEN total_received_7d > 0 THEN CAST(total_sent_7d AS DOUBLE) / CAST(total_received_7d AS DOUBLE) WHEN total_sent_7d > 0 THEN 999999.0 ELSE 0 END + 1e-9, 4) AS in_out_ratio_7d, coalesce(total_received_7d - total_sent_7d, 0) AS retained_balance_proxy,
+  coalesce(below_threshold_count_24h, 0) AS below_threshold_count_24h, dormant_days_before_activity, round(coalesce(cross_border_ratio_30d, 0) + 1e-9, 4) AS cross_border_ratio_30d, round(coalesce(high_risk_country_exposure, 0) + 1e-9, 4) AS high_risk_country_exposure, round(coalesce(counterparty_entropy, 0) + 1e-9, 4) AS counterparty_entropy
 FROM {acc} a CROSS JOIN {spine} d LEFT JOIN {f_base} b ON a.account_id = b.account_id AND d.feature_date = b.feature_date LEFT JOIN {f_cp} c ON a.account_id = c.account_id AND d.feature_date = c.feature_date
   LEFT JOIN {f_ent} e ON a.account_id = e.account_id AND d.feature_date = e.feature_date LEFT JOIN {f_dorm} g ON a.account_id = g.account_id AND d.feature_date = g.feature_date"""
 
@@ -56,7 +56,7 @@ def _features(spark, d):
 
 @query("feature_account_daily", _FEATURES)
 def _(spark, d):
-    rounded = {c: F.round(c, 4) for c in ("avg_txn_amount_30d", "in_out_ratio_7d", "cross_border_ratio_30d", "high_risk_country_exposure", "counterparty_entropy")}
+    rounded = {c: F.round(F.col(c) + 1e-9, 4) for c in ("avg_txn_amount_30d", "in_out_ratio_7d", "cross_border_ratio_30d", "high_risk_country_exposure", "counterparty_entropy")}
     return _features(spark, d).withColumns(rounded).withColumn("feature_date", F.col("feature_date").cast("string")).drop("feature_version")
 
 

@@ -180,7 +180,7 @@ def _(spark, d):
     return gold.cases(event_alerts(spark, d)).withColumn("mean_alert_score", F.round("mean_alert_score", 6)).drop("status")
 
 
-@query("gold_case_risk", f"SELECT case_id, round(s, 2) AS case_risk_score, {gold_band_sql('round(s, 2)')} AS risk_band FROM (SELECT case_id, max_alert_score * 0.5 + coalesce(account_risk_score, 0) * 0.3 + typology_count * 5.0 + alert_count * 1.5 AS s FROM {{gcs}} LEFT JOIN {{gar}} USING (account_id))")
+@query("gold_case_risk", f"SELECT case_id, round(s + 1e-9, 2) AS case_risk_score, {gold_band_sql('round(s + 1e-9, 2)')} AS risk_band FROM (SELECT case_id, max_alert_score * 0.5 + coalesce(account_risk_score, 0) * 0.3 + typology_count * 5.0 + alert_count * 1.5 AS s FROM {{gcs}} LEFT JOIN {{gar}} USING (account_id))")
 def _(spark, d):
     return gold.case_risk(gold.cases(event_alerts(spark, d)), _gold_risk(spark, d)).select("case_id", "case_risk_score", "risk_band")
 
