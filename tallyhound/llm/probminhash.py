@@ -65,17 +65,17 @@ def weighted_shingles(texts: list[str], size: int = SHINGLE) -> tuple[np.ndarray
 def signatures(doc: np.ndarray, h: np.ndarray, weight: np.ndarray, docs: int, registers: int) -> np.ndarray:
     """docs x registers: the hash of the shingle that holds each register."""
     time, holder = np.full(docs * registers, np.inf), np.zeros(docs * registers, "uint64")
-    t, turn = np.zeros(len(h)), np.uint64(0)
+    t, turn, seed = np.zeros(len(h)), 0, mixed(h)
     while len(h):
-        turn += np.uint64(1)
-        z = mixed(h + turn * GOLD)
+        turn += 1
+        z = mixed(seed + np.uint64(turn * int(GOLD) & (1 << 64) - 1))
         t = t - np.log(((z >> np.uint64(11)).astype("float64") + 0.5) * 2.0**-53) / weight
         slot = doc * registers + ((z & np.uint64(2047)) * np.uint64(registers) >> np.uint64(11)).astype("int64")
         np.minimum.at(time, slot, t)
         won = time[slot] == t
         holder[slot[won]] = h[won]
         live = t < time.reshape(docs, registers).max(axis=1)[doc]
-        doc, h, weight, t = doc[live], h[live], weight[live], t[live]
+        doc, h, weight, t, seed = doc[live], h[live], weight[live], t[live], seed[live]
     return holder.reshape(docs, registers)
 
 

@@ -59,6 +59,8 @@ def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
 
 def by_key(keys: np.ndarray, *values: np.ndarray) -> dict[int, tuple]:
     """Each key's values."""
+    if not len(keys):
+        return {}
     order = np.argsort(keys, kind="stable")
     keys, values = keys[order], [v[order] for v in values]
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
