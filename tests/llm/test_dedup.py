@@ -184,7 +184,7 @@ def brute_jp(a, b):
     return sum(1 / sum(max(a[e] / a[d], b[e] / b[d]) for e in set(a) | set(b)) for d in set(a) & set(b))
 
 
-def near_brute(rows, least=0.8):
+def near_brute(rows, least=0.8, similar=brute_jp):
     s = {i: shingles(t) for i, t in rows}
     root = {i: i for i in s}
 
@@ -195,7 +195,7 @@ def near_brute(rows, least=0.8):
 
     for i in s:
         for j in s:
-            if i < j and (s[i] == s[j] or brute_jp(s[i], s[j]) >= least - 1e-9):
+            if i < j and (s[i] == s[j] or similar(s[i], s[j]) >= least - 1e-9):
                 root[max(find(i), find(j))] = min(find(i), find(j))
     return {i: find(i) for i in s}
 
