@@ -7,6 +7,7 @@ checkpoint in the folder the session names; nothing but counts and checksums com
 from __future__ import annotations
 
 import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -16,13 +17,17 @@ from tallyhound.operators.rules import simple_cycles
 
 
 def checkpointed(frame: DataFrame) -> DataFrame:
-    """Reliable checkpoint; a folder is chosen only where the session names none."""
-    context = frame.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = frame.sparkSession.conf.get("spark.checkpoint.dir", None)
-        local = context.master.startswith("local[") or context.master == "local"
-        context.setCheckpointDir(named or (tempfile.mkdtemp(prefix="tallyhound-") if local else frame.sparkSession.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"))
-    return frame.checkpoint()
+    """``frame`` written to the folder that ``spark.checkpoint.dir`` names and read back: lineage is cut, all
+    executors can read it again, and it is computed once. A folder is chosen only where none is named."""
+    spark = frame.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
+        base = "file://" + tempfile.mkdtemp(prefix="tallyhound-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+        spark.conf.set("spark.checkpoint.dir", base)
+    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    frame.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
 
 
 def _node(label: str, key: str, severity: Column | None = None) -> list[Column]:
@@ -112,7 +117,7 @@ def degrees(simple: DataFrame, accounts: DataFrame) -> DataFrame:
     return zero_filled(accounts, d)
 
 
-def pagerank(simple: DataFrame, alpha: float = 0.85, rounds: int = 20, every: int = 5) -> DataFrame:
+def pagerank(simple: DataFrame, alpha: float = 0.85, rounds: int = 20) -> DataFrame:
     """account_id, pagerank_score after ``rounds`` rounds; dangling mass is shared evenly.
 
     The link table is partitioned by source once and kept; a round is one join on it and one aggregate."""
@@ -123,12 +128,11 @@ def pagerank(simple: DataFrame, alpha: float = 0.85, rounds: int = 20, every: in
     if n == 0:
         return nodes.select(F.col("id").alias("account_id"), F.lit(0.0).alias("pagerank_score"))
     rank = nodes.select("id", "out", F.lit(1.0 / n).alias("r"))
-    for k in range(rounds):
+    for _ in range(rounds):
         sums = links.join(rank.select(F.col("id").alias("src"), "r"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("r") / F.col("out")).alias("s"))
         lost = F.broadcast(rank.agg(F.coalesce(F.sum(F.when(F.col("out").isNull(), F.col("r"))), F.lit(0.0)).alias("lost")))
-        rank = nodes.join(sums, "id", "left").crossJoin(lost).select("id", "out", ((1 - alpha) / n + alpha * (F.coalesce("s", F.lit(0.0)) + F.col("lost") / n)).alias("r"))
-        if (k + 1) % every == 0:
-            rank = checkpointed(rank)
+        # ranks are read twice a round, for the sums and for the lost mass, so each round is written
+        rank = checkpointed(nodes.join(sums, "id", "left").crossJoin(lost).select("id", "out", ((1 - alpha) / n + alpha * (F.coalesce("s", F.lit(0.0)) + F.col("lost") / n)).alias("r")))
     return rank.select(F.col("id").alias("account_id"), F.col("r").alias("pagerank_score"))
 
 
@@ -183,7 +187,9 @@ def cycle_counts(simple: DataFrame, accounts: DataFrame, max_hops: int = 4) -> D
 def alert_proximity(edges: DataFrame, alerts: DataFrame, accounts: DataFrame, depth: int = 4, severe: tuple[str, ...] = ("high", "critical")) -> DataFrame:
     """Adjacent alerts, and hops to the nearest severe one: one search outwards from all severe alerts at once."""
     both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    both = checkpointed(both)  # every hop joins it
     a = alerts.select(F.col("alert_id").alias("dst"), F.lower("severity").isin(*severe).alias("severe")).dropDuplicates(["dst"])
+    a = checkpointed(a)
     adjacent = both.join(a, "dst").groupBy(F.col("src").alias("account_id")).agg(F.count("*").alias("alert_count"), F.count(F.when(F.col("severe"), 1)).alias("high_risk_alert_count"))
     seen = a.filter("severe").select(F.col("dst").alias("id"), F.lit(0).alias("hops"))
     frontier = seen
