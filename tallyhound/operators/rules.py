@@ -1,7 +1,7 @@
 """The six typology rules: DataFrame of transactions to DataFrame of detections.
 
-Every counted rule is one RANGE frame over (account, time): each candidate is an anchor whose window is
-[t, t + W], both ends included. The strongest window of an account is an aggregate (``max_by``), not a sort.
+Every counted rule is RANGE frames over (account, time): each candidate is an anchor whose window is
+[t, t + W], both ends included; counts and values are differences of growing frames. The strongest window of an account is an aggregate (``max_by``), not a sort.
 Evidence is gathered only for that window, in a second pass over the same partitioning by account, so no
 list is built for the windows that lose. Accounts with too few candidates for any window leave first.
 """
@@ -202,6 +202,14 @@ def _forward(width: int):
     return Window.partitionBy("account_id").orderBy("us").rangeBetween(0, width)
 
 
+def _forward_sum(value: Column, width: int) -> Column:
+    """Sum over the forward window as a difference of two growing frames, each of which is one pass over the
+    account; a sliding frame would be summed anew for every row."""
+    rows = Window.partitionBy("account_id").orderBy("us")
+    upto, before = rows.rangeBetween(Window.unboundedPreceding, width), rows.rangeBetween(Window.unboundedPreceding, -1)
+    return F.sum(value).over(upto) - F.coalesce(F.sum(value).over(before), F.lit(0))
+
+
 def _busy(candidates: DataFrame, least: int) -> DataFrame:
     """Candidates of accounts that have at least ``least`` of them."""
     n = F.count("*").over(Window.partitionBy("account_id"))
@@ -219,9 +227,14 @@ def _ids_in_order(*before: str) -> Column:
 
 
 def _counted(candidates: DataFrame, width: int, least: int, min_total: float, distinct: bool) -> DataFrame:
-    """account_id and its strongest window: most (distinct others, if asked,) transactions, then value, then earliest."""
-    w = _forward(width)
-    windows = _busy(candidates, least).select("account_id", "us", F.count("*").over(w).alias("n"), F.sum("amount").over(w).alias("total"), (F.size(F.collect_set("other").over(w)) if distinct else F.count("*").over(w)).alias("strength"))
+    """account_id and its strongest window: most (distinct others, if asked,) transactions, then value, then earliest.
+    Distinct others need a sliding frame; only accounts with a window of enough transactions get that far."""
+    windows = _busy(candidates, least).select("account_id", "us", "other", _forward_sum(F.lit(1), width).alias("n"), _forward_sum(F.col("amount"), width).alias("total"))
+    if distinct:
+        most = F.max("n").over(Window.partitionBy("account_id"))
+        windows = windows.withColumn("_most", most).filter(F.col("_most") >= least).withColumn("strength", F.size(F.collect_set("other").over(_forward(width))))
+    else:
+        windows = windows.withColumn("strength", F.col("n"))
     windows = windows.filter((F.col("strength") >= least) & (F.col("total") >= min_total))
     return windows.groupBy("account_id").agg(F.max_by("us", F.struct("strength", "n", "total", -F.col("us"))).alias("start_us"))
 
@@ -258,9 +271,9 @@ def detect_rapid_movement(transactions: DataFrame, c: RapidMovement = RapidMovem
     width, columns = c.window_hours * HOUR, ["account_id", "us", "transaction_id", "transaction_timestamp", "amount", "other"]
     inbound = rapid_inbound(transactions, c).select(*columns, F.lit(0).alias("out"))
     outbound = outbound_candidates(transactions, c, c.outbound_types).select(*columns, F.lit(1).alias("out"))
-    both, w = inbound.unionByName(outbound), _forward(width)
-    received, sent = (F.sum(F.when(F.col("out") == k, F.col("amount")).otherwise(0)).over(w) for k in (0, 1))
-    windows = both.select("account_id", "us", "out", received.alias("received"), sent.alias("sent"), F.sum("out").over(w).alias("n_out"))
+    both = inbound.unionByName(outbound)
+    received, sent = (_forward_sum(F.when(F.col("out") == k, F.col("amount")).otherwise(0), width) for k in (0, 1))
+    windows = both.select("account_id", "us", "out", received.alias("received"), sent.alias("sent"), _forward_sum(F.col("out"), width).alias("n_out"))
     ratio = F.col("sent").cast("double") / F.col("received").cast("double")
     retained = F.greatest(F.col("received") - F.col("sent"), F.lit(0)).cast("double") / F.col("received").cast("double")
     windows = windows.filter((F.col("out") == 0) & (F.col("received") >= c.min_received) & (F.col("n_out") >= c.min_outgoing)).withColumn("ratio", ratio)
@@ -303,9 +316,8 @@ def detect_dormant_reactivation(transactions: DataFrame, c: DormantReactivation
     both = history.unionByName(marked)
     earlier = Window.partitionBy("account_id").orderBy("us").rangeBetween(Window.unboundedPreceding, -1)
     prior = F.max(F.when(F.col("candidate") == 0, F.struct("us", "transaction_id", "transaction_timestamp"))).over(earlier)
-    w = _forward(width)
     one = F.col("candidate") == 1
-    windows = both.select("account_id", "us", "transaction_timestamp", "candidate", prior.alias("prior"), F.sum(F.when(one, F.col("amount")).otherwise(0)).over(w).alias("total"), F.sum("candidate").over(w).alias("n"))
+    windows = both.select("account_id", "us", "transaction_timestamp", "candidate", prior.alias("prior"), _forward_sum(F.when(one, F.col("amount")).otherwise(0), width).alias("total"), _forward_sum(F.col("candidate"), width).alias("n"))
     windows = windows.filter(one & F.col("prior").isNotNull()).withColumn("days", F.datediff("transaction_timestamp", "prior.transaction_timestamp"))
     windows = windows.filter((F.col("days") >= c.dormant_days) & (F.col("n") >= c.min_count) & (F.col("total") >= c.min_total))
     best = windows.groupBy("account_id").agg(F.max_by(F.struct("us", "days", "prior"), F.struct("days", "total", "n", -F.col("us"))).alias("best"))
