@@ -6,10 +6,12 @@ checkpoint in the folder the session names; nothing but counts and checksums com
 
 from __future__ import annotations
 
+import heapq
 import tempfile
 import uuid
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -228,32 +230,33 @@ def betweenness(simple: DataFrame, most_sources: int | None = None) -> DataFrame
         adjacency.setdefault(r.dst, [])
     order = sorted(adjacency)
     index = {x: i for i, x in enumerate(order)}
-    graph = simple.sparkSession.sparkContext.broadcast([[index[y] for y in adjacency[x]] for x in order])
+    start = np.cumsum([0, *(len(adjacency[x]) for x in order)])
+    graph = simple.sparkSession.sparkContext.broadcast((start, np.array([index[y] for x in order for y in adjacency[x]], "int64")))
     sources = simple.sparkSession.createDataFrame([(i,) for i in range(len(order) if most_sources is None else min(most_sources, len(order)))], "i int")
 
     def accumulate(batches):
-        import numpy as np
         import pyarrow as pa
 
-        near = graph.value
-        total = np.zeros(len(near))
+        start, near = graph.value
+        total = np.zeros(len(start) - 1)
         for batch in batches:
             for s in batch.column(0).to_pylist():
-                dist, paths, before, queue = {s: 0}, {s: 1.0}, {}, [s]
-                for v in queue:
-                    for w in near[v]:
-                        if w not in dist:
-                            dist[w] = dist[v] + 1
-                            queue.append(w)
-                        if dist[w] == dist[v] + 1:
-                            paths[w] = paths.get(w, 0.0) + paths[v]
-                            before.setdefault(w, []).append(v)
-                share = dict.fromkeys(queue, 0.0)
-                for w in reversed(queue):
-                    for v in before.get(w, ()):
-                        share[v] += paths[v] / paths[w] * (1 + share[w])
-                    if w != s:
-                        total[w] += share[w]
+                paths, share, unseen = np.zeros(len(total)), np.zeros(len(total)), np.ones(len(total), bool)
+                paths[s], unseen[s] = 1.0, False
+                front, levels = np.array([s]), []
+                while len(front):
+                    many = start[front + 1] - start[front]
+                    v = np.repeat(front, many)
+                    w = near[np.repeat(start[front] - np.cumsum(many) + many, many) + np.arange(len(v))]
+                    v, w = v[unseen[w]], w[unseen[w]]
+                    np.add.at(paths, w, paths[v])
+                    unseen[w] = False
+                    front = np.unique(w)
+                    levels.append((v, w))
+                for v, w in reversed(levels):
+                    np.add.at(share, v, paths[v] / paths[w] * (1 + share[w]))
+                share[s] = 0.0
+                total += share
         hit = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(hit.astype("int32")), pa.array(total[hit])], names=["i", "b"])
 
@@ -273,23 +276,46 @@ def greedy_modularity(simple: DataFrame, most_edges: int = 200_000) -> DataFrame
         roots = component_roots(simple)
         return roots.select(F.col("id").alias("account_id"), F.dense_rank().over(Window.orderBy("root")).alias("community_id"))
     total = len(rows)
-    links: dict[str, dict[str, float]] = {}
+    names = sorted({x for r in rows for x in r})
+    index = {x: i for i, x in enumerate(names)}
+    links: dict[int, dict[int, int]] = {i: {} for i in range(len(names))}
     for r in rows:
-        links.setdefault(r.a, {})[r.b] = links.setdefault(r.b, {})[r.a] = 1.0
-    weight = {x: float(sum(v.values())) for x, v in links.items()}
+        links[index[r.a]][index[r.b]] = links[index[r.b]][index[r.a]] = 1
+    weight = {x: len(near) for x, near in links.items()}
+    least = {x: x for x in links}  # the smallest member names a community
     members = {x: [x] for x in links}
-    while True:
-        best = max(((e / total - weight[x] * weight[y] / (2 * total * total), x, y) for x, near in links.items() for y, e in near.items() if x < y), key=lambda g: (g[0], g[1], g[2]), default=(0.0, "", ""))
-        if best[0] <= 1e-12:
+
+    def merge(x: int, y: int) -> tuple:
+        """Twice the squared edges times the gain, and the names, all so that the best comes first."""
+        e, (i, j) = links[x][y], sorted((least[x], least[y]))
+        return weight[x] * weight[y] - 2 * total * e, -i, -j, x, y, e
+
+    # Without new edges between two communities their merge only gets worse, so what waits in the heap is never
+    # worse than it is now: an entry that isn't up to date goes back with its present value.
+    heap = [merge(x, y) for x, near in links.items() for y in near if x < y]
+    heapq.heapify(heap)
+    while heap:
+        entry = heapq.heappop(heap)
+        x, y, e = entry[3:]
+        if entry[0] >= 0:
             break
-        _, x, y = best
-        for z, e in links.pop(y).items():
-            del links[z][y]
-            if z != x:
-                links[x][z] = links[z][x] = links[x].get(z, 0.0) + e
+        if links.get(x, {}).get(y) != e:
+            continue  # merged away, or more edges since: that has an entry of its own
+        if (now := merge(x, y)) != entry:
+            heapq.heappush(heap, now)
+            continue
+        if len(links[x]) < len(links[y]):
+            x, y = y, x
+        near = links.pop(y)
         weight[x] += weight.pop(y)
+        least[x] = min(least[x], least.pop(y))
         members[x] += members.pop(y)
-    out = [(m, k) for k, (_, group) in enumerate(sorted((min(g), g) for g in members.values()), 1) for m in group]
+        for z, e in near.items():
+            del links[z][y]
+            if z != x:
+                links[x][z] = links[z][x] = links[x].get(z, 0) + e
+                heapq.heappush(heap, merge(x, z))
+    out = [(names[m], k) for k, (_, group) in enumerate(sorted((min(g), g) for g in members.values()), 1) for m in group]
     return spark.createDataFrame(out, "account_id string, community_id int")
 
 
