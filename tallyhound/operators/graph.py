@@ -329,12 +329,12 @@ def merged(accounts: DataFrame, frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def graph_features(accounts: DataFrame, transactions: DataFrame, alerts: DataFrame, exact_betweenness: bool = False) -> DataFrame:
-    """All account graph features."""
+def graph_features(accounts: DataFrame, transactions: DataFrame, alerts: DataFrame, exact_betweenness: bool = True, most_sources: int | None = None) -> DataFrame:
+    """All account graph features. Betweenness is exact; for large graphs ``most_sources`` bounds its sources."""
     every = edges(accounts, transactions, alerts)
     flow = flow_edges(transactions)
     simple = flow.filter("dst_label = 'Account'").select("src", "dst").distinct()
     frames = [degrees(simple, accounts), zero_filled(accounts, pagerank(simple)), communities(simple, accounts), clustering(simple, accounts), cycle_counts(simple, accounts), flow_features(flow, accounts), alert_proximity(every, alerts, accounts)]
     if exact_betweenness:
-        frames.append(zero_filled(accounts, betweenness(simple)))
+        frames.append(zero_filled(accounts, betweenness(simple, most_sources)))
     return merged(accounts, frames)

@@ -5,7 +5,7 @@ from itertools import combinations
 
 import pytest
 
-from tallyhound.operators import graph
+from tallyhound.operators import graph, scoring
 from tallyhound.plans import ALL_QUERIES
 from tallyhound.sources import driver_tables as tables
 
@@ -112,3 +112,16 @@ def test_communities_over_every_transfer(spark, sf, pairs):
             left -= near[v]
         found.append(group)
     assert got == {x: (k, len(g)) for k, g in enumerate(sorted(found, key=min), 1) for x in g}
+
+
+def test_graph_features_have_betweenness(spark):
+    """A -> B -> C -> D, and Q alone."""
+    accounts = spark.createDataFrame([(x, f"K{x}", "C1") for x in "ABCDQ"], "account_id string, customer_id string, home_country string")
+    pairs = {("A", "B"), ("B", "C"), ("C", "D")}
+    rows = [(f"T{a}", a, b, None, 5.0, "C1", "C1") for a, b in pairs]
+    transactions = spark.createDataFrame(rows, "transaction_id string, sender_account_id string, receiver_account_id string, counterparty_id string, amount double, origin_country string, destination_country string")
+    alerts = spark.createDataFrame([("L", "A", "high", ["TA"])], "alert_id string, account_id string, severity string, evidence_ids array<string>")
+    features = graph.graph_features(accounts, transactions, alerts)
+    assert {r.account_id: r.betweenness_centrality for r in features.select("account_id", "betweenness_centrality").collect()} == pytest.approx(brute_betweenness(pairs) | {"Q": 0.0})
+    scores = {r.account_id: r.graph_risk_score for r in scoring.graph_component(accounts, features.select("account_id", "betweenness_centrality")).collect()}
+    assert scores["B"] == scores["C"] > scores["A"] == scores["D"] == scores["Q"]
