@@ -158,6 +158,7 @@ class ByteWindows:
             data = np.frombuffer(text.encode(), "uint8")
             last = len(data) - self.length
             texts.append(data)
+            done = -1  # the last window of the chunks before; the next one's may start up to ``reach`` before it
             for a in range(0, len(data), CHUNK):
                 p = positions[(positions >= a) & (positions < a + CHUNK)].astype("int64")
                 if not len(p):
@@ -178,6 +179,8 @@ class ByteWindows:
                     np.add.at(marks, lo[common] - base, 1)
                     np.add.at(marks, hi[common] - base + 1, -1)
                     at = np.flatnonzero(np.cumsum(marks) > 0)
+                    at = at[at + base > done]
+                    done = max(done, int(hi[common].max()))
                     for column, x in zip(windows, (one.hashes(s1, at, at + self.length), two.hashes(s2, at, at + self.length) >> np.uint64(32), np.full(len(at), key), at + base, np.zeros(len(at))), strict=True):
                         column.append(x.astype(column[0].dtype))
         h, b1, b2, d, p, lo, hi, doc = (np.concatenate(x) for x in blocks)
