@@ -268,13 +268,12 @@ def betweenness(simple: DataFrame, most_sources: int | None = None) -> DataFrame
 
 
 def greedy_modularity(simple: DataFrame, most_edges: int = 200_000) -> DataFrame:
-    """account_id, community_id by greedy agglomeration; for small graphs, beyond which components are used."""
+    """account_id, community_id by greedy agglomeration, on the driver; more than ``most_edges`` edges are an error."""
     und = simple.filter(F.col("src") != F.col("dst")).select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
     rows = und.limit(most_edges + 1).collect()
     spark: SparkSession = simple.sparkSession
     if len(rows) > most_edges:
-        roots = component_roots(simple)
-        return roots.select(F.col("id").alias("account_id"), F.dense_rank().over(Window.orderBy("root")).alias("community_id"))
+        raise ValueError(f"greedy modularity is for graphs of at most {most_edges:,} edges; project a smaller one or raise most_edges")
     total = len(rows)
     names = sorted({x for r in rows for x in r})
     index = {x: i for i, x in enumerate(names)}

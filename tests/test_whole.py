@@ -125,3 +125,9 @@ def test_graph_features_have_betweenness(spark):
     assert {r.account_id: r.betweenness_centrality for r in features.select("account_id", "betweenness_centrality").collect()} == pytest.approx(brute_betweenness(pairs) | {"Q": 0.0})
     scores = {r.account_id: r.graph_risk_score for r in scoring.graph_component(accounts, features.select("account_id", "betweenness_centrality")).collect()}
     assert scores["B"] == scores["C"] > scores["A"] == scores["D"] == scores["Q"]
+
+
+def test_modularity_is_never_another_method(spark):
+    few = spark.createDataFrame([("A", "B"), ("B", "C"), ("C", "D")], "src string, dst string")
+    with pytest.raises(ValueError, match="at most 2 edges"):
+        graph.greedy_modularity(few, most_edges=2)
