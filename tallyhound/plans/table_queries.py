@@ -362,7 +362,7 @@ def _(spark, d):
 @query("model_isolation_forest")
 def _(spark, d):
     c = tables.table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("account_id"), "c_acctbal", F.col("c_nationkey").cast("double").alias("c_nationkey"))
-    return models.isolation_forest(c, ("c_acctbal", "c_nationkey"), trees=50)
+    return models.isolation_forest(c, ("c_acctbal", "c_nationkey"))
 
 
 @query("model_supervised_scores")

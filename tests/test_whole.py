@@ -1,11 +1,12 @@
 """Graph queries over every transfer, against brute force."""
 
+import inspect
 from collections import defaultdict
 from itertools import combinations
 
 import pytest
 
-from tallyhound.operators import graph, scoring
+from tallyhound.operators import graph, models, scoring
 from tallyhound.plans import ALL_QUERIES
 from tallyhound.sources import driver_tables as tables
 
@@ -131,3 +132,16 @@ def test_modularity_is_never_another_method(spark):
     few = spark.createDataFrame([("A", "B"), ("B", "C"), ("C", "D")], "src string, dst string")
     with pytest.raises(ValueError, match="at most 2 edges"):
         graph.greedy_modularity(few, most_edges=2)
+
+
+def test_isolation_forest_query_has_all_trees(spark, sf, monkeypatch):
+    real, seen = models.isolation_forest, []
+
+    def spy(*args, **kwargs):
+        bound = inspect.signature(real).bind(*args, **kwargs)
+        bound.apply_defaults()
+        seen.append(bound.arguments["trees"])
+        return real(*args, **kwargs)
+
+    monkeypatch.setattr(models, "isolation_forest", spy)
+    assert ALL_QUERIES["model_isolation_forest"](spark, sf).count() > 0 and seen == [200]
