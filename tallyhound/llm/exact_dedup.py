@@ -7,12 +7,13 @@
    texts are group keys, so a digest collision never merges two texts.
 4. Global combine: only hot digests have several salt winners; they merge by (digest, full text). The
    others pass through without their text.
-5. Rows find their class by digest alone (AQE splits skewed digests). Where a digest is shared by
-   different texts, and only there, the join also compares the texts.
+5. Rows find their class by digest; classes of hot digests are broadcast (at most 1024 digests), so no task gets
+   all their rows. Where a digest is shared by different texts, and only there, the join also compares the texts.
 
 Text crosses the network once. Cases: a null text counts as empty; a null id never wins against a
 number, and a group whose ids are all null has a null ``keep_id`` and its rows count as kept; rows that
-repeat both id and text carry the same flags; extra columns are ignored; an empty table gives no rows.
+repeat both id and text carry the same flags (``exact_dedup`` decides on rows: it keeps one row of each text, of
+those that share the smallest id the first read); extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyhound.llm.staging import stage
+from tallyhound.llm.staging import numbered, stage, with_class
 
 HOT_DIGESTS = 1024
 
@@ -42,35 +43,45 @@ def exact_classes(
     digest: Callable[[Column], Column] = sha256_hex,
     salts: int = 64,
     hot_least: int = 1000,
+    row_col: str | None = None,
 ) -> DataFrame:
-    """One row per input row: id, keep_id, group_size, kept, digest."""
-    keyed = docs.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("t")).withColumn("digest", digest(F.col("t")))
-    keys = stage(keyed.select("id", "digest"), "exact-keys")
-
-    rows = keys.count()
-    hot = keys.groupBy("digest").count().filter(F.col("count") > max(hot_least, rows // HOT_DIGESTS)).select("digest", F.lit(True).alias("hot"))
+    """One row per input row: id, keep_id, group_size, kept, digest. With ``row_col``, a number of each row, also row,
+    and kept for one row of each text."""
+    row = F.col(row_col).cast("long") if row_col else F.lit(None).cast("long")
+    keyed = docs.select(F.col(id_col).alias("id"), row.alias("row"), normalised(F.col(text_col)).alias("t")).withColumn("digest", digest(F.col("t")))
+    keys = stage(keyed.select("id", "row", "digest"), "exact-keys")
+
+    least = max(hot_least, keys.count() // HOT_DIGESTS)
+    hot = keys.groupBy("digest").count().filter(F.col("count") > least).select("digest", F.lit(True).alias("hot"))
     local = keyed.join(F.broadcast(hot), "digest", "left").withColumn("salt", F.when(F.col("hot"), F.spark_partition_id() % salts).otherwise(0))
-    winners = local.groupBy("digest", "salt", "hot", "t").agg(F.min("id").alias("win"), F.count("*").alias("n"))
-    # a winner of a digest with one salt is alone with its text: it passes on as (solo, solo_id), textless
-    winners = winners.select("digest", "win", "n", F.when(F.col("hot"), F.col("t")).alias("t"), F.when(F.col("hot").isNull(), F.xxhash64("t")).alias("solo"), F.when(F.col("hot").isNull(), F.coalesce("win", F.lit(-1))).alias("solo_id"))
-    merged = winners.groupBy("digest", "t", "solo", "solo_id").agg(F.min("win").alias("keep_id"), F.sum("n").alias("group_size"))
-    classes = stage(merged.select("digest", "keep_id", "group_size"), "exact-classes")
-
-    shared = classes.groupBy("digest").count().filter("count > 1").select("digest")
+    # the smallest of these comes first: numbers before nulls, then the row
+    mine = F.struct(F.col("id").isNull().alias("none"), "id", "row")
+    winners = local.groupBy("digest", "salt", "hot", "t").agg(F.min(mine).alias("win"), F.count("*").alias("n"))
+    # a winner of a digest with one salt is alone with its text: it passes on as (solo, solo_win), textless
+    winners = winners.select("digest", "win", "n", F.when(F.col("hot"), F.col("t")).alias("t"), F.when(F.col("hot").isNull(), F.xxhash64("t")).alias("solo"), F.when(F.col("hot").isNull(), F.col("win")).alias("solo_win"))
+    merged = winners.groupBy("digest", "t", "solo", "solo_win").agg(F.min("win").alias("win"), F.sum("n").alias("group_size"))
+    classes = stage(merged.select("digest", F.col("win.id").alias("keep_id"), F.col("win.row").alias("keep_row"), "group_size"), "exact-classes")
+
+    of_digest = classes.groupBy("digest").agg(F.count("*").alias("texts"))
+    shared = of_digest.filter("texts > 1").select("digest")
     if shared.isEmpty():
-        found = keys.join(classes, "digest")
+        found = with_class(keys, classes, "digest", "group_size", least)
     else:
         # different texts under one digest: their rows also compare the text of the class's first row
         shared = stage(shared, "exact-collisions")
         alike = classes.join(shared, "digest", "left_semi")
         theirs = keyed.join(shared, "digest", "left_semi")
-        first = theirs.select("digest", F.col("id").alias("keep_id"), "t").distinct()
-        named = alike.join(first, alike.keep_id.eqNullSafe(first.keep_id) & (alike.digest == first.digest)).select(alike.digest, "t", alike.keep_id, "group_size")
-        found = keys.join(classes.join(shared, "digest", "left_anti"), "digest").select("id", "digest", "keep_id", "group_size").unionByName(theirs.join(named, ["digest", "t"]).select("id", "digest", "keep_id", "group_size"))
-    return found.select("id", "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest")
+        first = theirs.select("digest", F.col("id").alias("keep_id"), F.col("row").alias("keep_row"), "t").distinct()
+        same = alike.keep_id.eqNullSafe(first.keep_id) & alike.keep_row.eqNullSafe(first.keep_row) & (alike.digest == first.digest)
+        named = alike.join(first, same).select(alike.digest, "t", alike.keep_id, alike.keep_row, "group_size")
+        columns = ["id", "row", "digest", "keep_id", "keep_row", "group_size"]
+        found = keys.join(classes.join(shared, "digest", "left_anti"), "digest").select(columns).unionByName(theirs.join(named, ["digest", "t"]).select(columns))
+    kept = F.col("row") == F.col("keep_row") if row_col else F.col("id").eqNullSafe(F.col("keep_id"))
+    return found.select("id", "keep_id", "group_size", kept.alias("kept"), "digest", *(["row"] if row_col else []))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, all their columns untouched."""
-    keep = exact_classes(docs, id_col, text_col).filter("kept").select(F.col("id").alias("__kept_id"))
-    return docs.join(keep, docs[id_col].eqNullSafe(keep["__kept_id"]), "left_semi")
+    """The rows of ``docs`` that stay, one of each text, all their columns untouched."""
+    rows = numbered(docs, "exact-rows")
+    keep = exact_classes(rows, id_col, text_col, row_col="__row").filter("kept").select(F.col("row").alias("__row"))
+    return rows.join(keep, "__row", "left_semi").select(docs.columns)

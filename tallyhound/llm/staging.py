@@ -36,10 +36,24 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     _STAGED.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.option("compression", "zstd").parquet(path)
-    spark._jvm.System.gc()  # shuffle files that the written table no longer needs go with their plan
+    # Spark removes shuffle files once their plan is collected, else only at spark.cleaner.periodicGC.interval
+    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, name: str, row: str = "__row") -> DataFrame:
+    """``df``, written with a number for each row: the identity of rows whose ids may be null or repeat."""
+    return stage(df.withColumn(row, F.monotonically_increasing_id()), name)
+
+
+def with_class(rows: DataFrame, classes: DataFrame, key: str, size: str, least: int) -> DataFrame:
+    """rows joined with their classes. Those of more than ``least`` members (rows / least of them at most, so the
+    caller bounds the list) are broadcast, so that no task gets all rows of a hot class."""
+    hot, rest = classes.filter(F.col(size) > least), classes.filter(F.col(size) <= least)
+    often = rows.join(F.broadcast(hot), key)
+    return often.unionByName(rows.join(F.broadcast(hot.select(key).distinct()), key, "left_anti").join(rest, key))
+
+
 def trim() -> None:
     """Gives memory that a Python worker no longer uses back to the system; other tasks may need it."""
     import ctypes
