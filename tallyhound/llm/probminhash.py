@@ -15,11 +15,12 @@ Links, without making a group's pairs:
 3. What is open falls into components. A component of at most ``most_docs`` documents and ``most_bytes`` of
    text is linked exactly in one task; in larger ones every unlinked member is a pivot once, ``pivots`` a
    bucket at a time.
-Classes are the connected components of the links.
+Classes are the connected components of the links. A pivot's members are dealt in slices of about ``SLICE``, and its
+text travels once a slice.
 
-Cases: a null text is empty, texts without words are one class; a text below ``shingle`` words is one
-shingle; a null id stands for one document a text, whose key is negative; rows that repeat an
-id are one document; an empty table gives no rows; extra columns are ignored.
+Cases: a null text is empty, texts without words are one class; a text below ``shingle`` words is one shingle; every
+row is a document of its own, known by a number it gets when read, so ids may be null or repeat: a class is named by its
+smallest id, one without any id by a negative number; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,11 +33,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyhound.llm.components import components
-from tallyhound.llm.repeats import key_of
-from tallyhound.llm.staging import stage, trim
+from tallyhound.llm.staging import numbered, stage, trim, with_class
 from tallyhound.llm.substring_dedup import BASES, WordWindows
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 24, 5
+SLICE, HOT_CLASSES = 256, 1024
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -129,24 +130,26 @@ def signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
 
 
 def distances(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """key, p, d of the distinct pairs."""
+    """key, p, d of the distinct pairs; m: about how many members p has."""
     t = texts.select("key", "text")
-    met = pairs.select("key", "p").distinct().join(t.withColumnRenamed("text", "tp").withColumnRenamed("key", "p"), "p").join(t, "key")
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [batch.column(k).to_pylist() for k in (2, 3)]
-            d = []
-            for at in range(0, batch.num_rows, 256):
-                known: dict[str, tuple] = {}
-                fresh = list(dict.fromkeys(t for x in texts for t in x[at : at + 256]))
-                doc, h, w = weighted_shingles(fresh)
-                ends = np.searchsorted(doc, np.arange(len(fresh) + 1))
-                known = {t: (h[i:j], w[i:j]) for t, i, j in zip(fresh, ends, ends[1:], strict=False)}
-                d += [1 - probability_jaccard(known[x], known[y]) for x, y in zip(texts[0][at : at + 256], texts[1][at : at + 256], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(d, pa.float64())], names=["key", "p", "d"])
-
-    return met.select("key", "p", "text", "tp").mapInArrow(measure, "key long, p long, d double")
+    dealt = pairs.groupBy("key", "p").agg(F.max("m").alias("m"))
+    dealt = dealt.withColumn("s", F.pmod(F.xxhash64("key"), F.ceil(F.col("m") / SLICE)))
+    members = dealt.join(t, "key").select("p", "s", "key", "text")
+    pivots = dealt.select(F.col("p").alias("pivot"), F.col("s").alias("slice")).distinct().join(t.select(F.col("key").alias("pivot"), F.col("text").alias("pivot_text")), "pivot")
+
+    def measure(left: pa.Table, right: pa.Table) -> pa.Table:
+        """left: a pivot's text, right: a slice of its members."""
+        pivot, d = weighted_shingles(left.column("pivot_text").to_pylist()[:1])[1:], []
+        texts = right.column("text").to_pylist()
+        for at in range(0, len(texts), SLICE):
+            some = texts[at : at + SLICE]
+            doc, h, w = weighted_shingles(some)
+            ends = np.searchsorted(doc, np.arange(len(some) + 1))
+            d += [1 - probability_jaccard(pivot, (h[i:j], w[i:j])) for i, j in zip(ends, ends[1:], strict=False)]
+        trim()
+        return pa.table({"key": right.column("key"), "p": right.column("p"), "d": pa.array(d, pa.float64())})
+
+    return pivots.groupBy("pivot", "slice").cogroup(members.groupBy("p", "s")).applyInArrow(measure, "key long, p long, d double")
 
 
 def linked_exactly(texts: list[str], least: float, groups: list | None = None) -> list[tuple[int, int]]:
@@ -203,16 +206,16 @@ def near_links(reps: DataFrame, docs: DataFrame, similarity: float, pivots: int,
     """a, b: links that join what is linked. reps: key, bands of one row each; docs: key, text."""
     reach = 1 - similarity + 1e-9
     entries = reps.select("key", F.explode("bands").alias("bucket"))
-    shared = entries.groupBy("bucket").agg(F.min("key").alias("p"), F.count("*").alias("m")).filter("m > 1").select("bucket", "p")
-    members = stage(entries.join(shared, "bucket").select("bucket", "key", "p"), "buckets")
-    texts = stage(docs.join(members.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]).select("key", "text"), "candidates")
+    shared = entries.groupBy("bucket").agg(F.min("key").alias("p"), F.count("*").alias("m")).filter("m > 1")
+    members = stage(entries.join(shared, "bucket").select("bucket", "key", "p", "m"), "buckets")
+    texts = stage(docs.join(members.select("key").distinct(), "key", "left_semi").select("key", "text"), "candidates")
 
     pairs = members.filter("key <> p")
     d = stage(distances(pairs, texts), "distances")
     links = d.filter(F.col("d") <= reach).select(F.col("key").alias("a"), F.col("p").alias("b"))
 
     # open: who is beyond the pivot's reach, and who may be within reach of one of those (triangle inequality)
-    compared = stage(pairs.join(d, ["key", "p"]), "compared")
+    compared = stage(pairs.drop("m").join(d, ["key", "p"]), "compared")
     far = compared.filter(F.col("d") > reach).groupBy("bucket").agg(F.min("d").alias("least"), F.min("key").alias("head"))
     left = compared.join(far, "bucket").filter((F.col("d") > reach) | (F.col("d") >= F.col("least") - reach))
     left = stage(left.select("bucket", "key", "head", (F.col("d") > reach).alias("unlinked"), F.when(F.col("d") <= reach, F.col("p")).alias("pivot")), "open")
@@ -230,32 +233,38 @@ def near_links(reps: DataFrame, docs: DataFrame, similarity: float, pivots: int,
     if not large.isEmpty():
         # every unlinked member is once a pivot to all that is open in its bucket; so many a bucket at a time
         hard = stage(rooted.join(large, "root").select("bucket", "key", "unlinked"), "hard")
-        turns = hard.filter("unlinked").groupBy("bucket").agg(F.ceil(F.count("*") / pivots).alias("turns"))
-        turns = stage(hard.filter("unlinked").join(turns, "bucket").select("bucket", F.col("key").alias("p"), F.pmod(F.xxhash64("key"), F.col("turns")).alias("turn")), "turns")
+        turns = hard.groupBy("bucket").agg(F.ceil(F.count_if("unlinked") / pivots).alias("turns"), F.count("*").alias("m"))
+        turns = stage(hard.filter("unlinked").join(turns, "bucket").select("bucket", F.col("key").alias("p"), "m", F.pmod(F.xxhash64("key"), F.col("turns")).alias("turn")), "turns")
         for turn in range(turns.agg(F.max("turn")).first()[0] + 1):
-            now = hard.join(turns.filter(F.col("turn") == turn), "bucket").filter("key <> p").select("key", "p")
+            now = hard.join(turns.filter(F.col("turn") == turn), "bucket").filter("key <> p").select("key", "p", "m")
             d = stage(distances(now, texts).filter(F.col("d") <= reach).select(F.col("key").alias("a"), F.col("p").alias("b")), "hard-links")
             links = links.unionByName(d)
     return links
 
 
-def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, pivots: int = 32, most_docs: int = 5000, most_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """key, doc_id, class_id (the smallest key of the class), class_size, kept (whether it is the row's)."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    docs = docs.select(key_of(F.col(id_col), text).alias("key"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
+def near_classes(
+    docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, pivots: int = 32, most_docs: int = 5000, most_bytes: int = 32 << 20,
+    id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None,
+) -> DataFrame:
+    """key (a number of the row), doc_id, class_id (the smallest doc_id of the class), class_size, kept (one row of each class)."""
+    named = [F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")]
+    docs = docs.select(F.col(row_col).alias("key"), *named) if row_col else numbered(docs.select(named), "near-rows", "key")
     prints = stage(signed(docs, bands, rows), "signatures")
-    same = prints.groupBy("f1", "f2").agg(F.min("key").alias("rep"))
-    prints = stage(prints.join(same, ["f1", "f2"]).select("key", "doc_id", "rep", "bands"), "representatives")
-    links = prints.filter("key <> rep").select(F.col("key").alias("a"), F.col("rep").alias("b")).distinct()
-    links = links.unionByName(near_links(prints.filter("key = rep").dropDuplicates(["key"]), docs, similarity, pivots, most_docs, most_bytes))
-    roots = components(links, "a", "b").withColumnRenamed("node", "key")
-    classed = prints.select("key", "doc_id").join(roots, "key", "left").withColumn("class_id", F.coalesce("root", "key")).drop("root")
-    classed = stage(classed, "classes")
-    sizes = classed.groupBy("class_id").agg(F.count("*").alias("class_size"))
-    return classed.join(sizes, "class_id").select("key", "doc_id", "class_id", "class_size", (F.col("key") == F.col("class_id")).alias("kept"))
+    same = prints.groupBy("f1", "f2").agg(F.min("key").alias("rep"), F.count("*").alias("n"))
+    least = max(1000, prints.count() // HOT_CLASSES)
+    prints = stage(with_class(prints.withColumn("f", F.struct("f1", "f2")), stage(same.select(F.struct("f1", "f2").alias("f"), "rep", "n"), "equal-prints"), "f", "n", least).select("key", "doc_id", "rep", "bands"), "representatives")
+    links = near_links(prints.filter("key = rep"), docs, similarity, pivots, most_docs, most_bytes)
+    # only representatives have links; a row's class is its representative's
+    roots = stage(components(links, "a", "b").withColumnRenamed("node", "rep"), "roots")
+    classed = stage(prints.select("key", "doc_id", "rep").join(roots, "rep", "left").select("key", "doc_id", F.coalesce("root", "rep").alias("root")), "classes")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
+    sizes = stage(classed.groupBy("root").agg(first.alias("first"), F.count("*").alias("class_size")), "class-sizes")
+    found = with_class(classed, sizes, "root", "class_size", least)
+    return found.select("key", "doc_id", F.coalesce("first.doc_id", -1 - F.col("first.key")).alias("class_id"), "class_size", (F.col("key") == F.col("first.key")).alias("kept"))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that stay, one of each class, all their columns untouched."""
-    keep = near_classes(docs, id_col=id_col, text_col=text_col, **options).filter("kept").select(F.col("key").alias("__kept_key"))
-    return docs.join(keep, key_of(docs[id_col], F.coalesce(docs[text_col], F.lit(""))) == keep["__kept_key"], "left_semi")
+    rows = numbered(docs, "near-rows")
+    keep = near_classes(rows, id_col=id_col, text_col=text_col, row_col="__row", **options).filter("kept").select(F.col("key").alias("__row"))
+    return rows.join(keep, "__row", "left_semi").select(docs.columns)
