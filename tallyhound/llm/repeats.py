@@ -1,20 +1,19 @@
 """The frame shared by the two operators that remove repeated passages.
 
-1. Anchors: each text gives (hash, key, position) anchors such that two equal passages share an aligned
-   one. A task first combines its own: an anchor seen twice there is known to repeat, and one of its
-   occurrences stands for it. The rest is dealt by hash to buckets, as packed arrays.
-2. A bucket finds the anchors that occur twice or more; their positions go back to their documents.
-3. Documents with such positions are expanded to what must be compared exactly (blocks or windows), again
-   combined where they are and dealt by hash; documents without are finished.
-4. A bucket resolves the ranges to remove; 5. documents are cut.
-
-A bucket holds about ``bucket_bytes`` of text, whatever the input's size. No pairs are made and no group is
-gathered whole: what repeats is combined before it moves. An anchor with more occurrences than
-max(20,000, all / 1,000,000) is *hot*; there are at most 1,000,000 of those (8 MB, broadcast), and they
-take the matcher's window form, in which equal content always combines.
-
-A row's key is its id; a null id is replaced by a negative hash of the text. Rows that repeat a key are
-one document.
+1. Rows are bound into bundles of about ``BUNDLE_BYTES`` of text, written once; a row's identity is its bundle and
+   its place there, so null, repeated or clashing ids are documents of their own. A bundle gives (hash, place,
+   position) anchors such that two equal passages share an aligned one. It first combines its own: an anchor seen
+   twice there is known to repeat, and one of its occurrences stands for it. These are dealt by hash to buckets.
+2. A bucket finds the anchors that occur twice or more; their positions go back to their bundles.
+3. Bundles expand their documents around such positions to what must be compared exactly, again combined where
+   they are and dealt by hash.
+4. A bucket resolves the ranges to remove; 5. bundles cut their documents.
+
+A bundle is a bounded piece of input and a bucket about ``BUCKET_BYTES`` of it, whatever the input's size; no key of
+the data is a group. No pairs are made, and what repeats is combined before it moves. An anchor with more than
+``HOT_LEAST`` occurrences is *hot*: the ``HOT_MOST`` most frequent of those (8 MB, broadcast) are expanded to single
+strings instead of surroundings. Step 2 finds those that repeat; the regions around hot anchors, cut out in step 3,
+give their bytes. All others, and hot ones beyond that number, take the common way.
 """
 
 from __future__ import annotations
@@ -25,36 +24,32 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from tallyhound.llm.staging import stage, trim
+from tallyhound.llm.staging import discard, stage, trim
 
-BUCKET_BYTES = 8 << 20
+BUNDLE_BYTES = 4 << 20
+BUCKET_BYTES = 32 << 20
 HOT_LEAST, HOT_MOST = 20_000, 1_000_000
 CHUNK = 1 << 19
-EXPANDED = "kind int, key long, doc_id long, n long, sha string, text string, g int, payload binary"
-ARROW = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("sha", pa.string()), ("text", pa.string()), ("g", pa.int32()), ("payload", pa.binary())])
-FINISHED, CANDIDATE, PAYLOAD, RANGES = range(4)
+NO_HASHES = np.zeros(0, "uint64")
+BUNDLES = pa.schema([("bundle", pa.int64()), ("payload", pa.binary())])
+BOUND = pa.schema([("kind", pa.int32()), ("bundle", pa.int64()), ("g", pa.int32()), ("payload", pa.binary())])
+PLACES = pa.schema([("bundle", pa.int64()), ("payload", pa.binary()), ("h", pa.int64()), ("n", pa.int64())])
+ANCHORS, KNOWN, STRINGS, STRINGS_KNOWN, REGIONS = range(5)
 
 
-def table_of(schema: pa.Schema, rows: int, **columns) -> pa.Table:
-    """The columns named, nulls for all others."""
-    return pa.table([columns[f.name] if f.name in columns else pa.nulls(rows, f.type) for f in schema], schema=schema)
-
-
-def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """pmod(xxhash64(key), buckets), as Spark has it."""
-    p1, p2, p3, p4, p5 = map(np.uint64, (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+def ddl(schema: pa.Schema) -> str:
+    return ", ".join(f"{f.name} { {'int32': 'int', 'int64': 'long', 'binary': 'binary'}[str(f.type)]}" for f in schema)
 
-    def turned(x: np.ndarray, by: int) -> np.ndarray:
-        return (x << np.uint64(by)) | (x >> np.uint64(64 - by))
 
-    h = turned(np.ascontiguousarray(keys, "int64").view("uint64") * p2, 31) * p1 ^ np.uint64((42 + int(p5) + 8) & (1 << 64) - 1)
-    h = turned(h, 27) * p1 + p4
-    h = (h ^ (h >> np.uint64(33))) * p2
-    h = (h ^ (h >> np.uint64(29))) * p3
-    return (h ^ (h >> np.uint64(32))).view("int64") % buckets
+def table_of(schema: pa.Schema, rows: int, **columns) -> pa.RecordBatch:
+    """The columns named, nulls for all others."""
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(rows, f.type) for f in schema], schema=schema)
 
 
 def by_key(keys: np.ndarray, *values: np.ndarray) -> dict[int, tuple]:
@@ -63,24 +58,10 @@ def by_key(keys: np.ndarray, *values: np.ndarray) -> dict[int, tuple]:
         return {}
     order = np.argsort(keys, kind="stable")
     keys, values = keys[order], [v[order] for v in values]
-    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
+    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     return {k: tuple(v[i:j] for v in values) for k, i, j in zip(keys[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(keys)], strict=True)}
 
 
-def packed(h: np.ndarray, buckets: int, *columns: np.ndarray, to: np.ndarray | None = None) -> list[tuple[int, bytes]]:
-    """(bucket, bytes) for each bucket that gets entries: a count, the hashes, and the other columns compressed.
-    Entries go by their hash, or ``to`` the buckets given."""
-    g = (h % np.uint64(buckets)).astype("int64") if to is None else to
-    order = np.argsort(g, kind="stable")
-    ends = np.searchsorted(g[order], np.arange(buckets + 1)) if len(g) > buckets else None
-    if ends is None:
-        present = np.unique(g)
-        cuts = [(int(b), order[g[order] == b]) for b in present]
-    else:
-        cuts = [(b, order[ends[b] : ends[b + 1]]) for b in range(buckets) if ends[b] < ends[b + 1]]
-    return [(b, np.int64(len(i)).tobytes() + h[i].tobytes() + zlib.compress(b"".join(planes(c[i]) for c in columns), 1)) for b, i in cuts]
-
-
 def planes(column: np.ndarray) -> bytes:
     """A column's first bytes, then its second bytes and so on, which compress well; rows of bytes as they are."""
     if column.ndim > 1:
@@ -88,19 +69,33 @@ def planes(column: np.ndarray) -> bytes:
     return np.ascontiguousarray(column.view("uint8").reshape(-1, column.itemsize).T).tobytes()
 
 
+def packed(to: np.ndarray, *columns: np.ndarray, bundle: int = 0) -> list[tuple[int, bytes]]:
+    """(target, bytes) for each target that gets entries: their count and bundle, the first column plain, the others
+    compressed."""
+    order = np.argsort(to, kind="stable")
+    keys, starts = np.unique(to[order], return_index=True)
+    out = []
+    for key, a, b in zip(keys.tolist(), starts.tolist(), [*starts[1:].tolist(), len(to)], strict=False):
+        i = order[a:b]
+        rest = b"".join(planes(c[i]) for c in columns[1:])
+        out.append((key, np.array([b - a, bundle], "<i8").tobytes() + columns[0][i].tobytes() + zlib.compress(rest, 1)))
+    return out
+
+
 def unpacked(payloads: list[bytes], *dtypes: str) -> list[np.ndarray]:
-    """The columns of all payloads, the hash first. A dtype may be an array of bytes as ``(u1, width)``."""
-    columns: list[list[np.ndarray]] = [[] for _ in dtypes]
+    """The bundle of each entry, then the columns. A dtype may be an array of bytes as ``(u1, width)``."""
+    types = [np.dtype(d) for d in dtypes]
+    columns: list[list[np.ndarray]] = [[np.zeros(0, "int64")], *([np.zeros((0, *d.shape), d.base)] for d in types)]
     for b in payloads:
-        n = int(np.frombuffer(b, "<i8", 1)[0])
-        first = np.dtype(dtypes[0])
-        columns[0].append(np.frombuffer(b, first, n, 8))
-        rest, at = zlib.decompress(b[8 + n * first.itemsize :]), 0
-        for column, dtype in zip(columns[1:], map(np.dtype, dtypes[1:]), strict=True):
+        n, bundle = np.frombuffer(b, "<i8", 2).tolist()
+        columns[0].append(np.full(n, bundle))
+        columns[1].append(np.frombuffer(b, types[0], n, 16))
+        rest, at = zlib.decompress(b[16 + n * types[0].itemsize :]), 0
+        for column, dtype in zip(columns[2:], types[1:], strict=True):
             raw = np.frombuffer(rest, "uint8", n * dtype.itemsize, at)
             at += n * dtype.itemsize
             column.append(raw.reshape(n, -1) if dtype.subdtype else np.ascontiguousarray(raw.reshape(dtype.itemsize, n).T).view(dtype).ravel())
-    return [np.concatenate(c) if c else np.zeros((0, *np.dtype(d).shape), np.dtype(d).base) for c, d in zip(columns, dtypes, strict=True)]
+    return [np.concatenate(c) for c in columns]
 
 
 def groups_of(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -114,152 +109,215 @@ def of_group(starts: np.ndarray, values: np.ndarray, rows: int) -> np.ndarray:
     return np.repeat(values, np.diff(np.r_[starts, rows]))
 
 
-def repeated_anchors(docs: DataFrame, matcher, buckets: int) -> DataFrame:
-    """b, payload: packed (key, pos) of the anchors that repeat, by their documents' bucket; and h, n: hashes
-    and counts of candidates for hot ones."""
+def sealed(rows: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as out:
+        out.write_table(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def opened(payload: bytes) -> pa.Table:
+    return pa.ipc.open_stream(pa.py_buffer(payload)).read_all().combine_chunks()
+
+
+def texts_of(rows: pa.Table) -> pa.Array:
+    """A bundle's texts, null as empty."""
+    column = rows.column("text")
+    return (column.chunk(0) if column.num_chunks else pa.array([], pa.string())).fill_null("")
+
+
+def combined(bundle: int, found: tuple, buckets: int) -> tuple[list[tuple[int, bytes]], list[tuple[int, bytes]]]:
+    """A bundle's anchors (hash, place, position): one of each hash for the buckets, and those known to repeat."""
+    h, d, p = found
+    order, starts = groups_of(h)
+    counts = np.diff(np.r_[starts, len(h)])
+    first = order[starts]
+    again = order[of_group(starts, counts > 1, len(h))]
+    known = packed(np.zeros(len(again), "int64"), d[again], p[again], bundle=bundle)
+    return packed((h[first] % np.uint64(buckets)).astype("int64"), h[first], d[first], p[first], counts.astype("int32"), bundle=bundle), known
+
+
+def bound_rows(bundle: int, dealt: list[tuple[int, list[tuple[int, bytes]]]]) -> pa.RecordBatch:
+    """Rows of a bundle from (kind, [(bucket, payload)])."""
+    kinds = [kind for kind, some in dealt for _ in some]
+    return table_of(BOUND, len(kinds), kind=kinds, bundle=[bundle] * len(kinds), g=[g for _, some in dealt for g, _ in some], payload=[b for _, some in dealt for _, b in some])
+
+
+def bound(rows: DataFrame) -> DataFrame:
+    """Bundles of rows (id, text and what else they hold)."""
+
+    def bind(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        held: list[pa.RecordBatch] = []
+        size = 0
+
+        def close() -> Iterator[pa.RecordBatch]:
+            nonlocal held, size, number
+            if held:
+                payload = sealed(pa.Table.from_batches(held).combine_chunks())
+                held, size = [], 0
+                yield table_of(BUNDLES, 1, bundle=[number], payload=[payload])
+                number += 1
+                trim()
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn = 0
         for batch in batches:
-            parts, size, seen = [], 0, set()
-            rows = zip(batch.column(0).to_pylist(), batch.column(1), strict=True)
-            found = []
-            for key, text in rows:
-                if key in seen:
+            lengths = pc.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False)
+            ends, at = np.cumsum(lengths), 0
+            while at < batch.num_rows:
+                to = max(at + 1, int(np.searchsorted(ends, BUNDLE_BYTES - size + (ends[at - 1] if at else 0), "right")))
+                part = int(ends[to - 1] - (ends[at - 1] if at else 0))
+                if held and size + part > BUNDLE_BYTES:
+                    yield from close()
                     continue
-                seen.add(key)
-                parts.append((key, text.as_py() or ""))
-                size += len(parts[-1][1])
-                if size >= matcher.chunk:
-                    found.append(matcher.anchors(parts))
-                    parts, size = [], 0
-            found.append(matcher.anchors(parts))
-            h, d, p = (np.concatenate(c) for c in zip(*found, strict=True))
-            order, starts = groups_of(h)
-            counts = np.diff(np.r_[starts, len(h)])
-            first = order[starts]
-            again = order[of_group(starts, counts > 1, len(h))]
-            out = [(g, b, None) for g, b in packed(h[first], buckets, d[first], p[first], counts.astype("int32"))]
-            if len(again):
-                turn += 1
-                trim()
-                out.append(((hash((int(d[0]), turn)) % buckets), None, packed(d[again], 1, p[again], to=np.zeros(len(again), "int64"))[0][1]))
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in ((0, pa.int32()), (1, pa.binary()), (2, pa.binary()))], names=["g", "payload", "known"])
+                held.append(batch.slice(at, to - at))
+                size, at = size + part, to
+        yield from close()
+
+    return rows.mapInArrow(bind, ddl(BUNDLES))
+
+
+def anchored(bundles: DataFrame, matcher, buckets: int) -> DataFrame:
+    """The bundles' anchors; those known to repeat are dealt anywhere."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bundle, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                some, known = combined(bundle, matcher.anchors(texts_of(opened(payload.as_py()))), buckets)
+                yield bound_rows(bundle, [(ANCHORS, some), (KNOWN, [(bundle % buckets, x) for _, x in known])])
+            trim()
 
-    result = pa.schema([("b", pa.int32()), ("payload", pa.binary()), ("h", pa.int64()), ("n", pa.int64())])
+    return bundles.mapInArrow(find, ddl(BOUND))
+
+
+def met(anchors: DataFrame, hot_least: int) -> DataFrame:
+    """bundle, payload: where anchors that occur again are; and h, n of those that may be hot."""
 
     def meet(group: pa.Table) -> pa.Table:
-        h, d, p, c = unpacked([x for x in group.column("payload").to_pylist() if x is not None], "<u8", "<i8", "<i4", "<i4")
+        of_kind = [group.filter(pc.equal(pc.is_in(group.column("kind"), pa.array([KNOWN, STRINGS_KNOWN], pa.int32())), known)) for known in (False, True)]
+        bundle, h, d, p, c = unpacked(of_kind[0].column("payload").to_pylist(), "<u8", "<i4", "<i4", "<i4")
         order, starts = groups_of(h)
-        if len(h):
-            d_, p_, c_ = d[order], p[order], c[order]
-            total = np.add.reduceat(c_.astype("int64"), starts)
-            many = (total > np.diff(np.r_[starts, len(h)])) | (np.minimum.reduceat(d_, starts) != np.maximum.reduceat(d_, starts)) | (np.minimum.reduceat(p_, starts) != np.maximum.reduceat(p_, starts))
-            here = of_group(starts, many, len(h)) & (c_ == 1)
-            hot = total > HOT_LEAST
-        else:
-            d_, p_, here, total, hot = d, p, np.zeros(0, bool), np.zeros(0, "int64"), np.zeros(0, bool)
-        kd, kp = unpacked([x for x in group.column("known").to_pylist() if x is not None], "<i8", "<i4")
-        keys, pos = np.concatenate([d_[here], kd]), np.concatenate([p_[here], kp])
-        back = packed(keys, buckets, pos, to=bucket_of(keys, buckets))
-        hots = h[order][starts][hot].view("int64") if len(h) else np.zeros(0, "int64")
-        return freed(pa.concat_tables([table_of(result, len(back), b=pa.array([x[0] for x in back], pa.int32()), payload=pa.array([x[1] for x in back], pa.binary())), table_of(result, len(hots), h=pa.array(hots), n=pa.array(total[hot].astype("int64")))]))
+        members, total = np.diff(np.r_[starts, len(h)]), np.add.reduceat(c[order].astype("int64"), starts) if len(h) else starts
+        here = order[of_group(starts, members > 1, len(h))]
+        here = here[c[here] == 1]
+        back, many = packed(bundle[here], d[here], p[here]), total > hot_least
+        hots = h[order[starts[many]]].view("int64")
+        known = of_kind[1].select(["bundle", "payload"])
+        out = [table_of(PLACES, len(back), bundle=[b for b, _ in back], payload=[x for _, x in back]), table_of(PLACES, len(hots), h=hots, n=total[many])]
+        out.append(table_of(PLACES, known.num_rows, bundle=known.column("bundle").to_pylist(), payload=known.column("payload").to_pylist()))
+        trim()
+        return pa.Table.from_batches(out)
 
-    sent = docs.select("key", "text").mapInArrow(find, "g int, payload binary, known binary")
-    return sent.groupBy("g").applyInArrow(meet, "b int, payload binary, h long, n long")
+    return anchors.groupBy("g").applyInArrow(meet, ddl(PLACES))
 
 
-def freed(table: pa.Table) -> pa.Table:
-    """Gives unused memory back before a task's result is sent."""
-    trim()
-    return table
+def range_payload(known: tuple) -> list[tuple[int, bytes]]:
+    d, lo, hi = (x.astype("int32") for x in known)
+    return packed(np.zeros(len(d), "int64"), d, lo, hi)
 
 
 def digest(b: bytes) -> str:
     return hashlib.sha256(b).hexdigest()
 
 
-def removed(docs: DataFrame, matcher, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES, with_text: bool = False, hot_least: int = HOT_LEAST) -> DataFrame:
-    """doc_id, n, n_removed, n_spans, kept_sha256 of every row; ``with_text``: only changed rows, and their
-    key and kept text (bytes that are no longer UTF-8 are dropped)."""
+def cut_rows(docs: DataFrame, matcher, id_col: str, text_col: str, with_rows: bool, hot_least: int, bundle_buckets: int | None) -> DataFrame:
+    """id, n, n_removed, n_spans, kept_sha256 of every row; ``with_rows``: text (kept; bytes that are no longer UTF-8
+    are dropped) and row, a struct of the other columns."""
     spark = docs.sparkSession
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    docs = docs.select(key_of(F.col(id_col), text).alias("key"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(1, -(-size // bucket_bytes))
-    bucket = F.pmod(F.xxhash64("key"), F.lit(buckets))
-
-    anchors = stage(repeated_anchors(docs, matcher, buckets), "anchors")
-    # rows of at most HOT_MOST hashes: each stands for over all / HOT_MOST anchors
-    least = max(hot_least, size // HOT_MOST)
-    hot = spark.sparkContext.broadcast(np.array(sorted(r.h for r in anchors.filter(F.col("n") > least).select("h").collect()), "int64").view("uint64"))
+    others = [c for c in docs.columns if c != text_col]
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *([F.struct(*others).alias("row")] if with_rows and others else []))
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
+    buckets = bundle_buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
+    least = hot_least
+
+    bundles = stage(bound(rows), "bundles")
+    places = stage(met(anchored(bundles, matcher, buckets), least), "places")
+    hot = None
+    if matcher.splits_hot:
+        # at most HOT_MOST hashes of 8 bytes
+        found = places.filter(F.col("n") > least).orderBy(F.desc("n"), "h").limit(HOT_MOST).select("h").collect()
+        hot = spark.sparkContext.broadcast(np.sort(np.array([r.h for r in found], "int64").view("uint64"))) if found else None
+
+    def positions(right: pa.Table) -> dict[int, np.ndarray]:
+        return {d: np.unique(p) for d, (p,) in by_key(*unpacked(right.column("payload").to_pylist(), "<i4", "<i4")[1:]).items()}
 
     def expand(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        """left: a bucket's documents, right: the positions of anchors that repeat."""
-        at = by_key(*unpacked(right.column("payload").to_pylist(), "<i8", "<i4"))
-        done: list[list] = [[], [], []]
-        some: list[list] = [[], [], []]
-        for k, i, t in zip(left.column("key").to_pylist(), left.column("doc_id").to_pylist(), left.column("text"), strict=True):
-            t = t.as_py()
-            if k in at:
-                for c, v in zip(some, (k, i, t), strict=True):
-                    c.append(v)
-            else:
-                n, kept = matcher.whole(t)
-                for c, v in zip(done, (i, n, digest(kept)), strict=True):
-                    c.append(v)
-        work, seen = [], set()
-        for k, t in zip(some[0], some[2], strict=True):
-            if k not in seen:
-                seen.add(k)
-                work.append((k, t, np.unique(at[k][0])))
-        sent, (kk, lo, hi) = matcher.expand(work, buckets, hot.value)
-        known = packed(kk, buckets, lo.astype("int32"), hi.astype("int32"), to=bucket_of(kk, buckets))
-        return freed(pa.concat_tables([
-            table_of(ARROW, len(done[0]), kind=pa.array([FINISHED] * len(done[0]), pa.int32()), doc_id=pa.array(done[0], pa.int64()), n=pa.array(done[1], pa.int64()), sha=pa.array(done[2], pa.string())),
-            table_of(ARROW, len(some[0]), kind=pa.array([CANDIDATE] * len(some[0]), pa.int32()), key=pa.array(some[0], pa.int64()), doc_id=pa.array(some[1], pa.int64()), text=pa.array(some[2], pa.string())),
-            table_of(ARROW, len(sent), kind=pa.array([PAYLOAD] * len(sent), pa.int32()), g=pa.array([x[0] for x in sent], pa.int32()), payload=pa.array([x[1] for x in sent], pa.binary())),
-            table_of(ARROW, len(known), kind=pa.array([RANGES] * len(known), pa.int32()), g=pa.array([x[0] for x in known], pa.int32()), payload=pa.array([x[1] for x in known], pa.binary())),
-        ]))
-
-    where = anchors.filter(F.col("b").isNotNull()).select("b", "payload")
-    met = docs.withColumn("b", bucket.cast("int")).groupBy("b").cogroup(where.groupBy("b")).applyInArrow(expand, EXPANDED)
-    met = stage(met, "expanded")
-
+        """left: a bundle, right: the positions of its anchors that repeat."""
+        if not left.num_rows or not right.num_rows:
+            return BOUND.empty_table()
+        bundle, table = key[0].as_py(), opened(left.column("payload")[0].as_py())
+        texts = texts_of(table)
+        work = [(d, texts[d], p) for d, p in sorted(positions(right).items())]
+        some, known = matcher.expand(bundle, work, table.column("id"), buckets, hot.value if hot else NO_HASHES)
+        dealt = [(ANCHORS, some), (KNOWN, range_payload(known))]
+        if hot:
+            found, regions = matcher.hot_strings(work, hot.value)
+            first, again = combined(bundle, found, buckets)
+            dealt += [(STRINGS, first), (STRINGS_KNOWN, [(bundle % buckets, x) for _, x in again]), (REGIONS, [(0, sealed(regions))] if regions.num_rows else [])]
+        out = bound_rows(bundle, dealt)
+        del table, texts, work
+        trim()
+        return pa.Table.from_batches([out])
+
+    where = places.filter(F.col("bundle").isNotNull()).select("bundle", "payload")
+    expanded = stage(bundles.groupBy("bundle").cogroup(where.groupBy("bundle")).applyInArrow(expand, ddl(BOUND)), "expanded")
+    discard(places)
+    resolvable = expanded.filter(F.col("kind").isin(ANCHORS, KNOWN))
+    if hot:
+
+        def single(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+            """left: a bundle's regions around hot anchors, right: the strings in them that repeat."""
+            if not left.num_rows or not right.num_rows:
+                return BOUND.empty_table()
+            some, known = matcher.strings(key[0].as_py(), opened(left.column("payload")[0].as_py()), positions(right), buckets)
+            trim()
+            return pa.Table.from_batches([bound_rows(key[0].as_py(), [(ANCHORS, some), (KNOWN, range_payload(known))])])
+
+        strings = met(expanded.filter(F.col("kind").isin(STRINGS, STRINGS_KNOWN)), 1 << 62).filter(F.col("bundle").isNotNull()).select("bundle", "payload")
+        regions = expanded.filter(F.col("kind") == REGIONS).select("bundle", "payload")
+        single_strings = stage(regions.groupBy("bundle").cogroup(strings.groupBy("bundle")).applyInArrow(single, ddl(BOUND)), "hot-strings")
+        resolvable = resolvable.unionByName(single_strings)
     def resolve(group: pa.Table) -> pa.Table:
-        kk, lo, hi = matcher.resolve(group.column("payload").to_pylist())
-        back = packed(kk, buckets, lo.astype("int32"), hi.astype("int32"), to=bucket_of(kk, buckets))
-        return freed(pa.table({"b": pa.array([x[0] for x in back], pa.int32()), "payload": pa.array([x[1] for x in back], pa.binary())}))
-
-    ranges = met.filter(F.col("kind") == PAYLOAD).select("g", "payload").groupBy("g").applyInArrow(resolve, "b int, payload binary")
-    ranges = stage(ranges.unionByName(met.filter(F.col("kind") == RANGES).select(F.col("g").alias("b"), "payload")), "ranges")
-    final = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())])
+        bundle, d, lo, hi = matcher.resolve(group.column("payload").to_pylist())
+        back = packed(bundle, d.astype("int32"), lo.astype("int32"), hi.astype("int32"))
+        trim()
+        return pa.Table.from_batches([table_of(BUNDLES, len(back), bundle=[b for b, _ in back], payload=[x for _, x in back])])
+
+    ranges = resolvable.filter(F.col("kind") == ANCHORS).select("g", "payload").groupBy("g").applyInArrow(resolve, ddl(BUNDLES))
+    ranges = stage(ranges.unionByName(resolvable.filter(F.col("kind") == KNOWN).select("bundle", "payload")), "ranges")
+    for staged in (expanded, *([single_strings] if hot else [])):
+        discard(staged)
+    numbers = ["n", "n_removed", "n_spans"]
+    names = ["text", "row"] if with_rows else ["id", *numbers, "kept_sha256"]
+    fields = [StructField("id", LongType()), *(StructField(c, LongType()) for c in numbers), StructField("kept_sha256", StringType()), StructField("text", StringType()), *([rows.schema["row"]] if "row" in rows.columns else [])]
+    schema = StructType([f for f in fields if f.name in names])
 
     def cut(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        at = by_key(*unpacked(right.column("payload").to_pylist(), "<i8", "<i4", "<i4"))
-        rows = []
-        for k, i, t in zip(left.column("key").to_pylist(), left.column("doc_id").to_pylist(), left.column("text"), strict=True):
-            t = t.as_py()
-            n, gone, spans, kept = matcher.cut(t, *at[k]) if k in at else (*matcher.whole(t)[:1], 0, 0, matcher.whole(t)[1])
-            if gone or not with_text:
-                rows.append((k, i, n, gone, spans, digest(kept), kept.decode("utf-8", "ignore") if with_text else None))
-        return freed(pa.table([pa.array([r[j] for r in rows], f.type) for j, f in enumerate(final)], schema=final))
+        table = opened(left.column("payload")[0].as_py())
+        at = by_key(*unpacked(right.column("payload").to_pylist(), "<i4", "<i4", "<i4")[1:])
+        kept, out = [], []
+        for i, t in enumerate(texts_of(table)):
+            n, gone, spans, left_over = matcher.cut(t, *at.get(i, ()))
+            if with_rows:
+                kept.append(left_over.decode("utf-8", "ignore") if gone else table.column("text")[i].as_py())
+            else:
+                out.append((n, gone, spans, digest(left_over)))
+        if with_rows:
+            columns = [pa.array(kept, pa.string())] + ([table.column("row")] if "row" in table.column_names else [])
+        else:
+            columns = [table.column("id"), *(pa.array([r[k] for r in out], pa.int64()) for k in range(3)), pa.array([r[3] for r in out], pa.string())]
+        result = pa.table(columns, names=[f.name for f in schema])
+        trim()
+        return result
 
-    texts = met.filter(F.col("kind") == CANDIDATE).select("key", "doc_id", "text", bucket.cast("int").alias("b"))
-    changed = texts.groupBy("b").cogroup(ranges.groupBy("b")).applyInArrow(cut, "key long, doc_id long, n long, n_removed long, n_spans long, kept_sha256 string, kept string")
-    if with_text:
-        return changed
-    rest = met.filter(F.col("kind") == FINISHED).select("doc_id", "n", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("sha").alias("kept_sha256"))
-    return changed.drop("key", "kept").unionByName(rest)
+    return bundles.groupBy("bundle").cogroup(ranges.groupBy("bundle")).applyInArrow(cut, schema)
 
 
-def key_of(doc_id, text):
-    return F.coalesce(doc_id.cast("long"), F.xxhash64(text).bitwiseOR(F.lit(-(1 << 63))))
+def removed(docs: DataFrame, matcher, id_col: str = "doc_id", text_col: str = "text", hot_least: int = HOT_LEAST, buckets: int | None = None) -> DataFrame:
+    """doc_id, n, n_removed, n_spans, kept_sha256 of every row."""
+    return cut_rows(docs, matcher, id_col, text_col, False, hot_least, buckets).withColumnRenamed("id", "doc_id")
 
 
-def without_repeats(docs: DataFrame, matcher, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_repeats(docs: DataFrame, matcher, id_col: str = "doc_id", text_col: str = "text", hot_least: int = HOT_LEAST) -> DataFrame:
     """``docs`` with the repeated passages cut from their texts; all other columns as they are."""
-    changed = removed(docs, matcher, id_col, text_col, with_text=True).select(F.col("key").alias("__key"), F.col("kept").alias("__kept")).dropDuplicates(["__key"])
-    key = key_of(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
-    joined = docs.withColumn("__key", key).join(changed, "__key", "left")
-    return joined.withColumn(text_col, F.coalesce("__kept", text_col)).select(docs.columns)
+    found = cut_rows(docs, matcher, id_col, text_col, True, hot_least, None)
+    return found.select([F.col("text").alias(text_col) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])

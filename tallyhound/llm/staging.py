@@ -9,11 +9,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _STAGED: dict[str, list[str]] = {}
+_PATHS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,7 +40,21 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     # Spark removes shuffle files once their plan is collected, else only at spark.cleaner.periodicGC.interval
     spark._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    staged = spark.read.schema(df.schema).parquet(path)
+    _PATHS[staged] = path
+    return staged
+
+
+def discard(staged: DataFrame) -> None:
+    """Delete a staged table of which all that is still to be read has been written elsewhere."""
+    path, spark = _PATHS.pop(staged), staged.sparkSession
+    _STAGED[spark.sparkContext.applicationId].remove(path)
+    _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def numbered(df: DataFrame, name: str, row: str = "__row") -> DataFrame:
@@ -69,10 +85,8 @@ def trim() -> None:
 
 def release(spark: SparkSession) -> None:
     """Delete what this application staged; call it once the results are written."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for path in _STAGED.pop(spark.sparkContext.applicationId, []):
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(conf).delete(target, True)
+        _delete(spark, path)
 
 
 def held_out(doc_id: Column) -> Column:

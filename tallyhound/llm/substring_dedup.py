@@ -4,12 +4,12 @@ A window is ``window`` consecutive words. Positions whose remainder modulo the p
 (every remainder is a difference of two of them) carry a hash of the next 8 words. For equal windows
 starting at i and j there is a shift below 13 that brings both to cover positions, so they share an aligned
 anchor of 8 words that lies inside them (12 + 8 = 20). Windows that hold a repeated anchor are extended to
-their whole length and compared by 128 bits of their word sequence's hash (96 of them are kept); of equal
-ones all but the earliest are removed. The rest of the frame is in ``repeats``.
+their whole length and compared by 128 bits of their word sequence's hash; of equal ones all but the earliest
+are removed. The rest of the frame is in ``repeats``.
 
-Cases: a null text has no words; a null id comes before all others and stands for one document a text;
-rows that repeat id and text are one document; texts below a window lose nothing; an empty table gives no
-rows; extra columns are ignored.
+Cases: a null text has no words; every row is a document of its own; documents are in the order of their ids, null
+ids before all others, and those that share an id in the order in which they were read; texts below a window lose
+nothing; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,24 +28,27 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ODD = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
 BASES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], "uint64")
 PERIOD, COVER = 13, (0, 1, 3, 9)
-ENTRY = ("<u8", "<u4", "<i8", "<i4")
+ENTRY = ("<u8", "<u8", "<i8", "<i4", "<i4")
+NO_ID = -(1 << 63)
 
 
 def words_of(text: str) -> list[str]:
     return WORD.findall(text) if ODD.search(text) else text.split()
 
 
-def runs(d: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Maximal runs of consecutive positions of a document: its key, first and last."""
-    if not len(d):
-        return d, p, p
-    order = np.lexsort((p, d))
-    d, p = d[order], p[order]
-    new = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (p[1:] > p[:-1] + 1)])
-    return d[new], p[new], p[np.r_[new[1:], len(p)] - 1]
+def runs(p: np.ndarray, *whose: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Maximal runs of consecutive positions of a document: its keys, first and last."""
+    order = np.lexsort((p, *whose[::-1]))
+    p, whose = p[order], [w[order] for w in whose]
+    new = np.r_[True, p[1:] > p[:-1] + 1][: len(p)]
+    for w in whose:
+        new[1:] |= w[1:] != w[:-1]
+    starts = np.flatnonzero(new)
+    return *(w[starts] for w in whose), p[starts], p[np.r_[starts[1:], len(p)][: len(starts)] - 1]
 
 
 class WordWindows:
+    splits_hot = False
     chunk = 2 << 20
 
     def __init__(self, window: int = 20):
@@ -74,63 +77,73 @@ class WordWindows:
         h *= np.uint64(0xD6E8FEB86659FD93)
         return h ^ (h >> np.uint64(32))
 
-    def anchors(self, parts: list) -> tuple:
-        codes, offsets = self._hashed([t for _, t in parts])
-        sizes = np.diff(offsets)
-        doc = np.repeat(np.arange(len(parts)), sizes)
-        pos = np.arange(len(codes)) - offsets[doc]
-        chosen = np.isin(pos % PERIOD, COVER) & (pos + self.anchor <= sizes[doc]) & (sizes[doc] >= self.window)
-        at = np.flatnonzero(chosen)
-        h = self._rolled(codes[:, 0], self.anchor, BASES[0])[at]
-        return h, np.array([k for k, _ in parts], "int64")[doc[at]], pos[at].astype("int32")
-
-    def expand(self, work: list, buckets: int, hot: np.ndarray) -> tuple:
+    def _chunks(self, texts: list[str]):
+        """Where each chunk of texts starts, and its texts."""
+        at = 0
+        while at < len(texts):
+            to, size = at, 0
+            while to < len(texts) and (to == at or size < self.chunk):
+                size += len(texts[to])
+                to += 1
+            yield at, texts[at:to]
+            at = to
+
+    def anchors(self, texts: pa.Array) -> tuple:
+        """Hash, place and position of the texts' anchors."""
+        out = [(np.zeros(0, "uint64"), np.zeros(0, "int32"), np.zeros(0, "int32"))]
+        for at, some in self._chunks(texts.to_pylist()):
+            codes, offsets = self._hashed(some)
+            sizes = np.diff(offsets)
+            doc = np.repeat(np.arange(len(some)), sizes)
+            pos = np.arange(len(codes)) - offsets[doc]
+            chosen = np.isin(pos % PERIOD, COVER) & (pos + self.anchor <= sizes[doc]) & (sizes[doc] >= self.window)
+            here = np.flatnonzero(chosen)
+            h = self._rolled(codes[:, 0], self.anchor, BASES[0])[here]
+            out.append((h, (doc[here] + at).astype("int32"), pos[here].astype("int32")))
+        return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+    def expand(self, bundle: int, work: list, ids, buckets: int, hot: np.ndarray) -> tuple:
+        """Payloads of windows by bucket, the earliest of each; and the ranges of the others: place, first, last."""
         entries: list[list[np.ndarray]] = [[np.zeros(0, t)] for t in ENTRY]
-        work = sorted(work)
-        k = 0
-        while k < len(work):
-            some, size = [], 0
-            while k < len(work) and (not some or size < self.chunk):
-                some.append(work[k])
-                size += len(work[k][1])
-                k += 1
-            codes, offsets = self._hashed([t for _, t, _ in some])
+        texts = [t.as_py() for _, t, _ in work]
+        for begin, some in self._chunks(texts):
+            codes, offsets = self._hashed(some)
             marks = np.zeros(len(codes) + 1, "int32")
-            for (_, _, pos), a, b in zip(some, offsets[:-1], offsets[1:], strict=True):
+            places = np.array([w[0] for w in work[begin : begin + len(some)]])
+            for (_, _, pos), a, b in zip(work[begin : begin + len(some)], offsets[:-1], offsets[1:], strict=True):
                 pos = pos.astype("int64")
                 np.add.at(marks, a + np.maximum(0, pos - (PERIOD - 1)), 1)
                 np.add.at(marks, a + np.minimum(pos, b - a - self.window) + 1, -1)
             at = np.flatnonzero(np.cumsum(marks)[:-1] > 0)
             doc = np.searchsorted(offsets, at, "right") - 1
             h, c = (self._rolled(codes[:, i], self.window, BASES[i])[at] for i in (0, 1))
-            for column, x in zip(entries, (h, (c >> np.uint64(32)).astype("uint32"), np.array([key for key, _, _ in some], "int64")[doc], (at - offsets[doc]).astype("int32")), strict=True):
-                column.append(x)
-        h, c, d, p = (np.concatenate(x) for x in entries)
-        first = self._first(h, c)  # entries are in (key, position) order
-        return packed(h[first], buckets, c[first], d[first], p[first]), runs(d[~first], p[~first])
+            own = ids.take(pa.array(places)).combine_chunks().fill_null(NO_ID).to_numpy()
+            for column, x in zip(entries, (h, c, own[doc], places[doc], at - offsets[doc]), strict=True):
+                column.append(x.astype(column[0].dtype))
+        h, c, i, d, p = (np.concatenate(x) for x in entries)
+        first = self._first(h, c, p, d, i)
+        to = (h[first] % np.uint64(buckets)).astype("int64")
+        return packed(to, h[first], c[first], i[first], d[first], p[first], bundle=bundle), runs(p[~first], d[~first])
 
     @staticmethod
-    def _first(h: np.ndarray, c: np.ndarray) -> np.ndarray:
-        """Whether an entry is the first of its (h, c)."""
-        order = np.lexsort((c, h))
+    def _first(h: np.ndarray, c: np.ndarray, *order_by: np.ndarray) -> np.ndarray:
+        """Whether an entry is the first of its (h, c) in the order of the last, then the ones before."""
+        order = np.lexsort((*order_by, c, h))
         s, t = h[order], c[order]
         first = np.zeros(len(h), bool)
         first[order] = np.r_[True, (s[1:] != s[:-1]) | (t[1:] != t[:-1])][: len(h)]
         return first
 
     def resolve(self, payloads: list[bytes]) -> tuple:
-        h, c, d, p = unpacked(payloads, *ENTRY)
-        order = np.lexsort((p, d))
-        h, c, d, p = h[order], c[order], d[order], p[order]
-        later = ~self._first(h, c)
-        return runs(d[later], p[later])
-
-    def whole(self, text: str) -> tuple[int, bytes]:
-        words = words_of(text)
-        return len(words), " ".join(words).encode()
-
-    def cut(self, text: str, lo: np.ndarray, hi: np.ndarray) -> tuple[int, int, int, bytes]:
-        words = words_of(text)
+        bundle, h, c, i, d, p = unpacked(payloads, *ENTRY)
+        later = ~self._first(h, c, p, d, bundle, i)
+        return runs(p[later], bundle[later], d[later])
+
+    def cut(self, text: pa.Scalar, lo: np.ndarray | None = None, hi: np.ndarray | None = None) -> tuple[int, int, int, bytes]:
+        """Words, words removed, maximal runs removed, and what is left."""
+        words = words_of(text.as_py())
+        if lo is None:
+            return len(words), 0, 0, " ".join(words).encode()
         marks = np.zeros(len(words) + 1, "int64")
         np.add.at(marks, lo, 1)
         np.add.at(marks, hi.astype("int64") + self.window, -1)

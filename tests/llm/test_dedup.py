@@ -76,30 +76,42 @@ def test_exact_null_ids_and_filter(spark):
     assert exact_dedup.exact_classes(docs(spark, [])).count() == 0
 
 
-def suffix_brute(rows, n):
-    raw = {i: (t or "").encode() for i, t in rows}
-    seen = Counter(b[k : k + n] for b in raw.values() for k in range(len(b) - n + 1))
-    out = {}
-    for i, b in raw.items():
+def test_exact_dedup_decides_on_rows(spark):
+    rows = [(0, "c  d"), (1, "a b"), (1, "c d"), (5, "z"), (5, "z"), (None, "n"), (None, "n"), (None, "z"), (7, None), (8, "")]
+    kept = exact_dedup.exact_dedup(docs(spark, rows)).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=repr) == sorted([(0, "c  d"), (1, "a b"), (5, "z"), (None, "n"), (7, None)], key=repr)
+    assert exact_dedup.exact_dedup(docs(spark, [])).count() == 0
+
+
+def suffix_brute_rows(rows, n):
+    """(id, bytes, removed, spans, sha) of every row, rows in their order."""
+    raw = [(t or "").encode() for _, t in rows]
+    seen = Counter(b[k : k + n] for b in raw for k in range(len(b) - n + 1))
+    out = []
+    for (i, _), b in zip(rows, raw, strict=True):
         gone = bytearray(len(b))
         for k in range(len(b) - n + 1):
             if seen[b[k : k + n]] > 1:
                 gone[k : k + n] = b"\1" * n
-        out[i] = (len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), sha(bytes(x for x, g in zip(b, gone, strict=True) if not g)))
+        out.append((i, len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), sha(bytes(x for x, g in zip(b, gone, strict=True) if not g))))
     return out
 
 
-@pytest.mark.parametrize(("seed", "bucket", "hot"), [(1, 4000, 20_000), (2, 1 << 20, 20_000), (3, 4000, 1)])
+def suffix_brute(rows, n):
+    return {r[0]: r[1:] for r in suffix_brute_rows(rows, n)}
+
+
+@pytest.mark.parametrize(("seed", "bucket", "hot"), [(1, 9, 20_000), (2, None, 20_000), (3, 9, 1)])
 def test_suffix_dedup(spark, seed, bucket, hot):
     rows = corpus(seed) + [r for r in ODD if r[0] is not None and r[0] != 103]
-    got = suffix_dedup.suffix_dedup(docs(spark, rows), 200, bucket_bytes=bucket, hot_least=hot).collect()
+    got = suffix_dedup.suffix_dedup(docs(spark, rows), 200, buckets=bucket, hot_least=hot).collect()
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == suffix_brute(rows, 200)
 
 
 def test_suffix_hot_anchors(spark, monkeypatch):
-    monkeypatch.setattr(repeats, "HOT_LEAST", 1)
+    monkeypatch.setattr(repeats, "BUNDLE_BYTES", 3000)
     rows = corpus(4)
-    got = suffix_dedup.suffix_dedup(docs(spark, rows), 200, bucket_bytes=4000, hot_least=1).collect()
+    got = suffix_dedup.suffix_dedup(docs(spark, rows), 200, buckets=5, hot_least=1).collect()
     assert {r.doc_id: r.kept_sha256 for r in got} == {i: x[3] for i, x in suffix_brute(rows, 200).items()}
 
 
@@ -123,9 +135,10 @@ def test_long_texts_are_cut_at_chunks(spark, monkeypatch):
     assert got == {1: 900, 2: 900}
 
 
-def substring_brute(rows, n):
-    seen, out = set(), {}
-    for i, t in sorted(rows):
+def substring_brute_rows(rows, n):
+    """(id, words, removed, sha) of every row; null ids come first, rows that share an id in their order."""
+    seen, out = set(), []
+    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
         w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
         gone = [False] * len(w)
         for k in range(len(w) - n + 1):
@@ -133,42 +146,69 @@ def substring_brute(rows, n):
             if x in seen:
                 gone[k : k + n] = [True] * n
             seen.add(x)
-        out[i] = (len(w), sum(gone), sha(" ".join(x for x, g in zip(w, gone, strict=True) if not g).encode()))
+        out.append((i, len(w), sum(gone), sha(" ".join(x for x, g in zip(w, gone, strict=True) if not g).encode())))
     return out
 
 
-@pytest.mark.parametrize(("seed", "window", "bucket"), [(1, 20, 4000), (2, 20, 1 << 20), (3, 13, 4000)])
+def substring_brute(rows, n):
+    return {r[0]: r[1:] for r in substring_brute_rows(rows, n)}
+
+
+@pytest.mark.parametrize(("seed", "window", "bucket"), [(1, 20, 9), (2, 20, None), (3, 13, 9)])
 def test_substring_dedup(spark, seed, window, bucket):
     rows = corpus(seed) + [r for r in ODD if r[0] is not None and r[0] != 103] + [(200, "a\x1cb c\x85d " * 30), (201, "a\x1cb c\x85d " * 30)]
-    got = substring_dedup.substring_dedup(docs(spark, rows), window, bucket_bytes=bucket).collect()
+    got = substring_dedup.substring_dedup(docs(spark, rows), window, buckets=bucket).collect()
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == substring_brute(rows, window)
 
 
+def words(seed, n):
+    rng = random.Random(seed)
+    return " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(n))
+
+
+#: Ids that repeat with the same, a shorter and a longer text; null ids with and without copies; long rows.
+CLASHING = [(1, words(1, 90)), (2, words(2, 120) + " " + words(1, 60)), (2, "short"), (2, words(3, 400)), (3, words(4, 150)), (3, words(4, 150)), (None, words(5, 80)), (None, words(5, 80)), (None, words(6, 80)), (4, None), (4, ""), (5, words(1, 90) + " " + words(7, 5)), (3, words(4, 150))]
+
+
+@pytest.mark.parametrize("bundle", [1, 2000, 8 << 20])
+def test_repeats_of_clashing_ids(spark, monkeypatch, bundle):
+    monkeypatch.setattr(repeats, "BUNDLE_BYTES", bundle)
+    frame = docs(spark, CLASHING).coalesce(1)
+    got = suffix_dedup.suffix_dedup(frame).collect()
+    assert sorted(map(repr, ((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got))) == sorted(map(repr, suffix_brute_rows(CLASHING, 200)))
+    got = substring_dedup.substring_dedup(frame).collect()
+    assert sorted(map(repr, ((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got))) == sorted(map(repr, substring_brute_rows(CLASHING, 20)))
+    kept = [(r.doc_id, sha((r.text or "").encode())) for r in suffix_dedup.cut_repeats(frame).collect()]
+    assert sorted(map(repr, kept)) == sorted(repr((r[0], r[4])) for r in suffix_brute_rows(CLASHING, 200))
+
+
 def test_repeats_odd_rows(spark):
     for f in (suffix_dedup.suffix_dedup, substring_dedup.substring_dedup):
         got = f(docs(spark, ODD)).collect()
         assert sorted((r.doc_id is None, r.doc_id or 0) for r in got) == sorted((i is None, i or 0) for i, _ in ODD)
         assert f(docs(spark, [])).count() == 0
     twice = [(1, " ".join(str(k) for k in range(99)))] * 2
-    assert {r.n_removed for r in suffix_dedup.suffix_dedup(docs(spark, twice)).collect()} == {0}
+    assert {r.n_removed for r in suffix_dedup.suffix_dedup(docs(spark, twice)).collect()} == {len(twice[0][1])}
     with pytest.raises(ValueError, match="13"):
         substring_dedup.WordWindows(12)
 
 
+@pytest.mark.parametrize("level", ["sf0.001", "sf0.01"])
+def test_repeats_of_whole_tables(spark, level):
+    table = spark.read.parquet(f"/root/testdata/{level}/documents.parquet").select("doc_id", "text")
+    rows = [tuple(r) for r in table.collect()]
+    got = suffix_dedup.suffix_dedup(table).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == suffix_brute(rows, 200)
+    got = substring_dedup.substring_dedup(table).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == substring_brute(rows, 20)
+
+
 def test_cut_repeats_keeps_columns(spark):
     rows = corpus(5) + ODD
     out = suffix_dedup.cut_repeats(docs(spark, rows))
     assert out.columns == docs(spark, []).columns and out.count() == len(rows)
 
 
-def test_spark_hash_matches(spark):
-    import numpy as np
-
-    keys = np.array([0, 1, -1, 2**62, -(2**63), 12345678901], "int64")
-    want = [r.h for r in spark.createDataFrame([(int(k),) for k in keys], "k long").select(F.pmod(F.xxhash64("k"), F.lit(97)).alias("h")).collect()]
-    assert repeats.bucket_of(keys, 97).tolist() == want
-
-
 def test_components(spark):
     e = spark.createDataFrame([(k, k + 1) for k in range(50)] + [(100, 101), (103, 101), (7, 7)], "a long, b long")
     got = {r.node: r.root for r in components.components(e, "a", "b").collect()}

@@ -5,8 +5,7 @@ import random
 from tallyhound.llm import repeats, suffix_dedup
 
 
-def test_windows_at_a_border_count_once(spark, monkeypatch):
-    monkeypatch.setattr(repeats, "HOT_LEAST", 1)
+def test_windows_at_a_border_count_once(spark):
     rng = random.Random(1)
     letters = lambda n: "".join(rng.choices("abcdefgh ", k=n))
     passage = letters(199)  # its anchors repeat, no string of 200 bytes does
