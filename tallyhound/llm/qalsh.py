@@ -1,21 +1,30 @@
 """Approximate nearest neighbours by collision counting over query-aware single projections.
 
-Every row is indexed: rows are dealt by id to blocks of about ``block_rows``, and a block holds one sorted array
-for each of ``projections`` random directions. A query opens a window of width ``width`` * R around its own
-projection in every array; virtual rehashing widens R by ``ratio`` without building anything anew, and only
-what a window newly takes in is counted. A vector that has collided in ``threshold`` of the arrays is verified
-by its exact distance. A block is left when the query's k-th nearest verified vector is within R, or all
-vectors are verified; nothing caps the candidates. Blocks' answers are merged by query.
-
-Queries travel in blocks, to each block of rows; what moves is (queries x blocks of rows).
-
-Cases: vectors that are null, empty, zero, or hold null or non-finite components take no part, as queries
-or candidates; a null id takes no part; rows that repeat an id count once (the smallest vector); vectors of
-different lengths are never compared; ties go to the smaller id; extra columns are ignored.
+Every row is indexed. ``projections`` random directions give one sorted array each; a query opens a window of width
+``width`` * R around its own projection in every array, virtual rehashing widens R by ``ratio`` without building anything
+anew, and only what a window newly takes in is counted. A vector that has collided in ``threshold`` of the arrays is
+verified by its exact distance; nothing caps the candidates.
+
+The arrays are cut into blocks of rows, each with its part of all arrays, so that collisions are counted where the rows
+are. A global array a projection would send them instead: on the check's vectors a window takes in about 0.6 of all rows,
+so a query would send 0.6 * projections numbers for each row of the table.
+
+1. A tree of medians, fitted on at most ``sample`` rows, deals rows to cells of like projections, and a cell's rows by id to
+   blocks of about ``block_rows``. A cell keeps the range of each projection (at most ``CELLS`` cells: the broadcast).
+2. A query is searched in its own block. The distance of its k-th nearest there bounds the global one.
+3. It then visits only cells whose ranges meet its windows at that bound in ``threshold`` of the projections (in no other
+   can a vector collide often enough), and no window grows beyond the bound. Queries travel to a block in slices of
+   ``slice_rows``, and answers are merged by query.
+
+Cases: vectors that are null, empty, zero, or hold null or non-finite components take no part, as queries or candidates;
+a null id takes no part; rows that repeat an id count once (the smallest vector); vectors of different lengths are never
+compared; ties go to the smaller id; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -23,27 +32,33 @@ from pyspark.sql import functions as F
 
 from tallyhound.llm.staging import stage
 
+CELLS = 256
+FOUND = "query_id long, vec_id long, score double"
+
+
+def lines(size: int, count: int) -> np.ndarray:
+    return np.random.default_rng(size).standard_normal((size, count))
+
 
 class Projections:
     """The sorted arrays of one block."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, count: int, width: float, threshold: float):
         self.ids, self.vectors, self.width = ids, vectors, width
-        self.least = int(np.ceil(threshold * count))
-        self.lines = np.random.default_rng(vectors.shape[1]).standard_normal((vectors.shape[1], count))
+        self.least, self.lines = int(np.ceil(threshold * count)), lines(vectors.shape[1], count)
         projected = (vectors @ self.lines).T
         self.order = np.argsort(projected, axis=1, kind="stable").astype("int32")
         self.values = np.take_along_axis(projected, self.order, axis=1)
         self.spread = float(np.sqrt(2 * vectors.var(axis=0).sum())) or 1.0
 
-    def nearest(self, query_id: int, query: np.ndarray, k: int, ratio: float) -> tuple[np.ndarray, np.ndarray]:
-        """(distances, ids) of the k nearest found, nearest first."""
+    def nearest(self, query_id: int, query: np.ndarray, k: int, ratio: float, bound: float) -> tuple[np.ndarray, np.ndarray]:
+        """(distances, ids) of the k nearest found, nearest first; beyond ``bound`` none is looked for."""
         n = len(self.ids)
         collisions, verified = np.zeros(n, "int16"), self.ids == query_id
         found_d, found_i = np.zeros(0), np.zeros(0, "int64")
         at = query @ self.lines
         low = high = [int(np.searchsorted(v, x)) for v, x in zip(self.values, at, strict=True)]
-        reach = 0.25 * self.spread
+        reach = bound if np.isfinite(bound) else 0.25 * self.spread
         while True:
             half = self.width * reach / 2
             new_low = [int(np.searchsorted(v, x - half)) for v, x in zip(self.values, at, strict=True)]
@@ -57,56 +72,141 @@ class Projections:
             found_d, found_i = np.r_[found_d, d], np.r_[found_i, self.ids[fresh]]
             best = np.lexsort((found_i, found_d))[:k]
             found_d, found_i = found_d[best], found_i[best]
-            if len(found_d) == k and found_d[-1] <= reach or verified.all():
+            if len(found_d) == k and found_d[-1] <= reach or reach >= bound or verified.all():
                 return found_d, found_i
-            reach *= ratio
+            reach = min(reach * ratio, bound)
+
+
+def split(projected: np.ndarray, depth: int) -> tuple | None:
+    """A tree of (projection, median, left, right), each node split where its rows are spread most."""
+    if not depth or len(projected) < 2:
+        return None
+    axis = int(projected.var(axis=0).argmax())
+    middle = float(np.median(projected[:, axis]))
+    left = projected[:, axis] < middle
+    if not left.any():
+        return None
+    return axis, middle, split(projected[left], depth - 1), split(projected[~left], depth - 1)
+
+
+def cell_of(tree: tuple | None, projected: np.ndarray) -> np.ndarray:
+    """Each row's leaf: the path to it in bits behind a leading 1."""
+    out = np.ones(len(projected), "int64")
+
+    def go(node: tuple | None, rows: np.ndarray) -> None:
+        if node and len(rows):
+            right = projected[rows, node[0]] >= node[1]
+            out[rows] = out[rows] * 2 + right
+            go(node[2], rows[~right])
+            go(node[3], rows[right])
+
+    go(tree, np.arange(len(projected)))
+    return out
+
+
+def by_length(lists: pa.ListArray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(rows, vectors) for each vector length."""
+    lengths = lists.value_lengths().to_numpy()
+    return [(mine, lists.take(pa.array(mine)).flatten().to_numpy(zero_copy_only=False).reshape(-1, size)) for size in np.unique(lengths) if len(mine := np.flatnonzero(lengths == size))]
+
+
+def lists_of(column) -> pa.ListArray:
+    chunk = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return chunk if isinstance(chunk, pa.ListArray) else pa.concat_arrays(chunk.chunks) if chunk.num_chunks else pa.array([], pa.list_(pa.float64()))
 
 
-def nearest(rows: DataFrame, every: int = 100, k: int = 10, projections: int = 48, width: float = 2.7, threshold: float = 0.62, ratio: float = 1.15, block_rows: int = 8192, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(
+    rows: DataFrame, every: int = 100, k: int = 10, projections: int = 64, width: float = 2.2, threshold: float = 0.62, ratio: float = 1.25, block_rows: int = 8192,
+    slice_rows: int = 4096, sample: int = 16_384, id_col: str = "vec_id", vector_col: str = "embedding",
+) -> DataFrame:
     """query_id, rank, vec_id, score for the rows whose id is divisible by ``every``."""
-    v = F.col("v")
+    v, is_query = F.col("v"), F.col("id") % every == 0
     rows = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     rows = rows.filter(F.col("id").isNotNull() & v.isNotNull() & (F.size(v) > 0) & finite & F.exists(v, lambda x: x != 0))
-    sizes = rows.agg(F.count("*"), F.count(F.when(F.col("id") % every == 0, 1))).first()
-    blocks, query_blocks = max(1, -(-sizes[0] // block_rows)), max(1, -(-sizes[1] // 1024))
-
-    def arrays(table: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Ids and vectors by vector length; of a repeated id the smallest vector."""
-        out = []
-        ids, lists = table.column("id").to_numpy(), table.column("v").combine_chunks()
-        lengths = lists.value_lengths().to_numpy()
-        for size in np.unique(lengths):
-            mine = np.flatnonzero(lengths == size)
-            x = lists.take(pa.array(mine)).flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
-            order = np.lexsort((*x.T[::-1], ids[mine])) if len(np.unique(ids[mine])) < len(mine) else np.argsort(ids[mine])
-            some = ids[mine][order]
-            first = np.r_[True, some[1:] != some[:-1]]
-            out.append((some[first], x[order][first]))
-        return out
-
-    def bundle(group: pa.Table) -> pa.Table:
-        out = [(x.shape[1], i.astype("<i8").tobytes() + np.ascontiguousarray(x, "<f8").tobytes()) for i, x in arrays(group)]
-        return pa.table({"size": pa.array([a for a, _ in out], pa.int32()), "queries": pa.array([b for _, b in out], pa.binary())})
-
-    queries = rows.filter(F.col("id") % every == 0).withColumn("q", F.pmod(F.xxhash64("id"), F.lit(query_blocks)))
-    queries = stage(queries.groupBy("q").applyInArrow(bundle, "size int, queries binary"), "query-blocks")
+    if not rows.groupBy("id").count().filter("count > 1").isEmpty():
+        rows = rows.groupBy("id").agg(F.min("v").alias("v"))
+    n, queries = rows.agg(F.count("*"), F.count_if(is_query)).first()
+    least = int(np.ceil(threshold * projections))
+    depth = max(0, int(np.log2(max(1, min(CELLS, n / block_rows)))))
+    # at most ``sample`` rows, of any lengths, chosen by their ids' hashes
+    fitted = rows.orderBy(F.xxhash64("id")).limit(sample if depth else 0).toArrow()
+    trees = {x.shape[1]: split(x @ lines(x.shape[1], projections), depth) for _, x in by_length(lists_of(fitted.column("v")))} if fitted.num_rows else {}
+    subs = max(1, -(-n // (block_rows << depth)))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cell = np.ones(batch.num_rows, "int64")
+            for mine, x in by_length(lists_of(batch.column(1))):
+                cell[mine] = cell_of(trees.get(x.shape[1]), x @ lines(x.shape[1], projections))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cell)], names=["id", "v", "cell"])
+
+    dealt = rows.mapInArrow(deal, "id long, v array<double>, cell long").withColumn("sub", F.pmod(F.xxhash64("id"), F.lit(subs)))
+    dealt = stage(dealt, "blocks")
+
+    def extent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The ranges of a partition's projections by cell and vector length."""
+        low: dict[tuple, np.ndarray] = {}
+        high: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            cell = batch.column(1).to_numpy()
+            for mine, x in by_length(lists_of(batch.column(0))):
+                p = x @ lines(x.shape[1], projections)
+                for c in np.unique(cell[mine]).tolist():
+                    q, key = p[cell[mine] == c], (c, x.shape[1])
+                    low[key] = np.minimum(low.get(key, np.inf), q.min(axis=0))
+                    high[key] = np.maximum(high.get(key, -np.inf), q.max(axis=0))
+        cells, sizes = [c for c, _ in low], [s for _, s in low]
+        yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(sizes, pa.int32()), pa.array([x.tolist() for x in low.values()], pa.list_(pa.float64())), pa.array([x.tolist() for x in high.values()], pa.list_(pa.float64()))], names=["cell", "size", "low", "high"])
+
+    parts = dealt.select("v", "cell").mapInArrow(extent, "cell long, size int, low array<double>, high array<double>")
+    each = parts.groupBy("cell", "size").agg(*(f(F.col(c)[j]).alias(f"{c}{j}") for c, f in (("low", F.min), ("high", F.max)) for j in range(projections)))
+    # one row a cell and vector length
+    ranges = {(r[0], r[1]): (np.array(r[2 : 2 + projections]), np.array(r[2 + projections :])) for r in each.collect()}
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = []
-        index = {x.shape[1]: Projections(i, x, projections, width, threshold) for i, x in arrays(left)} if left.num_rows else {}
-        for size, b in zip(right.column("size").to_pylist(), right.column("queries").to_pylist(), strict=True):
-            if size in index:
-                n = len(b) // (8 + 8 * size)
-                ids, x = np.frombuffer(b, "<i8", n), np.frombuffer(b, "<f8", n * size, 8 * n).reshape(n, size)
-                for i, q in zip(ids.tolist(), x, strict=True):
-                    d, near = index[size].nearest(i, q, k, ratio)
-                    out.append((np.full(len(d), i), near, d))
-        columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, "int64"), np.zeros(0, "int64"), np.zeros(0)]
-        return pa.table(dict(zip(("query_id", "vec_id", "score"), map(pa.array, columns), strict=True)))
-
-    sent = queries.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    dealt = rows.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    found = dealt.groupBy("b").cogroup(sent.groupBy("b")).applyInArrow(search, "query_id long, vec_id long, score double")
+        """left: a block, right: a slice of the queries that visit it, with their bounds."""
+        out = [(np.zeros(0, "int64"), np.zeros(0, "int64"), np.zeros(0))]
+        ids, own, bounds = left.column("id").to_numpy(), right.column("query_id").to_numpy(), right.column("bound").to_numpy()
+        index = {x.shape[1]: Projections(ids[mine], x, projections, width, threshold) for mine, x in by_length(lists_of(left.column("v")))}
+        for mine, x in by_length(lists_of(right.column("q"))):
+            if x.shape[1] in index:
+                for i, q in zip(mine.tolist(), x, strict=True):
+                    d, near = index[x.shape[1]].nearest(int(own[i]), q, k, ratio, float(bounds[i]))
+                    out.append((np.full(len(d), own[i]), near, d))
+        return pa.table(dict(zip(("query_id", "vec_id", "score"), (pa.array(np.concatenate(c)) for c in zip(*out, strict=True)), strict=True)))
+
+    slices = max(1, -(-queries // slice_rows))
+
+    def visited(sent: DataFrame) -> DataFrame:
+        """Answers of the blocks (cell, sub) that queries are sent to; a block is there once a slice of queries."""
+        blocks = dealt.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))))
+        sent = sent.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(slices)))
+        return blocks.groupBy("cell", "sub", "slice").cogroup(sent.groupBy("to", "to_sub", "part")).applyInArrow(search, FOUND)
+
+    asked = dealt.filter(is_query).select(F.col("id").alias("query_id"), F.col("v").alias("q"), F.col("cell").alias("home"), F.col("sub").alias("home_sub"))
+    home = asked.select("query_id", "q", F.lit(float("inf")).alias("bound"), F.col("home").alias("to"), F.col("home_sub").alias("to_sub"))
+    near = stage(visited(home), "home")
+    bounds = near.groupBy("query_id").agg(F.when(F.count("*") >= k, F.max("score")).otherwise(float("inf")).alias("bound"))
+    bound = asked.join(bounds.withColumnRenamed("query_id", "id"), asked.query_id == F.col("id"), "left").select("query_id", "q", F.coalesce("bound", F.lit(float("inf"))).alias("bound"), "home", "home_sub")
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The cells that a query visits."""
+        for batch in batches:
+            widths, who, to = batch.column(2).to_numpy() * width / 2, [], []
+            for mine, x in by_length(lists_of(batch.column(1))):
+                p = x @ lines(x.shape[1], projections)
+                for (cell, size), (low, high) in ranges.items():
+                    if size == x.shape[1]:
+                        half = widths[mine][:, None]
+                        meets = mine[((p + half >= low) & (p - half <= high)).sum(axis=1) >= least]
+                        who.append(meets)
+                        to.append(np.full(len(meets), cell))
+            some = batch.take(pa.array(np.concatenate([np.zeros(0, "int64"), *who])))
+            yield pa.RecordBatch.from_arrays([*some.columns, pa.array(np.concatenate([np.zeros(0, "int64"), *to]))], names=[*some.schema.names, "to"])
+
+    routed = bound.mapInArrow(route, "query_id long, q array<double>, bound double, home long, home_sub long, to long")
+    routed = routed.withColumn("to_sub", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(subs - 1).cast("long")))).filter("to <> home OR to_sub <> home_sub")
+    found = near.unionByName(visited(routed.select("query_id", "q", "bound", "to", "to_sub")))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

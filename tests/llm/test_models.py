@@ -139,6 +139,23 @@ def test_nearest_recall_and_odd_rows(spark):
     assert qalsh.nearest(few.filter("vec_id < 0")).count() == 0
 
 
+def test_nearest_of_whole_table(spark):
+    """Recall against brute force, distances as the contract has them, over slices and several cells."""
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    ids, x = map(np.array, zip(*[(r.vec_id, r.embedding) for r in table.collect()], strict=True))
+    x = x.astype("float64")
+    got = qalsh.nearest(table, block_rows=600, slice_rows=20).collect()
+    hits = 0
+    for q in ids[ids % 100 == 0].tolist():
+        d = np.sqrt(np.square(x - x[ids == q]).sum(axis=1))
+        d[ids == q] = np.inf
+        mine = sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)
+        assert [r.rank for r in mine] == list(range(1, 11)) and mine == sorted(mine, key=lambda r: (r.score, r.vec_id))
+        assert all(r.score == pytest.approx(d[ids == r.vec_id][0], abs=1e-12) for r in mine)
+        hits += len({r.vec_id for r in mine} & set(ids[np.lexsort((ids, d))[:10]].tolist()))
+    assert hits >= 9.3 * (ids % 100 == 0).sum()
+
+
 def warc(kind, uri, date, status, headers, body=b""):
     http = f"HTTP/1.1 {status} X\r\n".encode() + "".join(f"{k}: {v}\r\n" for k, v in headers.items()).encode() + b"\r\n" + body
     profile = "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/server-not-modified\r\n" if kind == "revisit" else ""
