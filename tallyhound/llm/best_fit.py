@@ -5,7 +5,7 @@ distinct white-space-separated word is encoded once while its worker remembers i
 from cached id bytes.
 Texts holding white space or controls beyond ASCII's six are encoded whole.
 
-Packing: pieces are dealt evenly by a hash to groups of about ``group_rows`` pieces, so memory is bounded
+Packing: pieces are dealt evenly by a number of their own (whatever their ids) to groups of about ``group_rows`` pieces, so memory is bounded
 and a group's one open end costs under 0.02 % of its sequences. In a group, a bin takes the longest
 unpacked pieces that fit, then its smallest piece is replaced by the two unpacked pieces whose sum fits
 the expanded gap most tightly. Lengths are small integers, so "longest that fits" and "tightest pair"
@@ -208,7 +208,7 @@ def best_two_fit(lengths: list[int], capacity: int) -> list[list[int]]:
 
 def pack(pieces: DataFrame, length: int = 2048, group_rows: int = 16_384) -> DataFrame:
     """Adds sequence_id and offset to the pieces."""
-    pieces = stage(pieces, "pieces")
+    pieces = stage(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces")
     groups = max(1, -(-pieces.count() // group_rows))
 
     def packed(key: tuple, rows: pa.Table) -> pa.Table:
@@ -220,10 +220,10 @@ def pack(pieces: DataFrame, length: int = 2048, group_rows: int = 16_384) -> Dat
             for i in members:
                 sequence[i], offset[i] = (key[0].as_py() << 32) + k, at
                 at += lengths[i]
-        rows = rows.drop_columns(["g"])
+        rows = rows.drop_columns(["g", "row"])
         return rows.append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
 
-    dealt = pieces.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
+    dealt = pieces.withColumn("g", F.pmod(F.xxhash64("row"), F.lit(groups)))
     return dealt.groupBy("g").applyInArrow(packed, PACKED)
 
 
