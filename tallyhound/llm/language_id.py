@@ -1,6 +1,6 @@
 """Language identification by multilingual mixture inference.
 
-A text's letters (lower case, words padded by a space) give hashed character trigrams. Each language has
+A text's letters (Unicode category L, lower case, words padded by a space) give hashed character trigrams. Each language has
 a smoothed trigram distribution, learnt from at most about ``per_lang`` labelled documents of it. A
 document is a mixture of languages: expectation-maximisation estimates the proportions. The language set
 grows one at a time, while the log-likelihood gained exceeds ``penalty`` * log(number of trigrams) per
@@ -13,11 +13,11 @@ repeated rows are predicted each; extra columns are ignored.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +25,7 @@ from tallyhound.llm.staging import held_out
 
 PER_LANG = 2000
 BITS = 16
-LETTERS = re.compile(r"[^\W\d_]+")
+LETTERS = regex.compile(r"\p{L}+")
 
 
 def trigrams(text: str, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:

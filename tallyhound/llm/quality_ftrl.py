@@ -6,7 +6,7 @@ marks themselves) and the bigrams of a word and itself, all as one, hashed to 2*
 the sigmoid of a sparse dot product with the weights.
 
 Training reads at most ``sample`` labelled rows (those with the smallest id hash, so at every size the
-same bound) and runs per-coordinate FTRL-proximal updates in one task; the weights, 2**bits floats, are
+same bound), hashes them where they are and runs per-coordinate FTRL-proximal updates in one task; the weights, 2**bits floats, are
 broadcast. Scoring reads every whole text in one pass without a shuffle.
 
 Cases: null and empty texts have the bias alone as their score; labels that are null are not learnt
@@ -74,14 +74,12 @@ class Hasher:
         return slots.astype("int64"), values / np.sqrt(np.square(values).sum())
 
 
-def train_ftrl(rows: list[tuple[str, int]], bits: int = BITS, epochs: int | None = None, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 1e-4) -> np.ndarray:
-    """Weights with the bias last. epochs: by default so many that about 20,000 updates are made, 3 to 12."""
+def train_ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], bits: int = BITS, epochs: int | None = None, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 1e-4) -> np.ndarray:
+    """Weights with the bias last, from (slots, values, label). epochs: by default so many that about 20,000 updates are
+    made, 3 to 12."""
     size = (1 << bits) + 1
     z, n = np.zeros(size), np.zeros(size)
-    hasher, data = Hasher(bits), []
-    for text, label in rows:
-        slots, values = hasher.features(text)
-        data.append((np.append(slots, size - 1), np.append(values, np.float32(1)).astype("float64"), float(label)))
+    data = [(np.append(slots, size - 1), np.append(values, np.float32(1)).astype("float64"), float(label)) for slots, values, label in rows]
 
     def weights(zz: np.ndarray, nn: np.ndarray) -> np.ndarray:
         return np.where(np.abs(zz) <= l1, 0.0, -(zz - np.sign(zz) * l1) / ((beta + np.sqrt(nn)) / alpha + l2))
@@ -101,14 +99,22 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int = BI
     """Learns from rows that are not held out; at most ``sample`` of them."""
     chosen = labels.select(F.col("doc_id"), F.col("quality").cast("int").alias("quality")).dropna().filter(~held_out(F.col("doc_id")))
     chosen = chosen.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").withColumn("one", F.lit(1))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher(bits)
+        for batch in batches:
+            found = [hasher.features(text.as_py()) for text in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([x.astype("<i4").tobytes() for x, _ in found], pa.binary()), pa.array([x.astype("<f4").tobytes() for _, x in found], pa.binary())], names=["doc_id", "quality", "slots", "v"])
 
     def learn(group: pa.Table) -> pa.Table:
-        group = group.sort_by("doc_id")
-        w = train_ftrl(list(zip(group.column("text").to_pylist(), group.column("quality").to_pylist(), strict=True)), bits)
-        return pa.table({"w": pa.array([w.tobytes()], pa.binary())})
+        group = group.sort_by([("doc_id", "ascending"), ("slots", "ascending")])
+        data = [(np.frombuffer(s, "<i4").astype("int64"), np.frombuffer(v, "<f4"), q) for s, v, q in zip(*(group.column(c).to_pylist() for c in ("slots", "v", "quality")), strict=True)]
+        return pa.table({"w": pa.array([train_ftrl(data, bits).tobytes()], pa.binary())})
 
-    found = rows.groupBy("one").applyInArrow(learn, "w binary").collect()
+    # what one task gets: of each text its distinct features, 2**bits at most
+    features = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "quality").mapInArrow(hashed, "doc_id long, quality int, slots binary, v binary")
+    found = features.withColumn("one", F.lit(1)).groupBy("one").applyInArrow(learn, "w binary").collect()
     return np.frombuffer(found[0].w, "float32") if found else np.zeros((1 << bits) + 1, "float32")
 
 
