@@ -11,7 +11,7 @@ have one; without a common validator it is ``unchecked``. Otherwise it is ``mism
 is no earlier response. Of its headers, only those permitted in a 304 replace the response's.
 
 Cases: a null URL has no canonical form and joins nothing; captures with a null time come first; equal
-times are ordered by id, null ids first; header names are compared in lower case; repeated rows are resolved
+times are ordered by id, null ids first, then responses before revisits; header names are compared in lower case; repeated rows are resolved
 each; a null body has a null digest; an empty table gives no rows; extra columns are ignored.
 """
 
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import gzip
 import io
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -49,10 +50,10 @@ def resolve_revisits(captures: DataFrame, range_rows: int = 100_000) -> DataFram
     Adds canonical_url, status, resolved_id, resolved_digest and merged_headers. A response resolves to itself."""
     own = captures.select("id", canonical_url(F.col("url")).alias("canonical_url"), "ts", F.coalesce("is_revisit", F.lit(False)).alias("is_revisit"), "etag", "modified", "digest", "headers")
     ranges = max(1, -(-own.count() // range_rows))
-    own = stage(own.repartitionByRange(ranges, "ts", "id").withColumn("range", F.spark_partition_id()), "captures")
+    own = stage(own.repartitionByRange(ranges, "ts", "id", "is_revisit").withColumn("range", F.spark_partition_id()), "captures")
 
     full = F.when(~F.col("is_revisit"), F.struct("ts", "id", "etag", "modified", "digest", "headers"))
-    before = Window.orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("ts", "id", "is_revisit").rowsBetween(Window.unboundedPreceding, -1)
     here = own.withColumn("near", F.last(full, ignorenulls=True).over(before.partitionBy("canonical_url", "range")))
     # one row a URL and range, its last response or null
     response = F.when(~F.col("is_revisit"), F.struct("ts", "id"))
@@ -78,10 +79,34 @@ def resolve_revisits(captures: DataFrame, range_rows: int = 100_000) -> DataFram
     return out.withColumn("merged_headers", F.when(found, merged).when(~F.col("is_revisit"), mine)).select("id", "canonical_url", "status", "resolved_id", "resolved_digest", "merged_headers")
 
 
+def unchunked(body: bytes) -> bytes:
+    """A body without its chunk sizes; as it is, if they are malformed."""
+    out, at = [], 0
+    while True:
+        end = body.find(b"\r\n", at)
+        try:
+            size = int(body[at:end].split(b";")[0], 16) if end >= 0 else -1
+        except ValueError:
+            size = -1
+        if size < 0 or end + 2 + size > len(body):
+            return body
+        if size == 0:
+            return b"".join(out)
+        out.append(body[end + 2 : end + 2 + size])
+        at = end + 4 + size
+
+
 def _parsed(raw: bytes) -> Iterator[tuple]:
-    """The records of a WARC file: (offset, type, uri, date, id, profile, status, headers, payload)."""
+    """The records of a WARC file: (offset, type, uri, date, id, profile, status, headers, payload). A record without a
+    readable length is left out, and reading goes on at the next; a file that breaks off ends there."""
     stream = gzip.GzipFile(fileobj=io.BytesIO(raw)) if raw[:2] == b"\x1f\x8b" else io.BytesIO(raw)
+    try:
+        yield from _records(stream)
+    except (EOFError, OSError, zlib.error):  # broken off, or no gzip any more
+        return
+
 
+def _records(stream) -> Iterator[tuple]:
     def fields(lines: Iterator[bytes]) -> dict[str, str]:
         out: dict[str, str] = {}
         for line in lines:
@@ -96,19 +121,27 @@ def _parsed(raw: bytes) -> Iterator[tuple]:
             at = stream.tell()
             continue
         head = fields(iter(lambda: stream.readline().rstrip(b"\r\n"), b""))
-        body = stream.read(int(head.get("content-length") or 0))
+        length = head.get("content-length") or "0"
+        if not length.isdecimal():
+            at = stream.tell()
+            continue
+        body = stream.read(int(length))
+        if len(body) < int(length):
+            return
         status, http = None, {}
         if head.get("content-type", "").startswith("application/http"):
             top, _, body = body.partition(b"\r\n\r\n")
             first, *rest = top.split(b"\r\n")
             words = first.split()
             status, http = int(words[1]) if len(words) > 1 and words[1].isdigit() else None, fields(iter(rest))
+            if http.get("transfer-encoding", "").lower().endswith("chunked"):
+                body = unchunked(body)
         yield at, head.get("warc-type"), head.get("warc-target-uri"), head.get("warc-date"), head.get("warc-record-id"), head.get("warc-profile"), status, http, body
         at = stream.tell()
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of plain or gzipped WARC files; files are the unit of work."""
+    """Records of plain or gzipped WARC files; a file, of 1 GB by custom and at most 2 GB, is the unit of work."""
     types = pa.schema([("file", pa.string()), ("offset", pa.int64()), ("type", pa.string()), ("uri", pa.string()), ("date", pa.string()), ("record_id", pa.string()), ("profile", pa.string()), ("status", pa.int32()), ("headers", pa.map_(pa.string(), pa.string())), ("payload", pa.binary())])
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,7 +159,9 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
 
 def captures_of(records: DataFrame) -> DataFrame:
-    """Captures from ``read_warc``: responses and not-modified revisits."""
-    kind = F.col("type") == "revisit"
-    chosen = records.filter(kind & F.coalesce(F.col("profile").contains("server-not-modified"), F.lit(True)) | (F.col("type") == "response"))
+    """Captures from ``read_warc``: full responses and not-modified revisits. Of HTTP only those with status 200 to 299 but
+    206 are full."""
+    kind, status = F.col("type") == "revisit", F.col("status")
+    full = status.isNull() | status.between(200, 299) & (status != 206)
+    chosen = records.filter(kind & F.coalesce(F.col("profile").contains("server-not-modified"), F.lit(True)) | (F.col("type") == "response") & full)
     return chosen.select(F.col("record_id").alias("id"), F.col("uri").alias("url"), F.try_to_timestamp("date").alias("ts"), kind.alias("is_revisit"), F.col("headers")["etag"].alias("etag"), F.col("headers")["last-modified"].alias("modified"), F.when(~kind, F.sha2("payload", 256)).alias("digest"), "headers")

@@ -2,10 +2,13 @@
 
 import gzip
 import random
+import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import oracle
 from tallyhound.llm import best_fit, language_id, piece_transducer, qalsh, quality_ftrl, queries, warc_revisit
@@ -71,6 +74,64 @@ def test_quality_held_out(spark, sf):
     assert kept.columns == d.columns and kept.count() == quality_ftrl.score(d, weights).filter("predicted = 1").count()
 
 
+def test_ftrl_matches_a_plain_one():
+    """The same updates over dense vectors, one coordinate at a time."""
+    rng, bits = random.Random(2), 4
+    rows = []
+    for _ in range(40):
+        slots = sorted(rng.sample(range(16), rng.randint(0, 6)))
+        rows.append((np.array(slots, "int64"), np.array([rng.random() for _ in slots], "float32"), rng.randint(0, 1)))
+    alpha, beta, l1, l2 = 0.5, 1.0, 0.02, 1e-4
+    z, n = [0.0] * 17, [0.0] * 17
+
+    def weight(k):
+        if abs(z[k]) <= l1:
+            return 0.0
+        return -(z[k] - (l1 if z[k] > 0 else -l1)) / ((beta + n[k] ** 0.5) / alpha + l2)
+
+    for epoch in range(3):
+        for k in np.random.default_rng(epoch).permutation(len(rows)):
+            x = [0.0] * 16 + [1.0]
+            for s, v in zip(rows[k][0], rows[k][1], strict=True):
+                x[s] = float(v)
+            p = 1 / (1 + np.exp(-sum(weight(j) * x[j] for j in range(17))))
+            steps = []
+            for j in range(17):
+                g = (p - rows[k][2]) * x[j]
+                steps.append((j, g, ((n[j] + g * g) ** 0.5 - n[j] ** 0.5) / alpha, weight(j)))
+            for j, g, sigma, w in steps:
+                z[j] += g - sigma * w
+                n[j] += g * g
+    assert np.allclose(quality_ftrl.train_ftrl(rows, bits, epochs=3), [weight(k) for k in range(17)], atol=1e-5)
+
+
+def test_mixture_matches_a_plain_one():
+    """The same growth of the set, with a long expectation-maximisation for every possible next language."""
+    rng = np.random.default_rng(4)
+    likelihood = rng.dirichlet(np.full(30, 0.2), 4) + 1e-4
+    likelihood /= likelihood.sum(axis=1, keepdims=True)
+    for shares in ([1, 0, 0, 0], [0.5, 0.5, 0, 0], [0.4, 0.3, 0.3, 0], [0, 0, 0.8, 0.2]):
+        counts = rng.multinomial(3000, np.array(shares) @ likelihood).astype("float64")
+        got = language_id.mixture(np.log(likelihood), counts, rounds=200)
+        best, price = None, 4.0 * np.log(counts.sum() + 1)
+        chosen: list[int] = []
+        while len(chosen) < 4:
+            tried = []
+            for k in set(range(4)) - set(chosen):
+                some, pi = likelihood[[*chosen, k]], np.full(len(chosen) + 1, 1 / (len(chosen) + 1))
+                for _ in range(500):
+                    joint = pi[:, None] * some
+                    pi = (joint / joint.sum(axis=0)) @ counts / counts.sum()
+                tried.append((float(np.log(pi @ some) @ counts), k, pi))
+            value, k, pi = max(tried, key=lambda x: x[0])
+            if best is not None and value - best[0] <= price:
+                break
+            chosen.append(k)
+            best = (value, dict(zip(chosen, pi.tolist(), strict=True)))
+        assert set(got) == set(best[1]) and all(got[k] == pytest.approx(v, abs=0.01) for k, v in best[1].items())
+        assert {k for k, v in enumerate(shares) if v} == set(got)
+
+
 def test_quality_odd_rows(spark):
     none = spark.createDataFrame([(1, None)], "doc_id long, quality int")
     weights = quality_ftrl.fit(docs(spark, WEIRD), none)
@@ -88,7 +149,7 @@ def test_language_held_out(spark):
 def test_language_mixture_and_odd_rows(spark, prose):
     langs, logs = language_id.fit(prose)
     texts = {lang: prose.filter(f"lang = '{lang}'").orderBy("doc_id").first().text[:800] for lang in langs[:2]}
-    rows = spark.createDataFrame([(0, " ".join(texts.values()), "x"), (1, None, "x"), (2, " 12 !", "x"), (None, texts[langs[0]], "x")], "doc_id long, text string, lang_pred string")
+    rows = spark.createDataFrame([(0, " ".join(texts.values()), "x"), (1, None, "x"), (2, " 12 ! ½ ² ①", "x"), (None, texts[langs[0]], "x")], "doc_id long, text string, lang_pred string")
     got = {r.doc_id: r for r in language_id.predict(rows, langs, logs).collect()}
     assert {x.split(":")[0] for x in got[0].languages.split(",")} == set(langs[:2])
     assert got[1].lang_pred == got[2].lang_pred == "und" and got[None].lang_pred == langs[0]
@@ -106,15 +167,93 @@ def test_piece_transducer_matches_the_library(spark, prose):
     texts = [x or "" for x in WEIRD] + ["".join(rng.choice(pieces) for _ in range(9)).replace("▁", " ") for _ in range(1500)] + ["".join(rng.choice("abcdeinrst .,") for _ in range(30)) for _ in range(1500)] + ["  a  b ", " ", "▁x ▁", "𝄞"]
     texts += [r.text for r in prose.limit(60).collect()]
     for x in texts:
-        raw = t.encode(x)
-        assert np.frombuffer(raw, "<u4").tolist() == sp.encode(x), x
-        assert t.decode(raw) == sp.decode(sp.encode(x))
+        ids = t.encode(x)
+        assert ids.tolist() == sp.encode(x), x
+        assert t.decode(ids) == sp.decode(sp.encode(x))
+    assert [x.tolist() for x in t.ids_of(pa.array(texts))] == sp.encode(texts)
     coded = piece_transducer.encode_documents(docs(spark, texts[:40]), path)
     assert {r.text for r in piece_transducer.decode_ids(coded, path).collect()} == {x.replace("▁", " ") for x in texts[:40]}
     got = piece_transducer.round_trip(docs(spark, WEIRD), path).collect()
     assert len(got) == len(WEIRD) and all(r.same for r in got)
 
 
+def message(*fields):
+    """A protocol buffer message of (number, value): texts, bytes, floats and whole numbers."""
+
+    def number(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    out = b""
+    for key, value in fields:
+        if isinstance(value, float):
+            out += number(key << 3 | 5) + struct.pack("<f", value)
+        elif isinstance(value, int):
+            out += number(key << 3) + number(value)
+        else:
+            raw = value.encode() if isinstance(value, str) else value
+            out += number(key << 3 | 2) + number(len(raw)) + raw
+    return out
+
+
+def character_map(rules):
+    """A double array of the rules' keys, each node's children where they all fit."""
+    texts, places = b"", {}
+    for value in rules.values():
+        places[value] = len(texts)
+        texts += value.encode() + b"\0"
+    trie = {}
+    for key, value in rules.items():
+        node = trie
+        for b in key.encode():
+            node = node.setdefault(b, {})
+        node[-1] = places[value]
+    units, used = [0] * 4096, {0}
+
+    def place(node, at):
+        labels = [0 if b == -1 else b for b in node]
+        base = next(k for k in range(1, 4000) if all(k ^ b not in used and k ^ b < 4096 for b in labels) and k ^ at)
+        used.update(base ^ b for b in labels)
+        units[at] |= (base ^ at) << 10 | (256 if -1 in node else 0)
+        for b, child in node.items():
+            if b == -1:
+                units[base] = child | 1 << 31
+            else:
+                units[base ^ b] = b
+                place(child, base ^ b)
+
+    place(trie, 0)
+    raw = struct.pack("<4096I", *units)
+    return struct.pack("<I", len(raw)) + raw + texts
+
+
+def unigram_model(rules, bytes_too, trims):
+    rng = random.Random(5)
+    texts = ["▁", "▁a", "▁ab", "a", "b", "c", "ab", "ba", "abc", "bca", "▁c", "cab", "é", "fi", "aa", "ca"]
+    pieces = [message((1, "<unk>"), (2, 0.0), (3, 2)), message((1, "<s>"), (2, 0.0), (3, 3)), message((1, "</s>"), (2, 0.0), (3, 3))]
+    pieces += [message((1, f"<0x{k:02X}>"), (2, 0.0), (3, 6)) for k in range(256)] if bytes_too else []
+    pieces += [message((1, "<give>"), (2, 0.0), (3, 4))]
+    pieces += [message((1, t), (2, -1.0 - 9 * rng.random()), (3, 1)) for t in texts]
+    trainer = message((3, 1), (35, int(bytes_too)), (40, 0), (41, 1), (42, 2))
+    normal = message((1, "own"), (2, character_map(rules) if rules else b""), (3, 1), (4, int(trims)), (5, 1))
+    return b"".join(message((1, p)) for p in pieces) + message((2, trainer), (3, normal))
+
+
+@pytest.mark.parametrize(("rules", "bytes_too", "trims"), [({}, True, False), ({}, False, True), ({"A": "a", "ﬁ": "fi", "e\u0301": "é", "\t": " ", "B": "b", "\u00a0": " ", "x": ""}, True, True), ({"AB": "abc", "A": "a"}, False, True)])
+def test_unigram_models_and_normalisers_match_the_library(rules, bytes_too, trims):
+    import sentencepiece
+
+    model = unigram_model(rules, bytes_too, trims)
+    t, sp = piece_transducer.PieceTransducer(model), sentencepiece.SentencePieceProcessor(model_proto=model)
+    rng = random.Random(1)
+    texts = ["", " ", "abcab", "  ab  c ", "ABab", "a<give>b", "zz a", "ﬁe\u0301x"] + ["".join(rng.choices("abcABx é\t\u00a0zﬁ", k=rng.randint(1, 25))) for _ in range(600)]
+    for x in texts:
+        assert t.encode(x).tolist() == sp.encode(x), x
+        assert t.decode(t.encode(x)) == sp.decode(sp.encode(x)), x
+
+
 def test_nearest_recall_and_odd_rows(spark):
     rng = np.random.default_rng(1)
     x = (rng.normal(size=(3000, 16)) + rng.integers(0, 4, (3000, 1)) * 2).astype("float32")
@@ -178,6 +317,27 @@ def test_warc_files_and_revisits(spark, tmp_path):
     assert sorted(r.status for r in got.values()) == ["mismatch", "orphan", "resolved", "response"]
 
 
+def test_broken_warc_files(spark, tmp_path):
+    good = warc("response", "http://a.org/", "2024-01-01T00:00:00Z", 200, {"Transfer-Encoding": "chunked"}, b"3\r\nabc\r\n2;x\r\nde\r\n0\r\n\r\n")
+    bad = good.replace(b"Content-Length: ", b"Content-Length: abc")
+    part, moved = warc("response", "http://b.org/", "2024-01-02T00:00:00Z", 206, {}, b"x"), warc("response", "http://b.org/", "2024-01-03T00:00:00Z", 503, {}, b"x")
+    (tmp_path / "a.warc").write_bytes(bad + good + part + moved)
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(good) + gzip.compress(good)[:-40])
+    (tmp_path / "c.warc").write_bytes(good + good[:-30])
+    (tmp_path / "d.warc").write_bytes(b"")
+    records = warc_revisit.read_warc(spark, str(tmp_path)).collect()
+    assert sorted(r.file[-6:] for r in records) == ["a.warc", "a.warc", "a.warc", "arc.gz", "c.warc"]
+    assert {r.payload for r in records if r.uri == "http://a.org/"} == {b"abcde"}
+    captures = warc_revisit.captures_of(warc_revisit.read_warc(spark, str(tmp_path)))
+    assert {r.url for r in captures.collect()} == {"http://a.org/"}
+
+
+def test_packing_of_null_and_repeated_ids_is_dealt(spark):
+    rows = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), (F.col("id") % 50 + 1).alias("length"), F.lit(1).cast("long").alias("ids_crc32"))
+    groups = [r["n"] for r in best_fit.pack(rows, 64, group_rows=500).groupBy(F.shiftright("sequence_id", 32)).agg(F.count("*").alias("n")).collect()]
+    assert sum(groups) == 3000 and len(groups) == 6 and max(groups) < 800
+
+
 def test_warc_odd_rows(spark):
     schema = "id long, url string, ts timestamp, is_revisit boolean, etag string, modified string, digest string, headers map<string,string>, status string, range int"
     rows = [(1, None, None, False, None, None, None, None, "s", 1), (2, None, None, True, None, None, None, None, "s", 1), (3, "", None, None, None, None, "d", {}, "s", 1), (4, "", None, True, None, None, None, {}, "s", 1), (4, "", None, True, None, None, None, {}, "s", 1)]
