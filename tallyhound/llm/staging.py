@@ -14,6 +14,8 @@ import weakref
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Pages and row groups of long texts stay below what the JVM's collector treats as humongous objects.
+SMALL_PAGES = {"compression": "zstd", "parquet.page.size": str(1 << 18), "parquet.block.size": str(16 << 20)}
 _STAGED: dict[str, list[str]] = {}
 _PATHS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
@@ -37,7 +39,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     _STAGED.setdefault(spark.sparkContext.applicationId, []).append(path)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(**SMALL_PAGES).parquet(path)
     # Spark removes shuffle files once their plan is collected, else only at spark.cleaner.periodicGC.interval
     spark._jvm.System.gc()
     staged = spark.read.schema(df.schema).parquet(path)
