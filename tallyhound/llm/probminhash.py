@@ -134,8 +134,10 @@ def distances(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     t = texts.select("key", "text")
     dealt = pairs.groupBy("key", "p").agg(F.max("m").alias("m"))
     dealt = dealt.withColumn("s", F.pmod(F.xxhash64("key"), F.ceil(F.col("m") / SLICE)))
+    # what is joined with texts grows with the corpus, so it is never broadcast
+    dealt = dealt.hint("merge")
     members = dealt.join(t, "key").select("p", "s", "key", "text")
-    pivots = dealt.select(F.col("p").alias("pivot"), F.col("s").alias("slice")).distinct().join(t.select(F.col("key").alias("pivot"), F.col("text").alias("pivot_text")), "pivot")
+    pivots = dealt.select(F.col("p").alias("pivot"), F.col("s").alias("slice")).distinct().hint("merge").join(t.select(F.col("key").alias("pivot"), F.col("text").alias("pivot_text")), "pivot")
 
     def measure(left: pa.Table, right: pa.Table) -> pa.Table:
         """left: a pivot's text, right: a slice of its members."""
@@ -208,7 +210,7 @@ def near_links(reps: DataFrame, docs: DataFrame, similarity: float, pivots: int,
     entries = reps.select("key", F.explode("bands").alias("bucket"))
     shared = entries.groupBy("bucket").agg(F.min("key").alias("p"), F.count("*").alias("m")).filter("m > 1")
     members = stage(entries.join(shared, "bucket").select("bucket", "key", "p", "m"), "buckets")
-    texts = stage(docs.join(members.select("key").distinct(), "key", "left_semi").select("key", "text"), "candidates")
+    texts = stage(docs.join(members.select("key").distinct().hint("merge"), "key", "left_semi").select("key", "text"), "candidates")
 
     pairs = members.filter("key <> p")
     d = stage(distances(pairs, texts), "distances")
@@ -223,7 +225,7 @@ def near_links(reps: DataFrame, docs: DataFrame, similarity: float, pivots: int,
         return links
     found = components(left.select("key", "head"), "key", "head")
     rooted = left.join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    whole = rooted.groupBy("root", "key").agg(F.min("pivot").alias("pivot")).join(texts, "key")
+    whole = rooted.groupBy("root", "key").agg(F.min("pivot").alias("pivot")).hint("merge").join(texts, "key")
     sizes = whole.groupBy("root").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
     sizes = stage(sizes, "open-sizes")
     small = sizes.filter((F.col("n") > 1) & (F.col("n") <= most_docs) & (F.col("bytes") <= most_bytes)).select("root")
