@@ -12,27 +12,44 @@ def latest_per_key(frame: DataFrame, keys: list[str], order: list[Column]) -> Da
     return frame.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
 
 
+def running(frame: DataFrame, order: list[Column], sums: dict[str, str], by: list[str] | None = None) -> DataFrame:
+    """Running totals ``sums`` (source: target) in a total order, for each value of ``by``; and the totals as
+    ``target_total``. Ranges of the order are summed on their own and shifted by those before them: no task gets all
+    rows, and what is broadcast has one row a range."""
+    from tallyhound.operators.graph import checkpointed
+
+    by = by or []
+    ranged = checkpointed(frame.repartitionByRange(*by, *order).withColumn("_range", F.spark_partition_id()))
+    parts = ranged.groupBy(*by, "_range").agg(*(F.sum(s).alias(f"_{t}") for s, t in sums.items()))
+    key = Window.partitionBy(*by)
+    earlier = key.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = parts.select(*by, "_range", *(F.coalesce(F.sum(f"_{t}").over(earlier), F.lit(0)).alias(f"_{t}") for t in sums.values()), *(F.sum(f"_{t}").over(key).alias(f"{t}_total") for t in sums.values()))
+    upto = Window.partitionBy(*by, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = ranged.withColumns({t: F.sum(s).over(upto) for s, t in sums.items()})
+    out = local.join(F.broadcast(shifts), [*by, "_range"])
+    return out.withColumns({t: F.col(t) + F.col(f"_{t}") for t in sums.values()}).drop("_range", *(f"_{t}" for t in sums.values()))
+
+
 def percentile_ranks(frame: DataFrame, columns: dict[str, str], single: bool = False) -> DataFrame:
     """Average-rank percentiles (0 to 100) of ``columns`` (source: target), nulls as 0.
 
-    Values are counted first, so the ordered pass sees one row a distinct value, not one a row; the
-    result is joined back by value. ``single``: a frame of one row scores 100 if positive, else 0.
+    Values of all columns are counted first and ranked in one pass over ranges of them; the result is joined back by
+    value. ``single``: a frame of one row scores 100 if positive, else 0.
     """
     from tallyhound.operators.graph import checkpointed
 
-    if len(columns) > 1:
-        frame = checkpointed(frame)  # read once for each column below
+    frame = checkpointed(frame)  # read once for each column below
     value = {s: F.coalesce(F.col(s).cast("double"), F.lit(0.0)) for s in columns}
+    pairs = frame.select(F.explode(F.array(*(F.struct(F.lit(s).alias("_c"), value[s].alias("_v")) for s in columns))).alias("p")).select("p.*")
+    counts = running(pairs.groupBy("_c", "_v").agg(F.count("*").alias("_n")), [F.asc("_v")], {"_n": "_upto"}, ["_c"])
+    percent = (F.col("_upto") - (F.col("_n") - 1) / 2) / F.col("_upto_total") * 100
+    if single:
+        percent = F.when(F.col("_upto_total") == 1, F.when(F.col("_v") > 0, 100.0).otherwise(0.0)).otherwise(percent)
+    ranks = checkpointed(counts.select("_c", "_v", percent.alias("_percent")))
     out = frame
     for source, target in columns.items():
-        counts = frame.groupBy(value[source].alias("_v")).agg(F.count("*").alias("_n"))
-        upto = F.sum("_n").over(Window.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
-        total = F.sum("_n").over(Window.partitionBy())
-        percent = (upto - (F.col("_n") - 1) / 2) / total * 100
-        if single:
-            percent = F.when(total == 1, F.when(F.col("_v") > 0, 100.0).otherwise(0.0)).otherwise(percent)
-        ranks = counts.select("_v", percent.alias(target))
-        out = out.withColumn("_v", value[source]).join(ranks, "_v", "left").drop("_v")
+        mine = ranks.filter(F.col("_c") == source).select("_v", F.col("_percent").alias(target))
+        out = out.withColumn("_v", value[source]).join(mine, "_v", "left").drop("_v")
     return out
 
 

@@ -235,9 +235,41 @@ def account_evidence(cases: DataFrame, scores: DataFrame, anomalies: DataFrame,
 def risk_drivers(scored: DataFrame, c: EvidenceConfig = EvidenceConfig()) -> DataFrame:
     """case_id, drivers: components at or above the high mark, highest first, then by name."""
     names = ("alert_risk_score", "account_risk_score", "graph_risk_score", "anomaly_risk_score", "typology_diversity_score", "evidence_value_score")
-    every = F.array(*[F.struct((-F.round(F.col(n), 6)).alias("order"), F.lit(n).alias("driver"), F.round(F.col(n), 6).alias("score"), F.when(F.col(n) >= c.critical, "critical").otherwise("high").alias("level")) for n in names])
-    high = F.array_sort(F.filter(every, lambda x: x["score"] >= c.high))
-    return scored.select("case_id", F.transform(high, lambda x: F.struct(x["driver"].alias("driver"), x["score"].alias("score"), x["level"].alias("level"))).alias("drivers"))
+    every = F.array(*[_driver(n, F.round(F.col(n), 6), F.when(F.col(n) >= c.critical, "critical").otherwise("high"), n.replace("_", " ")) for n in names])
+    return scored.select("case_id", _ordered_drivers(F.filter(every, lambda x: x["score"] >= c.high)).alias("drivers"))
+
+
+def _driver(name: str, score: Column, level: Column, label: str) -> Column:
+    return F.struct((-score).alias("order"), F.lit(name).alias("driver"), score.alias("score"), level.alias("level"), F.lit(label).alias("label"))
+
+
+def _ordered_drivers(drivers: Column) -> Column:
+    return F.transform(F.array_sort(drivers), lambda x: F.struct(x["driver"].alias("driver"), x["score"].alias("score"), x["level"].alias("level"), x["label"].alias("label")))
+
+
+def evidence_drivers(dense: int = 5) -> Column:
+    """A pack's drivers with those that its evidence gives, highest first, then by name. ``dense``: how many transactions
+    are dense evidence."""
+    high, anomaly = F.lit("high"), F.col("account_evidence.max_anomaly_score")
+    severe = F.coalesce(F.col("typology_evidence.severity_counts.high") + F.col("typology_evidence.severity_counts.critical"), F.lit(0)) > 0
+    found = F.array_compact(F.array(
+        F.when(severe, _driver("alert_severity", F.lit(75.0), high, "high severity alerts")), F.when(F.col("transaction_evidence.transaction_count") >= dense, _driver("evidence_count", F.lit(75.0), high, "dense transaction evidence")),
+        F.when(F.exists("graph_evidence.accounts", lambda x: x["cycle_count"] > 0), _driver("graph_cycles", F.lit(75.0), high, "cycle activity")), F.when(anomaly >= 75, _driver("anomaly_score", F.round(anomaly.cast("double"), 6), high, "high anomaly account")),
+    ))
+    own = F.transform(F.coalesce("drivers", F.array().cast("array<struct<driver:string,score:double,level:string,label:string>>")), lambda x: F.struct((-x["score"]).alias("order"), x["driver"].alias("driver"), x["score"].alias("score"), x["level"].alias("level"), x["label"].alias("label")))
+    return _ordered_drivers(F.concat(own, found))
+
+
+def review_focus() -> Column:
+    """What an analyst is told to look at, in this order."""
+    return F.array_compact(F.array(
+        F.when(F.array_contains(F.transform("typology_evidence.typologies", F.lower), "circular_flow"), "Review circular flow transaction chain."),
+        F.when(F.col("transaction_evidence.max_value") > 0, "Verify legitimacy of high-value counterparties."),
+        F.when(F.size("graph_evidence.accounts") > 0, "Inspect graph community and proximity to flagged activity."),
+        F.when(F.size("account_evidence.accounts") > 0, "Compare account activity against customer profile and account risk score."),
+        F.when(F.exists("drivers", lambda x: x["driver"] == "anomaly_score"), "Review high anomaly accounts and behavioural deviation."),
+        F.when(F.col("alert_evidence.alert_count") > 1, "Review repeated alerts and shared reason codes."),
+    ))
 
 
 def chronology(cases: DataFrame, alerts: DataFrame, transactions: DataFrame) -> DataFrame:
@@ -252,12 +284,9 @@ def evidence_packs(cases: DataFrame, alerts: DataFrame, transactions: DataFrame,
     out = cases.select("case_id", "primary_account_id", "severity", "priority_score", "status", "summary")
     for part in (alert_evidence(cases, alerts, c), transaction_evidence(cases, transactions, c), account_evidence(cases, scores, anomalies, graph, c), risk_drivers(case_scores, c), case_scores.select("case_id", "case_risk_score", F.col("risk_band").alias("case_risk_band"))):
         out = out.join(part, "case_id", "left")
-    focus = F.array_compact(F.array(
-        F.when(F.size("typology_evidence.typologies") > 1, "Review the combination of typologies"), F.when(F.col("transaction_evidence.country_count") > 1, "Review cross-border movement"),
-        F.when(F.col("account_evidence.account_count") > 1, "Review related accounts"), F.when(F.col("graph_evidence.cycles") > 0, "Review circular movement"), F.when(F.size("drivers") > 0, "Review the risk drivers"),
-    ))
+    out = out.withColumn("drivers", evidence_drivers())
     quality = F.struct(*[F.coalesce(F.col(x), F.lit(0)).cast("long").alias(n) for x, n in (("alert_evidence.alert_count", "alerts"), ("transaction_evidence.transaction_count", "transactions"), ("account_evidence.account_count", "accounts"))], F.col("case_risk_score").isNotNull().alias("scored"))
-    out = out.withColumns({"recommended_review_focus": focus, "evidence_quality": quality, "evidence_version": F.lit(c.version)})
+    out = out.withColumns({"recommended_review_focus": review_focus(), "evidence_quality": quality, "evidence_version": F.lit(c.version)})
     return out.withColumns({"explanation_text": explanation_text(), "explanation_bullets": explanation_bullets()})
 
 

@@ -12,9 +12,10 @@ import uuid
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyhound.functions.analytic import global_rank
 from tallyhound.operators.rules import simple_cycles
 
 
@@ -53,14 +54,19 @@ def vertices(accounts: DataFrame, transactions: DataFrame, alerts: DataFrame | N
     return every.groupBy("id", "label").agg(F.max("severity").alias("severity"), (F.min("p") == 0).alias("explicit"))
 
 
-def edges(accounts: DataFrame, transactions: DataFrame, alerts: DataFrame | None = None) -> DataFrame:
-    """The eight relationship types, distinct, both ends present."""
+def edges(accounts: DataFrame, transactions: DataFrame, alerts: DataFrame | None = None, customers: DataFrame | None = None, counterparties: DataFrame | None = None) -> DataFrame:
+    """The eight relationship types, distinct, both ends present. A transaction is located in one country, its destination
+    if it has one, else its origin; a customer in its jurisdiction."""
     e = lambda frame, kind, src, dst: frame.select(F.col(src).alias("src"), F.col(dst).alias("dst"), F.lit(kind).alias("type"))
     parts = [
         e(accounts, "OWNS", "customer_id", "account_id"), e(transactions, "SENT", "sender_account_id", "transaction_id"), e(transactions, "RECEIVED", "transaction_id", "receiver_account_id"),
-        e(transactions, "PAID_TO", "transaction_id", "counterparty_id"), e(accounts, "LOCATED_IN", "account_id", "home_country"), e(transactions, "LOCATED_IN", "transaction_id", "origin_country"),
-        e(transactions, "LOCATED_IN", "transaction_id", "destination_country"),
+        e(transactions, "PAID_TO", "transaction_id", "counterparty_id"), e(accounts, "LOCATED_IN", "account_id", "home_country"),
+        e(transactions.withColumn("_country", F.coalesce("destination_country", "origin_country")), "LOCATED_IN", "transaction_id", "_country"),
     ]
+    if customers is not None:
+        parts.append(e(customers, "LOCATED_IN", "customer_id", "jurisdiction"))
+    if counterparties is not None:
+        parts.append(e(counterparties, "LOCATED_IN", "counterparty_id", "country_code"))
     if alerts is not None:
         parts += [e(alerts, "FLAGS_ACCOUNT", "alert_id", "account_id"), e(alerts.select("alert_id", F.explode("evidence_ids").alias("tx")), "INVOLVES_TRANSACTION", "alert_id", "tx"), e(alerts, "TRIGGERS", "account_id", "alert_id")]
     return reduce(DataFrame.unionByName, parts).filter(F.col("src").isNotNull() & F.col("dst").isNotNull()).distinct()
@@ -119,8 +125,9 @@ def degrees(simple: DataFrame, accounts: DataFrame) -> DataFrame:
     return zero_filled(accounts, d)
 
 
-def pagerank(simple: DataFrame, alpha: float = 0.85, rounds: int = 20) -> DataFrame:
-    """account_id, pagerank_score after ``rounds`` rounds; dangling mass is shared evenly.
+def pagerank(simple: DataFrame, alpha: float = 0.85, rounds: int | None = None, tolerance: float = 1e-6, most_rounds: int = 100) -> DataFrame:
+    """account_id, pagerank_score after ``rounds`` rounds, or, by default, once all scores together move by less than
+    ``tolerance`` a node (an error after ``most_rounds``); dangling mass is shared evenly.
 
     The link table is partitioned by source once and kept; a round is one join on it and one aggregate."""
     out = simple.groupBy("src").agg(F.count("*").alias("out"))
@@ -130,17 +137,27 @@ def pagerank(simple: DataFrame, alpha: float = 0.85, rounds: int = 20) -> DataFr
     if n == 0:
         return nodes.select(F.col("id").alias("account_id"), F.lit(0.0).alias("pagerank_score"))
     rank = nodes.select("id", "out", F.lit(1.0 / n).alias("r"))
-    for _ in range(rounds):
+    for turn in range(rounds or most_rounds):
+        before = rank
         sums = links.join(rank.select(F.col("id").alias("src"), "r"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("r") / F.col("out")).alias("s"))
         lost = F.broadcast(rank.agg(F.coalesce(F.sum(F.when(F.col("out").isNull(), F.col("r"))), F.lit(0.0)).alias("lost")))
         # ranks are read twice a round, for the sums and for the lost mass, so each round is written
         rank = checkpointed(nodes.join(sums, "id", "left").crossJoin(lost).select("id", "out", ((1 - alpha) / n + alpha * (F.coalesce("s", F.lit(0.0)) + F.col("lost") / n)).alias("r")))
+        if rounds is None:
+            moved = rank.join(before.select("id", F.col("r").alias("b")), "id").agg(F.sum(F.abs(F.col("r") - F.col("b")))).first()[0]
+            if moved < n * tolerance:
+                break
+    else:
+        if rounds is None:
+            raise ValueError(f"scores still move after {most_rounds} rounds")
+    links.unpersist()
+    nodes.unpersist()
     return rank.select(F.col("id").alias("account_id"), F.col("r").alias("pagerank_score"))
 
 
 def component_roots(simple: DataFrame) -> DataFrame:
     """id, root: the smallest id of each weakly connected component, by min-label spreading with shortcuts."""
-    both = simple.select("src", "dst").unionByName(simple.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct().persist()
+    both = checkpointed(simple.select("src", "dst").unionByName(simple.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
     label = both.groupBy(F.col("src").alias("id")).agg(F.least(F.min("dst"), F.first("src")).alias("root"))
     label = checkpointed(label)
     before = None
@@ -160,7 +177,7 @@ def communities(simple: DataFrame, accounts: DataFrame) -> DataFrame:
     roots = component_roots(simple)
     named = roots.join(accounts.select(F.col("account_id").alias("id"), F.lit(1).alias("is_account")), "id", "left")
     per = named.groupBy("root").agg(F.count("*").alias("graph_component_size"), F.count("is_account").alias("community_size"), F.coalesce(F.min(F.when(F.col("is_account") == 1, F.col("id"))), F.min("id")).alias("first"))
-    per = per.withColumn("community_id", F.row_number().over(Window.orderBy("first")))  # one row a component
+    per = global_rank(per, [F.asc("first")], "community_id").withColumn("community_id", F.col("community_id").cast("int"))
     return named.filter("is_account = 1").join(per, "root").select(F.col("id").alias("account_id"), "community_id", "community_size", "graph_component_size")
 
 
@@ -328,9 +345,9 @@ def merged(accounts: DataFrame, frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def graph_features(accounts: DataFrame, transactions: DataFrame, alerts: DataFrame, exact_betweenness: bool = True, most_sources: int | None = None) -> DataFrame:
+def graph_features(accounts: DataFrame, transactions: DataFrame, alerts: DataFrame, exact_betweenness: bool = True, most_sources: int | None = None, customers: DataFrame | None = None, counterparties: DataFrame | None = None) -> DataFrame:
     """All account graph features. Betweenness is exact; for large graphs ``most_sources`` bounds its sources."""
-    every = edges(accounts, transactions, alerts)
+    every = edges(accounts, transactions, alerts, customers, counterparties)
     flow = flow_edges(transactions)
     simple = flow.filter("dst_label = 'Account'").select("src", "dst").distinct()
     frames = [degrees(simple, accounts), zero_filled(accounts, pagerank(simple)), communities(simple, accounts), clustering(simple, accounts), cycle_counts(simple, accounts), flow_features(flow, accounts), alert_proximity(every, alerts, accounts)]

@@ -8,6 +8,7 @@ list is built for the windows that lose. Accounts with too few candidates for an
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -389,12 +390,24 @@ def detect_circular_flow(transactions: DataFrame, c: CircularFlow = CircularFlow
 
 
 def attach_customers(detections: DataFrame, accounts: DataFrame) -> DataFrame:
-    """Left join by account; accounts are one row each, so the larger side is never multiplied."""
-    one = accounts.groupBy(identifier(F.col("account_id")).alias("account_id")).agg(F.max("customer_id").alias("customer_id"))
+    """Left join by account, of which the last row counts: the newest by the columns that say so, else the last read. The
+    larger side is never multiplied."""
+    said = [c for c in ("updated_at", "ingested_at", "raw_record_id") if c in accounts.columns]
+    last = F.struct(*(said or ["_read"]))
+    one = accounts.withColumn("_read", F.monotonically_increasing_id()).groupBy(identifier(F.col("account_id")).alias("account_id")).agg(F.max_by("customer_id", last).alias("customer_id"))
     return detections.join(one, "account_id", "left")
 
 
-def count_reason(count: Column, unit: str, window: int, window_unit: str) -> Column:
+def templated(template: str, **values: Column) -> Column:
+    """A template's text with {name} replaced by values."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*(F.lit(x) if k % 2 == 0 else values[x].cast("string") for k, x in enumerate(parts)))
+
+
+# The reasons' wording.
+def count_reason(count: Column, unit: str, window: int, window_unit: str, template: str | None = None) -> Column:
+    if template is not None:
+        return templated(template, count=count, unit_label=F.lit(unit), window_value=F.lit(window), window_unit=F.lit(window_unit))
     return F.concat(count.cast("string"), F.lit(f" {unit} within {window} {window_unit}"))
 
 

@@ -96,7 +96,8 @@ UNION ALL SELECT origin_country, 'Country', NULL, 1 FROM {tx} UNION ALL SELECT d
 CTES["v"] = "SELECT id, label, max(severity) AS severity, min(p) = 0 AS explicit FROM {v0} WHERE id IS NOT NULL GROUP BY id, label"
 CTES["e0"] = """
 SELECT customer_id AS src, account_id AS dst, 'OWNS' AS type FROM {acc} UNION ALL SELECT sender_account_id, transaction_id, 'SENT' FROM {tx} UNION ALL SELECT transaction_id, receiver_account_id, 'RECEIVED' FROM {tx} UNION ALL SELECT transaction_id, counterparty_id, 'PAID_TO' FROM {tx}
-UNION ALL SELECT account_id, home_country, 'LOCATED_IN' FROM {acc} UNION ALL SELECT transaction_id, origin_country, 'LOCATED_IN' FROM {tx} UNION ALL SELECT transaction_id, destination_country, 'LOCATED_IN' FROM {tx}
+UNION ALL SELECT account_id, home_country, 'LOCATED_IN' FROM {acc} UNION ALL SELECT transaction_id, coalesce(destination_country, origin_country), 'LOCATED_IN' FROM {tx}
+UNION ALL SELECT customer_id, min(home_country), 'LOCATED_IN' FROM {acc} GROUP BY customer_id UNION ALL SELECT counterparty_id, min(origin_country), 'LOCATED_IN' FROM {tx} GROUP BY counterparty_id
 UNION ALL SELECT alert_id, account_id, 'FLAGS_ACCOUNT' FROM {al1} UNION ALL SELECT alert_id, unnest(evidence_ids), 'INVOLVES_TRANSACTION' FROM {al1} UNION ALL SELECT account_id, alert_id, 'TRIGGERS' FROM {al1}"""
 CTES["e"] = "SELECT DISTINCT * FROM {e0} WHERE src IS NOT NULL AND dst IS NOT NULL"
 CTES["fl"] = "SELECT src, dst, dst_label, sum(amount) AS amount, count(*) AS transaction_count FROM (SELECT sender_account_id AS src, receiver_account_id AS dst, 'Account' AS dst_label, amount FROM {tx} WHERE receiver_account_id IS NOT NULL UNION ALL SELECT sender_account_id, counterparty_id, 'Counterparty', amount FROM {tx}) GROUP BY ALL"
@@ -104,6 +105,12 @@ CTES["sg"] = "SELECT DISTINCT src, dst FROM {fl} WHERE dst_label = 'Account'"
 CTES["so"] = "SELECT DISTINCT sender_account_id AS src, receiver_account_id AS dst FROM {txo} WHERE transaction_type = 'transfer' AND amount >= 250000"
 
 
+def _edges(a, t, al):
+    """All edges, with the customers and counterparties that the accounts and transactions name."""
+    customers = a.groupBy("customer_id").agg(F.min("home_country").alias("jurisdiction"))
+    return graph.edges(a, t, al, customers, t.groupBy("counterparty_id").agg(F.min("origin_country").alias("country_code")))
+
+
 def _alerts(spark, d):
     return rules.structuring_alerts(tables.event_transactions(spark, d), tables.event_accounts(spark, d), STRUCTURING)
 
@@ -124,19 +131,19 @@ def _(spark, d):
 
 @query("graph_edges", "SELECT src, dst, type FROM {e}")
 def _(spark, d):
-    return graph.edges(tables.event_accounts(spark, d), tables.event_transactions(spark, d), _alerts(spark, d))
+    return _edges(tables.event_accounts(spark, d), tables.event_transactions(spark, d), _alerts(spark, d))
 
 
 @query("graph_edges_matched", "SELECT type, count(*) AS edges FROM {e} WHERE src IN (SELECT id FROM {v}) AND dst IN (SELECT id FROM {v}) GROUP BY type")
 def _(spark, d):
     a, t, al = tables.event_accounts(spark, d), tables.event_transactions(spark, d), _alerts(spark, d)
-    return graph.matched_edges(graph.edges(a, t, al), graph.vertices(a, t, al, tables.countries(spark, d))).groupBy("type").agg(F.count("*").alias("edges"))
+    return graph.matched_edges(_edges(a, t, al), graph.vertices(a, t, al, tables.countries(spark, d))).groupBy("type").agg(F.count("*").alias("edges"))
 
 
 @query("graph_load_reconciliation", "SELECT 'node' AS kind, label AS name, count(*) AS expected, count(*) AS actual, true AS matches FROM {v} GROUP BY label UNION ALL SELECT 'edge', type, count(*), count(*) FILTER (src <> 'CUST_0'), count(*) = count(*) FILTER (src <> 'CUST_0') FROM {e} GROUP BY type")
 def _(spark, d):
     a, t, al = tables.event_accounts(spark, d), tables.event_transactions(spark, d), _alerts(spark, d)
-    v, e = graph.vertices(a, t, al, tables.countries(spark, d)), graph.edges(a, t, al)
+    v, e = graph.vertices(a, t, al, tables.countries(spark, d)), _edges(a, t, al)
     return graph.reconcile(v, e, v, e.filter("src <> 'CUST_0'"))
 
 
@@ -231,7 +238,7 @@ for _k in range(1, 5):
 @query("graph_alert_proximity", "SELECT account_id, coalesce(n, 0) AS alert_count, coalesce(n, 0) AS high_risk_alert_count, hops AS shortest_path_to_flagged FROM {acc} LEFT JOIN (SELECT p.src AS account_id, count(*) AS n FROM {pe} p JOIN {al1} l ON p.dst = l.alert_id GROUP BY p.src) USING (account_id) LEFT JOIN {b4} b ON b.id = account_id")
 def _(spark, d):
     a, t, al = tables.event_accounts(spark, d), tables.event_transactions(spark, d), _alerts(spark, d)
-    e = graph.edges(a, t, al).filter(F.col("type").isin("SENT", "RECEIVED", "FLAGS_ACCOUNT", "INVOLVES_TRANSACTION", "TRIGGERS"))
+    e = _edges(a, t, al).filter(F.col("type").isin("SENT", "RECEIVED", "FLAGS_ACCOUNT", "INVOLVES_TRANSACTION", "TRIGGERS"))
     return graph.alert_proximity(e, al, a)
 
 

@@ -259,7 +259,7 @@ def _(spark, d):
     return read_api.graph_view(nodes, edges, 12)[1]
 
 
-@query("read_node_sizes", "SELECT c_custkey, round(12 + (c_acctbal - a) / (b - a) * 30, 6) AS node_size FROM customer, (SELECT min(c_acctbal) AS a, max(c_acctbal) AS b FROM customer)")
+@query("read_node_sizes", "SELECT c_custkey, round(12 + greatest(0, least(100, c_acctbal)) / 100 * 30, 6) AS node_size FROM customer")
 def _(spark, d):
     return read_api.node_sizes(tables.table(spark, d, "customer").select("c_custkey", "c_acctbal"), "c_acctbal").select("c_custkey", F.round("node_size", 6).alias("node_size"))
 
@@ -375,25 +375,36 @@ def _(spark, d):
 
 
 # security and governance
-@query("secure_mask_frame", "SELECT c_custkey, '[REDACTED]' AS c_name, sha256('s|' || c_mktsegment) AS c_mktsegment, CASE WHEN length(c_nationkey::VARCHAR) <= 4 THEN '****' END AS c_nationkey FROM customer")
+#: The rights of each role, as the permission matrix should have them.
+_RIGHTS = """
+SELECT role, action, role = 'admin' OR list_contains(string_split(rights, ','), action) AS allowed, list_contains(['case_close', 'case_archive', 'export_sensitive', 'read_audit_log', 'read_governance_inventory'], action) AS protected
+FROM (VALUES ('viewer', 'read_dashboard,export_sanitised,read_validation_reports'), ('analyst', 'read_dashboard,export_sanitised,read_validation_reports,case_comment,case_assign,case_status_change'),
+  ('senior_analyst', 'read_dashboard,export_sanitised,export_sensitive,read_validation_reports,case_comment,case_assign,case_status_change,case_close,case_archive'),
+  ('governance_reviewer', 'read_dashboard,export_sanitised,read_validation_reports,read_audit_log,read_governance_inventory'), ('admin', '*')) AS r(role, rights),
+(SELECT unnest(['*', 'read_dashboard', 'export_sanitised', 'export_sensitive', 'read_validation_reports', 'case_comment', 'case_assign', 'case_status_change', 'case_close', 'case_archive', 'read_audit_log', 'read_governance_inventory']) AS action)"""
+SQL["secure_permission_matrix"] = _RIGHTS
+
+
+@query("secure_mask_frame", "SELECT c_custkey, '[REDACTED]' AS c_name, sha256('s|' || c_mktsegment) AS c_mktsegment, '****' || right(c_nationkey::VARCHAR, 4) AS c_nationkey FROM customer")
 def _(spark, d):
     c = tables.table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_nationkey")
     return security.mask_frame(c, {"c_name": "redact", "c_mktsegment": "hash", "c_nationkey": "preserve_last_4", "c_custkey": "none"}, "s")
 
 
-@query("secure_export", "SELECT '****' || right(account_id, 4) AS account_id, '****' || right(account_status, 4) AS account_status FROM {acc}")
+@query("secure_export", "SELECT sha256('local_dev_salt|' || account_id) AS account_id, sha256('local_dev_salt|' || customer_id) AS customer_id, account_status FROM {acc}")
 def _(spark, d):
-    return security.export(tables.event_accounts(spark, d).select("account_id", "account_status", "home_country"), "reviewer", ("home_country",), 100_000_000)
+    return security.export(tables.event_accounts(spark, d).select("account_id", "customer_id", "account_status", F.col("home_country").alias("token")), "viewer", most_rows=None)
 
 
-@query("secure_permission_matrix", "SELECT 'viewer' AS role, count(*) AS allowed FROM (SELECT 1) UNION ALL SELECT 'analyst', 4 UNION ALL SELECT 'reviewer', 6 UNION ALL SELECT 'admin', 8")
+@query("secure_permission_matrix")
 def _(spark, d):
-    return security.permission_matrix(spark).filter("allowed").groupBy("role").agg(F.count("*").alias("allowed"))
+    return security.permission_matrix(spark)
 
 
-@query("secure_audit_checks", "SELECT 'missing_id' AS check_name, 0 AS violations UNION ALL SELECT 'missing_type', count(*) FILTER (event_type = 'error') FROM events UNION ALL SELECT 'missing_time', count(*) FILTER (event_id % 9 = 0) FROM events UNION ALL SELECT 'in_the_future', 0 UNION ALL SELECT 'duplicate_id', count(*) FILTER (event_id // 2 * 2 + 1 <= m) FROM events, (SELECT max(event_id) AS m FROM events)")
+@query("secure_audit_checks", "SELECT 'required_columns' AS check_name, 'fail' AS status, 1 AS issue_count, 'high' AS severity UNION ALL SELECT 'status_values', CASE WHEN n > 0 THEN 'fail' ELSE 'pass' END, n, CASE WHEN n > 0 THEN 'medium' ELSE 'info' END FROM (SELECT count(DISTINCT event_type) AS n FROM events WHERE event_type <> 'error') UNION ALL SELECT 'duplicate_events', CASE WHEN n > 0 THEN 'fail' ELSE 'pass' END, n, CASE WHEN n > 0 THEN 'medium' ELSE 'info' END FROM (SELECT coalesce(sum(c), 0)::BIGINT AS n FROM (SELECT count(*) AS c FROM events GROUP BY event_type, user_id, CAST(ts AS DATE) HAVING count(*) > 1))")
 def _(spark, d):
-    e = tables.table(spark, d, "events").select(F.floor(F.col("event_id") / 2).alias("event_id"), F.when(F.col("event_type") != "error", F.col("event_type")).alias("event_type"), F.when(F.col("event_id") % 9 != 0, F.col("ts").cast("timestamp_ntz")).alias("event_at"))
+    status = F.when(F.col("event_type") == "error", "Failed").otherwise(F.col("event_type"))
+    e = tables.table(spark, d, "events").select("event_type", F.col("user_id").alias("component"), status.alias("status"), F.col("ts").cast("date").alias("created_at"))
     return security.audit_checks(e)
 
 
@@ -408,10 +419,10 @@ def _(spark, d):
     return security.inventory(brand=(tables.table(spark, d, "part"), "p_brand", "p_size"), segment=(tables.table(spark, d, "customer"), "c_mktsegment", "c_nationkey"))
 
 
-@query("govern_sensitive_fields", "SELECT 'account' AS t, 'account_id' AS c UNION ALL SELECT 'account', 'customer_id' UNION ALL SELECT 'account', 'customer_risk_rating' UNION ALL SELECT 'account', 'account_type' UNION ALL SELECT 'account', 'account_status'")
+@query("govern_sensitive_fields", "SELECT * FROM (VALUES ('account', 'account_id', 'confidential', 'account_id', 'hash'), ('account', 'account_status', 'internal', NULL, 'none'), ('account', 'customer_id', 'confidential', 'customer_id', 'hash'), ('account', 'email_address', 'restricted', 'email', 'redact'), ('account', 'owner_tax_id', 'restricted', 'tax_id', 'redact')) AS t(table_name, column_name, classification, matched_pattern, recommended_masking_strategy)")
 def _(spark, d):
-    cols = tables.event_accounts(spark, d).columns
-    return security.sensitive_fields(spark, {"account": cols}).select(F.col("table_name").alias("t"), F.col("column_name").alias("c"))
+    cols = [c for c in tables.event_accounts(spark, d).columns if c in ("account_id", "customer_id", "account_status")]
+    return security.sensitive_fields(spark, {"account": [*cols, "email_address", "owner_tax_id"]})
 
 
 @query("join_alerts_to_accounts", "SELECT l.alert_id, a.account_status FROM {al} l LEFT JOIN {acc} a ON l.account_id = a.account_id")

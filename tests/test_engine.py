@@ -1,13 +1,15 @@
 """Operators beside the rules, on small frames."""
 
 import datetime as dt
+import hashlib
+import json
 
 import pytest
 from pyspark.sql import functions as F
 
-from tallyhound.functions import normalise
+from tallyhound.functions import analytic, normalise
 from tallyhound.functions.analytic import global_rank, percentile_ranks
-from tallyhound.operators import graph, lifecycle, models, read_api, security, staging
+from tallyhound.operators import graph, lifecycle, models, read_api, rules, security, staging
 from tallyhound.sources import files
 
 
@@ -63,11 +65,85 @@ def test_lifecycle(spark):
         lifecycle.append_action(one, "K", "status_change", "Closed suspicious")
 
 
+def test_assignment_and_comment(spark):
+    none = spark.createDataFrame([], "case_id string, action_type string, from_status string, to_status string, analyst_id string, decision_reason string, comment string, action_timestamp timestamp_ntz, action_id string")
+    one = lifecycle.assign(none, "K", "ann", at="2024-01-01 00:00:00")
+    two = lifecycle.assign(one, "K", queue="tier two", at="2024-01-01 00:00:00")
+    three = lifecycle.append_action(two, "K", "comment", comment="seen", at="2024-01-02 00:00:00")
+    rows = three.collect()
+    assert len({r.action_id for r in rows}) == 3 and all(r.action_id.startswith("CASE_ACTION_") for r in rows)
+    payload = json.dumps({"case_id": "K", "action_type": "assign", "analyst_id": "local_analyst", "from_status": "New", "to_status": None, "assigned_to": "ann", "queue": None, "decision_reason": None, "comment": None, "metadata": {}, "action_timestamp": "2024-01-01T00:00:00+00:00"}, sort_keys=True)
+    assert rows[0].action_id == "CASE_ACTION_" + hashlib.sha256(payload.encode()).hexdigest()[:16].upper()
+    assert lifecycle.current_state(three).first().assigned_to == "ann"
+    for bad in ({"kind": "assign"}, {"kind": "comment", "comment": " "}):
+        with pytest.raises(ValueError, match="an assignment|a comment"):
+            lifecycle.append_action(none, "K", **bad)
+
+
+def test_labels_are_checked(spark):
+    events = spark.createDataFrame([("K", "status_change", "Closed suspicious", None, "c", "2024-01-01 00:00:00", "1", "ana")], "case_id string, action_type string, to_status string, decision_reason string, comment string, at string, action_id string, analyst_id string")
+    events = events.withColumn("action_timestamp", F.col("at").cast("timestamp_ntz"))
+    made = spark.createDataFrame([("K", "A", "2024-02-01 00:00:00")], "case_id string, primary_account_id string, at string").withColumn("created_at", F.col("at").cast("timestamp_ntz"))
+    assert {r.problem for r in lifecycle.label_violations(made, events).collect()} == {"a closure label needs a reason", "the label is before the case"}
+    assert lifecycle.case_labels(made, events).count() == 1
+    with pytest.raises(ValueError, match="K: "):
+        lifecycle.case_labels(made, events, enforce=True)
+
+
 def test_security(spark):
-    f = spark.createDataFrame([("ACC_12345", "Ann", 1), (None, None, 2)], "account_id string, customer_name string, n int")
-    assert [tuple(r) for r in security.mask_frame(f).orderBy("n").collect()] == [("****2345", "[REDACTED]", 1), (None, None, 2)]
-    with pytest.raises(PermissionError):
-        security.export(f, "viewer")
+    f = spark.createDataFrame([("ACC_12345", "Ann", "T123456", 1), (None, None, "abc", 2), ("x", "y", "", 3)], "account_id string, customer_name string, transaction_id string, n int")
+    masked = [tuple(r) for r in security.mask_frame(f).orderBy("n").collect()]
+    digest = hashlib.sha256(b"local_dev_salt|ACC_12345").hexdigest()
+    assert masked[:2] == [(digest, "[REDACTED]", "****3456", 1), (None, None, "****abc", 2)] and masked[2][2] == "[REDACTED]"
+    assert security.export(f, "viewer").count() == 3
+    for bad in ({"sensitive": True, "role": "senior_analyst"}, {"sensitive": True, "sensitive_allowed": True, "role": "analyst"}, {"role": "guest"}):
+        with pytest.raises(PermissionError):
+            security.export(f, **bad)
+    with pytest.raises(ValueError, match="at most 2"):
+        security.export(f, "viewer", most_rows=2)
+    assert security.export(f, "admin", sensitive=True, sensitive_allowed=True).first().account_id is not None
+
+
+def test_forest_takes_nulls_and_split_is_even(spark):
+    f = spark.range(300).select(F.col("id").cast("string").alias("account_id"), F.when(F.col("id") % 3 == 0, None).otherwise(F.col("id").cast("double")).alias("x"), F.lit(float("nan")).alias("y"), (F.col("id") % 2).cast("int").alias("label"))
+    assert models.isolation_forest(f, ("x", "y"), trees=10).count() == 300
+    held = models.split_stratified(f, "label", "account_id").groupBy("label").agg(F.count_if("is_validation").alias("n")).collect()
+    assert {r.n for r in held} == {38}
+
+
+def test_pagerank_converges(spark):
+    pairs = [(k, (k * 7 + j * 3) % 23) for k in range(23) for j in range(1, 4) if k % 5]
+    got = {r.account_id: r.pagerank_score for r in graph.pagerank(spark.createDataFrame([(f"A{a}", f"A{b}") for a, b in pairs], "src string, dst string").distinct()).collect()}
+    out = {a: {b for x, b in pairs if x == a} for a in range(23)}
+    rank = [1 / 23] * 23
+    for _ in range(300):
+        lost = sum(rank[a] for a in range(23) if not out[a])
+        rank = [0.15 / 23 + 0.85 * (sum(rank[a] / len(out[a]) for a in range(23) if b in out[a]) + lost / 23) for b in range(23)]
+    assert all(got[f"A{k}"] == pytest.approx(rank[k], abs=1e-5) for k in range(23))
+
+
+def test_customer_of_the_last_account_row(spark):
+    a = spark.createDataFrame([("A1", "C9", 1), ("A1", "C2", 2)], "account_id string, customer_id string, raw_record_id int")
+    d = spark.createDataFrame([("A1",)], "account_id string")
+    assert rules.attach_customers(d, a).first().customer_id == "C2"
+
+
+def test_reason_templates(spark):
+    r = spark.range(1).select(rules.count_reason(F.lit(3), "senders", 7, "days", "{count} of {unit_label} in {window_value} {window_unit}!").alias("r")).first().r
+    assert r == "3 of senders in 7 days!"
+
+
+def test_whole_orders_are_never_one_task(spark):
+    """No window without partition keys over rows: what is ordered whole is one row a range."""
+    f = spark.range(5000).select(F.col("id").cast("string").alias("account_id"), (F.col("id") % 977).cast("double").alias("x"), F.rand(1).alias("y"))
+    got = analytic.percentile_ranks(f, {"x": "px", "y": "py"})
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan  # ranks are written before they are joined
+    x = sorted((i % 977) for i in range(5000))
+    first = {v: x.index(v) for v in (0, 500, 976)}
+    for r in got.filter("x IN (0, 500, 976)").dropDuplicates(["x"]).collect():
+        n = x.count(int(r.x))
+        assert r.px == pytest.approx((first[int(r.x)] + (n + 1) / 2) / 5000 * 100)
 
 
 def test_read_and_limits(spark):
