@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyhound.llm import best_fit, exact_dedup, probminhash, quality_ftrl, suffix_dedup
 from tallyhound.llm.queries import PACK_TOKENIZER, SEQUENCE, tokenizer_path
-from tallyhound.llm.staging import shared_dir, table
+from tallyhound.llm.staging import SMALL_PAGES, shared_dir, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,18 +18,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the smallest doc_id stays."""
+    """Of equal texts one row stays, of the smallest doc_id."""
     return exact_dedup.exact_dedup(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the smallest doc_id stays."""
+    """Of each class of near duplicates one row stays, of the smallest doc_id."""
     return probminhash.near_dedup(docs)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes covered by a 200-byte string that also starts elsewhere go; n_chars follows the text."""
-    return suffix_dedup.cut_repeats(docs, 200).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    """Bytes covered by a 200-byte string that also starts elsewhere go; n_chars, where there is one, follows the text."""
+    cut = suffix_dedup.cut_repeats(docs, 200)
+    return cut.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,6 +48,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, base = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.option("compression", "zstd").parquet(f"{base}/{name}")
+        stage(spark, docs, sf_dir).write.options(**SMALL_PAGES).parquet(f"{base}/{name}")
         docs = spark.read.parquet(f"{base}/{name}")
     return docs
