@@ -3,10 +3,11 @@
 import re
 
 import numpy as np
+import pytest
 
 import corpus_pipeline
 from tallyhound.llm import best_fit, probminhash, queries
-from test_dedup import near_brute, suffix_brute
+from test_dedup import CLASHING, near_brute, suffix_brute
 
 
 def fast(a, b):
@@ -48,3 +49,15 @@ def test_stages(spark, sf):
     whole = best_fit.tokenised_pieces(a, queries.tokenizer_path(queries.PACK_TOKENIZER))
     assert sorted(tuple(r)[:5] for r in b.collect()) == sorted(tuple(r) for r in whole.collect())
     assert corpus_pipeline.run(spark, sf).count() == b.count()
+
+
+@pytest.mark.parametrize("rows", [[], CLASHING, [(None, "one text"), (None, "one text"), (None, None), (7, "one text"), (7, "another text of seven words or so")]])
+def test_run_over_odd_tables(spark, tmp_path, rows):
+    """Null and repeated ids, null texts and no rows at all, and a table without the columns that only some have."""
+    spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, key string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").coalesce(1).write.parquet(f"{tmp_path}/labels.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    # what is left: one row of each text and near class, then nothing of their texts that two of them share
+    kept = {re.sub(r"[\x20\x09-\x0D]+", " ", t or "") for _, t in rows}
+    roots = set(near_brute(list(enumerate(sorted(kept)))).values())
+    assert len({(r.doc_id, r.sequence_id, r.offset) for r in got}) == len(got) and sum(r.start == 0 for r in got) == len(roots)
