@@ -1,15 +1,15 @@
 """Account-day features.
 
-A transaction at ts counts for date D in an N-day window if D - N days < ts <= D + 1 day. So each (account,
-transaction) row is exploded to the at most N + 1 dates it affects and everything is one aggregate by
-(account, date): no range join, and the exchange is by the grouping keys alone.
+A transaction at ts counts for date D in an N-day window if D - N days < ts <= D + 1 day. So transactions are summed
+by account and day first, each sum is exploded to the at most N + 1 dates it affects, and the rest is an aggregate by
+(account, date): no range join, and no account's transactions meet in one task.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyhound.functions.normalise import identifier
@@ -79,44 +79,67 @@ def account_universe(accounts: DataFrame, transactions: DataFrame, all_accounts:
     return listed.join(active, "account_id", "left") if all_accounts else listed.join(active, "account_id", "left_semi")
 
 
-def _in(days: int) -> Column:
-    """Whether the row's time is in the window of that many days before its date."""
-    return F.col("ts") > (F.col("feature_date") - F.expr(f"INTERVAL '{days}' DAY")).cast("timestamp_ntz")
+def effective_day() -> Column:
+    """The day e of a transaction with which it counts for date D in an N-day window just if D - N <= e <= D:
+    its calendar day, or the day before where it falls on midnight."""
+    day = F.col("ts").cast("date")
+    return F.when(F.col("ts") == F.date_trunc("day", "ts").cast("timestamp_ntz"), F.date_sub(day, 1)).otherwise(day)
 
 
-def _spread(m: DataFrame, days: int) -> DataFrame:
-    """Each row once for every date whose window of ``days`` it can be in: ts - 1 day <= D < ts + days."""
-    midnight = F.col("ts") == F.date_trunc("day", "ts").cast("timestamp_ntz")
-    day = F.col("ts").cast("date")
-    first = F.when(midnight, F.date_sub(day, 1)).otherwise(day)
-    last = F.when(midnight, F.date_add(day, days - 1)).otherwise(F.date_add(day, days))
-    return m.withColumn("feature_date", F.explode(F.sequence(first, last)))
+def _dates(days: Column | int) -> Column:
+    """A day's rows once for every date whose window of ``days`` holds the day."""
+    return F.explode(F.sequence(F.col("e"), F.date_add("e", days)))
+
+
+def daily_sums(m: DataFrame, c: FeatureConfig = FeatureConfig()) -> DataFrame:
+    """One row an account and effective day: all that the windows need of it but the counterparties."""
+    near = (F.col("sent") >= c.threshold * c.margin) & (F.col("sent") < c.threshold)
+    zero = F.lit(0).cast("decimal(28,2)")
+    return m.groupBy("account_id", "e").agg(
+        F.count("*").alias("n"), F.coalesce(F.sum("sent"), zero).alias("sent"), F.coalesce(F.sum("received"), zero).alias("received"),
+        F.sum("amount").alias("amount"), F.max("amount").alias("largest"), F.count(F.when(near, 1)).alias("near"),
+        F.count(F.when(F.col("is_cross_border"), 1)).alias("abroad"), F.sum(F.col("amount").cast("double") * F.col("weight")).alias("exposed"),
+        F.min("ts").alias("first"), F.max("ts").alias("last"),
+    )
+
+
+def counterparty_days(m: DataFrame) -> DataFrame:
+    """One row an account, effective day and counterparty, with the number of transactions sent to it (0: only received from)."""
+    keys = F.array(F.struct(F.col("out_key").alias("key"), F.lit(1).alias("out")), F.struct(F.col("in_key").alias("key"), F.lit(0).alias("out")))
+    pairs = m.select("account_id", "e", F.explode(keys).alias("k")).select("account_id", "e", "k.*").filter(F.col("key").isNotNull())
+    return pairs.groupBy("account_id", "e", "key").agg(F.sum("out").alias("n"))
 
 
 def account_features(accounts: DataFrame, transactions: DataFrame, countries: DataFrame, config: FeatureConfig = FeatureConfig()) -> DataFrame:
-    """The 14 features of every account and day."""
+    """The 14 features of every account and day.
+
+    Transactions are summed by account and day, and by account, day and counterparty, before any row is copied to the
+    dates it counts for: an account costs its active days and counterparties, however many transactions it has."""
     c = config
-    m = movements(transactions, country_weights(countries)).select("account_id", "transaction_id", "ts", "amount", "sent", "received", "out_key", "in_key", "is_cross_border", "weight")
-    rows = _spread(m, c.monthly)
-    day, week = _in(c.daily), _in(c.weekly)
-    near = (F.col("sent") >= c.threshold * c.margin) & (F.col("sent") < c.threshold)
-    value = lambda x, when: F.coalesce(F.sum(F.when(when, F.col(x))), F.lit(0).cast("decimal(28,2)"))
-    base = rows.groupBy("account_id", "feature_date").agg(
-        F.count(F.when(day, 1)).alias("txn_count_1d"), F.count(F.when(week, 1)).alias("txn_count_7d"),
-        value("sent", week).alias("total_sent_7d"), value("received", week).alias("total_received_7d"),
-        F.avg(F.col("amount").cast("double")).alias("avg_txn_amount_30d"), F.max("amount").alias("max_txn_amount_30d"),
-        F.size(F.array_union(F.collect_set(F.when(week, F.col("out_key"))), F.collect_set(F.when(week, F.col("in_key"))))).alias("unique_counterparties_7d"),
-        F.count(F.when(day & near, 1)).alias("below_threshold_count_24h"),
-        F.avg(F.coalesce(F.col("is_cross_border"), F.lit(False)).cast("double")).alias("cross_border_ratio_30d"),
-        (F.sum(F.col("amount").cast("double") * F.col("weight")) / F.sum(F.col("amount").cast("double"))).alias("high_risk_country_exposure"),
+    columns = ["account_id", "ts", "amount", "sent", "received", "out_key", "in_key", "is_cross_border", "weight"]
+    m = movements(transactions, country_weights(countries)).select(*columns, effective_day().alias("e"))
+    daily = daily_sums(m, c)
+    keys = ["account_id", "feature_date"]
+    age = F.datediff("feature_date", "e")
+    within = lambda x, days: F.sum(F.when(age <= days, F.col(x)).otherwise(F.lit(0)))
+    n, amount = F.sum("n").cast("double"), F.sum("amount").cast("double")
+    base = daily.withColumn("feature_date", _dates(c.monthly)).groupBy(*keys).agg(
+        within("n", c.daily).alias("txn_count_1d"), within("n", c.weekly).alias("txn_count_7d"),
+        within("sent", c.weekly).cast("decimal(28,2)").alias("total_sent_7d"), within("received", c.weekly).cast("decimal(28,2)").alias("total_received_7d"),
+        (amount / n).alias("avg_txn_amount_30d"), F.max("largest").alias("max_txn_amount_30d"), within("near", c.daily).alias("below_threshold_count_24h"),
+        (F.sum("abroad") / n).alias("cross_border_ratio_30d"), (F.sum("exposed") / F.when(amount != 0, amount)).alias("high_risk_country_exposure"),
     )
-    per_key = rows.filter(F.col("out_key").isNotNull()).groupBy("account_id", "feature_date", "out_key").agg(F.count("*").alias("n"))
+    # senders count for a week only, recipients for the entropy of a month too
+    reach = F.when(F.col("n") > 0, c.monthly).otherwise(c.weekly)
+    per_key = counterparty_days(m).withColumn("feature_date", _dates(reach)).groupBy(*keys, "key").agg(F.sum("n").alias("n"), F.min(age).alias("age"))
     # -sum(p ln p) of counts n with total N is ln N - sum(n ln n) / N
-    entropy = per_key.groupBy("account_id", "feature_date").agg(F.greatest(F.lit(0.0), F.ln(F.sum("n")) - F.sum(F.col("n") * F.ln("n")) / F.sum("n")).alias("counterparty_entropy"))
-    dormant = dormant_days(m, c)
+    total, sent_to = F.sum("n"), F.sum(F.when(F.col("n") > 0, F.col("n") * F.ln("n")))
+    parties = per_key.groupBy(*keys).agg(
+        F.count(F.when(F.col("age") <= c.weekly, 1)).cast("int").alias("unique_counterparties_7d"),
+        F.when(total > 0, F.greatest(F.lit(0.0), F.ln(total) - sent_to / total)).alias("counterparty_entropy"),
+    )
     spine = account_universe(accounts, transactions, c.all_accounts).select("account_id").crossJoin(F.broadcast(date_spine(transactions, c)))
-    keys = ["account_id", "feature_date"]
-    out = spine.join(base, keys, "left").join(entropy, keys, "left").join(dormant, keys, "left")
+    out = spine.join(base, keys, "left").join(parties, keys, "left").join(dormant_days(daily, c), keys, "left")
     zero = {x: F.coalesce(F.col(x), F.lit(0).cast(t)) for x, t in out.dtypes if x not in (*keys, "dormant_days_before_activity")}
     out = out.withColumns(zero)
     sent, received = F.col("total_sent_7d").cast("double"), F.col("total_received_7d").cast("double")
@@ -127,16 +150,15 @@ def account_features(accounts: DataFrame, transactions: DataFrame, countries: Da
     })
 
 
-def dormant_days(m: DataFrame, c: FeatureConfig = FeatureConfig()) -> DataFrame:
-    """Calendar days from the last movement before a date's daily window to the first inside it.
-
-    Only dates with movement inside have a gap. The earlier movement is the last one at or before the
-    window's start: an as-of lookup by a running maximum over the days with movement, not over history."""
-    inside = _spread(m.select("account_id", "ts"), c.daily).filter(_in(c.daily)).groupBy("account_id", "feature_date").agg(F.min("ts").alias("first"))
-    from pyspark.sql import Window
+def dormant_days(daily: DataFrame, c: FeatureConfig = FeatureConfig()) -> DataFrame:
+    """Calendar days from the last movement before a date's daily window to the first inside it, from ``daily_sums``.
 
-    marks = inside.select("account_id", (F.col("feature_date") - F.expr(f"INTERVAL '{c.daily}' DAY")).cast("timestamp_ntz").alias("at"), "feature_date", "first", F.lit(None).cast("timestamp_ntz").alias("moved"))
-    moves = m.select("account_id", F.col("ts").alias("at"), F.lit(None).cast("date").alias("feature_date"), F.lit(None).cast("timestamp_ntz").alias("first"), F.col("ts").alias("moved"))
+    Only dates with movement inside have a gap. The earlier movement is an as-of lookup by a running maximum over an
+    account's active days, not over its history."""
+    inside = daily.select("account_id", "first", _dates(c.daily).alias("feature_date"), "e").groupBy("account_id", "feature_date").agg(F.min("first").alias("first"))
+    none = lambda t: F.lit(None).cast(t)
+    marks = inside.select("account_id", F.date_sub("feature_date", c.daily + 1).alias("at"), "feature_date", "first", none("timestamp_ntz").alias("moved"))
+    moves = daily.select("account_id", F.col("e").alias("at"), none("date").alias("feature_date"), none("timestamp_ntz").alias("first"), F.col("last").alias("moved"))
     prior = F.max("moved").over(Window.partitionBy("account_id").orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow))
     both = marks.unionByName(moves).withColumn("prior", prior).filter(F.col("feature_date").isNotNull())
     return both.select("account_id", "feature_date", F.datediff("first", "prior").alias("dormant_days_before_activity"))
