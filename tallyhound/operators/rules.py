@@ -199,28 +199,59 @@ def rapid_inbound(transactions: DataFrame, c: RapidMovement = RapidMovement()) -
     return t.filter(F.col("transaction_type").isin(*c.inbound_types) & F.col("receiver_account_id").isNotNull()).withColumns({"account_id": F.col("receiver_account_id"), "other": F.lit("")})
 
 
-def _forward(width: int):
-    return Window.partitionBy("account_id").orderBy("us").rangeBetween(0, width)
+#: A block of time is this many window widths long; the rows of its first width are copied to the block before.
+BLOCK = 4
+
+
+def _block_of(us: Column, width: int) -> Column:
+    """Start of the block that a time is in."""
+    return us - F.pmod(us, F.lit(BLOCK * width))
+
+
+def _blocked(rows: DataFrame, width: int) -> DataFrame:
+    """Cuts each account into blocks of time, so that a hub account is as many groups as it has blocks. A row is in its
+    own block (``own``), and once more in the block before if a forward window from there can reach it."""
+    start = _block_of(F.col("us"), width)
+    reach = F.when(F.pmod("us", F.lit(BLOCK * width)) <= width, F.struct((start - BLOCK * width).alias("block"), F.lit(False).alias("own")))
+    copies = F.array_compact(F.array(F.struct(start.alias("block"), F.lit(True).alias("own")), reach))
+    return rows.withColumn("_b", F.explode(copies)).select("*", "_b.block", "_b.own").drop("_b")
 
 
 def _forward_sum(value: Column, width: int) -> Column:
     """Sum over the forward window as a difference of two growing frames, each of which is one pass over the
-    account; a sliding frame would be summed anew for every row."""
-    rows = Window.partitionBy("account_id").orderBy("us")
+    block; a sliding frame would be summed anew for every row."""
+    rows = Window.partitionBy("account_id", "block").orderBy("us")
     upto, before = rows.rangeBetween(Window.unboundedPreceding, width), rows.rangeBetween(Window.unboundedPreceding, -1)
     return F.sum(value).over(upto) - F.coalesce(F.sum(value).over(before), F.lit(0))
 
 
-def _busy(candidates: DataFrame, least: int) -> DataFrame:
-    """Candidates of accounts that have at least ``least`` of them."""
-    n = F.count("*").over(Window.partitionBy("account_id"))
-    return candidates.withColumn("_n", n).filter(F.col("_n") >= least).drop("_n")
-
-
 def _evidence(strongest: DataFrame, candidates: DataFrame, width: int) -> DataFrame:
-    """The transactions inside each account's chosen window."""
-    c = candidates.select("account_id", "us", "transaction_id", "transaction_timestamp", "amount", "other")
-    return strongest.join(c, "account_id").filter((F.col("us") >= F.col("start_us")) & (F.col("us") <= F.col("start_us") + width))
+    """The transactions inside each account's chosen window, joined by account and block: a window meets two at most."""
+    first, last = _block_of(F.col("start_us"), width), _block_of(F.col("start_us") + width, width)
+    chosen = strongest.withColumn("block", F.explode(F.array_distinct(F.array(first, last))))
+    c = candidates.withColumn("block", _block_of(F.col("us"), width))
+    found = chosen.join(c, ["account_id", "block"]).filter((F.col("us") >= F.col("start_us")) & (F.col("us") <= F.col("start_us") + width))
+    return found.drop("block")
+
+
+def _distinct_ahead(rows: DataFrame, width: int) -> DataFrame:
+    """``rows`` of blocks with ``strength``: how many distinct others the window from each row holds.
+
+    An other is ahead of just those times that lie at most ``width`` before one of its rows. Each row ends one stretch of
+    such times, which begins ``width`` before it, or after the other's row before it. So strength is the number of stretches
+    begun by then less those that ended earlier: two running counts, and no set is built for any window."""
+    block = ["account_id", "block"]
+    previous = F.lag("us").over(Window.partitionBy(*block, "other").orderBy("us"))
+    begins = F.greatest(F.col("us") - width, F.coalesce(previous + 1, F.col("us") - width))
+    ends = F.struct(F.col("us").alias("at"), F.lit(0).alias("begun"), F.lit(1).alias("ended"))
+    stretch = F.struct(begins.alias("at"), F.lit(1).alias("begun"), F.lit(0).alias("ended"))
+    # a row of the same other and time as the one before it begins nothing and ends nothing
+    events = rows.withColumn("_e", F.when(previous == F.col("us"), F.array(ends.withField("ended", F.lit(0)))).otherwise(F.array(ends, stretch)))
+    events = events.select("*", F.explode("_e").alias("e")).select("*", "e.*").drop("_e", "e")
+    times = Window.partitionBy(*block).orderBy("at")
+    begun = F.sum("begun").over(times.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    ended = F.coalesce(F.sum("ended").over(times.rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return events.withColumn("strength", begun - ended).filter("begun = 0").drop("at", "begun", "ended")
 
 
 def _ids_in_order(*before: str) -> Column:
@@ -229,14 +260,15 @@ def _ids_in_order(*before: str) -> Column:
 
 def _counted(candidates: DataFrame, width: int, least: int, min_total: float, distinct: bool) -> DataFrame:
     """account_id and its strongest window: most (distinct others, if asked,) transactions, then value, then earliest.
-    Distinct others need a sliding frame; only accounts with a window of enough transactions get that far."""
-    windows = _busy(candidates, least).select("account_id", "us", "other", _forward_sum(F.lit(1), width).alias("n"), _forward_sum(F.col("amount"), width).alias("total"))
+    Distinct others are counted only in blocks that have a window of enough transactions."""
+    rows = _blocked(candidates.select("account_id", "us", "other", "amount"), width)
+    windows = rows.select("account_id", "block", "own", "us", "other", _forward_sum(F.lit(1), width).alias("n"), _forward_sum(F.col("amount"), width).alias("total"))
     if distinct:
-        most = F.max("n").over(Window.partitionBy("account_id"))
-        windows = windows.withColumn("_most", most).filter(F.col("_most") >= least).withColumn("strength", F.size(F.collect_set("other").over(_forward(width))))
+        most = F.max("n").over(Window.partitionBy("account_id", "block"))
+        windows = _distinct_ahead(windows.withColumn("_most", most).filter(F.col("_most") >= least), width)
     else:
         windows = windows.withColumn("strength", F.col("n"))
-    windows = windows.filter((F.col("strength") >= least) & (F.col("total") >= min_total))
+    windows = windows.filter(F.col("own") & (F.col("strength") >= least) & (F.col("total") >= min_total))
     return windows.groupBy("account_id").agg(F.max_by("us", F.struct("strength", "n", "total", -F.col("us"))).alias("start_us"))
 
 
@@ -274,13 +306,14 @@ def detect_rapid_movement(transactions: DataFrame, c: RapidMovement = RapidMovem
     outbound = outbound_candidates(transactions, c, c.outbound_types).select(*columns, F.lit(1).alias("out"))
     both = inbound.unionByName(outbound)
     received, sent = (_forward_sum(F.when(F.col("out") == k, F.col("amount")).otherwise(0), width) for k in (0, 1))
-    windows = both.select("account_id", "us", "out", received.alias("received"), sent.alias("sent"), _forward_sum(F.col("out"), width).alias("n_out"))
+    blocks = _blocked(both.select("account_id", "us", "out", "amount"), width)
+    windows = blocks.select("account_id", "us", "own", "out", received.alias("received"), sent.alias("sent"), _forward_sum(F.col("out"), width).alias("n_out")).filter("own")
     ratio = F.col("sent").cast("double") / F.col("received").cast("double")
     retained = F.greatest(F.col("received") - F.col("sent"), F.lit(0)).cast("double") / F.col("received").cast("double")
     windows = windows.filter((F.col("out") == 0) & (F.col("received") >= c.min_received) & (F.col("n_out") >= c.min_outgoing)).withColumn("ratio", ratio)
     windows = windows.filter((F.col("ratio") >= c.min_ratio) & (retained <= c.max_retained))
     strongest = windows.groupBy("account_id").agg(F.max_by("us", F.struct("ratio", "sent", "received", -F.col("us"))).alias("start_us"))
-    found = strongest.join(both, "account_id").filter((F.col("us") >= F.col("start_us")) & (F.col("us") <= F.col("start_us") + width))
+    found = _evidence(strongest, both, width)
 
     def side(k: int, *before: str) -> Column:
         rows = F.collect_list(F.when(F.col("out") == k, F.struct("us", *before, "transaction_id")))
@@ -314,11 +347,18 @@ def detect_dormant_reactivation(transactions: DataFrame, c: DormantReactivation
     candidates = outbound_candidates(transactions, c, c.types).filter(F.col("amount") >= c.min_amount)
     marked = candidates.select("account_id", "us", "transaction_id", "transaction_timestamp", "amount", F.lit(1).alias("candidate"))
     history = activity_history(transactions).select("account_id", "us", "transaction_id", "transaction_timestamp", "amount", F.lit(0).alias("candidate"))
-    both = history.unionByName(marked)
-    earlier = Window.partitionBy("account_id").orderBy("us").rangeBetween(Window.unboundedPreceding, -1)
-    prior = F.max(F.when(F.col("candidate") == 0, F.struct("us", "transaction_id", "transaction_timestamp"))).over(earlier)
+    # the last movement of each block serves the later blocks; within a block it is a running maximum
+    moved = F.struct("us", "transaction_id", "transaction_timestamp")
+    start = _block_of(F.col("us"), width).alias("block")
+    lasts = history.groupBy("account_id", start).agg(F.max(moved).alias("last"))
+    carry = Window.partitionBy("account_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    lasts = lasts.select("account_id", "block", F.max("last").over(carry).alias("carried"))
+    both = _blocked(history.unionByName(marked), width).join(lasts, ["account_id", "block"], "left")
+    earlier = Window.partitionBy("account_id", "block").orderBy("us").rangeBetween(Window.unboundedPreceding, -1)
+    prior = F.coalesce(F.max(F.when(F.col("candidate") == 0, moved)).over(earlier), F.col("carried"))
     one = F.col("candidate") == 1
-    windows = both.select("account_id", "us", "transaction_timestamp", "candidate", prior.alias("prior"), _forward_sum(F.when(one, F.col("amount")).otherwise(0), width).alias("total"), _forward_sum(F.col("candidate"), width).alias("n"))
+    windows = both.select("account_id", "us", "own", "transaction_timestamp", "candidate", prior.alias("prior"), _forward_sum(F.when(one, F.col("amount")).otherwise(0), width).alias("total"), _forward_sum(F.col("candidate"), width).alias("n"))
+    windows = windows.filter("own")
     windows = windows.filter(one & F.col("prior").isNotNull()).withColumn("days", F.datediff("transaction_timestamp", "prior.transaction_timestamp"))
     windows = windows.filter((F.col("days") >= c.dormant_days) & (F.col("n") >= c.min_count) & (F.col("total") >= c.min_total))
     best = windows.groupBy("account_id").agg(F.max_by(F.struct("us", "days", "prior"), F.struct("days", "total", "n", -F.col("us"))).alias("best"))

@@ -92,3 +92,81 @@ def test_registry():
         rules.rule_key("nothing")
     with pytest.raises(ValueError):
         rules.Structuring(margin=1.5)
+
+
+def _hub(seed, n=1500, days=120):
+    """A hub's inbound transfers over several blocks of time: clusters, equal times, repeated senders, block borders."""
+    import random
+
+    r, out = random.Random(seed), []
+    for k in range(n):
+        day = r.choice([r.randrange(days), r.randrange(3) * 28])
+        at = dt.datetime(2024, 1, 1) + dt.timedelta(days=day, hours=r.choice([0, 0, 6, r.randrange(24)]))
+        out.append((f"T{k}", f"S{r.randrange(60)}", "HUB", None, at, str(r.choice([100, 250, 250, 900])), r.choice(["transfer", "wire"])))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_hub_account_over_many_blocks(spark, seed):
+    rows = _hub(seed)
+    width, best = dt.timedelta(days=7), None
+    for at in sorted({t[4] for t in rows}):
+        inside = [t for t in rows if at <= t[4] <= at + width]
+        strength, total = len({t[1] for t in inside}), sum(int(t[5]) for t in inside)
+        best = max(best or (0, 0, 0, 0), (strength, len(inside), total, -at.timestamp()), key=lambda x: x)
+    r = rules.detect_fan_in(frame(spark, rows)).collect()
+    assert [(x.unique_sender_count, x.transaction_count, int(x.total_amount)) for x in r] == [best[:3]]
+    start = dt.datetime.fromisoformat(r[0].detection_window_start).timestamp()
+    assert start == -best[3] - (dt.datetime(2024, 1, 1).timestamp() - dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc).timestamp())
+
+
+def test_dormant_lookup_reaches_over_empty_blocks(spark):
+    rows = [("T0", "A", "B", None, dt.datetime(2023, 1, 5), "50", "transfer")]
+    rows += [(f"T{k}", "A", f"R{k}", None, dt.datetime(2024, 3, 1, k), "19000", "transfer") for k in range(1, 8)]
+    r = rules.detect_dormant_reactivation(frame(spark, rows)).collect()
+    assert [(x.account_id, x.dormant_days_before_activity, x.previous_activity_timestamp[:10]) for x in r] == [("A", 421, "2023-01-05")]
+    assert r[0].evidence_ids[0] == "T0" and r[0].reactivation_transaction_count == 7
+
+
+def test_features_of_a_hub_against_every_transaction(spark):
+    """Account-day features by going over all transactions for each date: midnights, self-transfers, missing recipients."""
+    import math
+    import random
+    from collections import Counter
+    from decimal import Decimal
+
+    from tallyhound.operators import features
+
+    r, rows = random.Random(5), []
+    for k in range(400):
+        at = dt.datetime(2024, 1, 1) + dt.timedelta(days=r.choice([0, 3, 20, r.randrange(50)]), hours=r.choice([0, 0, 9, 23]))
+        sender, receiver = r.choice(["A", "B", "C"]), r.choice(["A", "B", "C", None])
+        party = r.choice([None, "P1", "P2"]) if receiver is None else None
+        rows.append((f"T{k}", sender, receiver, party, at, Decimal(r.choice(["9600", "20", "10000", "0"])), "transfer", r.choice([True, False, None]), r.choice(["X", "Y", None]), "Y"))
+    schema = "transaction_id string, sender_account_id string, receiver_account_id string, counterparty_id string, transaction_timestamp timestamp_ntz, amount decimal(18,2), transaction_type string, is_cross_border boolean, origin_country string, destination_country string"
+    accounts = spark.createDataFrame([(a,) for a in "ABCD"], "account_id string")
+    countries = spark.createDataFrame([("X", 80.0, True), ("Y", None, False)], "country_code string, risk_score double, is_high_risk boolean")
+    found = features.account_features(accounts, spark.createDataFrame(rows, schema), countries).collect()
+    assert len({(x.account_id, x.feature_date) for x in found}) == len(found) == 4 * 50
+    weight = {"X": 0.8, "Y": 0.0, None: 0.0}
+    for x in found:
+        day = dt.datetime.combine(x.feature_date, dt.time())
+        mine = [t for t in rows if x.account_id in (t[1], t[2]) and t[4] <= day + dt.timedelta(days=1)]
+        inside = lambda n: [t for t in mine if t[4] > day - dt.timedelta(days=n)]  # noqa: E731, B023
+        month, week, one = inside(30), inside(7), inside(1)
+        sent = lambda ts: [t for t in ts if t[1] == x.account_id]  # noqa: E731, B023
+        key = lambda t: t[2] or t[3] or "<missing_recipient>"
+        parties = {key(t) for t in sent(week)} | {t[1] for t in week if t[2] == x.account_id}
+        counts = Counter(key(t) for t in sent(month))
+        total = sum(t[5] for t in month)
+        entropy = -sum(n / counts.total() * math.log(n / counts.total()) for n in counts.values())
+        earlier = [t[4] for t in mine if t[4] <= day - dt.timedelta(days=1)]
+        assert (x.txn_count_1d, x.txn_count_7d, x.unique_counterparties_7d) == (len(one), len(week), len(parties))
+        assert (x.total_sent_7d, x.total_received_7d) == (sum(t[5] for t in sent(week)), sum(t[5] for t in week if t[2] == x.account_id))
+        assert x.below_threshold_count_24h == sum(9500 <= t[5] < 10000 for t in sent(one)) and x.max_txn_amount_30d == max((t[5] for t in month), default=0)
+        assert math.isclose(x.avg_txn_amount_30d, total / len(month) if month else 0, abs_tol=1e-9) and math.isclose(x.counterparty_entropy, entropy, abs_tol=1e-9)
+        assert math.isclose(x.cross_border_ratio_30d, sum(bool(t[7]) for t in month) / len(month) if month else 0, abs_tol=1e-9)
+        exposed = sum(float(t[5]) * max(weight[t[8]], weight[t[9]]) for t in month) / float(total) if total else 0
+        assert math.isclose(x.high_risk_country_exposure, exposed, abs_tol=1e-9)
+        gap = (min(t[4] for t in one).date() - max(earlier).date()).days if one and earlier else None
+        assert x.dormant_days_before_activity == gap
