@@ -180,23 +180,37 @@ def fan_in_candidates(transactions: DataFrame, c: FanIn = FanIn()) -> DataFrame:
     return t.filter(keep).withColumns({"account_id": F.col("receiver_account_id"), "other": F.col("sender_account_id")})
 
 
-def outbound_candidates(transactions: DataFrame, c: FanOut | RapidMovement | DormantReactivation, types: tuple[str, ...]) -> DataFrame:
-    t = normalise_transactions(transactions).withColumn("other", recipient())
-    keep = F.col("transaction_type").isin(*types) & F.col("other").isNotNull() & _not_self()
+def _outbound(c: FanOut | RapidMovement | DormantReactivation, types: tuple[str, ...]) -> Column:
+    keep = F.col("transaction_type").isin(*types) & recipient().isNotNull() & _not_self()
     if not c.internal:
         keep &= F.col("receiver_account_id").isNull()
     if not c.counterparties:
         keep &= F.col("receiver_account_id").isNotNull()
-    return t.filter(keep).withColumn("account_id", F.col("sender_account_id"))
+    return keep
+
+
+def outbound_candidates(transactions: DataFrame, c: FanOut | RapidMovement | DormantReactivation, types: tuple[str, ...]) -> DataFrame:
+    t = normalise_transactions(transactions)
+    return t.filter(_outbound(c, types)).withColumns({"other": recipient(), "account_id": F.col("sender_account_id")})
 
 
 def fan_out_candidates(transactions: DataFrame, c: FanOut = FanOut()) -> DataFrame:
     return outbound_candidates(transactions, c, c.types)
 
 
+def _inbound(c: RapidMovement) -> Column:
+    return F.col("transaction_type").isin(*c.inbound_types) & F.col("receiver_account_id").isNotNull()
+
+
 def rapid_inbound(transactions: DataFrame, c: RapidMovement = RapidMovement()) -> DataFrame:
-    t = normalise_transactions(transactions)
-    return t.filter(F.col("transaction_type").isin(*c.inbound_types) & F.col("receiver_account_id").isNotNull()).withColumns({"account_id": F.col("receiver_account_id"), "other": F.lit("")})
+    return normalise_transactions(transactions).filter(_inbound(c)).withColumns({"account_id": F.col("receiver_account_id"), "other": F.lit("")})
+
+
+def _sides(t: DataFrame, *sides: tuple[Column, dict[str, Column]]) -> DataFrame:
+    """Each transaction once for every side (condition, columns) whose condition it meets, in one pass over them."""
+    same = [F.col(c) for c in ("us", "transaction_id", "transaction_timestamp", "amount")]
+    made = [F.when(keep, F.struct(*(v.alias(n) for n, v in columns.items()), *same)) for keep, columns in sides]
+    return t.select(F.explode(F.array_compact(F.array(*made))).alias("s")).select("s.*")
 
 
 #: A block of time is this many window widths long; the rows of its first width are copied to the block before.
@@ -301,10 +315,10 @@ def detect_fan_out(transactions: DataFrame, c: FanOut = FanOut()) -> DataFrame:
 
 def detect_rapid_movement(transactions: DataFrame, c: RapidMovement = RapidMovement()) -> DataFrame:
     """Anchors are inbound rows; both directions are summed over one frame of their union."""
-    width, columns = c.window_hours * HOUR, ["account_id", "us", "transaction_id", "transaction_timestamp", "amount", "other"]
-    inbound = rapid_inbound(transactions, c).select(*columns, F.lit(0).alias("out"))
-    outbound = outbound_candidates(transactions, c, c.outbound_types).select(*columns, F.lit(1).alias("out"))
-    both = inbound.unionByName(outbound)
+    width, t = c.window_hours * HOUR, normalise_transactions(transactions)
+    inbound = {"account_id": F.col("receiver_account_id"), "other": F.lit(""), "out": F.lit(0)}
+    outbound = {"account_id": F.col("sender_account_id"), "other": recipient(), "out": F.lit(1)}
+    both = _sides(t, (_inbound(c), inbound), (_outbound(c, c.outbound_types), outbound))
     received, sent = (_forward_sum(F.when(F.col("out") == k, F.col("amount")).otherwise(0), width) for k in (0, 1))
     blocks = _blocked(both.select("account_id", "us", "out", "amount"), width)
     windows = blocks.select("account_id", "us", "own", "out", received.alias("received"), sent.alias("sent"), _forward_sum(F.col("out"), width).alias("n_out")).filter("own")
@@ -343,19 +357,20 @@ def activity_history(transactions: DataFrame) -> DataFrame:
 
 def detect_dormant_reactivation(transactions: DataFrame, c: DormantReactivation = DormantReactivation()) -> DataFrame:
     """As-of lookup of the last strictly earlier movement, and the forward window of candidates, in one partitioning."""
-    width = c.window_days * DAY
-    candidates = outbound_candidates(transactions, c, c.types).filter(F.col("amount") >= c.min_amount)
-    marked = candidates.select("account_id", "us", "transaction_id", "transaction_timestamp", "amount", F.lit(1).alias("candidate"))
-    history = activity_history(transactions).select("account_id", "us", "transaction_id", "transaction_timestamp", "amount", F.lit(0).alias("candidate"))
+    width, t = c.window_days * DAY, normalise_transactions(transactions)
+    candidate = _outbound(c, c.types) & (F.col("amount") >= c.min_amount)
+    sent = {"account_id": F.col("sender_account_id"), "other": recipient(), "candidate": candidate.cast("int")}
+    received = {"account_id": F.col("receiver_account_id"), "other": F.lit(None).cast("string"), "candidate": F.lit(0)}
+    moves = _sides(t, (F.lit(True), sent), (F.col("receiver_account_id").isNotNull(), received))
     # the last movement of each block serves the later blocks; within a block it is a running maximum
     moved = F.struct("us", "transaction_id", "transaction_timestamp")
     start = _block_of(F.col("us"), width).alias("block")
-    lasts = history.groupBy("account_id", start).agg(F.max(moved).alias("last"))
+    lasts = moves.groupBy("account_id", start).agg(F.max(moved).alias("last"))
     carry = Window.partitionBy("account_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     lasts = lasts.select("account_id", "block", F.max("last").over(carry).alias("carried"))
-    both = _blocked(history.unionByName(marked), width).join(lasts, ["account_id", "block"], "left")
+    both = _blocked(moves, width).join(lasts, ["account_id", "block"], "left")
     earlier = Window.partitionBy("account_id", "block").orderBy("us").rangeBetween(Window.unboundedPreceding, -1)
-    prior = F.coalesce(F.max(F.when(F.col("candidate") == 0, moved)).over(earlier), F.col("carried"))
+    prior = F.coalesce(F.max(moved).over(earlier), F.col("carried"))
     one = F.col("candidate") == 1
     windows = both.select("account_id", "us", "own", "transaction_timestamp", "candidate", prior.alias("prior"), _forward_sum(F.when(one, F.col("amount")).otherwise(0), width).alias("total"), _forward_sum(F.col("candidate"), width).alias("n"))
     windows = windows.filter("own")
@@ -363,7 +378,7 @@ def detect_dormant_reactivation(transactions: DataFrame, c: DormantReactivation
     windows = windows.filter((F.col("days") >= c.dormant_days) & (F.col("n") >= c.min_count) & (F.col("total") >= c.min_total))
     best = windows.groupBy("account_id").agg(F.max_by(F.struct("us", "days", "prior"), F.struct("days", "total", "n", -F.col("us"))).alias("best"))
     strongest = best.select("account_id", F.col("best.us").alias("start_us"), F.col("best.days").alias("dormant_days"), F.col("best.prior").alias("prior"))
-    out = _evidence(strongest, candidates, width).groupBy("account_id", "dormant_days", "prior").agg(
+    out = _evidence(strongest, moves.filter("candidate = 1"), width).groupBy("account_id", "dormant_days", "prior").agg(
         F.min("transaction_timestamp").alias("start"), F.count("*").alias("reactivation_transaction_count"), F.sum("amount").alias("total_outbound_amount"),
         F.max("amount").alias("max_outbound_amount"), F.count_distinct("other").alias("recipient_count"), _ids_in_order("other").alias("reactivation_evidence_ids"),
     )
