@@ -19,18 +19,22 @@ from tallyhound.functions.analytic import global_rank
 from tallyhound.operators.rules import simple_cycles
 
 
-def checkpointed(frame: DataFrame) -> DataFrame:
-    """``frame`` written to the folder that ``spark.checkpoint.dir`` names and read back: lineage is cut, all
-    executors can read it again, and it is computed once. A folder is chosen only where none is named."""
-    spark = frame.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """A new name in the folder that ``spark.checkpoint.dir`` names. A folder is chosen only where none is named."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
         base = "file://" + tempfile.mkdtemp(prefix="tallyhound-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def checkpointed(frame: DataFrame) -> DataFrame:
+    """``frame`` written to the shared folder and read back: lineage is cut, all executors can read it again, and it is
+    computed once."""
+    path = shared_folder(frame.sparkSession)
     frame.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
 def _node(label: str, key: str, severity: Column | None = None) -> list[Column]:
