@@ -73,9 +73,10 @@ CTES["score"] = f"SELECT *, {band_sql('account_risk_score')} AS risk_band, row_n
 def exposure(spark, d):
     from tallyhound.operators.features import country_weights
 
-    a = tables.event_accounts(spark, d).filter(F.substring("account_id", 5, 20).cast("long") % 3 != 0)
-    w = F.broadcast(country_weights(tables.countries(spark, d)))
-    return a.join(w, a["home_country"] == w["country_code"]).select("account_id", F.col("weight").alias("high_risk_country_exposure"))
+    w = F.broadcast(country_weights(tables.countries(spark, d)))  # one row a country
+    known = F.when(F.substring("account_id", 5, 20).cast("long") % 3 != 0, F.col("weight"))  # a third has no exposure
+    a = tables.event_accounts(spark, d)
+    return a.join(w, a["home_country"] == w["country_code"], "left").select("account_id", known.alias("high_risk_country_exposure"))
 
 
 def account_scores(spark, d, alerts=None):

@@ -102,7 +102,7 @@ UNION ALL SELECT alert_id, account_id, 'FLAGS_ACCOUNT' FROM {al1} UNION ALL SELE
 CTES["e"] = "SELECT DISTINCT * FROM {e0} WHERE src IS NOT NULL AND dst IS NOT NULL"
 CTES["fl"] = "SELECT src, dst, dst_label, sum(amount) AS amount, count(*) AS transaction_count FROM (SELECT sender_account_id AS src, receiver_account_id AS dst, 'Account' AS dst_label, amount FROM {tx} WHERE receiver_account_id IS NOT NULL UNION ALL SELECT sender_account_id, counterparty_id, 'Counterparty', amount FROM {tx}) GROUP BY ALL"
 CTES["sg"] = "SELECT DISTINCT src, dst FROM {fl} WHERE dst_label = 'Account'"
-CTES["so"] = "SELECT DISTINCT sender_account_id AS src, receiver_account_id AS dst FROM {txo} WHERE transaction_type = 'transfer' AND amount >= 250000"
+CTES["so"] = "SELECT DISTINCT sender_account_id AS src, receiver_account_id AS dst FROM {txo} WHERE transaction_type = 'transfer'"
 
 
 def _edges(a, t, al):
@@ -120,7 +120,7 @@ def _simple(spark, d):
 
 
 def _order_graph(spark, d):
-    t = tables.order_transactions(spark, d).filter("transaction_type = 'transfer' AND amount >= 250000")
+    t = tables.order_transactions(spark, d).filter("transaction_type = 'transfer'")
     return t.select(F.col("sender_account_id").alias("src"), F.col("receiver_account_id").alias("dst")).distinct()
 
 
@@ -187,22 +187,16 @@ roots AS (SELECT id, min(root) AS root FROM walk GROUP BY id), per AS (SELECT ro
 SELECT id AS account_id, row_number AS community_id, graph_component_size AS community_size, graph_component_size FROM roots JOIN (SELECT *, row_number() OVER (ORDER BY root) AS row_number FROM per) USING (root)"""
 
 
-def _sparse(spark, d):
-    t = tables.order_transactions(spark, d).filter("transaction_type = 'transfer' AND amount >= 450000")
-    return t.select(F.col("sender_account_id").alias("src"), F.col("receiver_account_id").alias("dst")).distinct()
-
-
 @query("graph_communities")
 def _(spark, d):
-    s = _sparse(spark, d)
-    nodes = s.select(F.explode(F.array("src", "dst")).alias("account_id")).distinct()
-    return graph.communities(s, nodes)
+    s = _order_graph(spark, d)
+    return graph.communities(s, s.select(F.explode(F.array("src", "dst")).alias("account_id")).distinct())
 
 
 def _components_sql() -> str:
     from tallyhound.plans.sql import CTES as c
 
-    base = f"txo AS MATERIALIZED ({c['txo']}), g AS MATERIALIZED (SELECT DISTINCT sender_account_id AS src, receiver_account_id AS dst FROM txo WHERE transaction_type = 'transfer' AND amount >= 450000), nb AS MATERIALIZED (SELECT src, dst FROM g UNION SELECT dst, src FROM g)"
+    base = f"txo AS MATERIALIZED ({c['txo']}), g AS MATERIALIZED (SELECT DISTINCT sender_account_id AS src, receiver_account_id AS dst FROM txo WHERE transaction_type = 'transfer'), nb AS MATERIALIZED (SELECT src, dst FROM g UNION SELECT dst, src FROM g)"
     return SQL_COMPONENTS.replace("{defs}", base)
 
 
@@ -253,34 +247,11 @@ def _(spark, d):
     return graph.neighbourhood(_simple(spark, d), "ACC_1", 2)
 
 
-# Over every transfer. The SQL of graph_pagerank, graph_clustering and graph_communities is kept with its filter by
-# amount, so their whole forms are queries of their own; tests compare them with brute force.
-def _transfers(spark, d):
-    t = tables.order_transactions(spark, d).filter("transaction_type = 'transfer'")
-    return t.select(F.col("sender_account_id").alias("src"), F.col("receiver_account_id").alias("dst")).distinct()
-
-
-@query("graph_pagerank_whole")
-def _(spark, d):
-    return graph.pagerank(_transfers(spark, d), rounds=_ROUNDS).withColumn("pagerank_score", F.round("pagerank_score", 9))
-
-
-@query("graph_clustering_whole")
-def _(spark, d):
-    return graph.clustering(_transfers(spark, d), tables.order_accounts(spark, d)).withColumn("clustering_coefficient", F.round("clustering_coefficient", 6))
-
-
-@query("graph_communities_whole")
-def _(spark, d):
-    s = _transfers(spark, d)
-    return graph.communities(s, s.select(F.explode(F.array("src", "dst")).alias("account_id")).distinct())
-
-
 @query("graph_betweenness")
 def _(spark, d):
-    return graph.betweenness(_transfers(spark, d))
+    return graph.betweenness(_order_graph(spark, d))
 
 
 @query("graph_greedy_modularity")
 def _(spark, d):
-    return graph.greedy_modularity(_transfers(spark, d))
+    return graph.greedy_modularity(_order_graph(spark, d))

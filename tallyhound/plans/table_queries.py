@@ -185,9 +185,9 @@ def _(spark, d):
     return gold.case_risk(gold.cases(event_alerts(spark, d)), _gold_risk(spark, d)).select("case_id", "case_risk_score", "risk_band")
 
 
-@query("gold_alerts_from_manifest", "SELECT 'AL_' || upper(substr(sha1('SC_' || c_custkey), 1, 10)) AS alert_id, 'A' || c_custkey AS account_id, 'high' AS severity, 75.0::DOUBLE AS risk_score_rule, 2 AS evidence_count FROM customer WHERE c_custkey % 10 = 0")
+@query("gold_alerts_from_manifest", "SELECT 'AL_' || upper(substr(sha1('SC_' || c_custkey), 1, 10)) AS alert_id, 'A' || c_custkey AS account_id, 'high' AS severity, 75.0::DOUBLE AS risk_score_rule, 2 AS evidence_count FROM customer")
 def _(spark, d):
-    m = tables.table(spark, d, "customer").filter("c_custkey % 10 = 0").select(F.concat(F.lit("SC_"), F.col("c_custkey").cast("string")).alias("scenario_id"), F.lit("fan_in").alias("typology"), F.concat(F.lit("A"), F.col("c_custkey").cast("string")).alias("primary_account_id"), F.lit("T1, T2").alias("evidence_transaction_ids"), F.lit("High").alias("expected_severity"))
+    m = tables.table(spark, d, "customer").select(F.concat(F.lit("SC_"), F.col("c_custkey").cast("string")).alias("scenario_id"), F.lit("fan_in").alias("typology"), F.concat(F.lit("A"), F.col("c_custkey").cast("string")).alias("primary_account_id"), F.lit("T1, T2").alias("evidence_transaction_ids"), F.lit("High").alias("expected_severity"))
     return gold.alerts_from_manifest(m).select("alert_id", "account_id", "severity", "risk_score_rule", "evidence_count")
 
 

@@ -80,7 +80,7 @@ def test_modularity_over_every_transfer(spark, sf, pairs):
 
 
 def test_pagerank_over_every_transfer(spark, sf, pairs):
-    got = {r.account_id: r.pagerank_score for r in ALL_QUERIES["graph_pagerank_whole"](spark, sf).collect()}
+    got = {r.account_id: r.pagerank_score for r in ALL_QUERIES["graph_pagerank"](spark, sf).collect()}
     nodes, out = {x for p in pairs for x in p}, defaultdict(list)
     for a, b in pairs:
         out[a].append(b)
@@ -96,14 +96,14 @@ def test_pagerank_over_every_transfer(spark, sf, pairs):
 
 
 def test_clustering_over_every_transfer(spark, sf, pairs):
-    got = {r.account_id: r.clustering_coefficient for r in ALL_QUERIES["graph_clustering_whole"](spark, sf).collect()}
+    got = {r.account_id: r.clustering_coefficient for r in ALL_QUERIES["graph_clustering"](spark, sf).collect()}
     near = neighbours(pairs, True)
     share = lambda v: sum(b in near[a] for a, b in combinations(sorted(v), 2)) / (len(v) * (len(v) - 1) / 2) if len(v) > 1 else 0.0
     assert any(got.values()) and got == {x: pytest.approx(share(near[x]), abs=1e-6) for x in got}
 
 
 def test_communities_over_every_transfer(spark, sf, pairs):
-    got = {r.account_id: (r.community_id, r.community_size) for r in ALL_QUERIES["graph_communities_whole"](spark, sf).collect()}
+    got = {r.account_id: (r.community_id, r.community_size) for r in ALL_QUERIES["graph_communities"](spark, sf).collect()}
     near, found = neighbours(pairs, True), []
     left = {x for p in pairs for x in p}
     while left:
