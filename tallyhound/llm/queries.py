@@ -1,14 +1,17 @@
-"""The ten operators' queries and their SQL."""
+"""The thirteen operators' queries and their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhound.llm import best_fit, exact_dedup, language_id, piece_transducer, probminhash, qalsh, quality_ftrl, substring_dedup, suffix_dedup, warc_revisit
+from tallyhound.llm import (
+    best_fit, exact_dedup, exponion, language_id, piece_transducer, probminhash, qalsh, quality_ftrl, substring_dedup, suffix_dedup, tiered_search, token_files, warc_revisit,
+)
 from tallyhound.llm.staging import table
 
 PACK_TOKENIZER = "word_bpe_49k.json"
+FILE_TOKENIZER = "byte_bpe_50k.json"
 PIECE_MODEL = "piece_bpe_32k.model"
 SEQUENCE = 2048
 
@@ -124,7 +127,82 @@ def op10_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return qalsh.nearest(table(spark, sf_dir, "embeddings"))
 
 
-OPERATORS = (op1_exact_dedup, op2_warc_revisits, op3_best_two_fit, op4_probminhash, op5_quality_ftrl, op6_piece_transducer, op7_suffix_dedup, op8_language_mixture, op9_substring_dedup, op10_collision_counting)
+def op11_tiered_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiered_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 50)
+
+
+OP11_SQL = r"""
+WITH t AS (
+  SELECT doc_id, row_number() OVER () AS r,
+    regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words
+  FROM documents),
+d AS (SELECT r, doc_id, words, len(words) AS n FROM t WHERE len(words) > 0),
+s AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS l FROM d),
+p AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(words) AS term FROM d) GROUP BY r, term),
+w AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * (SELECT n_docs FROM s) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM p GROUP BY term),
+i AS (
+  SELECT item_id, row_number() OVER () AS q,
+    regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words
+  FROM benchmark),
+q AS (SELECT DISTINCT q, item_id, unnest(words) AS term FROM i),
+m AS (SELECT r, doc_id, 100 - 50 + (50 * n * n_docs) // l AS m FROM d, s),
+scores AS (
+  SELECT q.q, q.item_id, m.doc_id, p.r, CAST(sum(w.w * ((1000000000 * p.tf) // (1000 * p.tf + 20 * m.m))) AS BIGINT) AS score
+  FROM q JOIN w ON q.term = w.term JOIN p ON p.term = q.term JOIN m ON m.r = p.r
+  GROUP BY q.q, q.item_id, m.doc_id, p.r),
+ranks AS (SELECT *, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM scores WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranks WHERE rank <= 50
+"""
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = token_files.round_trip(table(spark, sf_dir, "documents"), tokenizer_path(FILE_TOKENIZER))
+    return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op13_exponion_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exponion.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+def _codes_sql(rounds: int = 2, parts: int = 16, entries: int = 64) -> str:
+    """One common table for each step: entries, nearest entries, new entries."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""
+near{k} AS (
+  SELECT r, p, min({{'d': d, 'e': e}}) AS best
+  FROM (SELECT x.r, x.p, b.e, list_sum(list_transform(list_zip(x.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d
+        FROM cut x JOIN book{k} b ON x.p = b.p)
+  GROUP BY r, p)""")
+        if k < rounds:
+            steps.append(f"""
+mean{k} AS (
+  SELECT p, e, list(CAST(floor(total / many) AS BIGINT) ORDER BY j) AS x
+  FROM (SELECT c.p, n.best.e AS e, j, CAST(sum(c.x[j]) AS DOUBLE) AS total, count(*) AS many
+        FROM near{k} n JOIN cut c ON c.r = n.r AND c.p = n.p, unnest(range(1, len(c.x) + 1)) AS u(j)
+        GROUP BY c.p, n.best.e, j)
+  GROUP BY p, e),
+book{k + 1} AS (SELECT b.p, b.e, coalesce(m.x, b.x) AS x FROM book{k} b LEFT JOIN mean{k} m ON m.p = b.p AND m.e = b.e)""")
+    return f"""
+WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id) - 1 AS r, vec_id, label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+cut AS (SELECT r, p, v[p * (len(v) // {parts}) + 1 : (p + 1) * (len(v) // {parts})] AS x FROM kept, range({parts}) AS u(p)),
+book0 AS (SELECT p, r AS e, x FROM cut WHERE r < {entries}),{",".join(steps)},
+sha AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) AS h FROM book{rounds}),
+coded AS (SELECT r, string_agg(printf('%02x', best.e), '' ORDER BY p) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM near{rounds} GROUP BY r)
+SELECT k.vec_id, c.code, c.error, CAST(sum(c.error) OVER (PARTITION BY k.label) AS BIGINT) AS label_error, h AS codebooks_sha256
+FROM kept k JOIN coded c ON c.r = k.r, sha
+"""
+
+
+OPERATORS = (
+    op1_exact_dedup, op2_warc_revisits, op3_best_two_fit, op4_probminhash, op5_quality_ftrl, op6_piece_transducer, op7_suffix_dedup, op8_language_mixture, op9_substring_dedup,
+    op10_collision_counting, op11_tiered_search, op12_token_files, op13_exponion_codes,
+)
 
 
 def queries() -> dict:
@@ -132,4 +210,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op2_warc_revisits": OP2_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op2_warc_revisits": OP2_SQL, "op11_tiered_search": OP11_SQL, "op13_exponion_codes": _codes_sql()}
