@@ -46,14 +46,16 @@ FOUND = "item int, doc_id long, score long, bound long"
 
 def term_counts(texts: pa.StringArray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """Of each text's distinct terms: the text's place, the term and how often it is there."""
-    lists = pc.split_pattern_regex(pc.ascii_lower(texts), pattern=APART)
+    lists = pc.split_pattern_regex(texts, pattern=APART)
     owner = np.repeat(np.arange(len(texts)), lists.value_lengths().to_numpy())
     words = lists.flatten()
     real = pc.not_equal(words, "")
     words = pc.dictionary_encode(pc.filter(words, real))
-    size = max(1, len(words.dictionary))
-    keys, tf = np.unique(owner[real.to_numpy(zero_copy_only=False)] * size + words.indices.to_numpy(), return_counts=True)
-    return keys // size, words.dictionary.take(pa.array(keys % size)), tf.astype("int64")
+    lower = pc.dictionary_encode(pc.ascii_lower(words.dictionary))
+    size = max(1, len(lower.dictionary))
+    codes = lower.indices.to_numpy()[words.indices.to_numpy()]
+    keys, tf = np.unique(owner[real.to_numpy(zero_copy_only=False)] * size + codes, return_counts=True)
+    return keys // size, lower.dictionary.take(pa.array(keys % size)), tf.astype("int64")
 
 
 def lists_by(owner: np.ndarray, count: int, *columns: pa.Array) -> list[pa.ListArray]:

@@ -7,7 +7,7 @@ else 32), and ``<name>.idx``, a header, the documents' offsets, counted in ids,
 attempts that Spark commits get into ``manifest``, a Parquet table with one row a file, so lost executors leave no wrong
 file behind. The first document and id of each file are prefix sums over that table. Readers map both files into memory.
 
-A chunk of a text, its white space and the word behind it, is encoded the same wherever it stands, so each distinct one is
+A word with the white space before it is encoded the same wherever it stands, so each distinct one is
 encoded once while a worker remembers it. Texts with white space or controls beyond ASCII's four are encoded whole.
 
 Cases: null and empty texts are the end id alone; null ids come first; rows that repeat an id stand in the order in which they are
@@ -32,61 +32,102 @@ from tallyhound.llm.best_fit import CACHE_WORDS, ODD_SPACE, runs_of
 from tallyhound.llm.staging import SMALL_PAGES, shared_dir, trim
 
 MAGIC = b"TOKENIDX"
+#: Letters in Latin, Greek and Cyrillic that a tokenizer's classes have had from their first versions; other words are not cut.
+LETTERS = "A-Za-zÀ-ÖØ-öø-ɏΑ-ΡΣ-ωЀ-ӿ"
 HEADER, BEHIND = "<8sQQ", 24  # magic, bytes an id, documents
 MANIFEST = "part int, name string, docs long, tokens long, width int"
 READ = "doc_id long, start long, n_tokens long, ids binary"
 
 
+class Memory:
+    """Ids of strings that were encoded before: two generations of about ``CACHE_WORDS``, so frequent ones stay."""
+
+    def __init__(self, learn):
+        self.learn, self.known, self.older = learn, {}, {}
+
+    def ids_of(self, strings: list[str]) -> list[bytes]:
+        if len(self.known) > CACHE_WORDS:
+            self.older, self.known = self.known, {}
+        found = list(map(self.known.get, strings))
+        holes = [i for i, v in enumerate(found) if v is None]
+        older = [(strings[i], self.older.get(strings[i])) for i in holes]
+        self.known.update(x for x in older if x[1] is not None)
+        fresh = [s for s, v in older if v is None]
+        for at in range(0, len(fresh), 4000):
+            some = fresh[at : at + 4000]
+            self.known.update(zip(some, self.learn(some), strict=True))
+        for i in holes:
+            found[i] = self.known[strings[i]]
+        return found
+
+
 class ChunkEncoder:
-    """Ids of whole texts for a byte-level tokenizer without a normaliser."""
+    """Ids of whole texts for a byte-level tokenizer without a normaliser.
+
+    Texts are cut before each space. Where a space stands between white space, or after some at the end, the runs of white space
+    matter: such texts are cut before each run instead. A word of letters and then ASCII marks is cut there once more, as the tokenizer does;
+    words are encoded in runs, in which the ids that begin with a space tell them apart.
+    """
 
     CUT = "\x01"
     ODD = rf"{ODD_SPACE}|[\x0b\x0c{CUT}]"
+    RUNS = r"[ \t\n\r] ([ \t\n\r]|$)"
+    WORD = rf"^(?P<core>[{LETTERS}]+)(?P<marks>[!-/:-@\[-`{{-~]*)$"
 
     def __init__(self, tokenizer_file: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.size = max(self.tokenizer.get_vocab(with_added_tokens=True).values()) + 1
-        self.known: dict[str, np.ndarray] = {}
-        self.older: dict[str, np.ndarray] = {}
-
-    def _whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.asarray(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _ids_of(self, chunks: list[str]) -> list[np.ndarray]:
-        if len(self.known) > CACHE_WORDS:
-            self.older, self.known = self.known, {}
-        fresh = []
-        for c in chunks:
-            if c not in self.known:
-                if c in self.older:
-                    self.known[c] = self.older[c]
-                else:
-                    fresh.append(c)
-        for at in range(0, len(fresh), 10_000):
-            some = fresh[at : at + 10_000]
-            self.known.update(zip(some, self._whole(some), strict=True))
-        return [self.known[c] for c in chunks]
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.size = max(vocabulary.values()) + 1
+        self.begins = np.zeros(self.size, bool)
+        self.begins[[i for piece, i in vocabulary.items() if piece.startswith("\u0120")]] = True
+        self.words, self.others = Memory(self._learn_words), Memory(self._whole)
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.asarray(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn_words(self, words: list[str]) -> list[bytes]:
+        """Each word behind a space."""
+        raw = self._whole([" " + " ".join(words)])[0]
+        at = (np.flatnonzero(self.begins[np.frombuffer(raw, "<u4")]) * 4).tolist()
+        return [raw[a:b] for a, b in zip(at, [*at[1:], len(raw)], strict=True)] if len(at) == len(words) else self._whole([" " + w for w in words])
+
+    def _listed(self, lists: pa.ListArray, space: str) -> Iterator[np.ndarray]:
+        """Ids of each list of chunks; behind its first one, ``space`` stands before each."""
+        offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        flat = lists.flatten()
+        chunks, firsts = pc.dictionary_encode(flat), pc.dictionary_encode(flat.take(pa.array(offsets[:-1])))
+        cut = pc.extract_regex(chunks.dictionary, self.WORD) if space else pa.nulls(len(chunks.dictionary), pa.struct([("core", pa.string()), ("marks", pa.string())]))
+        split = cut.is_valid()
+        core, marks = (pc.dictionary_encode(pc.filter(pc.struct_field(cut, k), split)) for k in (0, 1))
+        raw = [b"", *self.words.ids_of(core.dictionary.to_pylist())]
+        split, parts = split.to_numpy(zero_copy_only=False), np.zeros((len(chunks.dictionary) + len(firsts.dictionary), 2), "int64")
+        place = np.flatnonzero(split)
+        parts[place, 0] = core.indices.to_numpy() + 1
+        parts[place, 1] = marks.indices.to_numpy() + len(raw)
+        raw += self.others.ids_of(marks.dictionary.to_pylist())
+        rest = [space + c for c in chunks.dictionary.filter(pa.array(~split)).to_pylist()] + firsts.dictionary.to_pylist()
+        parts[np.r_[np.flatnonzero(~split), len(split) : len(parts)], 0] = np.arange(len(raw), len(raw) + len(rest))
+        raw += self.others.ids_of(rest)
+        index = chunks.indices.to_numpy().astype("int64")
+        index[offsets[:-1]] = firsts.indices.to_numpy() + len(split)
+        data, lengths = np.frombuffer(b"".join(raw), "<u4"), np.fromiter(map(len, raw), "int64", len(raw)) // 4
+        starts = np.cumsum(lengths) - lengths
+        for a, b in zip(offsets[:-1], offsets[1:], strict=True):
+            mine = parts[index[a:b]].ravel()
+            n = lengths[mine]
+            ends = np.cumsum(n)
+            yield data[np.repeat(starts[mine] - ends + n, n) + np.arange(ends[-1])]
 
     def ids(self, texts: pa.StringArray) -> Iterator[np.ndarray]:
         odd = pc.match_substring_regex(texts, self.ODD)
-        marked = pc.replace_substring_regex(pc.if_else(odd, "", texts), r"([^\t\n\r ])([\t\n\r ])", f"\\1{self.CUT}\\2")
-        lists = pc.split_pattern(marked, self.CUT)
-        offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-        chunks = pc.dictionary_encode(lists.flatten())
-        raw = self._ids_of(chunks.dictionary.to_pylist())
-        lengths = np.fromiter(map(len, raw), "int64", len(raw))
-        data, starts = np.concatenate([np.zeros(0, "<u4"), *raw]), np.cumsum(lengths) - lengths
-        index = chunks.indices.to_numpy()
-        for i, strange in enumerate(odd.to_pylist()):
-            if strange:
-                yield self._whole([texts[i].as_py()])[0]
-            else:
-                mine = index[offsets[i] : offsets[i + 1]]
-                n = lengths[mine]
-                ends = np.cumsum(n)
-                yield data[np.repeat(starts[mine] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
+        runs = pc.and_not(pc.match_substring_regex(texts, self.RUNS), odd)
+        even = pc.invert(pc.or_(odd, runs))
+        marked = pc.replace_substring_regex(texts.filter(runs), r"([^\t\n\r ])([\t\n\r ])", f"\\1{self.CUT}\\2")
+        by_space, by_run = self._listed(pc.split_pattern(texts.filter(even), " "), " "), self._listed(pc.split_pattern(marked, self.CUT), "")
+        for i, (strange, run) in enumerate(zip(odd.to_pylist(), runs.to_pylist(), strict=True)):
+            yield np.frombuffer(self._whole([texts[i].as_py()])[0], "<u4") if strange else next(by_run if run else by_space)
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
