@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyhound.checkpoints import checkpointed
+
 
 def latest_per_key(frame: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in the given order."""
@@ -16,8 +18,6 @@ def running(frame: DataFrame, order: list[Column], sums: dict[str, str], by: lis
     """Running totals ``sums`` (source: target) in a total order, for each value of ``by``; and the totals as
     ``target_total``. Ranges of the order are summed on their own and shifted by those before them: no task gets all
     rows, and what is broadcast has one row a range."""
-    from tallyhound.operators.graph import checkpointed
-
     by = by or []
     ranged = checkpointed(frame.repartitionByRange(*by, *order).withColumn("_range", F.spark_partition_id()))
     parts = ranged.groupBy(*by, "_range").agg(*(F.sum(s).alias(f"_{t}") for s, t in sums.items()))
@@ -36,8 +36,6 @@ def percentile_ranks(frame: DataFrame, columns: dict[str, str], single: bool = F
     Values of all columns are counted first and ranked in one pass over ranges of them; the result is joined back by
     value. ``single``: a frame of one row scores 100 if positive, else 0.
     """
-    from tallyhound.operators.graph import checkpointed
-
     frame = checkpointed(frame)  # read once for each column below
     value = {s: F.coalesce(F.col(s).cast("double"), F.lit(0.0)) for s in columns}
     pairs = frame.select(F.explode(F.array(*(F.struct(F.lit(s).alias("_c"), value[s].alias("_v")) for s in columns))).alias("p")).select("p.*")
@@ -69,8 +67,6 @@ def gold_band(score: Column) -> Column:
 def global_rank(frame: DataFrame, order: list[Column], name: str) -> DataFrame:
     """1..n in the given total order, without gathering the rows in one task: ranges of the order are numbered
     on their own, and each range is shifted by the sizes of those before it (one row a range)."""
-    from tallyhound.operators.graph import checkpointed
-
     ranged = checkpointed(frame.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
     sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -6,37 +6,19 @@ checkpoint in the folder the session names; nothing but counts and checksums com
 
 from __future__ import annotations
 
-import heapq
-import tempfile
-import uuid
 from functools import reduce
 
-import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyhound.checkpoints import Scratch
 from tallyhound.functions.analytic import global_rank
+from tallyhound.functions.joins import hot_keys, spread_join
+from tallyhound.operators import centrality, modularity
+from tallyhound.operators.projection import Projection, project, project_pairs
 from tallyhound.operators.rules import simple_cycles
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new name in the folder that ``spark.checkpoint.dir`` names. A folder is chosen only where none is named."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
-        base = "file://" + tempfile.mkdtemp(prefix="tallyhound-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def checkpointed(frame: DataFrame) -> DataFrame:
-    """``frame`` written to the shared folder and read back: lineage is cut, all executors can read it again, and it is
-    computed once."""
-    path = shared_folder(frame.sparkSession)
-    frame.write.option("compression", "zstd").parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
-
-
 def _node(label: str, key: str, severity: Column | None = None) -> list[Column]:
     return [F.col(key).alias("id"), F.lit(label).alias("label"), (severity if severity is not None else F.lit(None).cast("string")).alias("severity")]
 
@@ -120,65 +102,78 @@ def zero_filled(accounts: DataFrame, features: DataFrame, keep_null: tuple[str,
     return full.withColumns({c: F.coalesce(F.col(c), F.lit(0).cast(t)) for c, t in full.dtypes if c != "account_id" and c not in keep_null})
 
 
-def degrees(simple: DataFrame, accounts: DataFrame) -> DataFrame:
-    """simple: distinct src, dst. Centralities are degrees over n - 1."""
+def degrees(simple: DataFrame, accounts: DataFrame, size: int | None = None) -> DataFrame:
+    """simple: distinct src, dst. Centralities are degrees over n - 1, n being ``size`` or the nodes of the pairs."""
     ends = simple.select(F.explode(F.array(F.struct(F.col("src").alias("account_id"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("dst").alias("account_id"), F.lit(0).alias("o"), F.lit(1).alias("i")))).alias("e")).select("e.*")
     d = ends.groupBy("account_id").agg(F.count("*").alias("degree"), F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"))
-    n = F.broadcast(d.agg(F.greatest(F.count("*") - 1, F.lit(1)).alias("_n")))
+    n = F.broadcast(d.agg(F.greatest((F.lit(size) if size else F.count("*")) - 1, F.lit(1)).alias("_n")))
     d = d.crossJoin(n).withColumns({f"{x}_centrality": F.col(x) / F.col("_n") for x in ("degree", "in_degree", "out_degree")}).drop("_n")
     return zero_filled(accounts, d)
 
 
-def pagerank(simple: DataFrame, alpha: float = 0.85, rounds: int | None = None, tolerance: float = 1e-6, most_rounds: int = 100) -> DataFrame:
+def pagerank(simple: DataFrame, alpha: float = 0.85, rounds: int | None = None, tolerance: float = 1e-6, most_rounds: int = 100, nodes: DataFrame | None = None) -> DataFrame:
     """account_id, pagerank_score after ``rounds`` rounds, or, by default, once all scores together move by less than
-    ``tolerance`` a node (an error after ``most_rounds``); dangling mass is shared evenly.
-
-    The link table is partitioned by source once and kept; a round is one join on it and one aggregate."""
-    out = simple.groupBy("src").agg(F.count("*").alias("out"))
-    links = simple.join(out, "src").select("src", "dst", "out").persist()
-    nodes = simple.select(F.explode(F.array("src", "dst")).alias("id")).distinct().join(out.withColumnRenamed("src", "id"), "id", "left").persist()
-    n = nodes.count()
-    if n == 0:
-        return nodes.select(F.col("id").alias("account_id"), F.lit(0.0).alias("pagerank_score"))
-    rank = nodes.select("id", "out", F.lit(1.0 / n).alias("r"))
-    for turn in range(rounds or most_rounds):
-        before = rank
-        sums = links.join(rank.select(F.col("id").alias("src"), "r"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("r") / F.col("out")).alias("s"))
-        lost = F.broadcast(rank.agg(F.coalesce(F.sum(F.when(F.col("out").isNull(), F.col("r"))), F.lit(0.0)).alias("lost")))
-        # ranks are read twice a round, for the sums and for the lost mass, so each round is written
-        rank = checkpointed(nodes.join(sums, "id", "left").crossJoin(lost).select("id", "out", ((1 - alpha) / n + alpha * (F.coalesce("s", F.lit(0.0)) + F.col("lost") / n)).alias("r")))
-        if rounds is None:
-            moved = rank.join(before.select("id", F.col("r").alias("b")), "id").agg(F.sum(F.abs(F.col("r") - F.col("b")))).first()[0]
-            if moved < n * tolerance:
-                break
-    else:
-        if rounds is None:
-            raise ValueError(f"scores still move after {most_rounds} rounds")
-    links.unpersist()
-    nodes.unpersist()
-    return rank.select(F.col("id").alias("account_id"), F.col("r").alias("pagerank_score"))
+    ``tolerance`` a node (an error after ``most_rounds``); dangling mass is shared evenly. ``nodes``: id, where there are more nodes than
+    the pairs have.
+
+    A round is one join of the links, one sum by target, and one join of the nodes."""
+    with Scratch() as keep:
+        out = simple.groupBy("src").agg(F.count("*").alias("out"))
+        hot = hot_keys(simple, "src")
+        links = keep(spread_join(simple, out, "src", hot))
+        ends = simple.select(F.explode(F.array("src", "dst")).alias("id"))
+        every = (ends if nodes is None else ends.unionByName(nodes.select("id"))).distinct()
+        every = keep(every.join(out.withColumnRenamed("src", "id"), "id", "left"))
+        n = every.count()
+        if n == 0:
+            return keep.result(every.select(F.col("id").alias("account_id"), F.lit(0.0).alias("pagerank_score")))
+        rank = keep(every.select("id", "out", F.lit(1.0 / n).alias("r")))
+        for turn in range(rounds or most_rounds):
+            before = rank
+            sums = spread_join(links, rank.select(F.col("id").alias("src"), "r"), "src", hot).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("r") / F.col("out")).alias("s"))
+            lost = F.broadcast(rank.agg(F.coalesce(F.sum(F.when(F.col("out").isNull(), F.col("r"))), F.lit(0.0)).alias("lost")))
+            # ranks are read twice a round, for the sums and for the lost mass, so each round is written
+            rank = keep(every.join(sums, "id", "left").crossJoin(lost).select("id", "out", ((1 - alpha) / n + alpha * (F.coalesce("s", F.lit(0.0)) + F.col("lost") / n)).alias("r")))
+            if rounds is None:
+                moved = rank.join(before.select("id", F.col("r").alias("b")), "id").agg(F.sum(F.abs(F.col("r") - F.col("b")))).first()[0]
+                if moved < n * tolerance:
+                    break
+            keep.forget(before)
+        else:
+            if rounds is None:
+                raise ValueError(f"scores still move after {most_rounds} rounds")
+        return keep.result(rank.select(F.col("id").alias("account_id"), F.col("r").alias("pagerank_score")))
 
 
 def component_roots(simple: DataFrame) -> DataFrame:
     """id, root: the smallest id of each weakly connected component, by min-label spreading with shortcuts."""
-    both = checkpointed(simple.select("src", "dst").unionByName(simple.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
-    label = both.groupBy(F.col("src").alias("id")).agg(F.least(F.min("dst"), F.first("src")).alias("root"))
-    label = checkpointed(label)
-    before = None
-    while True:
-        near = both.join(label.select(F.col("id").alias("dst"), "root"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("root").alias("m"))
-        step = label.join(near, "id").select("id", F.least("root", "m").alias("root"))
-        jump = step.select(F.col("id").alias("root"), F.col("root").alias("up"))
-        label = checkpointed(step.join(jump, "root").select("id", F.least("root", "up").alias("root")))
-        now = tuple(label.agg(F.count("*"), F.bit_xor(F.xxhash64("id", "root"))).first())
-        if now == before:
-            return label
-        before = now
-
-
-def communities(simple: DataFrame, accounts: DataFrame) -> DataFrame:
-    """Connected components as communities: id by order of the smallest account, size in accounts and in all nodes."""
+    with Scratch() as keep:
+        both = keep(simple.select("src", "dst").unionByName(simple.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
+        hot = hot_keys(both, "dst")
+        label = keep(both.groupBy(F.col("src").alias("id")).agg(F.least(F.min("dst"), F.first("src")).alias("root")))
+        before = None
+        while True:
+            near = spread_join(both, label.select(F.col("id").alias("dst"), "root"), "dst", hot).groupBy(F.col("src").alias("id")).agg(F.min("root").alias("m"))
+            step = keep(label.join(near, "id").select("id", F.least("root", "m").alias("root")))
+            jump = step.select(F.col("id").alias("root"), F.col("root").alias("up"))
+            old, label = label, keep(spread_join(step, jump, "root", hot_keys(step, "root")).select("id", F.least("root", "up").alias("root")))
+            now = tuple(label.agg(F.count("*"), F.bit_xor(F.xxhash64("id", "root"))).first())
+            if now == before:
+                return keep.result(label)
+            keep.forget(old, step)
+            before = now
+
+
+def communities(simple: DataFrame, accounts: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """Connected components as communities; with ``nodes`` (id), those without a link are communities of their own."""
     roots = component_roots(simple)
+    if nodes is not None:
+        roots = nodes.select("id").join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
+    return numbered_communities(roots, accounts)
+
+
+def numbered_communities(roots: DataFrame, accounts: DataFrame) -> DataFrame:
+    """roots: id, root. Communities numbered by order of their smallest account, with their size in accounts and in all nodes."""
     named = roots.join(accounts.select(F.col("account_id").alias("id"), F.lit(1).alias("is_account")), "id", "left")
     per = named.groupBy("root").agg(F.count("*").alias("graph_component_size"), F.count("is_account").alias("community_size"), F.coalesce(F.min(F.when(F.col("is_account") == 1, F.col("id"))), F.min("id")).alias("first"))
     per = global_rank(per, [F.asc("first")], "community_id").withColumn("community_id", F.col("community_id").cast("int"))
@@ -209,19 +204,19 @@ def cycle_counts(simple: DataFrame, accounts: DataFrame, max_hops: int = 4) -> D
 
 def alert_proximity(edges: DataFrame, alerts: DataFrame, accounts: DataFrame, depth: int = 4, severe: tuple[str, ...] = ("high", "critical")) -> DataFrame:
     """Adjacent alerts, and hops to the nearest severe one: one search outwards from all severe alerts at once."""
-    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    both = checkpointed(both)  # every hop joins it
-    a = alerts.select(F.col("alert_id").alias("dst"), F.lower("severity").isin(*severe).alias("severe")).dropDuplicates(["dst"])
-    a = checkpointed(a)
-    adjacent = both.join(a, "dst").groupBy(F.col("src").alias("account_id")).agg(F.count("*").alias("alert_count"), F.count(F.when(F.col("severe"), 1)).alias("high_risk_alert_count"))
-    seen = a.filter("severe").select(F.col("dst").alias("id"), F.lit(0).alias("hops"))
-    frontier = seen
-    for k in range(1, depth + 1):
-        reached = both.join(frontier.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")).distinct()
-        frontier = checkpointed(reached.join(seen, "id", "left_anti").withColumn("hops", F.lit(k)))
-        seen = seen.unionByName(frontier)
-    hops = seen.select(F.col("id").alias("account_id"), F.col("hops").alias("shortest_path_to_flagged"))
-    return zero_filled(accounts, adjacent.join(hops, "account_id", "full"), ("shortest_path_to_flagged",))
+    with Scratch() as keep:
+        both = keep(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())  # every hop joins it
+        hot = hot_keys(both, "src")
+        a = keep(alerts.select(F.col("alert_id").alias("dst"), F.lower("severity").isin(*severe).alias("severe")).dropDuplicates(["dst"]))
+        adjacent = both.join(a, "dst").groupBy(F.col("src").alias("account_id")).agg(F.count("*").alias("alert_count"), F.count(F.when(F.col("severe"), 1)).alias("high_risk_alert_count"))
+        seen = a.filter("severe").select(F.col("dst").alias("id"), F.lit(0).alias("hops"))
+        frontier = seen
+        for k in range(1, depth + 1):
+            reached = spread_join(both, frontier.select(F.col("id").alias("src")), "src", hot).select(F.col("dst").alias("id")).distinct()
+            frontier = keep(reached.join(seen, "id", "left_anti").withColumn("hops", F.lit(k)))
+            seen = seen.unionByName(frontier)
+        hops = seen.select(F.col("id").alias("account_id"), F.col("hops").alias("shortest_path_to_flagged"))
+        return keep.result(zero_filled(accounts, adjacent.join(hops, "account_id", "full"), ("shortest_path_to_flagged",)))
 
 
 def neighbourhood(edges: DataFrame, start: str, hops: int = 2) -> DataFrame:
@@ -238,105 +233,26 @@ def neighbourhood(edges: DataFrame, start: str, hops: int = 2) -> DataFrame:
 
 
 def betweenness(simple: DataFrame, most_sources: int | None = None) -> DataFrame:
-    """account_id, betweenness_centrality, normalised for a directed graph. Sources are spread over tasks, each of
-    which holds the (driver-bounded) adjacency; ``most_sources`` takes the first ids, the share is not rescaled."""
-    pairs = simple.filter(F.col("src") != F.col("dst")).select("src", "dst").distinct()
-    nodes = pairs.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
-    rows = pairs.limit(2_000_001).collect()
-    if len(rows) > 2_000_000:
-        raise ValueError("betweenness is for graphs of at most 2,000,000 edges; project a smaller one")
-    adjacency: dict[str, list[str]] = {}
-    for r in rows:
-        adjacency.setdefault(r.src, []).append(r.dst)
-        adjacency.setdefault(r.dst, [])
-    order = sorted(adjacency)
-    index = {x: i for i, x in enumerate(order)}
-    start = np.cumsum([0, *(len(adjacency[x]) for x in order)])
-    graph = simple.sparkSession.sparkContext.broadcast((start, np.array([index[y] for x in order for y in adjacency[x]], "int64")))
-    sources = simple.sparkSession.createDataFrame([(i,) for i in range(len(order) if most_sources is None else min(most_sources, len(order)))], "i int")
-
-    def accumulate(batches):
-        import pyarrow as pa
-
-        start, near = graph.value
-        total = np.zeros(len(start) - 1)
-        for batch in batches:
-            for s in batch.column(0).to_pylist():
-                paths, share, unseen = np.zeros(len(total)), np.zeros(len(total)), np.ones(len(total), bool)
-                paths[s], unseen[s] = 1.0, False
-                front, levels = np.array([s]), []
-                while len(front):
-                    many = start[front + 1] - start[front]
-                    v = np.repeat(front, many)
-                    w = near[np.repeat(start[front] - np.cumsum(many) + many, many) + np.arange(len(v))]
-                    v, w = v[unseen[w]], w[unseen[w]]
-                    np.add.at(paths, w, paths[v])
-                    unseen[w] = False
-                    front = np.unique(w)
-                    levels.append((v, w))
-                for v, w in reversed(levels):
-                    np.add.at(share, v, paths[v] / paths[w] * (1 + share[w]))
-                share[s] = 0.0
-                total += share
-        hit = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(hit.astype("int32")), pa.array(total[hit])], names=["i", "b"])
-
-    n = len(order)
-    scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0
-    sums = sources.repartition(8).mapInArrow(accumulate, "i int, b double").groupBy("i").agg((F.sum("b") * scale).alias("b"))
-    names = simple.sparkSession.createDataFrame(list(enumerate(order)), "i int, id string") if order else nodes.select(F.lit(0).alias("i"), "id")
-    return names.join(sums, "i", "left").select(F.col("id").alias("account_id"), F.coalesce("b", F.lit(0.0)).alias("betweenness_centrality"))
-
-
-def greedy_modularity(simple: DataFrame, most_edges: int = 200_000) -> DataFrame:
-    """account_id, community_id by greedy agglomeration, on the driver; more than ``most_edges`` edges are an error."""
-    und = simple.filter(F.col("src") != F.col("dst")).select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
-    rows = und.limit(most_edges + 1).collect()
-    spark: SparkSession = simple.sparkSession
-    if len(rows) > most_edges:
-        raise ValueError(f"greedy modularity is for graphs of at most {most_edges:,} edges; project a smaller one or raise most_edges")
-    total = len(rows)
-    names = sorted({x for r in rows for x in r})
-    index = {x: i for i, x in enumerate(names)}
-    links: dict[int, dict[int, int]] = {i: {} for i in range(len(names))}
-    for r in rows:
-        links[index[r.a]][index[r.b]] = links[index[r.b]][index[r.a]] = 1
-    weight = {x: len(near) for x, near in links.items()}
-    least = {x: x for x in links}  # the smallest member names a community
-    members = {x: [x] for x in links}
-
-    def merge(x: int, y: int) -> tuple:
-        """Twice the squared edges times the gain, and the names, all so that the best comes first."""
-        e, (i, j) = links[x][y], sorted((least[x], least[y]))
-        return weight[x] * weight[y] - 2 * total * e, -i, -j, x, y, e
-
-    # Without new edges between two communities their merge only gets worse, so what waits in the heap is never
-    # worse than it is now: an entry that isn't up to date goes back with its present value.
-    heap = [merge(x, y) for x, near in links.items() for y in near if x < y]
-    heapq.heapify(heap)
-    while heap:
-        entry = heapq.heappop(heap)
-        x, y, e = entry[3:]
-        if entry[0] >= 0:
-            break
-        if links.get(x, {}).get(y) != e:
-            continue  # merged away, or more edges since: that has an entry of its own
-        if (now := merge(x, y)) != entry:
-            heapq.heappush(heap, now)
-            continue
-        if len(links[x]) < len(links[y]):
-            x, y = y, x
-        near = links.pop(y)
-        weight[x] += weight.pop(y)
-        least[x] = min(least[x], least.pop(y))
-        members[x] += members.pop(y)
-        for z, e in near.items():
-            del links[z][y]
-            if z != x:
-                links[x][z] = links[z][x] = links[x].get(z, 0) + e
-                heapq.heappush(heap, merge(x, z))
-    out = [(names[m], k) for k, (_, group) in enumerate(sorted((min(g), g) for g in members.values()), 1) for m in group]
-    return spark.createDataFrame(out, "account_id string, community_id int")
+    """account_id, betweenness_centrality of a plain graph of src, dst, normalised for a directed graph."""
+    p = project_pairs(simple.filter(F.col("src") != F.col("dst")))
+    return p.named(projected_betweenness(p, most_sources))
+
+
+def projected_betweenness(p: Projection, most_sources: int | None = None) -> DataFrame:
+    found = centrality.betweenness(p.simple(), p.size, most_sources).withColumnRenamed("node", "account_id")
+    return zero_filled(p.labelled("Account"), found)
+
+
+def greedy_modularity(simple: DataFrame) -> DataFrame:
+    """account_id, community_id of a plain graph of src, dst."""
+    p = project_pairs(simple.filter(F.col("src") != F.col("dst")))
+    return p.named(projected_modularity(p).select("account_id", "community_id"))
+
+
+def projected_modularity(p: Projection) -> DataFrame:
+    found = modularity.modularity_communities(p.simple())
+    roots = p.nodes.select("node").join(found, "node", "left").select(F.col("node").alias("id"), F.coalesce("community", "node").alias("root"))
+    return numbered_communities(roots, p.labelled("Account"))
 
 
 def merged(accounts: DataFrame, frames: list[DataFrame]) -> DataFrame:
@@ -349,12 +265,31 @@ def merged(accounts: DataFrame, frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def graph_features(accounts: DataFrame, transactions: DataFrame, alerts: DataFrame, exact_betweenness: bool = True, most_sources: int | None = None, customers: DataFrame | None = None, counterparties: DataFrame | None = None) -> DataFrame:
-    """All account graph features. Betweenness is exact; for large graphs ``most_sources`` bounds its sources."""
-    every = edges(accounts, transactions, alerts, customers, counterparties)
-    flow = flow_edges(transactions)
-    simple = flow.filter("dst_label = 'Account'").select("src", "dst").distinct()
-    frames = [degrees(simple, accounts), zero_filled(accounts, pagerank(simple)), communities(simple, accounts), clustering(simple, accounts), cycle_counts(simple, accounts), flow_features(flow, accounts), alert_proximity(every, alerts, accounts)]
+def projected_graph(accounts: DataFrame, transactions: DataFrame, alerts: DataFrame, countries: DataFrame | None = None, counterparties: DataFrame | None = None, **chosen) -> Projection:
+    """The projection that graph features are computed on; ``chosen``: relationships or labels."""
+    return project(vertices(accounts, transactions, alerts, countries, counterparties), edges(accounts, transactions, alerts), **chosen)
+
+
+def projected_features(p: Projection, most_sources: int | None = None, community: str = "connected_components", exact_betweenness: bool = True) -> DataFrame:
+    """By node number: degrees, PageRank, betweenness, communities, clustering and proximity on the projection."""
+    if community not in ("connected_components", "greedy_modularity"):
+        raise ValueError(f"no communities by {community}")
+    simple, accounts, nodes = p.simple(), p.labelled("Account"), p.nodes.select(F.col("node").alias("id"))
+    alerts = p.nodes.filter("label = 'Alert'").select(F.col("node").alias("alert_id"), "severity")
+    groups = communities(simple, accounts, nodes) if community == "connected_components" else projected_modularity(p)
+    frames = [degrees(simple, accounts, p.size), zero_filled(accounts, pagerank(simple, nodes=nodes)), groups, clustering(simple, accounts), alert_proximity(simple, alerts, accounts)]
     if exact_betweenness:
-        frames.append(zero_filled(accounts, betweenness(simple, most_sources)))
+        frames.append(projected_betweenness(p, most_sources))
     return merged(accounts, frames)
+
+
+def graph_features(
+    accounts: DataFrame, transactions: DataFrame, alerts: DataFrame, exact_betweenness: bool = True, most_sources: int | None = None, countries: DataFrame | None = None,
+    counterparties: DataFrame | None = None, community: str = "connected_components",
+) -> DataFrame:
+    """All account graph features. Cycles and flow are those of the account flow graph; all others are computed on the projection of
+    accounts, customers, transactions, counterparties and alerts. Betweenness is exact; ``most_sources`` bounds its sources."""
+    p = projected_graph(accounts, transactions, alerts, countries, counterparties)
+    flow = flow_edges(transactions)
+    simple = flow.filter("dst_label = 'Account'").select("src", "dst").distinct()
+    return merged(accounts, [p.named(projected_features(p, most_sources, community, exact_betweenness)), cycle_counts(simple, accounts), flow_features(flow, accounts)])

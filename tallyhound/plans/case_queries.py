@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyhound.functions.analytic import percentile_ranks
-from tallyhound.operators.graph import checkpointed
+from tallyhound.checkpoints import checkpointed
 from tallyhound.operators import cases, graph, rules, scoring
 from tallyhound.plans import graph_queries  # noqa: F401  its expressions are used here
 from tallyhound.plans.rule_queries import CONFIGS, event_alerts, joined

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyhound.operators import features, graph, rules
+from tallyhound.operators.projection import RELATIONSHIPS
 from tallyhound.plans.rule_queries import CONFIGS, STRUCTURING
 from tallyhound.plans.sql import CTES, compose
 from tallyhound.sources import driver_tables as tables
@@ -221,7 +222,7 @@ def _(spark, d):
     return graph.cycle_counts(e, tables.order_accounts(spark, d))
 
 
-_PROX_E = "SELECT src, dst FROM {e} WHERE type IN ('SENT', 'RECEIVED', 'FLAGS_ACCOUNT', 'INVOLVES_TRANSACTION', 'TRIGGERS')"
+_PROX_E = "SELECT src, dst FROM {e} WHERE type IN ('OWNS', 'SENT', 'RECEIVED', 'PAID_TO', 'FLAGS_ACCOUNT', 'INVOLVES_TRANSACTION')"
 CTES["pe0"] = _PROX_E
 CTES["pe"] = "SELECT src, dst FROM {pe0} UNION SELECT dst, src FROM {pe0}"
 CTES["b0"] = "SELECT DISTINCT alert_id AS id, 0 AS hops FROM {al1}"
@@ -232,7 +233,7 @@ for _k in range(1, 5):
 @query("graph_alert_proximity", "SELECT account_id, coalesce(n, 0) AS alert_count, coalesce(n, 0) AS high_risk_alert_count, hops AS shortest_path_to_flagged FROM {acc} LEFT JOIN (SELECT p.src AS account_id, count(*) AS n FROM {pe} p JOIN {al1} l ON p.dst = l.alert_id GROUP BY p.src) USING (account_id) LEFT JOIN {b4} b ON b.id = account_id")
 def _(spark, d):
     a, t, al = tables.event_accounts(spark, d), tables.event_transactions(spark, d), _alerts(spark, d)
-    e = _edges(a, t, al).filter(F.col("type").isin("SENT", "RECEIVED", "FLAGS_ACCOUNT", "INVOLVES_TRANSACTION", "TRIGGERS"))
+    e = _edges(a, t, al).filter(F.col("type").isin(*RELATIONSHIPS))
     return graph.alert_proximity(e, al, a)
 
 

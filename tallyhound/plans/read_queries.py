@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallyhound.checkpoints import checkpointed
 from tallyhound.operators import cases, graph, lifecycle, read_api, rules
 from tallyhound.plans import case_queries as cq
 from tallyhound.plans.rule_queries import CIRCULAR, event_alerts
@@ -88,7 +89,7 @@ CTES["sde"] = "SELECT sender_account_id AS source_id, coalesce(receiver_account_
 def _(spark, d):
     none = spark.createDataFrame([], "case_id string, primary_account_id string, priority_score double, entity_type string, entity_id string")
     seeds = read_api.seed_accounts(tables.event_accounts(spark, d), risks(spark, d), graph_rows(spark, d), none, none, community="4")
-    nodes, edges = read_api.graph_context(graph.checkpointed(seeds), tables.event_transactions(spark, d), event_alerts(spark, d), none, None)
+    nodes, edges = read_api.graph_context(checkpointed(seeds), tables.event_transactions(spark, d), event_alerts(spark, d), none, None)
     return read_api.graph_view_summary(nodes, edges).drop("max_risk_score")
 
 
@@ -137,7 +138,7 @@ def _(spark, d):
 
 @query("rule_cycle_summary", "SELECT count(*) AS cycle_count, count(DISTINCT account_id) AS unique_primary_account_count, (SELECT count(DISTINCT a) FROM (SELECT unnest(accounts) AS a FROM {cf_d})) AS unique_account_count, min(len(accounts))::DOUBLE AS min_cycle_length, max(len(accounts))::DOUBLE AS max_cycle_length, round(avg(len(accounts)), 6) AS mean_cycle_length, round(min(hours), 6) AS min_time_span_hours, round(max(hours), 6) AS max_time_span_hours, round(avg(hours), 6) AS mean_time_span_hours, sum(len(evidence_ids))::BIGINT AS total_evidence_transaction_count, round(avg(total), 2) AS mean_total_amount, max(total)::DOUBLE AS max_total_amount FROM {cf_d}")
 def _(spark, d):
-    found = graph.checkpointed(rules.detect_circular_flow(tables.order_transactions(spark, d), CIRCULAR))
+    found = checkpointed(rules.detect_circular_flow(tables.order_transactions(spark, d), CIRCULAR))
     s = read_api.cycle_summary(found.withColumnRenamed("account_id", "primary_account_id"))
     return s.withColumns({c: F.round(c, 2 if c == "mean_total_amount" else 6) for c, t in s.dtypes if t == "double"})
 

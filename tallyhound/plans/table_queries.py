@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallyhound.checkpoints import checkpointed
 from tallyhound.functions import normalise as n
 from tallyhound.operators import gold, graph, lifecycle, models, read_api, rules, security, staging
 from tallyhound.plans import case_queries as cq
@@ -140,7 +141,7 @@ def flagged(spark, d):
     t, a = tables.event_transactions(spark, d), tables.event_accounts(spark, d)
     from tallyhound.plans.rule_queries import STRUCTURING
 
-    return graph.checkpointed(rules.structuring_alerts(t, a, STRUCTURING).select("account_id").distinct())
+    return checkpointed(rules.structuring_alerts(t, a, STRUCTURING).select("account_id").distinct())
 
 
 def _gold_features(spark, d):
@@ -234,7 +235,7 @@ def _(spark, d):
 
 @query("read_case_queue", "SELECT case_id, priority_score, 'New' AS status FROM {cs} ORDER BY priority_score DESC, case_id LIMIT 10")
 def _(spark, d):
-    made = graph.checkpointed(cq.made_cases(spark, d)[0])
+    made = checkpointed(cq.made_cases(spark, d)[0])
     none = made.select("case_id", F.lit(None).cast("double").alias("case_risk_score"), F.lit(None).cast("string").alias("risk_band"))
     return read_api.case_queue(made, none, statuses=["New"], limit=10).select("case_id", "priority_score", "status")
 
@@ -243,7 +244,7 @@ def _(spark, d):
 def _(spark, d):
     from tallyhound.operators import cases
 
-    made = graph.checkpointed(cq.made_cases(spark, d)[0])
+    made = checkpointed(cq.made_cases(spark, d)[0])
     return read_api.linked_cases(made, cases.case_entities(made), "ACC_3")
 
 
@@ -368,7 +369,7 @@ def _(spark, d):
 @query("model_supervised_scores")
 def _(spark, d):
     f = tables.table(spark, d, "customer").select(F.concat(F.lit("CASE_"), F.col("c_custkey").cast("string")).alias("case_id"), "c_acctbal", "c_nationkey")
-    ds = graph.checkpointed(lifecycle.supervised_dataset(_labels(spark, d).select("case_id", "label", "label_timestamp"), "case_id", (f, None)))
+    ds = checkpointed(lifecycle.supervised_dataset(_labels(spark, d).select("case_id", "label", "label_timestamp"), "case_id", (f, None)))
     split = models.split_by_time(ds, "label_timestamp", "case_id")
     use = models.usable_features(split.filter("NOT is_validation"), ["c_acctbal", "c_nationkey"])
     return models.score_supervised(models.train_supervised(split.filter("NOT is_validation"), use), split.filter("is_validation"), use, "case_id")
