@@ -30,6 +30,9 @@ from pyspark.sql import functions as F
 from tallyhound.llm.staging import stage, trim
 
 ODD_SPACE = r"[\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
+#: Latin, Greek and Cyrillic letters that a normaliser leaves letters (dotted capital I becomes a letter and a mark) and that
+#: all versions of Unicode's classes have; a word of others is not cut.
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f\u0391-\u03a1\u03a3-\u03c9\u0400-\u04ff"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
 CACHE_WORDS = 250_000
@@ -38,13 +41,13 @@ CACHE_WORDS = 250_000
 class WordEncoder:
     """Little-endian uint32 id bytes of whole texts.
 
-    The words of a batch are made distinct by Arrow. A word of letters and then ASCII marks is split there, as
+    The words of a batch are made distinct by Arrow. A word of ``LETTERS`` and then ASCII marks is split there, as
     the tokenizer does. Parts not seen yet are encoded together in one text; two generations of about
     ``CACHE_WORDS`` parts are remembered, so frequent ones stay and memory is bounded.
     """
 
     MARK = "\x01"
-    PARTS = r"^(?P<core>\pL+)(?P<marks>[!-/:-@\[-`{-~]*)$"
+    PARTS = rf"^(?P<core>[{LETTERS}]+)(?P<marks>[!-/:-@\[-`{{-~]*)$"
 
     def __init__(self, tokenizer_file: str):
         from tokenizers import Tokenizer

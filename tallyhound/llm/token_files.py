@@ -28,12 +28,10 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhound.llm.best_fit import CACHE_WORDS, ODD_SPACE, runs_of
+from tallyhound.llm.best_fit import CACHE_WORDS, LETTERS, ODD_SPACE, runs_of
 from tallyhound.llm.staging import SMALL_PAGES, shared_dir, trim
 
 MAGIC = b"TOKENIDX"
-#: Letters in Latin, Greek and Cyrillic that a tokenizer's classes have had from their first versions; other words are not cut.
-LETTERS = "A-Za-zÀ-ÖØ-öø-ɏΑ-ΡΣ-ωЀ-ӿ"
 HEADER, BEHIND = "<8sQQ", 24  # magic, bytes an id, documents
 MANIFEST = "part int, name string, docs long, tokens long, width int"
 READ = "doc_id long, start long, n_tokens long, ids binary"

@@ -344,3 +344,23 @@ def test_warc_odd_rows(spark):
     got = warc_revisit.resolve_revisits(spark.createDataFrame(rows, schema)).orderBy("id").collect()
     assert [(r.id, r.status) for r in got] == [(1, "response"), (2, "orphan"), (3, "response"), (4, "unchecked"), (4, "unchecked")] and got[3].resolved_id == 3
     assert warc_revisit.resolve_revisits(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_packed_ids_of_every_letter_before_every_kind_of_mark():
+    """Letters that change under normalisation too, in the middle of a word and at its end, and words at random."""
+    import unicodedata
+
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path(queries.PACK_TOKENIZER)
+    t, rng = Tokenizer.from_file(path), random.Random(4)
+    letters = [c for c in map(chr, range(0x30000)) if unicodedata.category(c)[0] == "L"]
+    marks = [".", "'s", "́", "̇.", "!?", "1", "’", "-x"]
+    texts = [" ".join(f"{c}{m} a{c}{m}" for c in letters[k : k + 500]) for m in marks for k in range(0, len(letters), 500)]
+    every = "aZéİßıŉǰΣςσक़ড়̧̇́.,'!-’ \n1²½日"
+    texts += ["".join(rng.choices(every, k=rng.randint(1, 40))) for _ in range(10_000)] + ["Dr. İ. Yılmaz", "İ.", "x" * 300_000 + "İ. " + "ab. " * 100_000]
+    words = best_fit.WordEncoder(path)
+    want = t.encode_batch_fast(texts, add_special_tokens=False)
+    got = [ids for some in best_fit.runs_of(pa.array(texts)) for ids in words.ids(some)]
+    bad = [x for x, g, w in zip(texts, got, want, strict=True) if g != np.asarray(w.ids, "<u4").tobytes()]
+    assert not bad, bad[:3]
