@@ -257,7 +257,7 @@ def test_unigram_models_and_normalisers_match_the_library(rules, bytes_too, trim
 def test_nearest_recall_and_odd_rows(spark):
     rng = np.random.default_rng(1)
     x = (rng.normal(size=(3000, 16)) + rng.integers(0, 4, (3000, 1)) * 2).astype("float32")
-    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)] + [(3100, None, 0), (3200, [0.0] * 16, 0), (3300, [float("nan")] * 16, 0), (3400, [None] * 16, 0), (None, [1.0] * 16, 0), (3500, [1.0, 2.0], 0), (100, x[100].tolist(), 0)]
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)] + [(3100, None, 0), (3200, [0.0] * 16, 0), (3300, [float("nan")] * 16, 0), (3400, [None] * 16, 0), (None, [1.0] * 16, 0), (3500, [1.0, 2.0], 0)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int")
     got = qalsh.nearest(frame, block_rows=700).collect()
     by = {}
@@ -364,3 +364,39 @@ def test_packed_ids_of_every_letter_before_every_kind_of_mark():
     got = [ids for some in best_fit.runs_of(pa.array(texts)) for ids in words.ids(some)]
     bad = [x for x, g, w in zip(texts, got, want, strict=True) if g != np.asarray(w.ids, "<u4").tobytes()]
     assert not bad, bad[:3]
+
+
+def test_nearest_of_equal_vectors_over_many_blocks(spark):
+    """300 equal vectors in blocks of 64: the smallest ids win. Others further off, equal too, fill up what is left."""
+    rng = np.random.default_rng(7)
+    one, two = rng.standard_normal((2, 48))
+    rows = [(k, one.tolist()) for k in range(300)] + [(k, two.tolist()) for k in range(1000, 1004)] + [(k, (two + 1e-9).tolist()) for k in range(1004, 1300)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(9)
+    got = {}
+    for r in qalsh.nearest(frame, block_rows=64).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert [i for i, _ in got[200]] == list(range(10)) and [i for i, _ in got[0]] == list(range(1, 11)) and {d for _, d in got[100]} == {0.0}
+    assert [i for i, _ in got[1000]] == [1001, 1002, 1003, *range(1004, 1011)]
+
+
+def test_nearest_of_repeated_ids_and_extreme_values(spark):
+    rows = [(0, [1.0, 0.0]), (0, [5.0, 0.0]), (7, [1.5, 0.0]), (7, [4.5, 0.0])]
+    got = [tuple(r) for r in qalsh.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=2).orderBy("score", "query_id", "rank").collect()]
+    assert got == [(0, 1, 7, 0.5), (0, 1, 7, 0.5), (0, 2, 7, 3.5), (0, 2, 7, 3.5)]
+    rows = [(0, [1e200, 0.0]), (1, [3e200, 0.0]), (2, [1e200, 1e190]), (100, [1e-200, 0.0]), (101, [4e-200, 0.0])]
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in qalsh.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=2).collect()}
+    assert got[0, 1] == (2, pytest.approx(1e190)) and got[0, 2][1] == pytest.approx(1e200)
+    got = [tuple(r) for r in qalsh.nearest(spark.createDataFrame(rows[3:], "vec_id long, embedding array<double>"), k=2).collect()]
+    assert got == [(100, 1, 101, pytest.approx(3e-200))]
+
+
+def test_blocks_are_copied_only_for_slices_of_visitors(spark):
+    rng = np.random.default_rng(1)
+    rows = [(k * 100, rng.standard_normal(8).tolist()) for k in range(400)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    few, many = (sorted(map(tuple, qalsh.nearest(frame, block_rows=50, slice_rows=s, threshold=0.0).collect())) for s in (32_768, 30))
+    x = np.array([v for _, v in rows])
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    np.fill_diagonal(d, np.inf)
+    want = sorted((100 * i, r, 100 * int(j)) for i in range(400) for r, j in enumerate(np.argsort(d[i], kind="stable")[:10], 1))
+    assert [t[:3] for t in few] == [t[:3] for t in many] == want
