@@ -96,9 +96,10 @@ def train_ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], bits: int = BITS,
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int = BITS) -> np.ndarray:
-    """Learns from rows that are not held out; at most ``sample`` of them."""
+    """Learns from rows that are not held out; at most ``sample`` labels, and as many rows where ids repeat. Of several labels of an id the
+    mean counts, 1 from a half on."""
     chosen = labels.select(F.col("doc_id"), F.col("quality").cast("int").alias("quality")).dropna().filter(~held_out(F.col("doc_id")))
-    chosen = chosen.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    chosen = chosen.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,6 +115,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int = BI
 
     # what one task gets: of each text its distinct features, 2**bits at most
     features = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "quality").mapInArrow(hashed, "doc_id long, quality int, slots binary, v binary")
+    features = features.orderBy(F.xxhash64("doc_id", "slots"), "doc_id").limit(sample)
     found = features.withColumn("one", F.lit(1)).groupBy("one").applyInArrow(learn, "w binary").collect()
     return np.frombuffer(found[0].w, "float32") if found else np.zeros((1 << bits) + 1, "float32")
 
