@@ -43,10 +43,10 @@ def trigrams(text: str, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
 
 def fit(docs: DataFrame, per_lang: int = PER_LANG, bits: int = BITS) -> tuple[list[str], np.ndarray]:
     """Languages in alphabetical order and their log probabilities, one row each."""
-    rows = docs.filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang", "text")
-    sizes = rows.groupBy("lang").count().select("lang", F.greatest(F.lit(1), F.col("count") / per_lang).cast("long").alias("step"))
-    # one row a language: bounded by the number of languages
-    chosen = rows.join(F.broadcast(sizes), "lang").filter(F.pmod(F.xxhash64("doc_id"), F.col("step")) == 0)
+    rows = docs.filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).select("lang", "text", F.xxhash64("doc_id", "text").alias("hash"))
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("count"), F.min("hash").alias("least")).select("lang", F.greatest(F.lit(1), F.col("count") / per_lang).cast("long").alias("step"), "least")
+    # one row a language: bounded by the number of languages; each has the row of its smallest hash at least
+    chosen = rows.join(F.broadcast(sizes), "lang").filter((F.pmod("hash", "step") == 0) | (F.col("hash") == F.col("least")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
