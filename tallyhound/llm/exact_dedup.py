@@ -23,7 +23,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyhound.llm.staging import numbered, stage, with_class
+from tallyhound.llm.staging import free_name, numbered, stage, with_class
 
 HOT_DIGESTS = 1024
 
@@ -82,6 +82,7 @@ def exact_classes(
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, one of each text, all their columns untouched."""
-    rows = numbered(docs, "exact-rows")
-    keep = exact_classes(rows, id_col, text_col, row_col="__row").filter("kept").select(F.col("row").alias("__row"))
-    return rows.join(keep, "__row", "left_semi").select(docs.columns)
+    row = free_name(docs)
+    rows = numbered(docs, "exact-rows", row)
+    keep = exact_classes(rows, id_col, text_col, row_col=row).filter("kept").select(F.col("row").alias(row))
+    return rows.join(keep, row, "left_semi").select(docs.columns)

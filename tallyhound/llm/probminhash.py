@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyhound.llm.components import components
-from tallyhound.llm.staging import numbered, stage, trim, with_class
+from tallyhound.llm.staging import free_name, numbered, stage, trim, with_class
 from tallyhound.llm.substring_dedup import BASES, WordWindows
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 24, 5
@@ -267,6 +267,7 @@ def near_classes(
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that stay, one of each class, all their columns untouched."""
-    rows = numbered(docs, "near-rows")
-    keep = near_classes(rows, id_col=id_col, text_col=text_col, row_col="__row", **options).filter("kept").select(F.col("key").alias("__row"))
-    return rows.join(keep, "__row", "left_semi").select(docs.columns)
+    row = free_name(docs)
+    rows = numbered(docs, "near-rows", row)
+    keep = near_classes(rows, id_col=id_col, text_col=text_col, row_col=row, **options).filter("kept").select(F.col("key").alias(row))
+    return rows.join(keep, row, "left_semi").select(docs.columns)

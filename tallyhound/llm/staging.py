@@ -59,6 +59,14 @@ def _delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def free_name(df: DataFrame, name: str = "__row") -> str:
+    """A column name that ``df`` doesn't have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def numbered(df: DataFrame, name: str, row: str = "__row") -> DataFrame:
     """``df``, written with a number for each row: the identity of rows whose ids may be null or repeat."""
     return stage(df.withColumn(row, F.monotonically_increasing_id()), name)

@@ -279,3 +279,16 @@ def test_probability_jaccard_and_its_estimate():
     doc = np.r_[np.zeros(200, "int64"), np.ones(200, "int64")]
     s = probminhash.signatures(doc, np.r_[h[:200], h[50:250]], np.ones(400), 2, 2000)
     assert (s[0] == s[1]).mean() == pytest.approx(150 / 250, abs=0.04)
+
+
+def test_stages_leave_columns_of_any_name_alone(spark):
+    names = ["__row", "__ROW_", "row", "key", "g", "n", "t", "digest", "win", "salt"]
+    rows = [(k, t, *(70 + k for _ in names)) for k, t in enumerate(["a b c d e f"] * 3 + ["one two three four five six seven", None, ""])]
+    spark.conf.set("spark.sql.caseSensitive", "true")
+    try:
+        docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{x}` long" for x in names))
+        for stage in (exact_dedup.exact_dedup, probminhash.near_dedup):
+            got = stage(docs).collect()
+            assert len(got) in (3, 4) and all(r[x] == 70 + r.doc_id for r in got for x in names)
+    finally:
+        spark.conf.unset("spark.sql.caseSensitive")

@@ -400,3 +400,21 @@ def test_blocks_are_copied_only_for_slices_of_visitors(spark):
     np.fill_diagonal(d, np.inf)
     want = sorted((100 * i, r, 100 * int(j)) for i in range(400) for r, j in enumerate(np.argsort(d[i], kind="stable")[:10], 1))
     assert [t[:3] for t in few] == [t[:3] for t in many] == want
+
+
+def test_labels_that_repeat_or_differ(spark):
+    """The order of labels doesn't matter, and a labelled id that many rows share sends no more than the sample to training."""
+    text = lambda k: " ".join(f"w{(k * j) % 17}" for j in range(1, 30))
+    docs = spark.createDataFrame([(k, text(k)) for k in range(40)] + [(3, text(100 + k)) for k in range(200)], "doc_id long, text string")
+    labels = [(k, k % 2) for k in range(40)] + [(5, 0), (5, 0), (6, 1), (7, None), (None, 1)]
+    fits = [quality_ftrl.fit(docs, spark.createDataFrame(x, "doc_id long, quality int").coalesce(1), sample=60) for x in (labels, labels[::-1])]
+    assert (fits[0] == fits[1]).all() and fits[0].any()
+
+
+def test_languages_of_null_and_repeated_ids_are_learnt(spark):
+    french = [(None, "fr", f"le chat numero {k} est noir et le chien dort") for k in range(50)] + [(1, "de", "der Hund und die Katze schlafen")] * 50
+    docs = spark.createDataFrame(french + [(k, "en", f"the cat {k} is black and the dog sleeps") for k in range(50)], "doc_id long, lang string, text string")
+    langs, _ = language_id.fit(docs, per_lang=10)
+    assert langs == ["de", "en", "fr"]
+    long = docs.limit(1).selectExpr("doc_id", "lang", "repeat(text, 20000) AS text")
+    assert language_id.predict(long, *language_id.fit(docs)).first().lang_pred == "fr"
