@@ -99,11 +99,18 @@ def distributions(frame: DataFrame, columns: list[str], lower: bool = True) -> D
     return frame.select(pairs).select("p.*").filter("value IS NOT NULL").groupBy("column", "value").agg(F.count("*").alias("n"))
 
 
-def mart_summary(frame: DataFrame, at: str, key: str = "account_id", versions: tuple[str, ...] = ()) -> DataFrame:
-    """row_count, distinct keys, newest time, and the version columns of the newest row: graph features, anomaly scores
-    and account scores alike."""
+def mart_summary(frame: DataFrame, at: str, key: str = "account_id", versions: tuple[str, ...] = (), bands: str | None = None) -> DataFrame:
+    """row_count, distinct keys, newest time, the version columns of the newest row, and how many rows each risk band of the column
+    ``bands`` has: graph features, anomaly scores and account scores alike."""
     newest = [F.max_by(F.col(v).cast("string"), F.struct(at, *versions)).alias(f"latest_{v}") for v in versions]
-    return frame.agg(F.count("*").alias("row_count"), F.count_distinct(key).alias("unique_account_count"), F.max(at).alias(f"max_{at}"), *newest)
+    banded = [F.count_if(F.lower(bands) == b).alias(f"{b}_count") for b in ("low", "medium", "high", "critical")] if bands else []
+    return frame.agg(F.count("*").alias("row_count"), F.count_distinct(key).alias("unique_account_count"), F.max(at).alias(f"max_{at}"), *newest, *banded)
+
+
+def newest_partition(frame: DataFrame, *keys: str) -> DataFrame:
+    """The rows of the newest value of ``keys`` taken together, such as date, time and version of a run; nulls come first."""
+    last = F.broadcast(frame.agg(F.max(F.struct(*keys)).alias("_last")))  # one row
+    return frame.crossJoin(last).filter(F.struct(*keys).eqNullSafe(F.col("_last"))).drop("_last")
 
 
 def evidence_summary(packs: DataFrame, explanations: DataFrame) -> DataFrame:
