@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyhound.checkpoints import checkpointed
+from tallyhound.functions.joins import hot_keys, spread_join
 
 
 def latest_per_key(frame: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -37,6 +38,7 @@ def percentile_ranks(frame: DataFrame, columns: dict[str, str], single: bool = F
     value. ``single``: a frame of one row scores 100 if positive, else 0.
     """
     frame = checkpointed(frame)  # read once for each column below
+    size = frame.count()
     value = {s: F.coalesce(F.col(s).cast("double"), F.lit(0.0)) for s in columns}
     pairs = frame.select(F.explode(F.array(*(F.struct(F.lit(s).alias("_c"), value[s].alias("_v")) for s in columns))).alias("p")).select("p.*")
     counts = running(pairs.groupBy("_c", "_v").agg(F.count("*").alias("_n")), [F.asc("_v")], {"_n": "_upto"}, ["_c"])
@@ -47,7 +49,9 @@ def percentile_ranks(frame: DataFrame, columns: dict[str, str], single: bool = F
     out = frame
     for source, target in columns.items():
         mine = ranks.filter(F.col("_c") == source).select("_v", F.col("_percent").alias(target))
-        out = out.withColumn("_v", value[source]).join(mine, "_v", "left").drop("_v")
+        out = out.withColumn("_v", value[source])
+        # most rows may share one value, such as no alerts
+        out = spread_join(out, mine, "_v", hot_keys(frame.select(value[source].alias("_v")), "_v", rows=size), "left").drop("_v")
     return out
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tallyhound.functions import ids
 from tallyhound.functions.analytic import band, global_rank, percentile_ranks
 from tallyhound.functions.normalise import clip_score, unique
+from tallyhound.operators.rules import last_customers
 from tallyhound.operators.scoring import SEVERITY, SEVERITY_RANK, lookup
 
 GROUP_COLUMNS = ("case_group_id", "grouping_strategy", "primary_account_id", "primary_customer_id", "alert_ids", "account_ids", "customer_ids", "transaction_ids", "typologies", "rule_names", "case_group_key")
@@ -22,20 +23,21 @@ class CaseConfig:
     strategies: tuple[str, ...] = ("account", "customer", "graph_community", "circular_flow", "common_counterparty")
     min_alerts: int = 1
     max_alerts: int = 50
-    max_per_account: int = 5
-    max_cases: int = 1000
+    #: None keeps all.
+    max_per_account: int | None = 5
+    max_cases: int | None = 1000
     default_status: str = "New"
     uplift_per_alert: float = 1.5
     max_uplift: float = 10.0
 
     def __post_init__(self) -> None:
-        if not 1 <= self.min_alerts <= self.max_alerts or self.max_per_account < 1 or self.max_cases < 1:
+        if not 1 <= self.min_alerts <= self.max_alerts or any(x is not None and x < 1 for x in (self.max_per_account, self.max_cases)):
             raise ValueError("limits are positive and in order")
 
 
 def with_customer(alerts: DataFrame, accounts: DataFrame) -> DataFrame:
     """Alerts whose missing customer is the account's."""
-    one = accounts.groupBy("account_id").agg(F.min("customer_id").alias("_customer"))
+    one = last_customers(accounts).withColumnRenamed("customer_id", "_customer")
     return alerts.join(one, "account_id", "left").withColumn("customer_id", F.coalesce("customer_id", "_customer")).drop("_customer")
 
 
@@ -95,8 +97,11 @@ def case_groups(alerts: DataFrame, accounts: DataFrame, graph: DataFrame, transa
     same = Window.partitionBy("grouping_strategy", F.array_join("alert_ids", "|")).orderBy("case_group_id")
     every = every.withColumn("_k", F.row_number().over(same)).filter("_k = 1")
     order = ["grouping_strategy", "case_group_id"]
-    every = every.withColumn("_k", F.row_number().over(Window.partitionBy("primary_account_id").orderBy(*order))).filter(F.col("_k") <= c.max_per_account)
-    return every.orderBy(F.asc_nulls_last("primary_account_id"), *order).limit(c.max_cases).select(*GROUP_COLUMNS)
+    if c.max_per_account is not None:
+        every = every.withColumn("_k", F.row_number().over(Window.partitionBy("primary_account_id").orderBy(*order))).filter(F.col("_k") <= c.max_per_account)
+    if c.max_cases is not None:
+        every = every.orderBy(F.asc_nulls_last("primary_account_id"), *order).limit(c.max_cases)
+    return every.select(*GROUP_COLUMNS)
 
 
 def severity_of(priority: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyhound.functions.analytic import latest_per_key
+from tallyhound.functions.quantiles import exact_quantiles
 
 
 def check_limit(limit: int | None) -> int | None:
@@ -77,7 +78,8 @@ def overview(**tables: DataFrame) -> DataFrame:
 def score_distribution(scores: DataFrame, score: str, band: str = "risk_band") -> DataFrame:
     bands = [F.count(F.when(F.col(band) == b, 1)).alias(b) for b in ("low", "medium", "high", "critical")]
     s = F.col(score)
-    return scores.agg(F.count("*").alias("n"), F.min(s).alias("least"), F.max(s).alias("most"), F.avg(s).alias("mean"), F.median(s).alias("median"), F.stddev_pop(s).alias("deviation"), *bands)
+    middle = (exact_quantiles(scores, {"s": s}, [0.5])["s"] or [None])[0]
+    return scores.agg(F.count("*").alias("n"), F.min(s).alias("least"), F.max(s).alias("most"), F.avg(s).alias("mean"), F.lit(middle).cast("double").alias("median"), F.stddev_pop(s).alias("deviation"), *bands)
 
 
 def case_queue_metrics(cases: DataFrame) -> DataFrame:

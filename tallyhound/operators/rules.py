@@ -29,6 +29,7 @@ class Alerting:
     severity: str = "high"
     base_score: float = 80.0
     raised_score: float = 90.0
+    template: str | None = None
 
     def __post_init__(self) -> None:
         if not self.rule_name.strip() or not self.typology.strip():
@@ -39,9 +40,9 @@ class Alerting:
             raise ValueError("scores are from 0 to 100")
 
 
-def _positive(**values: float) -> None:
+def _positive(**values: float | None) -> None:
     for name, value in values.items():
-        if value <= 0:
+        if value is not None and value <= 0:
             raise ValueError(f"{name} must be positive")
 
 
@@ -133,8 +134,9 @@ class CircularFlow:
     max_span_hours: int | None = 168
     types: tuple[str, ...] = ("transfer", "wire")
     counterparty_edges: bool = False
-    max_per_account: int = 3
-    max_cycles: int = 500
+    #: None keeps all.
+    max_per_account: int | None = 3
+    max_cycles: int | None = 500
     high_amount: float = 50_000.0
     long_hops: int = 4
     alerting: Alerting = field(default_factory=lambda: Alerting("Circular flow", "circular_flow", base_score=85.0))
@@ -440,17 +442,21 @@ def detect_circular_flow(transactions: DataFrame, c: CircularFlow = CircularFlow
         F.array_join(F.concat("accounts", F.array(F.col("accounts")[0])), " -> ").alias("cycle_path"),
     )
     order = ["cycle_length", "detection_window_start", "cycle_id"]
-    out = out.withColumn("_k", F.row_number().over(Window.partitionBy("account_id").orderBy(*order))).filter(F.col("_k") <= c.max_per_account).drop("_k")
-    return out.orderBy("account_id", *order).limit(c.max_cycles)
+    if c.max_per_account is not None:
+        out = out.withColumn("_k", F.row_number().over(Window.partitionBy("account_id").orderBy(*order))).filter(F.col("_k") <= c.max_per_account).drop("_k")
+    return out if c.max_cycles is None else out.orderBy("account_id", *order).limit(c.max_cycles)
 
 
-def attach_customers(detections: DataFrame, accounts: DataFrame) -> DataFrame:
-    """Left join by account, of which the last row counts: the newest by the columns that say so, else the last read. The
-    larger side is never multiplied."""
+def last_customers(accounts: DataFrame) -> DataFrame:
+    """account_id, customer_id of the last row of each account: the newest by the columns that say so, else the last read."""
     said = [c for c in ("updated_at", "ingested_at", "raw_record_id") if c in accounts.columns]
     last = F.struct(*(said or ["_read"]))
-    one = accounts.withColumn("_read", F.monotonically_increasing_id()).groupBy(identifier(F.col("account_id")).alias("account_id")).agg(F.max_by("customer_id", last).alias("customer_id"))
-    return detections.join(one, "account_id", "left")
+    return accounts.withColumn("_read", F.monotonically_increasing_id()).groupBy(identifier(F.col("account_id")).alias("account_id")).agg(F.max_by("customer_id", last).alias("customer_id"))
+
+
+def attach_customers(detections: DataFrame, accounts: DataFrame) -> DataFrame:
+    """Left join by account, of which the last row counts. The larger side is never multiplied."""
+    return detections.join(last_customers(accounts), "account_id", "left")
 
 
 def templated(template: str, **values: Column) -> Column:
@@ -466,16 +472,25 @@ def count_reason(count: Column, unit: str, window: int, window_unit: str, templa
     return F.concat(count.cast("string"), F.lit(f" {unit} within {window} {window_unit}"))
 
 
-def rapid_reason(ratio: Column, hours: int) -> Column:
-    return F.concat(F.bround(ratio * 100).cast("long").cast("string"), F.lit(f" percent of received value sent out within {hours} hours"))
+def rapid_reason(ratio: Column, hours: int, template: str | None = None) -> Column:
+    percent = F.bround(ratio * 100).cast("long")
+    if template is not None:
+        return templated(template, outflow_ratio=ratio, outflow_percentage=percent, outflow_ratio_pct=percent, outgoing_ratio_pct=percent, window_hours=F.lit(hours))
+    return F.concat(percent.cast("string"), F.lit(f" percent of received value sent out within {hours} hours"))
 
 
-def dormant_reason(days: Column, total: Column, window: int) -> Column:
-    return F.concat(days.cast("string"), F.lit(" inactive days followed by "), total.cast("decimal(28,2)").cast("string"), F.lit(f" outbound value within {window} days"))
+def dormant_reason(days: Column, total: Column, window: int, template: str | None = None) -> Column:
+    money = total.cast("decimal(28,2)")
+    if template is not None:
+        return templated(template, dormant_days=days, total_outbound_amount=total.cast("double"), total_outbound_amount_formatted=money, reactivation_window_days=F.lit(window))
+    return F.concat(days.cast("string"), F.lit(" inactive days followed by "), money.cast("string"), F.lit(f" outbound value within {window} days"))
 
 
-def circular_reason(length: Column, total: Column, hours: Column) -> Column:
-    return F.concat(length.cast("string"), F.lit("-account circular flow with "), total.cast("decimal(28,2)").cast("string"), F.lit(" total value over "), F.format_string("%.1f", hours), F.lit(" hours"))
+def circular_reason(length: Column, total: Column, hours: Column, template: str | None = None) -> Column:
+    money, span = total.cast("decimal(28,2)"), F.format_string("%.1f", hours)
+    if template is not None:
+        return templated(template, cycle_length=length, total_amount=total.cast("double"), total_amount_formatted=money, time_span_hours=hours, time_span_hours_formatted=span)
+    return F.concat(length.cast("string"), F.lit("-account circular flow with "), money.cast("string"), F.lit(" total value"), F.when(hours.isNull(), "").otherwise(F.concat(F.lit(" over "), span, F.lit(" hours"))))
 
 
 def to_alerts(detections: DataFrame, accounts: DataFrame, a: Alerting, raised: Column, reason: Column, run: str | None = None) -> DataFrame:
@@ -495,27 +510,27 @@ def structuring_alerts(transactions: DataFrame, accounts: DataFrame, c: Structur
 
 def fan_in_alerts(transactions: DataFrame, accounts: DataFrame, c: FanIn = FanIn(), run: str | None = None) -> DataFrame:
     n = F.col("unique_sender_count")
-    return to_alerts(detect_fan_in(transactions, c), accounts, c.alerting, n >= c.min_senders * c.multiplier, count_reason(n, "unique senders", c.window_days, "days"), run)
+    return to_alerts(detect_fan_in(transactions, c), accounts, c.alerting, n >= c.min_senders * c.multiplier, count_reason(n, "unique senders", c.window_days, "days", c.alerting.template), run)
 
 
 def fan_out_alerts(transactions: DataFrame, accounts: DataFrame, c: FanOut = FanOut(), run: str | None = None) -> DataFrame:
     n = F.col("unique_recipient_count")
-    return to_alerts(detect_fan_out(transactions, c), accounts, c.alerting, n >= c.min_recipients * c.multiplier, count_reason(n, "unique recipients", c.window_days, "days"), run)
+    return to_alerts(detect_fan_out(transactions, c), accounts, c.alerting, n >= c.min_recipients * c.multiplier, count_reason(n, "unique recipients", c.window_days, "days", c.alerting.template), run)
 
 
 def rapid_alerts(transactions: DataFrame, accounts: DataFrame, c: RapidMovement = RapidMovement(), run: str | None = None) -> DataFrame:
     r = F.col("outflow_ratio")
-    return to_alerts(detect_rapid_movement(transactions, c), accounts, c.alerting, r >= c.high_ratio, rapid_reason(r, c.window_hours), run)
+    return to_alerts(detect_rapid_movement(transactions, c), accounts, c.alerting, r >= c.high_ratio, rapid_reason(r, c.window_hours, c.alerting.template), run)
 
 
 def dormant_alerts(transactions: DataFrame, accounts: DataFrame, c: DormantReactivation = DormantReactivation(), run: str | None = None) -> DataFrame:
     total = F.col("total_outbound_amount")
-    return to_alerts(detect_dormant_reactivation(transactions, c), accounts, c.alerting, total >= c.min_total * c.high_value_multiplier, dormant_reason(F.col("dormant_days_before_activity"), total, c.window_days), run)
+    return to_alerts(detect_dormant_reactivation(transactions, c), accounts, c.alerting, total >= c.min_total * c.high_value_multiplier, dormant_reason(F.col("dormant_days_before_activity"), total, c.window_days, c.alerting.template), run)
 
 
 def circular_alerts(transactions: DataFrame, accounts: DataFrame, c: CircularFlow = CircularFlow(), run: str | None = None) -> DataFrame:
     raised = (F.col("total_amount") >= c.high_amount) | (F.col("cycle_length") >= c.long_hops)
-    return to_alerts(detect_circular_flow(transactions, c), accounts, c.alerting, raised, circular_reason(F.col("cycle_length"), F.col("total_amount"), F.col("time_span_hours")), run)
+    return to_alerts(detect_circular_flow(transactions, c), accounts, c.alerting, raised, circular_reason(F.col("cycle_length"), F.col("total_amount"), F.col("time_span_hours"), c.alerting.template), run)
 
 
 #: Rules in their canonical order, and other names they go by.
@@ -559,6 +574,31 @@ def alert_summary(alerts: DataFrame) -> DataFrame:
     return sets.select(name.alias("dimension"), F.coalesce("severity", "rule_name", "typology").alias("value"), "alert_count")
 
 
+def alert_problem(alert: str | None = None) -> Column:
+    """What is wrong with an alert record, or null: the first rule that it breaks."""
+    c = lambda name: F.col(f"{alert}.{name}" if alert else name)
+    blank = lambda name: c(name).isNull() | (F.trim(c(name)) == "")
+    out = F.when(blank("alert_id"), "no alert_id")
+    for name in ("account_id", "rule_name", "reason_code"):
+        out = out.when(blank(name), f"no {name}")
+    out = out.when(~F.coalesce(F.lower(c("severity")).isin("low", "medium", "high", "critical"), F.lit(False)), "no such severity")
+    out = out.when(~F.coalesce(c("risk_score_rule").between(0, 100), F.lit(False)), "score beyond 0 to 100")
+    return out.when(F.coalesce(F.size("evidence_ids" if not alert else f"{alert}.evidence_ids"), F.lit(0)) < 1, "no evidence")
+
+
+def alert_violations(alerts: DataFrame) -> DataFrame:
+    """alert_id, account_id, problem of every record that breaks a rule, copies of an id included."""
+    copies = alerts.groupBy("alert_id").agg(F.count("*").alias("_n")).filter("_n > 1 AND alert_id IS NOT NULL").select("alert_id", F.lit("repeated alert_id").alias("_again"))
+    found = alerts.join(copies, "alert_id", "left").withColumn("problem", F.coalesce(alert_problem(), F.col("_again")))
+    return found.filter("problem IS NOT NULL").select("alert_id", "account_id", "problem")
+
+
+def enforced(alerts: DataFrame) -> DataFrame:
+    """``alerts`` that can't be written or read while a record breaks its rules: whatever uses the id evaluates them."""
+    text = F.concat(F.lit("invalid alert "), F.coalesce("alert_id", F.lit("?")), F.lit(": "), alert_problem())
+    return alerts.withColumn("alert_id", F.when(alert_problem().isNull(), F.col("alert_id")).otherwise(F.raise_error(text).cast("string")))
+
+
 def invalid_alerts(alerts: DataFrame) -> DataFrame:
     """Alerts that break the record's rules: they must be none."""
     blank = lambda c: F.col(c).isNull() | (F.trim(c) == "")

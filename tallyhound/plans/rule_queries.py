@@ -100,6 +100,28 @@ def _(spark, d):
     return rules.alert_summary(event_alerts(spark, d))
 
 
+@query("rule_alert_violations", """
+WITH a AS (
+  SELECT CASE WHEN o_orderkey % 23 = 0 THEN ' ' ELSE 'AL_' || (o_orderkey - CASE WHEN o_orderkey % 13 = 0 THEN 1 ELSE 0 END) END AS alert_id, CASE WHEN o_orderkey % 11 <> 0 THEN 'A' || o_custkey END AS account_id,
+    CASE WHEN o_orderpriority LIKE '5%' THEN '' ELSE o_orderpriority END AS reason_code, ['low', 'HIGH', 'severe'][o_orderkey % 3 + 1] AS severity, o_orderkey % 150 - 10 AS score, CASE WHEN o_orderkey % 7 <> 0 THEN 1 ELSE 0 END AS evidence
+  FROM orders),
+p AS (
+  SELECT *, CASE WHEN trim(alert_id) = '' THEN 'no alert_id' WHEN account_id IS NULL THEN 'no account_id' WHEN reason_code = '' THEN 'no reason_code' WHEN severity = 'severe' THEN 'no such severity'
+    WHEN score < 0 OR score > 100 THEN 'score beyond 0 to 100' WHEN evidence = 0 THEN 'no evidence' WHEN count(*) OVER (PARTITION BY alert_id) > 1 THEN 'repeated alert_id' END AS problem
+  FROM a)
+SELECT alert_id, account_id, problem FROM p WHERE problem IS NOT NULL""")
+def _(spark, d):
+    """Orders as alerts of which many break a rule."""
+    k, t = F.col("o_orderkey"), tables.table(spark, d, "orders")
+    broken = t.select(
+        F.when(k % 23 == 0, " ").otherwise(F.concat(F.lit("AL_"), (k - F.when(k % 13 == 0, 1).otherwise(0)).cast("string"))).alias("alert_id"), F.when(k % 11 != 0, F.concat(F.lit("A"), F.col("o_custkey").cast("string"))).alias("account_id"),
+        F.lit("Orders").alias("rule_name"), F.when(F.col("o_orderpriority").startswith("5"), "").otherwise(F.col("o_orderpriority")).alias("reason_code"),
+        F.element_at(F.array(F.lit("low"), F.lit("HIGH"), F.lit("severe")), (k % 3 + 1).cast("int")).alias("severity"), (k % 150 - 10).cast("double").alias("risk_score_rule"),
+        F.when(k % 7 != 0, F.array(k.cast("string"))).otherwise(F.array().cast("array<string>")).alias("evidence_ids"),
+    )
+    return rules.alert_violations(broken)
+
+
 @query("rule_invalid_alerts", "SELECT alert_id FROM {al} WHERE severity NOT IN ('low', 'medium', 'high', 'critical') OR len(evidence_ids) < 1")
 def _(spark, d):
     return rules.invalid_alerts(event_alerts(spark, d)).select("alert_id")

@@ -3,6 +3,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallyhound.operators import rules
 
@@ -170,3 +171,27 @@ def test_features_of_a_hub_against_every_transaction(spark):
         assert math.isclose(x.high_risk_country_exposure, exposed, abs_tol=1e-9)
         gap = (min(t[4] for t in one).date() - max(earlier).date()).days if one and earlier else None
         assert x.dormant_days_before_activity == gap
+
+
+def test_a_broken_alert_fails_the_write(spark, tmp_path):
+    good = ("AL_1", "A", "Rule", "why", "high", 90.0, ["t"])
+    schema = "alert_id string, account_id string, rule_name string, reason_code string, severity string, risk_score_rule double, evidence_ids array<string>"
+    rules.enforced(spark.createDataFrame([good], schema)).write.parquet(str(tmp_path / "good"))
+    assert spark.read.parquet(str(tmp_path / "good")).first().alert_id == "AL_1"
+    broken = {"no account_id": (1, " "), "no reason_code": (3, None), "no such severity": (4, "huge"), "score beyond 0 to 100": (5, 101.0), "no evidence": (6, [])}
+    for k, (problem, (at, value)) in enumerate(broken.items()):
+        bad = spark.createDataFrame([good, (*good[:at], value, *good[at + 1 :])], schema)
+        with pytest.raises(Exception, match=problem):
+            rules.enforced(bad).write.parquet(str(tmp_path / f"bad{k}"))
+        assert [r.problem for r in rules.alert_violations(bad.filter(rules.alert_problem().isNotNull())).collect()] == [problem]
+    assert [r.problem for r in rules.alert_violations(spark.createDataFrame([good, good], schema)).collect()] == ["repeated alert_id"] * 2
+
+
+def test_templates_of_all_reasons(spark):
+    one = spark.range(1).select(
+        rules.rapid_reason(F.lit(0.975), 48, "{outflow_percentage}% in {window_hours}h, {outflow_ratio}").alias("rapid"),
+        rules.dormant_reason(F.lit(130), F.lit(1234.5), 7, "{dormant_days}d then {total_outbound_amount_formatted} in {reactivation_window_days}d").alias("dormant"),
+        rules.circular_reason(F.lit(3), F.lit(99.0), F.lit(5.04), "{cycle_length}: {total_amount_formatted} over {time_span_hours_formatted}").alias("circular"),
+        rules.circular_reason(F.lit(3), F.lit(99.0), F.lit(None).cast("double")).alias("no_span"),
+    ).first()
+    assert tuple(one) == ("98% in 48h, 0.975", "130d then 1234.50 in 7d", "3: 99.00 over 5.0", "3-account circular flow with 99.00 total value")

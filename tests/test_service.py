@@ -6,12 +6,12 @@ import pytest
 
 from tallyhound.operators.scoring import SEVERITY
 from tallyhound.plans import run_queries, service
-from tallyhound.plans.rule_queries import CONFIGS, EVENT_RULES
+from tallyhound.plans.rule_queries import CONFIGS
 
 
 def test_run(spark, sf, tmp_path):
     staged = run_queries.staged(spark, sf)
-    config = service.ServiceConfig(rule_configs=CONFIGS, enabled=tuple(EVENT_RULES), anomaly_trees=20)
+    config = service.ServiceConfig(rule_configs=CONFIGS, anomaly_trees=20)
     out = service.run(spark, staged, str(tmp_path), config, "run")
     rows = {r.table_name: r.rows for r in service.audit(out, "run").collect()}
     n = staged["accounts"].count()
