@@ -383,7 +383,8 @@ FROM (VALUES ('viewer', 'read_dashboard,export_sanitised,read_validation_reports
   ('senior_analyst', 'read_dashboard,export_sanitised,export_sensitive,read_validation_reports,case_comment,case_assign,case_status_change,case_close,case_archive'),
   ('governance_reviewer', 'read_dashboard,export_sanitised,read_validation_reports,read_audit_log,read_governance_inventory'), ('admin', '*')) AS r(role, rights),
 (SELECT unnest(['*', 'read_dashboard', 'export_sanitised', 'export_sensitive', 'read_validation_reports', 'case_comment', 'case_assign', 'case_status_change', 'case_close', 'case_archive', 'read_audit_log', 'read_governance_inventory']) AS action)"""
-SQL["secure_permission_matrix"] = _RIGHTS
+_ROLE_OF = "['viewer', 'analyst', 'senior_analyst', 'governance_reviewer', 'admin'][c_custkey % 5 + 1]"
+SQL["secure_permission_matrix"] = f"SELECT m.*, users FROM ({_RIGHTS}) m JOIN (SELECT {_ROLE_OF} AS role, count(*) AS users FROM customer GROUP BY 1) u USING (role)"
 
 
 @query("secure_mask_frame", "SELECT c_custkey, '[REDACTED]' AS c_name, sha256('s|' || c_mktsegment) AS c_mktsegment, '****' || right(c_nationkey::VARCHAR, 4) AS c_nationkey FROM customer")
@@ -399,7 +400,10 @@ def _(spark, d):
 
 @query("secure_permission_matrix")
 def _(spark, d):
-    return security.permission_matrix(spark)
+    """What the customers, as users of five roles, may do: a row a role and action, with its users."""
+    roles = F.array(*[F.lit(r) for r in ("viewer", "analyst", "senior_analyst", "governance_reviewer", "admin")])
+    users = tables.table(spark, d, "customer").groupBy(F.element_at(roles, (F.col("c_custkey") % 5 + 1).cast("int")).alias("role")).agg(F.count("*").alias("users"))
+    return users.join(F.broadcast(security.permission_matrix(spark)), "role")
 
 
 @query("secure_audit_checks", "SELECT 'required_columns' AS check_name, 'fail' AS status, 1 AS issue_count, 'high' AS severity UNION ALL SELECT 'status_values', CASE WHEN n > 0 THEN 'fail' ELSE 'pass' END, n, CASE WHEN n > 0 THEN 'medium' ELSE 'info' END FROM (SELECT count(DISTINCT event_type) AS n FROM events WHERE event_type <> 'error') UNION ALL SELECT 'duplicate_events', CASE WHEN n > 0 THEN 'fail' ELSE 'pass' END, n, CASE WHEN n > 0 THEN 'medium' ELSE 'info' END FROM (SELECT coalesce(sum(c), 0)::BIGINT AS n FROM (SELECT count(*) AS c FROM events GROUP BY event_type, user_id, CAST(ts AS DATE) HAVING count(*) > 1))")
@@ -420,10 +424,15 @@ def _(spark, d):
     return security.inventory(brand=(tables.table(spark, d, "part"), "p_brand", "p_size"), segment=(tables.table(spark, d, "customer"), "c_mktsegment", "c_nationkey"))
 
 
-@query("govern_sensitive_fields", "SELECT * FROM (VALUES ('account', 'account_id', 'confidential', 'account_id', 'hash'), ('account', 'account_status', 'internal', NULL, 'none'), ('account', 'customer_id', 'confidential', 'customer_id', 'hash'), ('account', 'email_address', 'restricted', 'email', 'redact'), ('account', 'owner_tax_id', 'restricted', 'tax_id', 'redact')) AS t(table_name, column_name, classification, matched_pattern, recommended_masking_strategy)")
+@query("govern_sensitive_fields", """
+SELECT t.*, CASE column_name WHEN 'email_address' THEN (SELECT count(*) FROM {acc} WHERE account_status = 'active') ELSE (SELECT count(*) FROM {acc}) END AS filled_rows
+FROM (VALUES ('account', 'account_id', 'confidential', 'account_id', 'hash'), ('account', 'account_status', 'internal', NULL, 'none'), ('account', 'customer_id', 'confidential', 'customer_id', 'hash'),
+  ('account', 'email_address', 'restricted', 'email', 'redact'), ('account', 'owner_tax_id', 'restricted', 'tax_id', 'redact')) AS t(table_name, column_name, classification, matched_pattern, recommended_masking_strategy)""")
 def _(spark, d):
-    cols = [c for c in tables.event_accounts(spark, d).columns if c in ("account_id", "customer_id", "account_status")]
-    return security.sensitive_fields(spark, {"account": [*cols, "email_address", "owner_tax_id"]})
+    """Accounts with two more columns; each column's class, and how many rows have a value in it."""
+    mail = F.when(F.col("account_status") == "active", F.concat("account_id", F.lit("@mail")))
+    a = tables.event_accounts(spark, d).select("account_id", "account_status", "customer_id", mail.alias("email_address"), F.col("customer_id").alias("owner_tax_id"))
+    return F.broadcast(security.sensitive_fields(spark, {"account": a.columns})).join(security.filled_columns(a), "column_name")
 
 
 @query("join_alerts_to_accounts", "SELECT l.alert_id, a.account_status FROM {al} l LEFT JOIN {acc} a ON l.account_id = a.account_id")
