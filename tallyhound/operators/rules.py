@@ -184,7 +184,7 @@ def fan_in_candidates(transactions: DataFrame, c: FanIn = FanIn()) -> DataFrame:
     return t.filter(keep).withColumns({"account_id": F.col("receiver_account_id"), "other": F.col("sender_account_id")})
 
 
-def outbound(c: FanOut | RapidMovement | DormantReactivation, types: tuple[str, ...]) -> Column:
+def outgoing(c: FanOut | RapidMovement | DormantReactivation, types: tuple[str, ...]) -> Column:
     keep = F.col("transaction_type").isin(*types) & recipient().isNotNull() & _not_self()
     if not c.internal:
         keep &= F.col("receiver_account_id").isNull()
@@ -195,7 +195,7 @@ def outbound(c: FanOut | RapidMovement | DormantReactivation, types: tuple[str,
 
 def outbound_candidates(transactions: DataFrame, c: FanOut | RapidMovement | DormantReactivation, types: tuple[str, ...]) -> DataFrame:
     t = normalise_transactions(transactions)
-    return t.filter(outbound(c, types)).withColumns({"other": recipient(), "account_id": F.col("sender_account_id")})
+    return t.filter(outgoing(c, types)).withColumns({"other": recipient(), "account_id": F.col("sender_account_id")})
 
 
 def fan_out_candidates(transactions: DataFrame, c: FanOut = FanOut()) -> DataFrame:
@@ -322,7 +322,7 @@ def detect_rapid_movement(transactions: DataFrame, c: RapidMovement = RapidMovem
     width, t = c.window_hours * HOUR, normalise_transactions(transactions)
     inbound = {"account_id": F.col("receiver_account_id"), "other": F.lit(""), "out": F.lit(0)}
     outbound = {"account_id": F.col("sender_account_id"), "other": recipient(), "out": F.lit(1)}
-    both = _sides(t, (_inbound(c), inbound), (outbound(c, c.outbound_types), outbound))
+    both = _sides(t, (_inbound(c), inbound), (outgoing(c, c.outbound_types), outbound))
     received, sent = (_forward_sum(F.when(F.col("out") == k, F.col("amount")).otherwise(0), width) for k in (0, 1))
     blocks = _blocked(both.select("account_id", "us", "out", "amount"), width)
     windows = blocks.select("account_id", "us", "own", "out", received.alias("received"), sent.alias("sent"), _forward_sum(F.col("out"), width).alias("n_out")).filter("own")
@@ -362,7 +362,7 @@ def activity_history(transactions: DataFrame) -> DataFrame:
 def detect_dormant_reactivation(transactions: DataFrame, c: DormantReactivation = DormantReactivation()) -> DataFrame:
     """As-of lookup of the last strictly earlier movement, and the forward window of candidates, in one partitioning."""
     width, t = c.window_days * DAY, normalise_transactions(transactions)
-    candidate = outbound(c, c.types) & (F.col("amount") >= c.min_amount)
+    candidate = outgoing(c, c.types) & (F.col("amount") >= c.min_amount)
     sent = {"account_id": F.col("sender_account_id"), "other": recipient(), "candidate": candidate.cast("int")}
     received = {"account_id": F.col("receiver_account_id"), "other": F.lit(None).cast("string"), "candidate": F.lit(0)}
     moves = _sides(t, (F.lit(True), sent), (F.col("receiver_account_id").isNotNull(), received))

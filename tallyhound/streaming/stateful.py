@@ -170,7 +170,7 @@ def dormant_stream(transactions: DataFrame, c: rules.DormantReactivation = rules
     """Detections of ``detect_dormant_reactivation`` over a stream, in the form of ``FOUND``. Every movement counts as one,
     so each is sent to both its accounts."""
     t = _timed(transactions, late)
-    counted = F.coalesce(rules.outbound(c, c.types) & (F.col("amount") >= c.min_amount), F.lit(False)).cast("int")
+    counted = F.coalesce(rules.outgoing(c, c.types) & (F.col("amount") >= c.min_amount), F.lit(False)).cast("int")
     sent = F.struct(F.col("sender_account_id").alias("account_id"), rules.recipient().alias("other"), counted.alias("counted"))
     received = F.struct(F.col("receiver_account_id").alias("account_id"), F.lit(None).cast("string").alias("other"), F.lit(0).alias("counted"))
     sides = F.array_compact(F.array(sent, F.when(F.col("receiver_account_id").isNotNull(), received)))
