@@ -7,7 +7,7 @@ by account and day first, each sum is exploded to the at most N + 1 dates it aff
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -91,6 +91,14 @@ def _dates(days: Column | int) -> Column:
     return F.explode(F.sequence(F.col("e"), F.date_add("e", days)))
 
 
+def _wanted(rows: DataFrame, c: FeatureConfig) -> DataFrame:
+    """Only rows of the dates configured: the others would be shuffled to be dropped."""
+    for limit, keep in ((c.min_date, lambda x: F.col("feature_date") >= x), (c.max_date, lambda x: F.col("feature_date") <= x)):
+        if limit:
+            rows = rows.filter(keep(F.lit(limit).cast("date")))
+    return rows
+
+
 def daily_sums(m: DataFrame, c: FeatureConfig = FeatureConfig()) -> DataFrame:
     """One row an account and effective day: all that the windows need of it but the counterparties."""
     near = (F.col("sent") >= c.threshold * c.margin) & (F.col("sent") < c.threshold)
@@ -123,7 +131,7 @@ def account_features(accounts: DataFrame, transactions: DataFrame, countries: Da
     age = F.datediff("feature_date", "e")
     within = lambda x, days: F.sum(F.when(age <= days, F.col(x)).otherwise(F.lit(0)))
     n, amount = F.sum("n").cast("double"), F.sum("amount").cast("double")
-    base = daily.withColumn("feature_date", _dates(c.monthly)).groupBy(*keys).agg(
+    base = _wanted(daily.withColumn("feature_date", _dates(c.monthly)), c).groupBy(*keys).agg(
         within("n", c.daily).alias("txn_count_1d"), within("n", c.weekly).alias("txn_count_7d"),
         within("sent", c.weekly).cast("decimal(28,2)").alias("total_sent_7d"), within("received", c.weekly).cast("decimal(28,2)").alias("total_received_7d"),
         (amount / n).alias("avg_txn_amount_30d"), F.max("largest").alias("max_txn_amount_30d"), within("near", c.daily).alias("below_threshold_count_24h"),
@@ -131,7 +139,7 @@ def account_features(accounts: DataFrame, transactions: DataFrame, countries: Da
     )
     # senders count for a week only, recipients for the entropy of a month too
     reach = F.when(F.col("n") > 0, c.monthly).otherwise(c.weekly)
-    per_key = counterparty_days(m).withColumn("feature_date", _dates(reach)).groupBy(*keys, "key").agg(F.sum("n").alias("n"), F.min(age).alias("age"))
+    per_key = _wanted(counterparty_days(m).withColumn("feature_date", _dates(reach)), c).groupBy(*keys, "key").agg(F.sum("n").alias("n"), F.min(age).alias("age"))
     # -sum(p ln p) of counts n with total N is ln N - sum(n ln n) / N
     total, sent_to = F.sum("n"), F.sum(F.when(F.col("n") > 0, F.col("n") * F.ln("n")))
     parties = per_key.groupBy(*keys).agg(
@@ -150,12 +158,20 @@ def account_features(accounts: DataFrame, transactions: DataFrame, countries: Da
     })
 
 
+def features_on(accounts: DataFrame, transactions: DataFrame, countries: DataFrame, date: str, config: FeatureConfig = FeatureConfig()) -> DataFrame:
+    """The features of one date. Later transactions do not reach the shuffles, and of those before only what the date's windows and
+    the last movement before them need."""
+    upto = F.lit(date).cast("timestamp_ntz") + F.make_dt_interval(days=F.lit(1))
+    so_far = transactions.filter(F.col("transaction_timestamp").cast("timestamp_ntz") <= upto)
+    return account_features(accounts, so_far, countries, replace(config, min_date=date, max_date=date))
+
+
 def dormant_days(daily: DataFrame, c: FeatureConfig = FeatureConfig()) -> DataFrame:
     """Calendar days from the last movement before a date's daily window to the first inside it, from ``daily_sums``.
 
     Only dates with movement inside have a gap. The earlier movement is an as-of lookup by a running maximum over an
     account's active days, not over its history."""
-    inside = daily.select("account_id", "first", _dates(c.daily).alias("feature_date"), "e").groupBy("account_id", "feature_date").agg(F.min("first").alias("first"))
+    inside = _wanted(daily.select("account_id", "first", _dates(c.daily).alias("feature_date"), "e"), c).groupBy("account_id", "feature_date").agg(F.min("first").alias("first"))
     none = lambda t: F.lit(None).cast(t)
     marks = inside.select("account_id", F.date_sub("feature_date", c.daily + 1).alias("at"), "feature_date", "first", none("timestamp_ntz").alias("moved"))
     moves = daily.select("account_id", F.col("e").alias("at"), none("date").alias("feature_date"), none("timestamp_ntz").alias("first"), F.col("last").alias("moved"))
@@ -171,6 +187,26 @@ def feature_summary(features: DataFrame) -> DataFrame:
     )
 
 
+#: The measures of the whole summary, and what it says of each beside the mean.
+MEASURES = {
+    "txn_count_7d": ("max",), "total_sent_7d": ("max",), "total_received_7d": ("max",), "unique_counterparties_7d": ("max",), "retained_balance_proxy": ("min", "max"), "below_threshold_count_24h": ("max",),
+    "dormant_days_before_activity": ("max",), "cross_border_ratio_30d": ("max",), "high_risk_country_exposure": ("max",), "counterparty_entropy": ("max",),
+}
+
+
+def feature_measures(features: DataFrame) -> DataFrame:
+    """One row: counts, dates and every measure's mean and extremes as doubles, 0 where there is no value. Measures that the
+    table lacks are left out."""
+    known = {c: fs for c, fs in MEASURES.items() if c in features.columns}
+    double = lambda c: F.col(c).cast("double")
+    made = [F.coalesce(getattr(F, f)(double(c)), F.lit(0.0)).alias(f"{f.replace('avg', 'mean')}_{c}") for c, fs in known.items() for f in ("avg", *fs)]
+    return features.agg(
+        F.count("*").alias("feature_row_count"), F.count_distinct("account_id").alias("account_count"), F.count_distinct("feature_version").alias("feature_version_count"),
+        F.min("feature_date").alias("min_feature_date"), F.max("feature_date").alias("max_feature_date"), F.count_if(F.abs(double("in_out_ratio_7d")) == float("inf")).alias("infinite_in_out_ratio_count"),
+        F.count_if(F.col("txn_count_7d") == 0).alias("zero_activity_row_count"), F.count("dormant_days_before_activity").alias("dormant_feature_non_null_count"), *made,
+    )
+
+
 def daily_totals(accounts: DataFrame, transactions: DataFrame) -> DataFrame:
     """Sent and received totals of every account over all time, zero-filled: both sides from one aggregate."""
     t = prepared(transactions)
