@@ -187,3 +187,34 @@ def test_streaming_counts_match_batch(spark, tmp_path):
     q = counts.writeStream.format("memory").queryName("near").outputMode("complete").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("near").agg(F.sum("transaction_count")).first()[0] == 5
+
+
+def test_zero_amounts_as_the_sql_has_them(spark, tmp_path):
+    """Events of amount zero are members of windows for the SQL; the rules leave them out unless they are asked for."""
+    import shutil
+
+    import oracle
+    from tallyhound.operators import rules
+    from tallyhound.plans import ALL_QUERIES, ALL_SQL
+    from tallyhound.plans.rule_queries import FAN_IN
+    from tallyhound.sources import driver_tables
+
+    for t in oracle.TABLES:
+        if t != "events":
+            shutil.copy(f"/root/testdata/sf0.001/{t}.parquet", tmp_path)
+    e = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    e.withColumn("value", F.when(F.col("event_id") % 3 == 0, 0.0).otherwise(F.col("value"))).write.parquet(str(tmp_path / "events.parquet"))
+    db = oracle.views(str(tmp_path))
+    for name in ("rule_fan_in_candidates", "rule_rapid_candidates", "rule_engine_alerts"):
+        assert not oracle.difference(ALL_QUERIES[name](spark, str(tmp_path)), ALL_SQL[name], db)
+    assert not rules.fan_in_candidates(driver_tables.event_transactions(spark, str(tmp_path)), FAN_IN).filter("amount = 0").count()
+
+
+def test_rounding_as_the_sql_has_it(spark):
+    from tallyhound.plans.case_queries import nearest
+
+    values = [69.72625, 1.00005, 2.5, 0.00015, 88.57495]
+    import duckdb
+
+    got = [r[0] for r in spark.createDataFrame([(v, i) for i, v in enumerate(values)], "x double, i int").orderBy("i").select(nearest("x", 4)).collect()]
+    assert got == [duckdb.connect().execute(f"SELECT round({v!r}::DOUBLE, 4)").fetchone()[0] for v in values]
