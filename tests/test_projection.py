@@ -138,3 +138,24 @@ def test_scratch_leaves_only_its_result(spark):
         keep.forget(a)
         out = keep.result(b)
     assert out.count() == 2 and len(checkpoints._PATHS) == before + 1
+
+
+def test_a_long_table_with_small_files_is_not_broadcast(spark):
+    numbers = lambda n: checkpoints.checkpointed(spark.range(n).select(F.col("id").alias("node")))
+    plan = lambda a, b: a.join(b, "node", "left")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan(numbers(300_000), numbers(200_000)) and "BroadcastHashJoin" in plan(numbers(300), numbers(200))
+
+
+def test_hot_keys_by_hash_are_those_by_key(spark):
+    rows = spark.range(20_000).select(F.when(F.col("id") % 2 == 0, F.col("id") % 6).otherwise(F.col("id")).alias("k"))
+    assert sorted(r.k for r in joins.hot_keys(rows, "k", least=100).collect()) == [0, 2, 4]
+    assert joins.hot_keys(rows.filter("k > 6"), "k", least=100) is None
+
+
+def test_distinct_links_are_dealt_before_they_are_grouped(spark):
+    """A task that groups its part of the table before the shuffle holds as much as that part, as hardly any link is there twice."""
+    from tallyhound.sources import driver_tables
+
+    t, a = driver_tables.event_transactions(spark, "/root/testdata/sf0.001"), driver_tables.event_accounts(spark, "/root/testdata/sf0.001")
+    tree = graph.edges(a, t)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_COL" in tree and "ENSURE_REQUIREMENTS" not in tree.split("REPARTITION_BY_COL")[0]
