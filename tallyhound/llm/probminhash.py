@@ -13,8 +13,8 @@ Links, without making a group's pairs:
    member is left unlinked; otherwise the unlinked stay open together with those members that can still be
    within reach of one of them.
 3. What is open falls into components. A component of at most ``most_docs`` documents and ``most_bytes`` of
-   text is linked exactly in one task; in larger ones every unlinked member is a pivot once, ``pivots`` a
-   bucket at a time.
+   text is linked exactly in one task; larger ones are cut into slices, every two of which are linked exactly in
+   a task, over the component or over each of its buckets, whichever has fewer pairs.
 Classes are the connected components of the links. A pivot's members are dealt in slices of about ``SLICE``, and its
 text travels once a slice.
 
@@ -204,7 +204,25 @@ def _exact_links(rows: DataFrame, similarity: float) -> DataFrame:
     return rows.groupBy("root").applyInArrow(link, "a long, b long")
 
 
-def near_links(reps: DataFrame, docs: DataFrame, similarity: float, pivots: int, most_docs: int, most_bytes: int) -> DataFrame:
+def _sliced_links(hard: DataFrame, texts: DataFrame, similarity: float, most_docs: int, most_bytes: int) -> DataFrame:
+    """Links inside components too large for one task: root, docs (of the root), bucket, key, pivot.
+
+    A component is one set of documents if that has fewer pairs than its buckets have together, else each bucket is a set. Sets
+    are cut into slices of half a task's documents or bytes, and every two slices are linked exactly in a task of their own."""
+    per = hard.groupBy("root", "docs", "bucket").agg(F.count("*").alias("m")).groupBy("root", "docs").agg(F.sum(F.col("m") * F.col("m")).alias("pairs"))
+    whole = per.select("root", (F.col("docs") * F.col("docs") <= F.col("pairs")).alias("whole"))
+    named = F.struct("root", "whole", F.when(F.col("whole"), F.lit(0).cast("long")).otherwise(F.col("bucket")).alias("bucket")).alias("set")
+    sets = hard.join(whole, "root").select(named, "key", "pivot").groupBy("set", "key").agg(F.min("pivot").alias("pivot"))
+    sets = stage(sets.hint("merge").join(texts.select("key", F.octet_length("text").alias("bytes")), "key"), "hard-sets")
+    half = lambda total, most: F.ceil(2 * total / F.lit(most))
+    slices = sets.groupBy("set").agg(F.least(F.count("*"), F.greatest(half(F.count("*"), most_docs), half(F.sum("bytes"), most_bytes))).alias("slices"))
+    dealt = sets.join(slices, "set").withColumn("s", F.pmod(F.xxhash64("key"), F.col("slices")))
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1), lambda t: (t != F.col("s")) | (F.col("slices") == 1))
+    pairs = dealt.withColumn("t", F.explode(others)).select("key", "pivot", F.struct("set", F.least("s", "t").alias("s"), F.greatest("s", "t").alias("t")).alias("root"))
+    return _exact_links(pairs.hint("merge").join(texts, "key").select("root", "key", "pivot", "text"), similarity)
+
+
+def near_links(reps: DataFrame, docs: DataFrame, similarity: float, most_docs: int, most_bytes: int) -> DataFrame:
     """a, b: links that join what is linked. reps: key, bands of one row each; docs: key, text."""
     reach = 1 - similarity + 1e-9
     entries = reps.select("key", F.explode("bands").alias("bucket"))
@@ -231,31 +249,26 @@ def near_links(reps: DataFrame, docs: DataFrame, similarity: float, pivots: int,
     small = sizes.filter((F.col("n") > 1) & (F.col("n") <= most_docs) & (F.col("bytes") <= most_bytes)).select("root")
     links = links.unionByName(stage(_exact_links(whole.join(small, "root").select("root", "key", "pivot", "text"), similarity), "exact-links"))
 
-    large = sizes.filter((F.col("n") > most_docs) | (F.col("bytes") > most_bytes)).select("root")
+    large = sizes.filter((F.col("n") > most_docs) | (F.col("bytes") > most_bytes)).select("root", F.col("n").alias("docs"))
     if not large.isEmpty():
-        # every unlinked member is once a pivot to all that is open in its bucket; so many a bucket at a time
-        hard = stage(rooted.join(large, "root").select("bucket", "key", "unlinked"), "hard")
-        turns = hard.groupBy("bucket").agg(F.ceil(F.count_if("unlinked") / pivots).alias("turns"), F.count("*").alias("m"))
-        turns = stage(hard.filter("unlinked").join(turns, "bucket").select("bucket", F.col("key").alias("p"), "m", F.pmod(F.xxhash64("key"), F.col("turns")).alias("turn")), "turns")
-        for turn in range(turns.agg(F.max("turn")).first()[0] + 1):
-            now = hard.join(turns.filter(F.col("turn") == turn), "bucket").filter("key <> p").select("key", "p", "m")
-            d = stage(distances(now, texts).filter(F.col("d") <= reach).select(F.col("key").alias("a"), F.col("p").alias("b")), "hard-links")
-            links = links.unionByName(d)
+        hard = stage(rooted.join(large, "root").select("root", "docs", "bucket", "key", "pivot"), "hard")
+        links = links.unionByName(stage(_sliced_links(hard, texts, similarity, most_docs, most_bytes), "hard-links"))
     return links
 
 
 def near_classes(
-    docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, pivots: int = 32, most_docs: int = 5000, most_bytes: int = 32 << 20,
+    docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, pivots: int | None = None, most_docs: int = 1000, most_bytes: int = 32 << 20,
     id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None,
 ) -> DataFrame:
-    """key (a number of the row), doc_id, class_id (the smallest doc_id of the class), class_size, kept (one row of each class)."""
+    """key (a number of the row), doc_id, class_id (the smallest doc_id of the class), class_size, kept (one row of each class).
+    ``pivots`` is taken but no longer used."""
     named = [F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")]
     docs = docs.select(F.col(row_col).alias("key"), *named) if row_col else numbered(docs.select(named), "near-rows", "key")
     prints = stage(signed(docs, bands, rows), "signatures")
     same = prints.groupBy("f1", "f2").agg(F.min("key").alias("rep"), F.count("*").alias("n"))
     least = max(1000, prints.count() // HOT_CLASSES)
     prints = stage(with_class(prints.withColumn("f", F.struct("f1", "f2")), stage(same.select(F.struct("f1", "f2").alias("f"), "rep", "n"), "equal-prints"), "f", "n", least).select("key", "doc_id", "rep", "bands"), "representatives")
-    links = near_links(prints.filter("key = rep"), docs, similarity, pivots, most_docs, most_bytes)
+    links = near_links(prints.filter("key = rep"), docs, similarity, most_docs, most_bytes)
     # only representatives have links; a row's class is its representative's
     roots = stage(components(links, "a", "b").withColumnRenamed("node", "rep"), "roots")
     classed = stage(prints.select("key", "doc_id", "rep").join(roots, "rep", "left").select("key", "doc_id", F.coalesce("root", "rep").alias("root")), "classes")

@@ -258,6 +258,14 @@ def test_near_classes(spark, options):
     assert got == near_brute(rows)
 
 
+def test_large_components_take_one_pass(spark, monkeypatch):
+    """Not one pass for every so many unlinked members of the largest bucket."""
+    rows, names, stage = near_rows(1), [], probminhash.stage
+    monkeypatch.setattr(probminhash, "stage", lambda df, name: (names.append(name), stage(df, name))[1])
+    got = {r.doc_id: r.class_id for r in probminhash.near_classes(docs(spark, rows), most_docs=4, pivots=1).collect()}
+    assert got == near_brute(rows) and names.count("hard-links") == 1
+
+
 def test_near_odd_rows(spark):
     assert probminhash.near_classes(docs(spark, [])).count() == 0
     got = probminhash.near_classes(docs(spark, ODD)).collect()
