@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyhound.operators import rules
+from tallyhound.sources import driver_tables as tables
 
 SCHEMA = "transaction_id string, sender_account_id string, receiver_account_id string, counterparty_id string, transaction_timestamp timestamp_ntz, amount decimal(18,2), transaction_type string"
 START = dt.datetime(2024, 1, 1, 12)
@@ -195,3 +196,10 @@ def test_templates_of_all_reasons(spark):
         rules.circular_reason(F.lit(3), F.lit(99.0), F.lit(None).cast("double")).alias("no_span"),
     ).first()
     assert tuple(one) == ("98% in 48h, 0.975", "130d then 1234.50 in 7d", "3: 99.00 over 5.0", "3-account circular flow with 99.00 total value")
+
+
+def test_orders_are_scanned_once(spark, sf):
+    """Dormant and circular rules read a written table of clean rows, not the given one for each of their parts."""
+    t = tables.order_transactions(spark, sf)
+    for found in (rules.detect_dormant_reactivation(t), rules.detect_circular_flow(t)):
+        assert found.inputFiles() and not any("orders" in f for f in found.inputFiles())
