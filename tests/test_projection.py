@@ -159,3 +159,15 @@ def test_distinct_links_are_dealt_before_they_are_grouped(spark):
     t, a = driver_tables.event_transactions(spark, "/root/testdata/sf0.001"), driver_tables.event_accounts(spark, "/root/testdata/sf0.001")
     tree = graph.edges(a, t)._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_COL" in tree and "ENSURE_REQUIREMENTS" not in tree.split("REPARTITION_BY_COL")[0]
+
+
+def test_levels_broadcast_no_links(spark):
+    from tallyhound.checkpoints import checkpointed
+    from tallyhound.operators import centrality
+
+    links = checkpointed(spark.range(150_000).selectExpr("id AS src", "id + 1 AS dst"))
+    rows = spark.range(3).selectExpr("1L AS s", "id AS src")
+    plan = lambda hot: centrality._step(rows, links, "src", "dst", hot)
+    assert "Broadcast" not in plan(None)._jdf.queryExecution().executedPlan().toString()
+    hot = spark.range(2).selectExpr("id AS src")
+    assert {tuple(r) for r in plan(hot).select("s", "src", "dst").collect()} == {(1, k, k + 1) for k in range(3)}
