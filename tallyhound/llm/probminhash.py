@@ -38,6 +38,8 @@ from tallyhound.llm.substring_dedup import BASES, WordWindows
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 24, 5
 SLICE, HOT_CLASSES = 256, 1024
+#: About so many documents, at most, are linked in one task where a component is too large for one.
+SLICED_DOCS = 1000
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -252,12 +254,12 @@ def near_links(reps: DataFrame, docs: DataFrame, similarity: float, most_docs: i
     large = sizes.filter((F.col("n") > most_docs) | (F.col("bytes") > most_bytes)).select("root", F.col("n").alias("docs"))
     if not large.isEmpty():
         hard = stage(rooted.join(large, "root").select("root", "docs", "bucket", "key", "pivot"), "hard")
-        links = links.unionByName(stage(_sliced_links(hard, texts, similarity, most_docs, most_bytes), "hard-links"))
+        links = links.unionByName(stage(_sliced_links(hard, texts, similarity, min(most_docs, SLICED_DOCS), most_bytes), "hard-links"))
     return links
 
 
 def near_classes(
-    docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, pivots: int | None = None, most_docs: int = 1000, most_bytes: int = 32 << 20,
+    docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, pivots: int | None = None, most_docs: int = 5000, most_bytes: int = 32 << 20,
     id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None,
 ) -> DataFrame:
     """key (a number of the row), doc_id, class_id (the smallest doc_id of the class), class_size, kept (one row of each class).
