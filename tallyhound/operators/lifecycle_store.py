@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyhound.checkpoints import Scratch
 from tallyhound.operators.lifecycle import action_id, invalid_actions
 from tallyhound.sources.versioned import Store
 
@@ -50,29 +51,31 @@ def apply_actions(store: Store, actions: DataFrame, note: str = "case actions")
     if cases is None:
         raise ValueError("there are no cases")
     keyed = actions.withColumn("_k", F.col("action_key") if "action_key" in actions.columns else F.lit(""))
-    rows = with_from_status(_typed(keyed, EVENTS + ", _k string").drop("action_id", "from_status"), cases)
-    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
-    kind = F.col("action_type")
-    wrong = F.col("from_status").isNull() | ~F.coalesce(kind.isin(*KINDS), F.lit(False)) | blank("analyst_id") | F.col("action_timestamp").isNull()
-    wrong = wrong | (kind == "assign") & blank("assigned_to") & blank("queue") | (kind == "comment") & blank("comment") | (kind != "status_change") & F.col("to_status").isNotNull()
-    bad = rows.filter(wrong).unionByName(invalid_actions(rows)).orderBy("case_id", "action_timestamp").first()
-    if bad:
-        raise ValueError(f"{bad.case_id}: {bad.action_type} from {bad.from_status} to {bad.to_status} by {bad.analyst_id} can't be applied")
-    events = _typed(action_id(rows.drop("_k")), EVENTS)
-    at = F.struct("action_timestamp", "_k")
-    newest = lambda c, when: F.max_by(c, F.when(when, at))
-    assigned = kind == "assign"
-    folded = rows.groupBy("case_id").agg(
-        newest("to_status", F.col("to_status").isNotNull()).alias("_status"), F.max(F.when(assigned, True)).alias("_assigned"), newest("assigned_to", assigned).alias("_to"), newest("queue", assigned).alias("_queue"),
-        newest("analyst_id", assigned).alias("_by"), newest("action_timestamp", assigned).alias("_at"), F.max("action_timestamp").alias("updated_at"),
-    )
-    old = cases.select("case_id", "status", "assigned_to", "queue")
-    given = F.coalesce("_assigned", F.lit(False))
-    snapshot = folded.join(old, "case_id").select(
-        "case_id", F.coalesce("_status", "status").alias("status"), F.when(given, F.col("_to")).otherwise(F.col("assigned_to")).alias("assigned_to"), F.when(given, F.col("_queue")).otherwise(F.col("queue")).alias("queue"), "updated_at"
-    )
-    made = folded.filter("_assigned").select("case_id", F.col("_to").alias("assigned_to"), F.col("_queue").alias("queue"), F.col("_by").alias("assigned_by"), F.col("_at").alias("assigned_at"))
-    change.append("case_events", events)
-    change.upsert("cases", snapshot, ["case_id"])
-    change.upsert("case_assignments", _typed(made, ASSIGNMENTS), ["case_id"])
+    with Scratch() as keep:
+        # computed once: checked, appended, and folded into both snapshots
+        rows = keep(with_from_status(_typed(keyed, EVENTS + ", _k string").drop("action_id", "from_status"), cases))
+        blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+        kind = F.col("action_type")
+        wrong = F.col("from_status").isNull() | ~F.coalesce(kind.isin(*KINDS), F.lit(False)) | blank("analyst_id") | F.col("action_timestamp").isNull()
+        wrong = wrong | (kind == "assign") & blank("assigned_to") & blank("queue") | (kind == "comment") & blank("comment") | (kind != "status_change") & F.col("to_status").isNotNull()
+        bad = rows.filter(wrong).unionByName(invalid_actions(rows)).orderBy("case_id", "action_timestamp").first()
+        if bad:
+            raise ValueError(f"{bad.case_id}: {bad.action_type} from {bad.from_status} to {bad.to_status} by {bad.analyst_id} can't be applied")
+        events = _typed(action_id(rows.drop("_k")), EVENTS)
+        at = F.struct("action_timestamp", "_k")
+        newest = lambda c, when: F.max_by(c, F.when(when, at))
+        assigned = kind == "assign"
+        folded = keep(rows.groupBy("case_id").agg(
+            newest("to_status", F.col("to_status").isNotNull()).alias("_status"), F.max(F.when(assigned, True)).alias("_assigned"), newest("assigned_to", assigned).alias("_to"), newest("queue", assigned).alias("_queue"),
+            newest("analyst_id", assigned).alias("_by"), newest("action_timestamp", assigned).alias("_at"), F.max("action_timestamp").alias("updated_at"),
+        ))
+        old = cases.select("case_id", "status", "assigned_to", "queue")
+        given = F.coalesce("_assigned", F.lit(False))
+        snapshot = folded.join(old, "case_id").select(
+            "case_id", F.coalesce("_status", "status").alias("status"), F.when(given, F.col("_to")).otherwise(F.col("assigned_to")).alias("assigned_to"), F.when(given, F.col("_queue")).otherwise(F.col("queue")).alias("queue"), "updated_at"
+        )
+        made = folded.filter("_assigned").select("case_id", F.col("_to").alias("assigned_to"), F.col("_queue").alias("queue"), F.col("_by").alias("assigned_by"), F.col("_at").alias("assigned_at"))
+        change.append("case_events", events)
+        change.upsert("cases", snapshot, ["case_id"])
+        change.upsert("case_assignments", _typed(made, ASSIGNMENTS), ["case_id"])
     return change.commit(note)

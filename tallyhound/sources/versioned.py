@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tallyhound.checkpoints import Scratch
+
 BUCKETS = 64
 
 
@@ -133,20 +135,28 @@ class Transaction:
         names = [f["name"] for f in entry["schema"]["fields"]]
         if set(frame.columns) - set(names):
             raise ValueError(f"{table} has no {', '.join(sorted(set(frame.columns) - set(names)))}")
-        twice = frame.groupBy(*keys).count().filter("count > 1").first()
-        if twice:
-            raise ValueError(f"{table}: two rows for {[twice[k] for k in keys]}")
-        bucket = F.pmod(F.xxhash64(*keys), F.lit(entry["buckets"])).cast("int")
-        fresh = frame.withColumn("_bucket", bucket)
-        # at most as many rows as there are buckets
-        touched = {str(r[0]) for r in fresh.select("_bucket").distinct().collect()}
-        here = self.store._read(entry, touched)
-        same = [fresh[k].eqNullSafe(here[k]) for k in keys]
-        types = {f.name: f.dataType for f in here.schema}
-        updated = fresh.join(here, same, "left").select(*[(fresh[c] if c in frame.columns else here[c]).cast(types[c]).alias(c) for c in names], "_bucket")
-        others = here.join(fresh, same, "left_anti").withColumn("_bucket", bucket)
-        old_rows = here.count()
-        folder, seen = self._write(table, updated.unionByName(others).repartition("_bucket"), True, metrics)
+        types = {f.name: f.dataType for f in StructType.fromJson(entry["schema"])}
+        bucket = lambda key: F.pmod(F.xxhash64(*map(key, keys)), F.lit(entry["buckets"])).cast("int")
+        typed = frame.select(*[F.col(c).cast(types[c]).alias(c) for c in frame.columns])
+        with Scratch() as keep:
+            # computed once: it is checked, dealt and joined
+            fresh = keep(typed.withColumn("_bucket", bucket(F.col)))
+            twice = fresh.groupBy(*keys).count().filter("count > 1").first()
+            if twice:
+                raise ValueError(f"{table}: two rows for {[twice[k] for k in keys]}")
+            # at most as many rows as there are buckets
+            touched = {str(r[0]) for r in fresh.select("_bucket").distinct().collect()}
+            old_rows = 0
+            if touched & set(entry["parts"]):
+                here = self.store._read(entry, touched)
+                old_rows = here.count()
+                given = fresh["_bucket"].isNotNull()
+                value = lambda c: F.when(given, fresh[c]).otherwise(here[c]) if c in frame.columns else here[c]
+                every = fresh.join(here, [fresh[k].eqNullSafe(here[k]) for k in keys], "full")
+                merged = every.select(*[value(c).alias(c) for c in names], F.coalesce(fresh["_bucket"], bucket(lambda k: here[k])).alias("_bucket"))
+            else:
+                merged = fresh.select(*[(F.col(c) if c in frame.columns else F.lit(None).cast(types[c])).alias(c) for c in names], "_bucket")
+            folder, seen = self._write(table, merged.repartition("_bucket"), True, metrics)
         entry["parts"] |= {b: [f"{folder}/_bucket={b}"] for b in touched}
         entry["rows"] += seen["rows"] - old_rows
         self.counts[table] = seen | {"touched": len(touched)}

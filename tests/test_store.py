@@ -118,3 +118,27 @@ def test_ingest_and_staging_are_counted_as_they_are_written(spark, sf, store):
     assert store.newest() == before + 1 and store.read("stg_countries").filter("country_name = 'Renamed'").count() == 1
     assert store.read("stg_countries").count() == tables["countries"].count()
     assert store.read("audit_events").filter("stage = 'staging'").count() == 12
+
+
+def test_rows_are_computed_once(spark, store):
+    """Checks, buckets, joins and snapshots read what was kept, not the plan of the rows."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def mark(x):
+        seen.add(1)
+        return x
+
+    marked = F.udf(mark, "long").asNondeterministic()
+    change = store.begin()
+    for low in (0, 50):  # new rows, then half of them again
+        seen.value = 0
+        change.upsert("t", spark.range(low, low + 100).select(marked("id").alias("k"), F.lit(low).alias("v")), ["k"])
+        assert seen.value == 100
+    change.upsert("t", spark.createDataFrame([(3, 7)], "k int, v int"), ["k"])  # a narrower type of key
+    change.commit()
+    assert store.read("t").agg(F.count("*"), F.count_distinct("k"), F.sum("v")).first() == (150, 150, 5007)
+    lifecycle_store.open_cases(store, spark.range(20).select(F.concat(F.lit("c"), "id").alias("case_id")))
+    actions = act(spark, *[(f"c{k}", "comment", None, "ann", None, "hm") for k in range(9)])
+    seen.value = 0
+    lifecycle_store.apply_actions(store, actions.withColumn("comment", F.concat("comment", marked(F.length("comment").cast("long")).cast("string"))))
+    assert seen.value == 9 and store.read("case_events").filter("comment = 'hm2'").count() == 9
