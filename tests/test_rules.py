@@ -203,3 +203,45 @@ def test_orders_are_scanned_once(spark, sf):
     t = tables.order_transactions(spark, sf)
     for found in (rules.detect_dormant_reactivation(t), rules.detect_circular_flow(t)):
         assert found.inputFiles() and not any("orders" in f for f in found.inputFiles())
+
+
+def test_counterparties_are_not_copied_to_dates(spark):
+    """One account, new counterparties every day: shuffled rows follow the days and counterparties, not the dates they count for. A date on
+    its own has the same features."""
+    import math
+
+    from tallyhound.operators import features
+
+    n, days = 300, 40
+    t = spark.range(n * days).select(
+        F.concat(F.lit("T"), "id").alias("transaction_id"), F.lit("A").alias("sender_account_id"), F.lit(None).cast("string").alias("receiver_account_id"), F.concat(F.lit("CP"), F.col("id").cast("string")).alias("counterparty_id"),
+        (F.lit("2024-01-01 12:00:00").cast("timestamp_ntz") + F.make_dt_interval(days=(F.col("id") / n).cast("int"))).alias("transaction_timestamp"), F.lit("10.00").cast("decimal(18,2)").alias("amount"), F.lit("X").alias("origin_country"), F.lit("X").alias("destination_country"), F.lit(False).alias("is_cross_border"),
+    )
+    accounts, countries = spark.createDataFrame([("A",)], "account_id string"), spark.createDataFrame([("X", True, 50.0)], "country_code string, is_high_risk boolean, risk_score double")
+    made = features.account_features(accounts, t, countries)
+    found = {str(r.feature_date): r for r in made.collect()}
+    assert len(found) == days
+    for k, day in enumerate(sorted(found)):
+        assert found[day].unique_counterparties_7d == n * min(k + 1, 8) and abs(found[day].counterparty_entropy - math.log(n * min(k + 1, 31))) < 1e-9
+    stages = made._jdf.queryExecution().executedPlan()
+    assert shuffled_rows(stages) < 5 * n * days
+    for date in ("2024-01-01", "2024-01-20", "2024-02-09"):
+        plain = lambda r: {k: round(v, 9) if isinstance(v, float) else v for k, v in r.asDict().items()}
+        assert [plain(r) for r in features.features_on(accounts, t, countries, date).collect()] == [plain(found[date])]
+
+
+def shuffled_rows(plan) -> int:
+    """Rows written by all shuffles of a finished adaptive plan, each exchange once."""
+    seen, total, todo = set(), 0, [plan]
+    while todo:
+        p = todo.pop()
+        name = p.nodeName()
+        if name.startswith("AdaptiveSparkPlan"):
+            todo.append(p.executedPlan())
+        elif "QueryStage" in name:
+            todo.append(p.plan())
+        elif name == "Exchange" and p.id() not in seen:
+            seen.add(p.id())
+            total += p.metrics().apply("shuffleRecordsWritten").value()
+        todo += [p.children().apply(k) for k in range(p.children().size())]
+    return total
