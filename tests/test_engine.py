@@ -218,3 +218,13 @@ def test_rounding_as_the_sql_has_it(spark):
 
     got = [r[0] for r in spark.createDataFrame([(v, i) for i, v in enumerate(values)], "x double, i int").orderBy("i").select(nearest("x", 4)).collect()]
     assert got == [duckdb.connect().execute(f"SELECT round({v!r}::DOUBLE, 4)").fetchone()[0] for v in values]
+
+
+def test_alerts_and_movements_make_no_cases(spark, sf, monkeypatch):
+    from tallyhound.plans import read_queries
+
+    def none(*_):
+        raise AssertionError("cases were made")
+
+    monkeypatch.setattr(read_queries.cq, "made_cases", none)
+    assert read_queries.QUERIES["read_account_alerts_and_movements"](spark, sf).columns == ["part", "id"]
