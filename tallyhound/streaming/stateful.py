@@ -8,28 +8,38 @@ the batch rule's over all rows seen.
 Late rows count as long as they are newer than the watermark; older ones are dropped, as nothing that they could change is
 still open. Rows of the last window wait for later time: a stream that ends wants one more row of any kind
 (``transaction_type`` may be anything) that is newer by a window and the lateness. An account's state is its rows of one
-window and the lateness, and three small values; all of it is in RocksDB and in the query's checkpoint, so that a lost
-executor's accounts go on elsewhere. Rows without id, sender, time or a positive amount are left out, as in the batch rules.
+window and the lateness, and four small values; accounts are kept in groups by hash, and a batch rewrites the states of the groups
+that it touches. All of it is in RocksDB and in the query's checkpoint, so that a lost executor's accounts go on elsewhere.
+Rows without id, sender, time or a positive amount are left out, as in the batch rules.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_right
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, groupby
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tallyhound.functions import ids
 from tallyhound.operators import rules
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-#: A waiting row: time, id, other side, amount in cents, 1 if the rule counts it.
-ROW = ("us", "transaction_id", "other", "cents", "counted")
-ROW_TYPE = "us long, transaction_id string, other string, cents long, counted int"
+#: Accounts are dealt to so many groups by hash, each with one state: a call a group costs milliseconds, whatever it holds.
+GROUPS = 256
+#: A waiting row: account, time, id, other side, amount in cents, 1 if the rule counts it.
+ROW = ("account_id", "us", "transaction_id", "other", "cents", "counted")
+#: What is known of an account: the number and strength of its last detection, and its last movement before its waiting rows.
+MEMORY = ("known", "place", "strength", "prior_us", "prior_id")
+STATE = (
+    "account_id array<string>, us array<long>, transaction_id array<string>, other array<string>, cents array<long>, counted array<int>, "
+    "known array<string>, place array<long>, strength array<string>, prior_us array<long>, prior_id array<string>"
+)
 FOUND = (
     "account_id string, place long, start_us long, end_us long, transaction_count long, total string, least string, most string, "
     "others long, days int, prior_us long, prior_id string, evidence_ids array<string>"
@@ -40,67 +50,49 @@ def _money(cents: int) -> str:
     return f"{cents // 100}.{cents % 100:02d}"
 
 
-class _Forward(StatefulProcessor):
+class _Forward:
     """Judges forward windows of ``width`` microseconds once they are over. ``strength`` ranks one of them, or refuses it."""
 
     def __init__(self, width: int, least: int, min_cents: int = 0) -> None:
         self.width, self.least, self.min_cents = width, least, min_cents
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.rows = handle.getListState("rows", ROW_TYPE)
-        self.due = handle.getValueState("due", "at long")
-        self.best = handle.getValueState("best", "place long, strength string")
-        self.carried = handle.getValueState("carried", "us long, transaction_id string")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        first = None
-        for batch in rows:
-            new = list(zip(*(batch[c].tolist() for c in ROW)))
-            if new:
-                self.rows.appendList(new)
-                first = min(r[0] for r in new) if first is None else min(first, min(r[0] for r in new))
-        if first is not None:
-            self._wake(first)
-        yield from ()
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = timerValues.getCurrentWatermarkInMs() * 1000
-        self.due.clear()
-        rows = sorted(tuple(r) for r in self.rows.get())
-        times = [r[0] for r in rows]
-        over = bisect_right(times, now - self.width - 1)
-        found = self._judge(rows, times, over)
-        if over:
-            self.carried.update(rows[over - 1][:2])
-        if rows[over:]:
+    def __call__(self, key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        kept = list(state.get) if state.exists else [[] for _ in range(len(ROW) + len(MEMORY))]
+        rows, memory = list(zip(*kept[: len(ROW)])), {m[0]: m[1:] for m in zip(*kept[len(ROW) :])}
+        if not state.hasTimedOut:
+            for batch in batches:
+                rows.extend(zip(*(batch[c].tolist() for c in ROW)))
+        rows.sort()
+        ended = state.getCurrentWatermarkMs() * 1000 - self.width - 1
+        waiting, found, first = [], [], None
+        for account, own in groupby(rows, itemgetter(0)):
+            own = [r[1:] for r in own]
+            times = [r[0] for r in own]
+            # a window whose end the watermark has passed is judged at once, after the rows that came with it
+            over = bisect_right(times, ended)
             if over:
-                self.rows.put(rows[over:])
-            self._wake(times[over])
-        else:
-            self.rows.clear()
+                place, strength, us, transaction_id = memory.get(account, (0, "", None, None))
+                best = tuple(map(int, strength.split(","))) if strength else ()
+                better, best = self._judge(own, times, over, None if us is None else (us, transaction_id), best)
+                if better:
+                    place += 1
+                    found.append({"account_id": account, "place": place, **better})
+                memory[account] = (place, ",".join(map(str, best)), *own[over - 1][:2])
+            if over < len(own):
+                waiting.extend((account, *r) for r in own[over:])
+                first = times[over] if first is None else min(first, times[over])
+        columns = lambda tuples, names: [list(c) for c in zip(*tuples)] or [[] for _ in names]
+        state.update((*columns(waiting, ROW), *columns(((k, *m) for k, m in memory.items()), MEMORY)))
+        if first is not None:
+            state.setTimeoutTimestamp((first + self.width) // 1000 + 1)
         if found:
-            yield pd.DataFrame([{"account_id": key[0], **found}])
-
-    def close(self) -> None:
-        pass
-
-    def _wake(self, us: int) -> None:
-        """A timer for the end of the window that starts at ``us``, if none comes sooner."""
-        at, due = (us + self.width) // 1000 + 1, self.due.get()
-        if due is None or at < due[0]:
-            if due is not None:
-                self.handle.deleteTimer(due[0])
-            self.handle.registerTimer(at)
-            self.due.update((at,))
-
-    def _judge(self, rows: list[tuple], times: list[int], over: int) -> dict | None:
-        """The strongest of the windows that start at the first ``over`` rows, if it beats all before."""
+            yield pd.DataFrame(found)
+
+    def _judge(self, rows: list[tuple], times: list[int], over: int, prior: tuple | None, best: tuple) -> tuple[dict | None, tuple]:
+        """The strongest of the windows that start at the first ``over`` rows, if it beats ``best``; and the best by now."""
         if not over:
-            return None
-        seen = self.best.get()
-        place, best = (0, ()) if seen is None else (seen[0], tuple(map(int, seen[1].split(","))))
-        prior, chosen = self.carried.get(), None
+            return None, best
+        chosen = None
         counts, sums = ([0, *accumulate(x)] for x in ((r[4] for r in rows), (r[3] * r[4] for r in rows)))
         first = 0
         while first < over:
@@ -113,10 +105,9 @@ class _Forward(StatefulProcessor):
                     best, chosen = strength, (first, end, prior)
             prior, first = rows[after - 1][:2], after
         if chosen is None:
-            return None
-        self.best.update((place + 1, ",".join(map(str, best))))
+            return None, best
         first, end, prior = chosen
-        return {"place": place + 1} | self.found(times[first], [r for r in rows[first:end] if r[4]], prior)
+        return self.found(times[first], [r for r in rows[first:end] if r[4]], prior), best
 
     def strength(self, us: int, n: int, total: int, prior: tuple | None) -> tuple | None:
         return (n, total, -us)
@@ -130,7 +121,7 @@ class _Forward(StatefulProcessor):
 
 
 class _Dormant(_Forward):
-    """Windows after a long pause; ``carried`` is the account's last movement before its waiting rows."""
+    """Windows after a long pause; ``prior`` is the account's last movement before its waiting rows."""
 
     def __init__(self, width: int, least: int, min_cents: int, dormant_days: int) -> None:
         super().__init__(width, least, min_cents)
@@ -151,10 +142,11 @@ def _timed(transactions: DataFrame, late: str) -> DataFrame:
     return rules.normalise_transactions(transactions.withColumn("at", F.timestamp_micros(us)).withWatermark("at", late))
 
 
-def _detect(rows: DataFrame, processor: StatefulProcessor) -> DataFrame:
+def _detect(rows: DataFrame, judge: _Forward) -> DataFrame:
     cents = (F.col("amount") * 100).cast("long").alias("cents")
-    rows = rows.select("account_id", "at", "us", "transaction_id", F.coalesce("other", F.lit("")).alias("other"), cents, "counted")
-    return rows.groupBy("account_id").transformWithStateInPandas(processor, FOUND, "Append", "EventTime")
+    group = F.pmod(F.xxhash64("account_id"), F.lit(GROUPS)).alias("group")
+    rows = rows.select(group, "at", "account_id", "us", "transaction_id", F.coalesce("other", F.lit("")).alias("other"), cents, "counted")
+    return rows.groupBy("group").applyInPandasWithState(judge.__call__, FOUND, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def structuring_stream(transactions: DataFrame, c: rules.Structuring = rules.Structuring(), late: str = "1 day") -> DataFrame:

@@ -74,3 +74,18 @@ def test_too_late_and_not_yet(spark, tmp_path):
     assert come((5, 11.5, "wire"), (6, 12, "wire")) == [first]
     assert come((7, 30, "wire"), (8, 31, "wire"), (9, 31, "wire"), (10, 32, "wire")) == [first]
     assert come((11, 60, "other")) == [first, (2, ["T7", "T8", "T9", "T10"])]
+
+
+def test_many_accounts_few_states(spark, tmp_path):
+    """A call into Python is made for each group of accounts, not for each account."""
+    c, accounts = rules.Structuring(min_count=2, window_hours=2), 2 * stateful.GROUPS
+    made = [(f"T{a}_{k}", f"A{a}", "B", None, START + dt.timedelta(hours=k), Decimal(9500), "wire", 0) for a in range(accounts) for k in range(2 + a % 2)]
+    t = spark.createDataFrame([*made, ("END", "A0", "B", None, START + dt.timedelta(days=9), Decimal(1), "end", 0)], SCHEMA)
+    t.write.parquet(str(tmp_path / "in"))
+    stream = transaction_stream(spark, str(tmp_path / "in"), SCHEMA)
+    run = stateful.start(stateful.structuring_stream(stream, c, "3 hours"), str(tmp_path / "out"), str(tmp_path / "state"))
+    run.awaitTermination()
+    assert 0 < run.lastProgress["stateOperators"][0]["numRowsTotal"] <= stateful.GROUPS
+    found = stateful.newest(spark.read.schema(stateful.FOUND).parquet(str(tmp_path / "out")))
+    assert found.count() == accounts
+    same(stateful.structuring_detections(found), rules.detect_structuring(t, c))
