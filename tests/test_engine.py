@@ -7,6 +7,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from tallyhound.checkpoints import checkpointed
 from tallyhound.functions import analytic, normalise
 from tallyhound.functions.analytic import global_rank, percentile_ranks
 from tallyhound.operators import graph, lifecycle, models, read_api, rules, security, staging
@@ -228,3 +229,12 @@ def test_alerts_and_movements_make_no_cases(spark, sf, monkeypatch):
 
     monkeypatch.setattr(read_queries.cq, "made_cases", none)
     assert read_queries.QUERIES["read_account_alerts_and_movements"](spark, sf).columns == ["part", "id"]
+
+
+@pytest.mark.parametrize("model", ["logistic_regression", "random_forest"])
+def test_fitted_models_score_after_an_observed_write(spark, model):
+    frame = checkpointed(spark.createDataFrame([(f"C{k:02d}", float(k), k % 3 / 2, int(k + k % 4 > 20)) for k in range(40)], "case_id string, a double, b double, label int"))
+    got = models.score_supervised(models.train_supervised(frame, ["a", "b"], model=model), frame, ["a", "b"], "case_id").collect()
+    score = {r.case_id: r.score for r in got}
+    assert len(got) == 40 and sorted(r.score_rank for r in got) == list(range(1, 41))
+    assert score["C39"] > 0.9 > 0.1 > score["C00"]
