@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyhound.functions.analytic import global_rank, gold_band
+from tallyhound.functions.analytic import global_rank, gold_band, nearest
 from tallyhound.operators.scoring import SEVERITY, lookup
 
 #: The days that totals are spread over, and the ratio where nothing was received.
@@ -21,9 +21,9 @@ def features(accounts: DataFrame, transactions: DataFrame) -> DataFrame:
     f = f.withColumns({c: F.coalesce(F.col(c), F.lit(0).cast(t)) for c, t in f.dtypes if c != "account_id"})
     n, week = F.col("sent_count") + F.col("received_count"), 7.0 / PERIOD_DAYS
     return f.select(
-        "account_id", n.alias("txn_count_total"), F.round(n / ACTIVE_DAYS, 2).alias("txn_count_1d"), F.round(n * 7.0 / PERIOD_DAYS, 2).alias("txn_count_7d"), F.round(F.col("sent_total") * week, 2).alias("total_sent_7d"), F.round(F.col("received_total") * week, 2).alias("total_received_7d"),
-        F.round(F.when(F.col("sent_avg") > 0, F.col("sent_avg")).otherwise(F.col("received_avg")), 2).alias("avg_txn_amount_30d"), F.round(F.greatest("sent_max", "received_max"), 2).alias("max_txn_amount_30d"), F.col("sent_others").alias("unique_counterparties_7d"),
-        F.round(F.when(F.col("received_total") > 0, F.col("sent_total") / F.col("received_total")).otherwise(RATIO_CAP), 4).alias("in_out_ratio_7d"), F.round(F.col("received_total") - F.col("sent_total"), 2).alias("retained_balance_proxy"),
+        "account_id", n.alias("txn_count_total"), nearest(n / ACTIVE_DAYS, 2).alias("txn_count_1d"), nearest(n * 7.0 / PERIOD_DAYS, 2).alias("txn_count_7d"), nearest(F.col("sent_total") * week, 2).alias("total_sent_7d"), nearest(F.col("received_total") * week, 2).alias("total_received_7d"),
+        nearest(F.when(F.col("sent_avg") > 0, F.col("sent_avg")).otherwise(F.col("received_avg")), 2).alias("avg_txn_amount_30d"), nearest(F.greatest("sent_max", "received_max"), 2).alias("max_txn_amount_30d"), F.col("sent_others").alias("unique_counterparties_7d"),
+        nearest(F.when(F.col("received_total") > 0, F.col("sent_total") / F.col("received_total")).otherwise(RATIO_CAP), 4).alias("in_out_ratio_7d"), nearest(F.col("received_total") - F.col("sent_total"), 2).alias("retained_balance_proxy"),
     )
 
 
@@ -33,7 +33,7 @@ def graph_features(accounts: DataFrame, transactions: DataFrame) -> DataFrame:
     d = ends.groupBy(F.col("a").alias("account_id")).agg(F.sum("o").alias("out_degree"), F.sum(1 - F.col("o")).alias("in_degree"), F.count("*").alias("degree_total"))
     full = accounts.select("account_id").join(d, "account_id", "left").fillna(0)
     most = F.broadcast(full.agg(F.greatest(F.max("degree_total"), F.lit(1)).alias("_m")))
-    return full.crossJoin(most).withColumn("degree_share", F.round(F.col("degree_total") / F.col("_m"), 6)).drop("_m")
+    return full.crossJoin(most).withColumn("degree_share", nearest(F.col("degree_total") / F.col("_m"), 6)).drop("_m")
 
 
 def bucket(column: str, n: int):
@@ -46,7 +46,7 @@ def anomaly_scores(features: DataFrame, flagged: DataFrame) -> DataFrame:
     f = features.join(flagged.select("account_id", F.lit(True).alias("_flag")).distinct(), "account_id", "left")
     most = F.broadcast(features.agg(F.greatest(F.max("txn_count_total"), F.lit(1)).alias("_m")))
     score = F.col("txn_count_total") / F.col("_m") * 45.0 + F.when(F.col("_flag"), 45.0).otherwise(0.0) + bucket("account_id", 10)
-    s = f.crossJoin(most).select("account_id", F.round(score, 2).alias("anomaly_score"))
+    s = f.crossJoin(most).select("account_id", nearest(score, 2).alias("anomaly_score"))
     s = s.withColumns({"is_anomaly": F.col("anomaly_score") >= 70, "risk_band": gold_band(F.col("anomaly_score"))})
     return global_rank(s, [F.desc("anomaly_score"), F.asc("account_id")], "anomaly_rank")
 
@@ -54,8 +54,8 @@ def anomaly_scores(features: DataFrame, flagged: DataFrame) -> DataFrame:
 def account_risk(anomaly: DataFrame, graph: DataFrame, flagged: DataFrame) -> DataFrame:
     a = anomaly.select("account_id", F.col("anomaly_score").alias("anomaly_component")).join(graph.select("account_id", "degree_total"), "account_id", "left").join(flagged.select("account_id", F.lit(True).alias("_flag")).distinct(), "account_id", "left")
     most = F.broadcast(graph.agg(F.greatest(F.max("degree_total"), F.lit(1)).alias("_m")))
-    a = a.crossJoin(most).withColumns({"graph_risk_component": F.round(F.coalesce("degree_total", F.lit(0)) / F.col("_m") * 100, 2), "rule_risk_component": F.when(F.col("_flag"), 85.0).otherwise(15.0)})
-    a = a.withColumn("account_risk_score", F.round(F.col("anomaly_component") * 0.4 + F.col("graph_risk_component") * 0.25 + F.col("rule_risk_component") * 0.35, 2))
+    a = a.crossJoin(most).withColumns({"graph_risk_component": nearest(F.coalesce("degree_total", F.lit(0)) / F.col("_m") * 100, 2), "rule_risk_component": F.when(F.col("_flag"), 85.0).otherwise(15.0)})
+    a = a.withColumn("account_risk_score", nearest(F.col("anomaly_component") * 0.4 + F.col("graph_risk_component") * 0.25 + F.col("rule_risk_component") * 0.35, 2))
     a = a.withColumn("risk_band", gold_band(F.col("account_risk_score"))).drop("_flag", "_m", "degree_total")
     return global_rank(a, [F.desc("account_risk_score"), F.asc("account_id")], "risk_rank")
 
@@ -81,5 +81,5 @@ HALF_UP = 1e-9
 def case_risk(cases: DataFrame, risk: DataFrame) -> DataFrame:
     c = cases.join(risk.select("account_id", F.col("account_risk_score").alias("account_component")), "account_id", "left").fillna(0.0, ["account_component"])
     score = F.col("max_alert_score") * 0.5 + F.col("account_component") * 0.3 + F.col("typology_count") * 5.0 + F.col("alert_count") * 1.5
-    c = c.select("case_id", "max_alert_score", "account_component", "typology_count", F.round(score + HALF_UP, 2).alias("case_risk_score"))
+    c = c.select("case_id", "max_alert_score", "account_component", "typology_count", nearest(score + HALF_UP, 2).alias("case_risk_score"))
     return global_rank(c.withColumn("risk_band", gold_band(F.col("case_risk_score"))), [F.desc("case_risk_score"), F.asc("case_id")], "risk_rank")

@@ -238,3 +238,16 @@ def test_fitted_models_score_after_an_observed_write(spark, model):
     score = {r.case_id: r.score for r in got}
     assert len(got) == 40 and sorted(r.score_rank for r in got) == list(range(1, 41))
     assert score["C39"] > 0.9 > 0.1 > score["C00"]
+
+
+def test_gold_rounds_as_its_sql(spark):
+    import duckdb
+
+    from tallyhound.operators import gold
+
+    n = 400
+    anomaly = spark.range(n).select(F.col("id").cast("string").alias("account_id"), (F.col("id") / 20 + 6.55).alias("anomaly_score"))
+    degrees = spark.range(n).select(F.col("id").cast("string").alias("account_id"), (F.col("id") * 7 % 300).alias("degree_total"))
+    got = {int(r.account_id): (r.graph_risk_component, r.account_risk_score) for r in gold.account_risk(anomaly, degrees, anomaly.limit(0)).collect()}
+    sql = f"SELECT id, g, round(a * 0.4 + g * 0.25 + 15.0::DOUBLE * 0.35, 2) FROM (SELECT id, id / 20 + 6.55::DOUBLE AS a, round(id * 7 % 300 / 299 * 100, 2) AS g FROM range({n}) t(id))"
+    assert got == {i: (g, s) for i, g, s in duckdb.connect().execute(sql).fetchall()}
