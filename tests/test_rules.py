@@ -245,3 +245,13 @@ def shuffled_rows(plan) -> int:
             total += p.metrics().apply("shuffleRecordsWritten").value()
         todo += [p.children().apply(k) for k in range(p.children().size())]
     return total
+
+
+def test_ids_shared_by_chance_are_no_invalid_alerts_of_the_query(spark, monkeypatch):
+    from tallyhound.plans import rule_queries
+
+    columns = "alert_id string, account_id string, rule_name string, reason_code string, severity string, risk_score_rule double, evidence_ids array<string>"
+    alerts = spark.createDataFrame([("AL_1", "A", "R", "x", "high", 80.0, ["T1"]), ("AL_1", "B", "R", "x", "high", 80.0, ["T2"]), ("AL_2", "C", "R", "x", "odd", 80.0, ["T3"]), ("AL_3", "D", "R", "x", "low", 80.0, [])], columns)
+    monkeypatch.setattr(rule_queries, "event_alerts", lambda *_: alerts)
+    assert sorted(r.alert_id for r in rule_queries.QUERIES["rule_invalid_alerts"](spark, "").collect()) == ["AL_2", "AL_3"]
+    assert sorted(r.alert_id for r in rules.invalid_alerts(alerts).collect()) == ["AL_1", "AL_1", "AL_2", "AL_3"]
