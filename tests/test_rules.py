@@ -255,3 +255,16 @@ def test_ids_shared_by_chance_are_no_invalid_alerts_of_the_query(spark, monkeypa
     monkeypatch.setattr(rule_queries, "event_alerts", lambda *_: alerts)
     assert sorted(r.alert_id for r in rule_queries.QUERIES["rule_invalid_alerts"](spark, "").collect()) == ["AL_2", "AL_3"]
     assert sorted(r.alert_id for r in rules.invalid_alerts(alerts).collect()) == ["AL_1", "AL_1", "AL_2", "AL_3"]
+
+
+def test_circular_alerts_of_every_cycle(spark, monkeypatch):
+    from tallyhound.plans import rule_queries
+
+    rows = []
+    for k in range(520):
+        rows += [(f"O{k}", "A", f"B{k:03d}", None, START + dt.timedelta(hours=k), "10000", "wire"), (f"I{k}", f"B{k:03d}", "A", None, START + dt.timedelta(hours=k + 1), "10000", "wire")]
+    accounts = spark.createDataFrame([("A", "C")], "account_id string, customer_id string")
+    transactions = frame(spark, rows)
+    monkeypatch.setattr(rule_queries.tables, "order_transactions", lambda *_: transactions)
+    monkeypatch.setattr(rule_queries.tables, "order_accounts", lambda *_: accounts)
+    assert rule_queries.QUERIES["rule_circular_alerts"](spark, "").count() == 520
