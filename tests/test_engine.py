@@ -251,3 +251,20 @@ def test_gold_rounds_as_its_sql(spark):
     got = {int(r.account_id): (r.graph_risk_component, r.account_risk_score) for r in gold.account_risk(anomaly, degrees, anomaly.limit(0)).collect()}
     sql = f"SELECT id, g, round(a * 0.4 + g * 0.25 + 15.0::DOUBLE * 0.35, 2) FROM (SELECT id, id / 20 + 6.55::DOUBLE AS a, round(id * 7 % 300 / 299 * 100, 2) AS g FROM range({n}) t(id))"
     assert got == {i: (g, s) for i, g, s in duckdb.connect().execute(sql).fetchall()}
+
+
+def test_alert_evidence_of_every_group_and_alert(spark, monkeypatch):
+    from tallyhound.plans import case_queries
+
+    columns = "alert_id string, account_id string, customer_id string, rule_name string, typology string, severity string, risk_score_rule double, reason_code string, evidence_ids array<string>, detection_window_start string"
+    alerts = spark.createDataFrame([(f"AL_{k:04d}", f"ACC_{k % 700}", None, "R", "fan_in", "high", 80.0, "x", ["T1"], "") for k in range(1400)], columns)
+    accounts = spark.createDataFrame([(f"ACC_{k}", "CUST_1") for k in range(700)], "account_id string, customer_id string")
+    nodes = accounts.select("account_id", F.pmod(F.substring("account_id", 5, 9).cast("int"), F.lit(2)).alias("community_id"))
+    transactions = spark.createDataFrame([("T1", "CP_1")], "transaction_id string, counterparty_id string")
+    monkeypatch.setattr(case_queries, "event_alerts", lambda *_: alerts)
+    monkeypatch.setattr(case_queries, "graph_inputs", lambda *_: nodes)
+    monkeypatch.setattr(case_queries.tables, "event_accounts", lambda *_: accounts)
+    monkeypatch.setattr(case_queries.tables, "event_transactions", lambda *_: transactions)
+    got = sorted(r.alert_count for r in case_queries.QUERIES["case_alert_evidence"](spark, "").collect())
+    # an account, a customer, two communities and a counterparty
+    assert got == [2] * 700 + [700, 700, 1400, 1400]
