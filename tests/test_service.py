@@ -59,3 +59,11 @@ def check_scores(found, out):
     for r in out["cases"].collect():
         made[r.primary_account_id] += 1
     assert all(r.case_count == made[a] for a, r in found.items())
+
+
+def test_the_run_as_a_query_takes_every_source(spark, sf, monkeypatch):
+    taken = []
+    monkeypatch.setattr(run_queries.service, "run", lambda *a: taken.append(a[3]))
+    monkeypatch.setattr(run_queries, "account_overview", lambda out: out)
+    run_queries.run_account_risk(spark, sf)
+    assert taken[0].betweenness_sources is None
