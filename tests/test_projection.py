@@ -171,3 +171,17 @@ def test_levels_broadcast_no_links(spark):
     assert "Broadcast" not in plan(None)._jdf.queryExecution().executedPlan().toString()
     hot = spark.range(2).selectExpr("id AS src")
     assert {tuple(r) for r in plan(hot).select("s", "src", "dst").collect()} == {(1, k, k + 1) for k in range(3)}
+
+
+@pytest.mark.parametrize("local", [0, 10**6])
+def test_betweenness_in_tasks_and_by_joins(spark, monkeypatch, local):
+    pairs = {(f"n{a:03d}", f"n{b:03d}") for a, b in [(k, (k * 7 + j * 3) % 40) for k in range(40) for j in range(k % 3)]} | {("n040", f"n{k:03d}") for k in range(30)}
+    pairs = {x for x in pairs if x[0] != x[1]}
+    p = project_pairs(pairs_frame(spark, pairs))
+    joined = []
+    monkeypatch.setattr(centrality, "_step", lambda *a, f=centrality._step: joined.append(1) or f(*a))
+    monkeypatch.setattr(centrality, "LOCAL_LINKS", local)
+    monkeypatch.setattr(centrality, "LOCAL_STEP", 7)
+    got = {r.id: r.betweenness_centrality for r in centrality.betweenness(p.simple(), p.size).join(p.nodes, "node").collect()}
+    want = brute_betweenness(pairs)
+    assert {x: got.get(x, 0.0) for x in want} == pytest.approx(want) and bool(joined) == (not local)
